@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import marks_of, materialize
 
 #: Mean bytes of a chunk (a power of two) and the least bytes between two cuts.
-CHUNK_BYTES = 512
-LEAST_BYTES = 64
+CHUNK_BYTES = 1024
+LEAST_BYTES = 128
 #: GPT-2's pattern of pre-tokens and its special string: fixed values of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = {"<|endoftext|>": 50256}
@@ -156,6 +156,21 @@ def _chunk_keys(batches, mean: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.binary()))], ["__a", "__b", "__keys"])
 
 
+def _split_by_sharing(batches, marked, mean: int, text_at: int, shared: bool):
+    """The rows that have a marked chunk, or those that have none."""
+    marks = marked.value
+    for batch in batches:
+        keep = []
+        for text in batch.column(text_at).to_pylist():
+            data, last, found = _data(text), 0, False
+            for end in cuts(data, mean):
+                if found := marks.has(int.from_bytes(xxhash.xxh3_128_digest(data[last:end])[:8], "big")):
+                    break
+                last = end
+            keep.append(found == shared)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _encode_owned(batches, path: str, mean: int):
     bpe = codec(path)
     for batch in batches:
@@ -185,8 +200,10 @@ def _assemble_all(batches, path: str, mean: int, text_at: int, known_at: int, ke
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with token_ids (binary: little-endian unsigned 32-bit integers) and n_tokens (long) of each whole text.
 
-    Moves: chunk keys (16 bytes for about ``chunk_bytes``), the ids of repeated chunks, and each text once. No step
-    gathers the rows of a key: a repeated chunk's ids are joined to its occurrences, which adaptive execution splits.
+    Moves: chunk keys (16 bytes for about ``chunk_bytes``), the ids of repeated chunks, and the texts that have a
+    repeated chunk; the other texts are encoded where they are read. A bitmap of fixed size over the keys of repeated
+    chunks tells the two kinds apart; its false positives only move a text more. No step gathers the rows of a key:
+    a repeated chunk's ids are joined to its occurrences, which adaptive execution splits.
     """
     keep = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
     keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("__a"), F.xxhash64(F.col(text_col), F.col(id_col).cast("string")).alias("__b"), *keep)
@@ -195,12 +212,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     occurrences = chunked.select("__a", "__b", F.posexplode("__keys").alias("__at", "__key"))
     # a text that stands in several equal rows counts for each of them; its chunks are encoded once all the same
     shared = occurrences.groupBy("__key").agg(F.count("*").alias("__n"), F.min(F.struct("__a", "__b", "__at")).alias("__first")).filter("__n > 1")
-    owners = shared.select("__key", "__first.*").groupBy("__a", "__b").agg(F.collect_list(F.struct("__at", "__key")).alias("__owned"))
-    one_each = keyed.join(owners.hint("shuffle_hash"), ["__a", "__b"])
+    shared = materialize(shared.select("__key", "__first.*"), "bpe-shared")
+    marked = docs.sparkSession.sparkContext.broadcast(marks_of(shared.select(F.conv(F.hex(F.substring("__key", 1, 8)), 16, -10).cast("long").alias("key"))))
+    split = functools.partial(_split_by_sharing, marked=marked, mean=chunk_bytes)
+    sharing = keyed.mapInArrow(functools.partial(split, text_at=keyed.columns.index(text_col), shared=True), keyed.schema)
+    alone = docs.select(*keep).mapInArrow(functools.partial(split, text_at=keep.index(text_col), shared=False), docs.select(*keep).schema)
+    owners = shared.groupBy("__a", "__b").agg(F.collect_list(F.struct("__at", "__key")).alias("__owned"))
+    one_each = sharing.join(owners.hint("shuffle_hash"), ["__a", "__b"])
     encoded = one_each.select(text_col, "__owned").mapInArrow(functools.partial(_encode_owned, path=path, mean=chunk_bytes), "__key binary, __ids binary")
     encoded = encoded.groupBy("__key").agg(F.min("__ids").alias("__ids"))  # equal rows give equal ids
-    known = occurrences.dropDuplicates(["__a", "__b", "__at"]).join(encoded, "__key").groupBy("__a", "__b").agg(F.collect_list(F.struct("__at", "__ids")).alias("__known"))
-    full = keyed.join(known.hint("shuffle_hash"), ["__a", "__b"], "left")
+    known = occurrences.join(encoded, "__key").dropDuplicates(["__a", "__b", "__at"]).groupBy("__a", "__b").agg(F.collect_list(F.struct("__at", "__ids")).alias("__known"))
+    full = sharing.join(known.hint("shuffle_hash"), ["__a", "__b"], "left").drop("__a", "__b")
+    full = full.unionByName(alone.withColumn("__known", F.lit(None).cast(full.schema["__known"].dataType)))
     columns = full.columns
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
     return full.mapInArrow(functools.partial(_assemble_all, path=path, mean=chunk_bytes, text_at=columns.index(text_col), known_at=columns.index("__known"), keep=[columns.index(c) for c in keep], names=[f.name for f in schema]), schema)

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of characters other than space, tab, newline, vertical tab, form feed, carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -43,6 +44,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the bitmap that marks_of() makes, whatever the input: 16 MB.
+MARK_BITS = 27
+
+
+class Marks:
+    """A bitmap over 64-bit keys: has() is true for every marked key, and for others at the rate of its density."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, key: int) -> bool:
+        at = key & ((1 << MARK_BITS) - 1)
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+    def has_each(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64((1 << MARK_BITS) - 1)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def marks_of(keys: DataFrame) -> Marks:
+    """Marks of the long column ``key``. What the driver gets is bounded by the bitmap: 2**21 words at most."""
+    at = F.col("key").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63L as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return Marks(out)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, elementwise."""
     x = x.astype(np.uint64, copy=True)
