@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import marks_of, materialize
+from tidemark.llm.common import marks_of, materialize, small_batches
 
 #: Mean bytes of a chunk (a power of two) and the least bytes between two cuts.
 CHUNK_BYTES = 1024
@@ -156,26 +156,41 @@ def _chunk_keys(batches, mean: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.binary()))], ["__a", "__b", "__keys"])
 
 
-def _split_by_sharing(batches, marked, mean: int, text_at: int, shared: bool):
-    """The rows that have a marked chunk, or those that have none."""
-    marks = marked.value
+def _has_marked(data: bytes, marks, mean: int) -> bool:
+    last = 0
+    for end in cuts(data, mean):
+        if marks.has(int.from_bytes(xxhash.xxh3_128_digest(data[last:end])[:8], "big")):
+            return True
+        last = end
+    return False
+
+
+def _with_marked(batches, marked, mean: int, text_at: int):
+    """The rows whose text has a marked chunk."""
     for batch in batches:
-        keep = []
+        found = [_has_marked(_data(text), marked.value, mean) for text in batch.column(text_at).to_pylist()]
+        yield batch.filter(pa.array(found, pa.bool_()))
+
+
+def _encode_unmarked(batches, marked, path: str, mean: int, text_at: int, names: list[str]):
+    """The rows whose text has no marked chunk, with their ids."""
+    bpe = codec(path)
+    for batch in batches:
+        keep, out = [], []
         for text in batch.column(text_at).to_pylist():
-            data, last, found = _data(text), 0, False
-            for end in cuts(data, mean):
-                if found := marks.has(int.from_bytes(xxhash.xxh3_128_digest(data[last:end])[:8], "big")):
-                    break
-                last = end
-            keep.append(found == shared)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+            data = _data(text)
+            keep.append(not _has_marked(data, marked.value, mean))
+            if keep[-1]:
+                out.append(bpe.encode(data).astype("<u4"))
+        rest = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([x.tobytes() for x in out], pa.binary()), pa.array([len(x) for x in out], pa.int64())], names)
 
 
-def _encode_owned(batches, path: str, mean: int):
+def _encode_owned(batches, path: str, mean: int, text_at: int, owned_at: int):
     bpe = codec(path)
     for batch in batches:
         keys, ids = [], []
-        for text, owned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, owned in zip(batch.column(text_at).to_pylist(), batch.column(owned_at).to_pylist(), strict=True):
             data = _data(text)
             ends = cuts(data, mean)
             for x in owned:
@@ -205,6 +220,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     chunks tells the two kinds apart; its false positives only move a text more. No step gathers the rows of a key:
     a repeated chunk's ids are joined to its occurrences, which adaptive execution splits.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
     keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("__a"), F.xxhash64(F.col(text_col), F.col(id_col).cast("string")).alias("__b"), *keep)
     chunked = keyed.select("__a", "__b", text_col).mapInArrow(functools.partial(_chunk_keys, mean=chunk_bytes), "__a long, __b long, __keys array<binary>")
@@ -214,19 +230,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = occurrences.groupBy("__key").agg(F.count("*").alias("__n"), F.min(F.struct("__a", "__b", "__at")).alias("__first")).filter("__n > 1")
     shared = materialize(shared.select("__key", "__first.*"), "bpe-shared")
     marked = docs.sparkSession.sparkContext.broadcast(marks_of(shared.select(F.conv(F.hex(F.substring("__key", 1, 8)), 16, -10).cast("long").alias("key"))))
-    split = functools.partial(_split_by_sharing, marked=marked, mean=chunk_bytes)
-    sharing = keyed.mapInArrow(functools.partial(split, text_at=keyed.columns.index(text_col), shared=True), keyed.schema)
-    alone = docs.select(*keep).mapInArrow(functools.partial(split, text_at=keep.index(text_col), shared=False), docs.select(*keep).schema)
+    sharing = keyed.mapInArrow(functools.partial(_with_marked, marked=marked, mean=chunk_bytes, text_at=keyed.columns.index(text_col)), keyed.schema)
     owners = shared.groupBy("__a", "__b").agg(F.collect_list(F.struct("__at", "__key")).alias("__owned"))
+    # all columns go in, so that this join and the last one share one exchange of the texts
     one_each = sharing.join(owners.hint("shuffle_hash"), ["__a", "__b"])
-    encoded = one_each.select(text_col, "__owned").mapInArrow(functools.partial(_encode_owned, path=path, mean=chunk_bytes), "__key binary, __ids binary")
+    encoded = one_each.mapInArrow(functools.partial(_encode_owned, path=path, mean=chunk_bytes, text_at=one_each.columns.index(text_col), owned_at=one_each.columns.index("__owned")), "__key binary, __ids binary")
     encoded = encoded.groupBy("__key").agg(F.min("__ids").alias("__ids"))  # equal rows give equal ids
     known = occurrences.join(encoded, "__key").dropDuplicates(["__a", "__b", "__at"]).groupBy("__a", "__b").agg(F.collect_list(F.struct("__at", "__ids")).alias("__known"))
-    full = sharing.join(known.hint("shuffle_hash"), ["__a", "__b"], "left").drop("__a", "__b")
-    full = full.unionByName(alone.withColumn("__known", F.lit(None).cast(full.schema["__known"].dataType)))
-    columns = full.columns
+    full = sharing.join(known.hint("shuffle_hash"), ["__a", "__b"], "left")
+    columns, names = full.columns, [*keep, "token_ids", "n_tokens"]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    return full.mapInArrow(functools.partial(_assemble_all, path=path, mean=chunk_bytes, text_at=columns.index(text_col), known_at=columns.index("__known"), keep=[columns.index(c) for c in keep], names=[f.name for f in schema]), schema)
+    joined = full.mapInArrow(functools.partial(_assemble_all, path=path, mean=chunk_bytes, text_at=columns.index(text_col), known_at=columns.index("__known"), keep=[columns.index(c) for c in keep], names=names), schema)
+    alone = docs.select(*keep).mapInArrow(functools.partial(_encode_unmarked, marked=marked, path=path, mean=chunk_bytes, text_at=keep.index(text_col), names=names), schema)
+    return joined.unionByName(alone)
 
 
 def _decode_all(batches, path: str, ids_at: int, keep: list[int], names: list[str]):
