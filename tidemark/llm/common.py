@@ -44,6 +44,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where whole texts go to Python workers: a batch of the longest texts stays small.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 #: Bits of the bitmap that marks_of() makes, whatever the input: 16 MB.
 MARK_BITS = 27
 

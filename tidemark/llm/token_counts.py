@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from tidemark.llm.common import small_batches
+
 #: Tokens that a text may have (the production limit of the query).
 LIMIT = 2048
 #: Words whose tables a process keeps at most, and the longest word that is kept.
@@ -197,6 +199,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text_col: str =
 
     One narrow pass without a shuffle; the word tables of a process are bounded.
     """
+    small_batches(docs.sparkSession)
     new = ("n_bytes", "n_tokens", "over_limit", "n_chars_within")
     keep = [c for c in docs.columns if c not in new]
     columns = docs.select(*keep).columns
