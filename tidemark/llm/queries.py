@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, token_counts
+from tidemark.llm import bpe, token_counts, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,39 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars_within")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+OP8_SQL = f"""
+WITH parsed AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+  FROM pages
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES {", ".join(f"('{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for v, r in urls.RULES)}
+), hosts(name) AS (
+  VALUES {", ".join(f"('{h[:-1]}')" for h in urls.BLOCKED_HOSTS)}
+), best AS (
+  SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id, host, path
+)
+SELECT p.page_id, p.host, p.path, b.rule,
+       coalesce(b.verdict, CASE WHEN EXISTS (SELECT 1 FROM hosts WHERE p.host = name OR ends_with(p.host, '.' || name))
+                                THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed p LEFT JOIN best b ON p.page_id = b.page_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_token_counts": op6_token_counts,
+    "op8_url_filters": op8_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": OP8_SQL,
+}
