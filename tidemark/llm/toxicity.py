@@ -1,6 +1,6 @@
 """Toxicity scores by weak supervision.
 
-Voters are words of a lexicon and patterns (starts of words). The lexicon's candidates are found in labelled rows: a
+Voters are words of a lexicon and patterns (a word start that a given number of the text's words has). The lexicon's candidates are found in labelled rows: a
 Spark job counts, for each word and word start, the labelled rows of either label that have it. A voter votes "toxic"
 where it occurs and abstains elsewhere; the rows' own labels are one more, noisy, voter. A generative label model
 (two classes, one rate per voter and class, fitted by expectation maximisation) estimates the voters' accuracies, and
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,8 @@ from tidemark.llm.common import materialize, small_batches
 MOST_LABELLED, MOST_VOTERS, LEAST_ROWS = 12_000, 600, 4
 #: A voter's share of toxic rows, with one row of either kind added, and the lengths of word starts.
 LEAST_PRECISION, STARTS = 0.72, (4, 5, 6, 7)
+#: Words with one start that a pattern may ask for.
+TIMES = (1, 2, 3, 5)
 ROUNDS, NEWTON_STEPS, PENALTY = 30, 25, 0.05
 #: Words whose votes a process remembers at most.
 WORD_TABLE = 400_000
@@ -46,9 +49,10 @@ def remainder(id_col: str):
 
 
 def traits(text: str | None) -> set[str]:
-    """A text's words (``=word``) and word starts (``^start``)."""
-    words = set(_WORD.findall((text or "").lower()))
-    return {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in STARTS if len(w) > n}
+    """A text's words (``=word``) and, where ``k`` of its words start so, patterns (``k^start``)."""
+    words = _WORD.findall((text or "").lower())
+    starts = Counter(w[:n] for w in words for n in STARTS if len(w) > n)
+    return {f"={w}" for w in words} | {f"{k}^{start}" for start, n in starts.items() for k in TIMES if n >= k}
 
 
 def _explode_traits(batches):
@@ -66,33 +70,41 @@ class Model:
     weights: np.ndarray  # of the voters, then of the share of words that voted, then the intercept
 
     def __post_init__(self):
-        self.number = {v: k for k, v in enumerate(self.voters)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def votes_of(self, word: str) -> tuple[int, ...]:
-        known = self.memo.get(word)
-        if known is None:
-            tried = [f"={word}", *(f"^{word[:n]}" for n in STARTS if len(word) > n)]
-            known = tuple(self.number[t] for t in tried if t in self.number)
-            if len(self.memo) > WORD_TABLE:
-                self.memo.clear()
-            self.memo[word] = known
+        self.words = {v[1:]: k for k, v in enumerate(self.voters) if v[0] == "="}
+        self.starts: dict[str, list[tuple[int, int]]] = {}
+        for k, v in enumerate(self.voters):
+            if v[0] != "=":
+                times, start = v.split("^", 1)
+                self.starts.setdefault(start, []).append((int(times), k))
+        self.memo: dict[str, tuple[int, tuple[str, ...]] | None] = {}
+
+    def about(self, word: str) -> tuple[int, tuple[str, ...]] | None:
+        """The voter of a word (-1: none) and the starts of it that patterns are about; None where neither is."""
+        starts = tuple(word[:n] for n in STARTS if len(word) > n and word[:n] in self.starts)
+        known = (self.words.get(word, -1), starts) if starts or word in self.words else None
+        if len(self.memo) > WORD_TABLE:
+            self.memo.clear()
+        self.memo[word] = known
         return known
 
     def votes(self, text: str | None) -> tuple[set[int], float]:
-        """The voters that vote, and the share of the text's words that any voter is about."""
+        """The voters that vote, and the share of the text's words that they are about."""
         words = _WORD.findall((text or "").lower())
         found: set[int] = set()
-        hits = 0
+        seen: Counter = Counter()
+        hits: Counter = Counter()
         memo = self.memo
         for w in words:
-            v = memo.get(w)
-            if v is None:
-                v = self.votes_of(w)
-            if v:
-                hits += 1
-                found.update(v)
-        return found, hits / max(1, len(words))
+            known = memo[w] if w in memo else self.about(w)
+            if known:
+                if known[0] >= 0:
+                    found.add(known[0])
+                seen.update(known[1])
+                hits[known] += 1
+        for start, n in seen.items():
+            found.update(k for times, k in self.starts[start] if n >= times)
+        voted = sum(n for (k, starts), n in hits.items() if k >= 0 or any(found.intersection(v for _, v in self.starts[x]) for x in starts))
+        return found, voted / max(1, len(words))
 
     def score(self, text: str | None) -> float:
         found, share = self.votes(text)
