@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, token_counts, toxicity, urls
+from tidemark.llm import bpe, line_dedup, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,38 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars_within")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_ROLLED = " + ".join(f"CASE WHEN i > {back} THEN h[greatest(i - {back}, 1)] ELSE 0 END * {line_dedup.FACTOR**back}" for back in range(line_dedup.WINDOW))
+OP7_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), hashed AS (
+  SELECT *, list_transform(l, lambda x: ('0x' || md5(x)[1:7])::BIGINT) AS h FROM lines
+), ended AS (
+  SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR ({_ROLLED}) % {line_dedup.MEAN_LINES} = 0) AS e FROM hashed
+), chunked AS (
+  SELECT doc_id, text, len(l) AS n, unnest(range(1, len(e) + 1)) AS k, e, l FROM ended
+), bodies AS (
+  SELECT doc_id, text, n, k, l[(CASE WHEN k = 1 THEN 0 ELSE e[k - 1] END) + 1 : e[k]] AS part FROM chunked
+), counted AS (
+  SELECT doc_id, n, k, array_to_string(part, chr(10)) AS body, len(part) AS size,
+         len(list_filter(part, lambda x: trim(x) <> '')) AS filled
+  FROM bodies
+), marked AS (
+  SELECT *, filled >= {line_dedup.LEAST_LINES}
+            AND row_number() OVER (PARTITION BY body, filled >= {line_dedup.LEAST_LINES} ORDER BY doc_id, k) > 1 AS gone
+  FROM counted
+)
+SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text,
+       CASE WHEN max(n) = 1 AND max(length(body)) = 0 THEN 0 ELSE max(n) END AS n_lines,
+       coalesce(sum(size) FILTER (WHERE gone), 0)::BIGINT AS n_removed
+FROM marked GROUP BY doc_id
+"""
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -65,10 +97,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
     "op8_url_filters": op8_url_filters,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
     "op8_url_filters": OP8_SQL,
 }
