@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, token_counts, toxicity, urls
+from tidemark.llm import bpe, line_dedup, sharding, token_counts, toxicity, urls
+
+from tidemark.llm.common import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source of documents arrives by itself; the rows as they lie after compaction."""
+    docs = table(spark, sf_dir, "documents")
+    shards = sharding.ShardedTable(spark, fresh_path(spark, "shards"), docs.schema)
+    shards.append(docs, "source")
+    shards.compact()
+    rows = shards.read()
+    shown = rows.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "run", "run_arrivals", "run_rows", "run_bytes", "tier")
+    return shown
+
+
+def _merged(k: int) -> str:
+    tier = " + ".join(f"(bytes >= {sharding.BASE_BYTES * sharding.FANOUT**t})::INT" for t in range(sharding.LAST_TIER))
+    return f"""t{k} AS (SELECT *, {tier} AS tier FROM r{k}),
+c{k} AS (SELECT *, count(DISTINCT run) OVER (PARTITION BY tier) AS n FROM t{k}),
+g{k} AS (SELECT source, CASE WHEN n >= {sharding.FANOUT} THEN min(run) OVER (PARTITION BY tier) ELSE run END AS run, own_bytes, own_rows FROM c{k}),
+r{k + 1} AS (SELECT *, sum(own_bytes) OVER (PARTITION BY run) AS bytes FROM g{k})"""
+
+
+OP2_ROUNDS = 6
+OP2_SQL = f"""
+WITH r0 AS (
+  SELECT source, source AS run, sum(octet_length(encode(text)))::BIGINT AS own_bytes, count(*) AS own_rows,
+         sum(octet_length(encode(text)))::BIGINT AS bytes
+  FROM documents GROUP BY source
+), {", ".join(_merged(k) for k in range(OP2_ROUNDS))}, last AS (
+  SELECT source, run, count(*) OVER (PARTITION BY run) AS run_arrivals, sum(own_rows) OVER (PARTITION BY run)::BIGINT AS run_rows,
+         bytes::BIGINT AS run_bytes
+  FROM r{OP2_ROUNDS}
+)
+SELECT d.doc_id, d.source, octet_length(encode(d.text))::BIGINT AS n_bytes, md5(d.text) AS text_md5, run, run_arrivals, run_rows, run_bytes,
+       ({" + ".join(f"(run_bytes >= {sharding.BASE_BYTES * sharding.FANOUT**t})::INT" for t in range(sharding.LAST_TIER))})::INT AS tier
+FROM documents d JOIN last ON d.source IS NOT DISTINCT FROM last.source
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -96,6 +134,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_url_filters": op8_url_filters,
@@ -103,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_url_filters": OP8_SQL,
 }
