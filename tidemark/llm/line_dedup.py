@@ -20,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 #: A chunk ends, on average, after this many lines; lines that the rolling hash covers; lines of a chunk at least.
 MEAN_LINES, WINDOW, LEAST_LINES = 3, 2, 2
 #: The rolling hash's factor; hashes of lines have 28 bits.
 FACTOR = 31
+#: Bits of the bitmap of repeated digests: 16 MB in 4,096 rows at most, whatever the input.
+MARK_BITS = 1 << 27
 
 
 def chunks(text: Column, mean: int = MEAN_LINES, window: int = WINDOW) -> Column:
@@ -53,7 +57,8 @@ def unmarked(chunk: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_LINES, window: int = WINDOW) -> DataFrame:
     """``docs`` with its text less the repeated chunks, and n_lines, n_removed (lines) of the text as it was.
 
-    Moves: a digest of 32 characters for each chunk, the bodies of repeated chunks, and each text once.
+    Moves: a digest of 32 characters for each chunk, the bodies of repeated chunks, and each text once. The bitmap of
+    repeated digests is broadcast; its size is fixed.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*keep).withColumns({"__a": F.xxhash64(F.col(id_col).cast("string"), text_col), "__b": F.xxhash64(text_col, F.col(id_col).cast("string"))})
@@ -62,7 +67,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = each.withColumn("__digest", F.md5(F.col("__body").cast("binary")))
     place = F.struct("__id", "__a", "__b", "__at")
     repeated = each.groupBy("__digest").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).filter("__first < __last").select("__digest", "__first")
-    occurrences = each.join(repeated, "__digest").select("__digest", place.alias("__place"), "__first", "__body")
+    repeated = materialize(repeated, "line-repeated")
+    # bodies are moved for digests that a bitmap of fixed size has; its false positives go in the join with the digests
+    bit = F.conv(F.substring("__digest", 8, 7), 16, 10).cast("long") % MARK_BITS
+    marks = repeated.select(bit.alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
+    each = each.withColumn("__bit", bit).withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(marks), "__bucket")
+    position = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.substring(F.col("__marks"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    each = each.filter(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0)
+    occurrences = materialize(each.select("__digest", place.alias("__place"), "__body").join(repeated, "__digest"), "line-occurrences")
     firsts = occurrences.filter("__place = __first").groupBy("__digest").agg(F.min("__body").alias("__bytes"))
     copies = occurrences.filter("__place > __first").join(firsts, "__digest").filter(F.col("__body") == F.col("__bytes"))
     gone = copies.groupBy("__place.__a", "__place.__b", "__place.__at").agg(F.max(F.size(F.split("__body", "\n", -1))).alias("__lines"))
