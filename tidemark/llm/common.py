@@ -123,3 +123,19 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[k : n - size + 1 + k])
     return out
+
+
+def bit_marks(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap over the long column ``key`` as rows (bucket, marks): 4,096 rows and 16 MB at most, whatever the input."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+    rows = keys.select(bit.alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
+    return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
+
+
+def marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is marked, and a few others: a broadcast of fixed size in place of a shuffle of ``df``."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("__marks"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "__bucket")
+    return joined.filter(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).select(*df.columns)
