@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Days that the panels of order families and of event families cover, and the day that reads take for today.
-ORDER_DAYS, EVENT_DAYS, TODAY = ("1995-01-01", "2001-12-31"), ("2024-01-01", "2024-02-10"), "2001-08-01"
+ORDER_DAYS, EVENT_DAYS, TODAY = ("2001-01-01", "2001-12-31"), ("2024-01-01", "2024-02-10"), "2001-08-01"
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 HORIZON, FOLDS, MIN_TRAIN = 30, 6, 252
 
@@ -396,22 +396,22 @@ def feat_cycle_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.harmonics(star.series(spark, sf_dir), (63, 252)), "sin_63", "cos_63", "sin_252", "cos_252")
 
 
-@query("trailing_mean", _series_sql(f"commodity_key, price_date, round(avg(y) {_W} ROWS 29 PRECEDING), 7) AS mean_30"))
+@query("trailing_mean", _series_sql(f"commodity_key, price_date, round(avg(y) {_W} ROWS 29 PRECEDING), 9) AS mean_30"))
 def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = features.causal_trailing_mean(F.col("y"), features.ordered(), 30)
-    return star.series(spark, sf_dir).select("commodity_key", "price_date", F.round(mean, 7).alias("mean_30"))
+    return star.series(spark, sf_dir).select("commodity_key", "price_date", F.round(mean, 9).alias("mean_30"))
 
 
 @query("rolling_min_periods", _series_sql(f"""commodity_key, price_date, round(CASE WHEN count(v) {_W} ROWS 9 PRECEDING) >= 5 THEN avg(v) {_W} ROWS 9 PRECEDING)
-  ELSE avg(v) {_W} ROWS UNBOUNDED PRECEDING) END, 7) AS mean_10""", "t", ", t AS (SELECT *, CASE WHEN day(price_date) % 2 = 0 THEN y END AS v FROM s)"))
+  ELSE avg(v) {_W} ROWS UNBOUNDED PRECEDING) END, 9) AS mean_10""", "t", ", t AS (SELECT *, CASE WHEN day(price_date) % 2 = 0 THEN y END AS v FROM s)"))
 def rolling_min_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = star.series(spark, sf_dir).withColumn("v", F.when(F.dayofmonth("price_date") % 2 == 0, F.col("y")))
-    return rows.select("commodity_key", "price_date", F.round(features.rolling_mean_min_periods(F.col("v"), features.ordered(), 10), 7).alias("mean_10"))
+    return rows.select("commodity_key", "price_date", F.round(features.rolling_mean_min_periods(F.col("v"), features.ordered(), 10), 9).alias("mean_10"))
 
 
-@query("month_end_agg", _with("series", rest=" SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS month, arg_max(y, price_date) AS last_y, max(price_date) AS last_date, round(avg(y), 7) AS mean_y FROM series GROUP BY 1, 2"))
+@query("month_end_agg", _with("series", rest=" SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS month, arg_max(y, price_date) AS last_y, max(price_date) AS last_date, round(avg(y), 9) AS mean_y FROM series GROUP BY 1, 2"))
 def month_end_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.month_end(star.series(spark, sf_dir)), "mean_y", places=7)
+    return rounded(features.month_end(star.series(spark, sf_dir)), "mean_y", places=9)
 
 
 @query("month_lag", _with("series", rest=""", m AS (SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS month, arg_max(y, price_date) AS last_y FROM series GROUP BY 1, 2)

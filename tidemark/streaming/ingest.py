@@ -13,10 +13,12 @@ def read_landed(spark: SparkSession, folder: str, schema: T.StructType, files_pe
 
 def once(records: DataFrame, id_col: str, time_col: str, late: str = "2 days") -> DataFrame:
     """Each record id once, as long as its repeats come within ``late``."""
+    records = records.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return records.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col])
 
 
 def by_window(records: DataFrame, time_col: str, key: str, value: str, length: str = "1 day", late: str = "2 days") -> DataFrame:
+    records = records.withColumn(time_col, F.col(time_col).cast("timestamp"))
     sums = records.withWatermark(time_col, late).groupBy(F.window(time_col, length), key)
     return sums.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
