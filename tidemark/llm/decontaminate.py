@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mix64, small_batches
 
 #: Share of an item's words that may be edited; walks in each direction; repetitions of each walk; samples of each.
-EDITS, WALKS, REPEATS, SAMPLES = 0.2, 1, 10, 4
+EDITS, WALKS, REPEATS, SAMPLES = 0.2, 1, 8, 4
 #: Steps among which a repetition's first sample lies, and words of a slice of the benchmark at most.
 FIRST_STEPS, MOST_WORDS = 4, 2_000_000
 #: Words of a text whose numbers a process remembers at most.
@@ -276,8 +276,21 @@ class Matcher:
         return sorted((t, k, a, n, e) for (t, k), (e, a, n) in best.items())
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(ids: list[int], words: list[list[str]]) -> Matcher:
+    """A process's matcher of a slice: its tables, and the words it has seen, serve all its tasks."""
+    key = xxhash.xxh3_128_hexdigest(repr((ids, words)))
+    if key not in _matchers:
+        if len(_matchers) > 1:
+            _matchers.clear()
+        _matchers[key] = Matcher(Items(ids, words))
+    return _matchers[key]
+
+
 def _match(batches, ids: list[int], words: list[list[str]]):
-    matcher = Matcher(Items(ids, words))
+    matcher = matcher_of(ids, words)
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("item_id", "start_word", "n_words", "edits"))])
     for batch in batches:
         docs = batch.column(0).to_pylist()
