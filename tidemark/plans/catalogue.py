@@ -19,6 +19,8 @@ ORACLE_SQL: dict[str, str] = {}
 ORDER_DAYS, EVENT_DAYS, TODAY = ("2001-01-01", "2001-12-31"), ("2024-01-01", "2024-02-10"), "2001-08-01"
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 HORIZON, FOLDS, MIN_TRAIN = 30, 6, 252
+#: Means of whole cents are the same in every engine, whatever the order of the sums.
+CENTS = "CAST(round(y * 100) AS BIGINT)"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -396,22 +398,23 @@ def feat_cycle_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.harmonics(star.series(spark, sf_dir), (63, 252)), "sin_63", "cos_63", "sin_252", "cos_252")
 
 
-@query("trailing_mean", _series_sql(f"commodity_key, price_date, round(avg(y) {_W} ROWS 29 PRECEDING), 9) AS mean_30"))
+@query("trailing_mean", _series_sql(f"commodity_key, price_date, avg(CAST(round(y * 100) AS BIGINT)) {_W} ROWS 29 PRECEDING) / 100 AS mean_30"))
 def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = features.causal_trailing_mean(F.col("y"), features.ordered(), 30)
-    return star.series(spark, sf_dir).select("commodity_key", "price_date", F.round(mean, 9).alias("mean_30"))
+    mean = features.causal_trailing_mean(F.expr(CENTS), features.ordered(), 30)
+    return star.series(spark, sf_dir).select("commodity_key", "price_date", (mean / 100).alias("mean_30"))
 
 
-@query("rolling_min_periods", _series_sql(f"""commodity_key, price_date, round(CASE WHEN count(v) {_W} ROWS 9 PRECEDING) >= 5 THEN avg(v) {_W} ROWS 9 PRECEDING)
-  ELSE avg(v) {_W} ROWS UNBOUNDED PRECEDING) END, 9) AS mean_10""", "t", ", t AS (SELECT *, CASE WHEN day(price_date) % 2 = 0 THEN y END AS v FROM s)"))
+@query("rolling_min_periods", _series_sql(f"""commodity_key, price_date, CASE WHEN count(v) {_W} ROWS 9 PRECEDING) >= 5 THEN avg(v) {_W} ROWS 9 PRECEDING)
+  ELSE avg(v) {_W} ROWS UNBOUNDED PRECEDING) END / 100 AS mean_10""", "t", ", t AS (SELECT *, CASE WHEN day(price_date) % 2 = 0 THEN CAST(round(y * 100) AS BIGINT) END AS v FROM s)"))
 def rolling_min_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.series(spark, sf_dir).withColumn("v", F.when(F.dayofmonth("price_date") % 2 == 0, F.col("y")))
-    return rows.select("commodity_key", "price_date", F.round(features.rolling_mean_min_periods(F.col("v"), features.ordered(), 10), 9).alias("mean_10"))
+    rows = star.series(spark, sf_dir).withColumn("v", F.when(F.dayofmonth("price_date") % 2 == 0, F.expr(CENTS)))
+    return rows.select("commodity_key", "price_date", (features.rolling_mean_min_periods(F.col("v"), features.ordered(), 10) / 100).alias("mean_10"))
 
 
-@query("month_end_agg", _with("series", rest=" SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS month, arg_max(y, price_date) AS last_y, max(price_date) AS last_date, round(avg(y), 9) AS mean_y FROM series GROUP BY 1, 2"))
+@query("month_end_agg", _with("series", rest=" SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS month, arg_max(y, price_date) AS last_y, max(price_date) AS last_date, avg(CAST(round(y * 100) AS BIGINT)) / 100 AS mean_y FROM series GROUP BY 1, 2"))
 def month_end_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.month_end(star.series(spark, sf_dir)), "mean_y", places=9)
+    cents = features.month_end(star.series(spark, sf_dir).withColumn("y", F.expr(CENTS)))
+    return cents.withColumns({"last_y": F.col("last_y") / 100, "mean_y": F.col("mean_y") / 100})
 
 
 @query("month_lag", _with("series", rest=""", m AS (SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS month, arg_max(y, price_date) AS last_y FROM series GROUP BY 1, 2)
