@@ -41,7 +41,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that outlives executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for ``df``, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of an Arrow batch where whole texts go to Python workers: a batch of the longest texts stays small.
