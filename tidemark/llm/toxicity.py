@@ -38,7 +38,7 @@ MOST_LABELLED, MOST_VOTERS, LEAST_ROWS = 12_000, 600, 4
 LEAST_PRECISION, STARTS = 0.72, (4, 5, 6, 7)
 #: Words with one start that a pattern may ask for.
 TIMES = (1, 2, 3, 5)
-ROUNDS, NEWTON_STEPS, PENALTY = 30, 25, 0.05
+ROUNDS, NEWTON_STEPS, PENALTY = 30, 25, 0.02
 #: Words whose votes a process remembers at most.
 WORD_TABLE = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -118,8 +118,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
     n, v = x.shape
     q = np.where(gold == 1, 0.9, np.where(votes.any(axis=1), 0.3, 0.02))  # where to start
     weight = np.ones(v)
+    prior = (gold.sum() + 1) / (n + 2)  # as labelled: silent voters can't settle it
     for step in range(ROUNDS):
-        prior = (q.sum() + 1) / (n + 2)
         rate1 = (q @ x + 0.5) / (q.sum() + 1)
         rate0 = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
         if step in (5, 15):  # correlations within the classes; abstaining voters have little variance to share
@@ -130,24 +130,37 @@ def label_model(votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.where(corr > 0.3, corr, 0).sum(axis=1))
         yes, no = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        z = np.log(prior / (1 - prior)) + x @ (weight * yes) + (1 - x) @ (weight * no)
+        # an abstaining voter says nothing; a label of 0 is a vote
+        z = np.log(prior / (1 - prior)) + x @ (weight * yes) + (1 - x[:, -1]) * (weight[-1] * no[-1])
         q = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     return q
 
 
 def logistic(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Weights of a penalised logistic regression on soft labels, the intercept last."""
+    """Weights of a penalised logistic regression on soft labels, the intercept last; votes never count against.
+
+    Voters whose weight comes out negative, as collinear ones' may, are left out and the rest is fitted again.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(len(w), PENALTY)
-    ridge[-1] = 1e-6
-    for _ in range(NEWTON_STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (q - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+    used = np.ones(x.shape[1], bool)
+    while True:
+        part, w = x[:, used], np.zeros(int(used.sum()))
+        ridge = np.full(len(w), PENALTY)
+        ridge[-1] = 1e-6
+        for _ in range(NEWTON_STEPS):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.diag(ridge + 1e-9), part.T @ (q - p) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+        wrong = w < 0
+        wrong[-1] = False
+        if not wrong.any():
             break
-    return w
+        used[np.flatnonzero(used)[wrong]] = False
+    out = np.zeros(x.shape[1])
+    out[used] = w
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
