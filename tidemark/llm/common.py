@@ -16,7 +16,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Entries of a per-process word table; when full it starts anew, so memory stays bounded.
-WORD_TABLE = 1_000_000
+WORD_TABLE = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,7 +38,7 @@ EDITS, WALKS, REPEATS, SAMPLES = 0.2, 1, 8, 4
 #: Steps among which a repetition's first sample lies, and words of a slice of the benchmark at most.
 FIRST_STEPS, MOST_WORDS = 4, 2_000_000
 #: Words of a text whose numbers a process remembers at most.
-WORD_TABLE = 1_000_000
+WORD_TABLE = 300_000
 _WORD = re.compile(r"[^\W_]+")
 PAD = -1
 

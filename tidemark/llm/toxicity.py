@@ -40,7 +40,7 @@ LEAST_PRECISION, STARTS = 0.72, (4, 5, 6, 7)
 TIMES = (1, 2, 3, 5)
 ROUNDS, NEWTON_STEPS, PENALTY = 30, 25, 0.02
 #: Words whose votes a process remembers at most.
-WORD_TABLE = 400_000
+WORD_TABLE = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
