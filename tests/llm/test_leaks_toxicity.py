@@ -58,6 +58,22 @@ def test_recall_and_clean_texts():
     assert matcher.matches([" ".join(rng.choice(words) for _ in range(500)) for _ in range(50)]) == []
 
 
+def test_recall_at_the_edits_allowed():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    items = [[rng.choice(words) for _ in range(rng.randint(12, 60))] for _ in range(300)]
+    matcher = decontaminate.Matcher(decontaminate.Items(list(range(300)), items))
+    caught = {}
+    for rate in (0.05, 0.1, 0.2):
+        caught[rate] = 0
+        for _ in range(4):
+            texts = [" ".join([rng.choice(words) for _ in range(30)] + plant(rng, w, int(rate * len(w))) + [rng.choice(words) for _ in range(30)]) for w in items]
+            found = {(t, i) for t, i, *_ in matcher.matches(texts)}
+            caught[rate] += sum((k, k) in found for k in range(300))
+    print({rate: n / 1200 for rate, n in caught.items()})
+    assert caught[0.05] >= 0.98 * 1200 and caught[0.1] >= 0.97 * 1200 and caught[0.2] >= 0.9 * 1200
+
+
 def test_leaks(spark, monkeypatch):
     docs = [(1, "x y z " + "Alpha beta, gamma delta; epsilon zeta eta theta iota kappa. lambda mu" + " tail"), (2, "nothing here"), (3, None), (4, ""), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu")]
     bench = [(10, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (11, "nothing"), (12, None), (13, "..."), (10, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (None, "nothing here")]

@@ -6,7 +6,7 @@ sequences of small edit distance meet again soon after an edit, so their embeddi
 a small Hamming distance. A repetition samples a few steps; an item and a window fall together if the words read there
 are equal. Every word of a text starts a window and, in the walks from the end, ends one. A window of an item's size
 is embedded only as far as its samples still agree with some item, which gives the same matches as embedding it whole.
-Walks and repetitions are as many as the target recall needs (``tests/llm`` measures it).
+Walks and repetitions are as many as a recall of 0.9 needs where all the edits allowed are made (``tests/llm`` asserts it).
 
 Matches are verified exactly: the least number of word edits that turn the item into a passage of the text at that
 place; at most ``EDITS`` of the item's words may be edited.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mix64, small_batches
 
 #: Share of an item's words that may be edited; walks in each direction; repetitions of each walk; samples of each.
-EDITS, WALKS, REPEATS, SAMPLES = 0.2, 1, 8, 4
+EDITS, WALKS, REPEATS, SAMPLES = 0.2, 1, 12, 4
 #: Steps among which a repetition's first sample lies, and words of a slice of the benchmark at most.
 FIRST_STEPS, MOST_WORDS = 4, 2_000_000
 #: Words of a text whose numbers a process remembers at most.
