@@ -110,3 +110,20 @@ def test_passages(spark):
         if r.doc_id < 24:
             assert r.start_word <= 40 and r.start_word + r.n_words >= 110 and r.n_words <= 80
     assert substring_dedup.find_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passage_whose_keys_are_first_in_other_documents(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    texts = {}
+    for k in range(0, 400, 20):
+        parts = [fill(20) for _ in range(4)]
+        for n, part in enumerate(parts):
+            texts[k + n] = fill(40) + part + fill(40)
+        for n in (10, 11, 12):
+            texts[k + n] = fill(30) + sum(parts, []) + fill(30)
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id) for r in substring_dedup.find_passages(df).collect()}
+    assert all(a // 20 == b // 20 and b % 20 >= 10 for a, b in got)
+    assert {a for a, _ in got} == {k + n for k in range(0, 400, 20) for n in (11, 12)}
