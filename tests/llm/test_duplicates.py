@@ -127,3 +127,19 @@ def test_passage_whose_keys_are_first_in_other_documents(spark):
     got = {(r.doc_id, r.first_doc_id) for r in substring_dedup.find_passages(df).collect()}
     assert all(a // 20 == b // 20 and b % 20 >= 10 for a, b in got)
     assert {a for a, _ in got} == {k + n for k in range(0, 400, 20) for n in (11, 12)}
+
+
+def test_share_of_passages_near_the_threshold_that_become_pairs():
+    """Passages of 50 words that differ in one: a similarity of 0.804, and one window to match in."""
+    rng = np.random.default_rng(3)
+    length, caught = substring_dedup.LEAST_WORDS - substring_dedup.SHINGLE + 1, 0
+    for _ in range(3000):
+        a = rng.integers(0, 2**63, length, dtype=np.uint64)
+        b = a.copy()
+        b[20:25] = rng.integers(0, 2**63, 5, dtype=np.uint64)  # 41 of 51 shingles are shared
+        rows = []
+        for f in range(substring_dedup.FUNCTIONS):
+            x, y = (dict(zip(w[0].tolist(), zip(*(c.tolist() for c in w[1:]), strict=True), strict=True)) for w in (substring_dedup.compact_windows(s, length, f) for s in (a, b)))
+            rows += [{"f": f, "l": x[k][0], "c": x[k][1], "r": x[k][2], "first_c": y[k][1]} for k in x.keys() & y.keys()]
+        caught += bool(substring_dedup.passages(a, b, rows))
+    assert caught >= 0.996 * 3000
