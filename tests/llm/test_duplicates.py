@@ -143,3 +143,33 @@ def test_share_of_passages_near_the_threshold_that_become_pairs():
             rows += [{"f": f, "l": x[k][0], "c": x[k][1], "r": x[k][2], "first_c": y[k][1]} for k in x.keys() & y.keys()]
         caught += bool(substring_dedup.passages(a, b, rows))
     assert caught >= 0.996 * 3000
+
+
+def test_passage_with_a_long_insertion():
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    longer = np.concatenate([words[:45], rng.integers(0, 2**63, 9, dtype=np.uint64), words[45:]])
+    a, b = (near_dedup.shingle_hashes(w, substring_dedup.SHINGLE) for w in (words, longer))
+    far = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    for x, y in ((a, b), (b, a), (np.concatenate([far, a, far]), np.concatenate([far[:9], b]))):
+        rows = [{"f": f, "l": 0, "c": 0, "r": len(x) - 1, "first_c": 0} for f in range(substring_dedup.FUNCTIONS)]
+        assert any(n >= 90 and m >= 90 and s >= 0.8 for _, n, _, m, s in substring_dedup.passages(x, y, rows))
+
+
+def test_longest_part_of_a_chain():
+    rng = random.Random(2)
+    for _ in range(500):
+        chain, i, j = [], 0, 0
+        for _ in range(rng.randint(1, 8)):
+            n = rng.randint(1, 60)
+            chain.append((i, j, n))
+            i, j = i + n + rng.randint(0, 12), j + n + rng.randint(0, 12)
+
+        def fits(low: int, high: int) -> bool:
+            c = chain[low:high]
+            same, both = sum(x[2] for x in c), c[-1][0] + c[-1][1] + 2 * c[-1][2] - c[0][0] - c[0][1]
+            return 100 * same >= substring_dedup.PERCENT * (both - same)
+
+        want = max(chain[h - 1][0] + chain[h - 1][2] - chain[low][0] for low in range(len(chain)) for h in range(low + 1, len(chain) + 1) if fits(low, h))
+        low, high = substring_dedup.longest(chain)
+        assert fits(low, high) and chain[high - 1][0] + chain[high - 1][2] - chain[low][0] == want
