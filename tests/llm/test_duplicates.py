@@ -173,3 +173,17 @@ def test_longest_part_of_a_chain():
         want = max(chain[h - 1][0] + chain[h - 1][2] - chain[low][0] for low in range(len(chain)) for h in range(low + 1, len(chain) + 1) if fits(low, h))
         low, high = substring_dedup.longest(chain)
         assert fits(low, high) and chain[high - 1][0] + chain[high - 1][2] - chain[low][0] == want
+
+
+def test_near_dedup_link_other_than_the_best_candidate(spark):
+    """The last text looks nearer to the first (0.786) than to the second (0.802), and no band holds all three."""
+    rng = random.Random(189)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    a = fill(100)
+    texts = {0: " ".join(a[12:] + fill(12)), 1: " ".join(a[:-11] + fill(11)), 2: " ".join(a)}
+    signatures = np.stack([near_dedup.signature(near_dedup.shingle_set(t, 1)) for t in texts.values()])
+    bands = near_dedup.band_keys(signatures)
+    assert not (bands[0] == bands[1]).any() and (bands[0] == bands[2]).any() and (bands[1] == bands[2]).any()
+    assert (signatures[0] == signatures[2]).sum() > (signatures[1] == signatures[2]).sum()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.dedup(df, size=1).collect()} == brute(texts, 1) == {0: 0, 1: 1, 2: 1}

@@ -5,7 +5,8 @@ A document's set are the distinct shingles of its words. Equal sets form a class
 1. Signatures are cut into bands; documents that share a band's values are candidates. Each is compared with the
    smallest document of its bucket, a batch of signature entries at a time: the pair is dropped once the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below ``MISS``. The best candidate that
-   is left for each document is verified on the full sets, and the links form components.
+   is left for each document is verified on the full sets, and the links form components. So are all others that are
+   left and whose ends these components keep apart.
 2. What that leaves open is settled exactly. In a bucket with several components, two members may still be linked to
    each other, unless the triangle inequality of the Jaccard distance rules it out (one is certainly near the
    bucket's smallest document, the other certainly far). All other members of such buckets go through a join on the
@@ -189,8 +190,16 @@ class NearDedup:
         best = stars.filter("may").groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
         first = materialize(self.verified(best), "near-links")
         parts = components(first)
+        other = materialize(self.verified(self.apart(stars.filter("may").join(best, ["a", "b"], "left_anti"), parts)), "near-links")
         second = self.settle(members, stars, parts)
-        return first.union(second)
+        return first.union(other).union(second)
+
+    @staticmethod
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) whose ends lie in different components of ``parts``."""
+        for c in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
+        return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
     def settle(self, members: DataFrame, stars: DataFrame, parts: DataFrame) -> DataFrame:
         """Links between the components of ``parts`` that the buckets leave open."""
