@@ -187,3 +187,31 @@ def test_near_dedup_link_other_than_the_best_candidate(spark):
     assert (signatures[0] == signatures[2]).sum() > (signatures[1] == signatures[2]).sum()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.dedup(df, size=1).collect()} == brute(texts, 1) == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_dedup_links_at_the_threshold(spark):
+    """Of 101 words the last and the first 81: both are linked to the whole at 0.8 exactly, not to each other."""
+    rng = random.Random(77)
+    ids = list(range(1800))
+    rng.shuffle(ids)
+    rows = []
+    for k in range(600):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(101)]
+        rows += zip(ids[3 * k : 3 * k + 3], (" ".join(x) for x in (a, a[-81:], a[:81])), strict=True)
+    got = {r.doc_id: r.component_id for r in near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert [k for k in range(600) if {got[i] for i in ids[3 * k : 3 * k + 3]} != {min(ids[3 * k : 3 * k + 3])}] == []
+
+
+def test_near_dedup_large_group_around_a_missing_text(spark):
+    """Copies with one to six edits of a text that is not there; no document is linked to most of the others."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    base = [word() for _ in range(110)]
+    texts = {}
+    for i in range(260):
+        own = list(base)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(len(own))] = rng.choice(["x", "y", word()])
+        texts[i] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.dedup(df).collect()} == brute(texts, 5)

@@ -3,24 +3,26 @@
 A document's set are the distinct shingles of its words. Equal sets form a class, whose smallest id stands for it.
 
 1. Signatures are cut into bands; documents that share a band's values are candidates. Each is compared with the
-   smallest document of its bucket, a batch of signature entries at a time: the pair is dropped once the posterior
-   probability (uniform prior) that its similarity reaches the threshold falls below ``MISS``. The best candidate that
-   is left for each document is verified on the full sets, and the links form components. So are all others that are
-   left and whose ends these components keep apart.
+   center of its bucket, the member that shares most of its bands with others, a batch of signature entries at a time:
+   the pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls
+   below ``MISS``. The best candidate that is left for each document is verified on the full sets, and the links form
+   components. So are all others that are left and whose ends these components keep apart.
 2. What that leaves open is settled exactly. In a bucket with several components, two members may still be linked to
    each other, unless the triangle inequality of the Jaccard distance rules it out (one is certainly near the
-   bucket's smallest document, the other certainly far). All other members of such buckets go through a join on the
-   rarest shingles of their sets (prefix and position filters, which lose no pair), for pairs of different components
-   alone; the pairs pass the Bayesian test and then the full comparison.
+   center, the other certainly far). All other members of such buckets are looked up by the rarest shingles of their
+   sets (prefix, length and position filters, which lose no pair): first one candidate for each document, in rounds,
+   while that joins components; then all pairs of different components that the filters let through. Pairs pass the
+   Bayesian test and then the full comparison.
 
-So a near-copy group of n documents costs n comparisons and the few that its components leave open, never n * n pairs,
-and no bucket is gathered in one task or capped. With 51 bands of 5 rows a pair of similarity 0.8 shares no band with
-a probability of 2e-9.
+So a near-copy group of n documents costs n comparisons for each round, and after these the pairs of documents that
+rare shingles and lengths leave possible although their components differ: a few for each document, unless thousands
+of texts lie just below the threshold of each other. No bucket is gathered in one task or capped. With 51 bands of 5
+rows a pair of similarity 0.8 shares no band with a probability of 2e-9.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null text or one without words has an empty
 set and is linked with nothing; repeated rows and rows that share an id count as one document, linked by any of their
-texts; a null id is linked with nothing and kept; an empty table gives an empty one. Columns of the input are kept, but
-for those whose names the results take.
+texts; a null id is linked with nothing and kept; an empty table gives an empty one. Ids are whole numbers (cast to
+long); only the id and text columns are used, so clashing names of others don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, mix64, shingle_hashes, small_batches, word_hashes, words_of
@@ -43,6 +45,8 @@ MISS, BATCH = 1e-6, 32
 #: Similarities that a member of a bucket is certainly over (near) or under (far). Their distances 0.5 and 0.7 differ
 #: by as much as the distance of a link, 0.2, so a near and a far member can't be linked.
 NEAR, FAR = 0.5, 0.3
+#: Ratio of neighbouring classes of set sizes, and rounds of single candidates before all that are left are compared.
+LENGTHS, ROUNDS = 1.06, 4
 HASHES = BANDS * ROWS
 _RANDOM = np.random.RandomState(11)
 _FACTORS = (_RANDOM.randint(0, 2**31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -182,17 +186,21 @@ class NearDedup:
         """Links between representatives whose components are those of all links."""
         reps = materialize(self.classes(), "near-classes")
         self.heads = materialize(self.features.filter("class is not null").join(reps, "class").filter("id = rep").select("id", "n", "bands", "sig"), "near-heads")
-        members = self.heads.select("id", F.explode("bands").alias("band"))
-        buckets = members.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).filter("size > 1")
-        members = materialize(members.join(buckets, "band").select("band", "id", "center", "size"), "near-members")
+        rows = self.heads.select("id", F.explode("bands").alias("band"))
+        sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+        rows = materialize(rows.join(sizes, "band").select("band", "id", "size"), "near-buckets")
+        # the center of a bucket is its member with the fullest buckets, which is the least edited one of a group
+        weights = rows.groupBy("id").agg(F.sum("size").alias("weight"))
+        centers = rows.join(weights, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("x")).select("band", (-F.col("x.id")).alias("center"))
+        members = materialize(rows.join(centers, "band").select("band", "id", "center", "size"), "near-members")
         stars = members.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
         stars = materialize(self.tested(stars), "near-stars")
         best = stars.filter("may").groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
         first = materialize(self.verified(best), "near-links")
         parts = components(first)
         other = materialize(self.verified(self.apart(stars.filter("may").join(best, ["a", "b"], "left_anti"), parts)), "near-links")
-        second = self.settle(members, stars, parts)
-        return first.union(other).union(second)
+        parts = components(first.union(other))
+        return first.union(other).union(self.settle(members, stars, parts))
 
     @staticmethod
     def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -201,37 +209,105 @@ class NearDedup:
             pairs = pairs.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
         return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
-    def settle(self, members: DataFrame, stars: DataFrame, parts: DataFrame) -> DataFrame:
-        """Links between the components of ``parts`` that the buckets leave open."""
+    def open_members(self, members: DataFrame, stars: DataFrame, parts: DataFrame) -> DataFrame:
+        """id, component of the documents that may have links to other components which no star has shown."""
         placed = members.filter("size > 2").join(stars.select(F.col("a").alias("id"), F.col("b").alias("center"), "place"), ["id", "center"], "left")
         placed = placed.withColumn("place", F.coalesce("place", F.lit(1).cast("byte")))  # the center itself
         placed = placed.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         inner, outer = (F.when(F.col("place") >= 0, F.col("component")), F.when(F.col("place") <= 0, F.col("component")))
         open_ = placed.groupBy("band").agg(F.min(inner) < F.max(inner), F.min(outer) < F.max(outer)).toDF("band", "inner", "outer").filter("inner or outer")
-        who = placed.join(open_, "band").filter("(inner and place >= 0) or (outer and place <= 0)").select("id", "component").distinct()
-        who = materialize(who, "near-open")
-        texts = self.texts.join(who.select("id"), "id", "left_semi").select("id", "text")
-        rows = texts.mapInArrow(functools.partial(_shingles, size=self.size), "id long, shingle long").distinct()
-        rows = materialize(rows, "near-shingles")
+        return placed.join(open_, "band").filter("(inner and place >= 0) or (outer and place <= 0)").select("id", "component").distinct()
+
+    def tokens(self, ids: DataFrame) -> DataFrame:
+        """token, length, id, n, at, short: the rarest shingles of the sets of ``ids``, by the length of the shorter set.
+
+        Of two sets that may be linked, the shorter has a shared shingle among its first ones (in the order of rarity)
+        that leave it enough of them, and the longer one too; how many those are depends on both lengths. A set is the
+        shorter one of its own class of lengths, and the longer one of each class that a linked set can have.
+        """
+        texts = self.texts.join(ids.select("id"), "id", "left_semi").select("id", "text")
+        rows = materialize(texts.mapInArrow(functools.partial(_shingles, size=self.size), "id long, shingle long").distinct(), "near-shingles")
         frequent = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
         # shingles of one document alone come first in every order; only their number counts
         counted = rows.join(frequent, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
-        sizes = rows.groupBy("id").agg(F.count("*").cast("int").alias("n"))
-        full = counted.join(sizes, "id").join(who, "id").withColumn("alone", F.col("n") - F.size("common"))
-        prefix = F.col("n") - F.ceil(F.col("n") * self.percent / 100.0 - 1e-9).cast("int") + 1
-        heads = full.withColumn("take", prefix - F.col("alone")).filter("take > 0")
-        tokens = heads.select("id", "component", "n", "alone", F.posexplode(F.slice("common", 1, F.col("take"))).alias("at", "x"))
-        tokens = materialize(tokens.select("id", "component", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.shingle").alias("token")), "near-tokens")
-        most = tokens.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1")
-        tokens = tokens.join(most.select("token", "major"), "token")
-        x = tokens.filter("component <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "at")))
-        y = tokens.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "at")))
+        sets = counted.join(rows.groupBy("id").agg(F.count("*").alias("n")), "id").withColumn("alone", F.col("n") - F.size("common"))
+        class_of = lambda n: F.floor(F.log(n) / math.log(LENGTHS)).cast("int")
+        least = F.ceil(F.col("n") * self.percent / 100.0 - 1e-9)
+        roles = sets.select("*", F.lit(True).alias("short"), class_of(F.col("n")).alias("length"), F.col("n").cast("double").alias("other"))
+        longer = sets.select("*", F.lit(False).alias("short"), F.explode(F.sequence(class_of(least), class_of(F.col("n")))).alias("length"))
+        longer = longer.withColumn("other", F.greatest(least, F.floor(F.pow(F.lit(LENGTHS), "length") - 1e-6)).cast("double"))
+        both = roles.unionByName(longer)
+        # places at which the rest of the set is as large as what sets of these lengths must share
+        take = F.col("n") - F.ceil((F.col("n") + F.col("other")) * self.percent / (100.0 + self.percent) - 1e-6) + 1 - F.col("alone")
+        both = both.withColumn("take", take.cast("int")).filter("take > 0")
+        spread = both.select("id", "n", "alone", "length", "short", F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "x"))
+        return materialize(spread.select(F.col("x.shingle").alias("token"), "length", "id", "n", (F.col("alone") + F.col("at")).alias("at"), "short"), "near-tokens")
+
+    def fits(self) -> Column:
+        """Whether the sets x and y may be linked if a shingle at these places is the first that they share."""
         shared = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-        fits = (100 + self.percent) * shared >= self.percent * (F.col("n_x") + F.col("n_y"))
-        once = (F.col("component_y") == F.col("major")) | (F.col("id_x") < F.col("id_y"))
-        pairs = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & fits & once)
-        pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-        return materialize(self.verified(self.tested(pairs).filter("may")), "near-links")
+        return (100 + self.percent) * shared >= self.percent * (F.col("n_x") + F.col("n_y"))
+
+    def settle(self, members: DataFrame, stars: DataFrame, parts: DataFrame) -> DataFrame:
+        """Links between the components of ``parts`` that the buckets leave open.
+
+        In rounds, each open document meets the most promising document of the component that most documents with one
+        of its rare shingles belong to, so a group that has no good center still grows together by as many comparisons
+        as it has members. When a round finds nothing, the pairs of different components that are left are compared.
+        """
+        who = materialize(self.open_members(members, stars, parts), "near-open")
+        tokens = self.tokens(who)
+        found, parts, tried = None, who, None
+        for _ in range(ROUNDS):
+            pairs = self.leads(tokens, parts)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "near-leads")
+            tried = pairs if tried is None else tried.union(pairs)
+            new = materialize(self.verified(self.tested(pairs).filter("may")), "near-links")
+            if new.isEmpty():
+                break
+            found = new if found is None else found.union(new)
+            parts = materialize(self.merged(parts, new), "near-open")
+        last = materialize(self.verified(self.tested(self.left(tokens, parts)).filter("may")), "near-links")
+        return last if found is None else last.union(found)
+
+    @staticmethod
+    def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """``parts`` (id, component) after ``links`` (a, b)."""
+        for c in ("a", "b"):
+            links = links.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")), c)
+        whole = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).toDF("component", "whole")
+        return parts.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+
+    @staticmethod
+    def majors(tokens: DataFrame, parts: DataFrame) -> DataFrame:
+        """``tokens`` of which several components have one, with component and major (that of most documents)."""
+        own = tokens.join(parts, "id")
+        most = own.groupBy("token", "length", "component").agg(F.count("*").alias("c")).groupBy("token", "length")
+        most = most.agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1")
+        return own.join(most.select("token", "length", "major"), ["token", "length"])
+
+    def leads(self, tokens: DataFrame, parts: DataFrame) -> DataFrame:
+        """a, b: for each document, the best candidate among the first ones of the components that lead its tokens."""
+        own = self.majors(tokens, parts)
+        lead = own.filter("component = major").groupBy("token", "length").agg(F.max_by(F.struct("id", "n", "at"), F.struct(-F.col("at"), -F.col("id"))).alias("y"))
+        pairs = own.filter("component <> major").join(lead, ["token", "length"])
+        pairs = pairs.select("id", F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("y.id").alias("b"), F.col("y.n").alias("n_y"), F.col("y.at").alias("at_y")).filter(self.fits())
+        room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) / (F.col("n_x") + F.col("n_y"))
+        return pairs.groupBy("id").agg(F.max_by("b", F.struct(room, -F.col("b"))).alias("b")).select(F.col("id").alias("a"), "b")
+
+    def left(self, tokens: DataFrame, parts: DataFrame) -> DataFrame:
+        """a, b: all pairs of different components that the prefix, length and position filters let through."""
+        own = materialize(self.majors(tokens, parts), "near-left")
+        x = own.filter("short").select("token", "length", "major", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "at")))
+        y = own.filter("not short").select("token", "length", *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "at")))
+        differ = (F.col("component_x") != F.col("component_y")) & (F.col("n_x") <= F.col("n_y"))
+        key = ["token", "length"]
+        minor = x.filter("component_x <> major").drop("major").join(y, key)
+        major = x.filter("component_x = major").join(y.withColumnRenamed("component_y", "c"), key).filter("c <> major").withColumnRenamed("c", "component_y").drop("major")
+        pairs = minor.unionByName(major).filter(differ & self.fits())
+        return pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
 
     def members(self) -> DataFrame:
         """id, class, n, component of each row of the input."""
