@@ -3,7 +3,7 @@
 toxicity: documents that the classifier predicts to be toxic go; it is fitted on the labels of this input.
 line dedup: repeated chunks of lines go but for their first occurrence; n_chars follows the text, and a document that
     loses all it had goes. near dedup: one document of each near-duplicate group stays, that of the smallest id; rows
-    that share an id are one document, of which the least text stays, and rows without an id all stay.
+    that share an id are one document, each of whose texts stays once, and rows without an id all stay.
 decontamination: documents with a passage of the benchmark go. bpe: the token ids of what is left, and whether they
     decode to the text.
 
@@ -21,27 +21,43 @@ from tidemark.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from tidemark.llm.common import materialize
 
 
+OWN = "__own_"
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with other names for all columns but the id and the text, so that no operator's result takes their place."""
+    return docs.select(*(F.col(c).alias(c if c in ("doc_id", "text") else OWN + c) for c in docs.columns))
+
+
+def back(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` out of what an operator has made of ``aside(like)``."""
+    return docs.select(*(F.col(c if c in ("doc_id", "text") else OWN + c).alias(c) for c in like.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return back(toxicity.score(aside(docs), model).filter("predicted = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(aside(docs))
     left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+        n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(OWN + "n_chars"))
+        left = left.withColumn(OWN + "n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return back(left, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(near_dedup.dedup(docs.select("doc_id", "text")), "pipeline-near")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
-        return left
-    order = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.uuid())).orderBy("text", *(c for c in docs.columns if c != "text"))
-    return left.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    left = aside(docs).join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    repeated = found.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
+    if not repeated.isEmpty():  # most tables have no such rows
+        order = Window.partitionBy("doc_id", "text").orderBy("doc_id", *(F.to_json(F.struct(c)) for c in left.columns if c.startswith(OWN)))
+        rows = left.join(repeated, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(rows)
+    return back(left, docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
