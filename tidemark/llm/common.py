@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than space, tab, newline, vertical tab, form feed, carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Entries of a per-process word table; when full it starts anew, so memory stays bounded.
 WORD_TABLE = 300_000
@@ -119,7 +118,10 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 def words_of(text: str | None) -> list[str]:
     """Whitespace-separated words with A-Z lower-cased."""
-    return WORD.findall(text.translate(LOWER_ASCII)) if text else []
+    if not text:
+        return []
+    # bytes are lower-cased from A to Z alone
+    return WORD.findall(text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
