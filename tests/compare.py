@@ -1,25 +1,20 @@
 from __future__ import annotations
 
-import datetime
-import decimal
-
-
-def plain(v):
-    if isinstance(v, datetime.datetime) and (v.hour, v.minute, v.second, v.microsecond) == (0, 0, 0, 0):
-        return v.date()
-    if isinstance(v, decimal.Decimal) or isinstance(v, float):
-        return None if v != v else float(v)
-    return v
+import tempfile
 
 
 def same_rows(df, duck, sql: str) -> None:
-    """The rows of ``df`` and of ``sql`` are the same, columns by name."""
+    """The rows of ``df`` and of ``sql`` are the same, columns by name, rows as often."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    df.write.mode("overwrite").parquet(folder)
     names = sorted(df.columns)
-    cursor = duck.execute(sql)
-    columns = [d[0] for d in cursor.description]
-    assert sorted(columns) == names
-    at = [columns.index(n) for n in names]
-    want = sorted(repr(tuple(plain(r[i]) for i in at)) for r in cursor.fetchall())
-    got = sorted(repr(tuple(plain(r[n]) for n in names)) for r in df.collect())
-    assert len(got) == len(want)
-    assert got == want
+    wanted = duck.sql(sql)
+    assert sorted(wanted.columns) == names
+    listed = ", ".join(f'"{n}"' for n in names)
+    duck.execute(f"CREATE OR REPLACE TEMP TABLE want AS SELECT {listed} FROM ({sql})")
+    duck.execute(f"CREATE OR REPLACE TEMP TABLE got AS SELECT {listed} FROM '{folder}/*.parquet'")
+    count = lambda q: duck.execute(q).fetchone()[0]
+    assert count("SELECT count(*) FROM got") == count("SELECT count(*) FROM want")
+    for a, b in (("got", "want"), ("want", "got")):
+        extra = duck.execute(f"SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b} LIMIT 3").fetchall()
+        assert not extra, (a, extra)

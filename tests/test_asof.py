@@ -36,7 +36,8 @@ def brute(rows: list[tuple], last: int) -> set[tuple]:
 
 
 def run(spark, rows: list[tuple], last: int) -> set[tuple]:
-    df = asof.as_of(spark.createDataFrame(rows, SCHEMA), str(DAY), str(day(last)))
+    dims = spark.createDataFrame([(1,), (2,)], "commodity_key int")
+    df = asof.as_of(spark.createDataFrame(rows, SCHEMA), str(DAY), str(day(last)), dims)
     return {(r.as_of_date, r.commodity_key, r.dim_key, r.metric_value) for r in df.collect()}
 
 

@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 KEYS = ("commodity_key", "dim_key", "metric_code")
 
 
+def starts(facts: DataFrame, dims: DataFrame, default: str = "2000-01-01") -> DataFrame:
+    """commodity_key, first: each commodity's first observation, else ``default``."""
+    first = facts.groupBy("commodity_key").agg(F.min("observation_date").alias("first"))
+    begun = dims.select("commodity_key").distinct().join(first, "commodity_key", "left")
+    return begun.withColumn("first", F.coalesce("first", F.to_date(F.lit(default))))
+
+
 def time_grid(facts: DataFrame, end: str, dims: DataFrame, start: str = "2000-01-01") -> DataFrame:
     """commodity_key, as_of_date: each commodity's days from its first observation (else ``start``) to ``end``."""
-    first = facts.groupBy("commodity_key").agg(F.min("observation_date").alias("first"))
-    begun = dims.select("commodity_key").distinct().join(first, "commodity_key", "left").withColumn("first", F.coalesce("first", F.to_date(F.lit(start))))
     last = F.to_date(F.lit(end))
-    days = begun.filter(F.col("first") <= last).select("commodity_key", F.explode(F.sequence("first", last)).alias("as_of_date"))
-    return days
+    begun = starts(facts, dims, start).filter(F.col("first") <= last)
+    return begun.select("commodity_key", F.explode(F.sequence("first", last)).alias("as_of_date"))
 
 
 def for_every_commodity(facts: DataFrame, dims: DataFrame) -> DataFrame:
@@ -35,21 +40,47 @@ def for_every_commodity(facts: DataFrame, dims: DataFrame) -> DataFrame:
     return joined.withColumn("commodity_key", F.explode(each)).drop("__all")
 
 
-def winners(facts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, winner (the struct that wins), since, until: validity intervals; until is null for the last."""
+def winners(facts: DataFrame, dims: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, winner (the struct that wins), since, until: validity intervals; until is null for the last.
+
+    Rows are cut to one a day and key before those of no commodity are spread over the commodities of ``dims``, so what
+    is spread are days, not facts; after that a key has at most two rows a day.
+    """
     order = F.struct("observation_date", "release_date", "revision", "source_fact_id", "metric_value")
     daily = facts.groupBy(*keys, F.greatest("observation_date", "release_date").alias("since")).agg(F.max(order).alias("w"))
-    by_key = Window.partitionBy(*keys).orderBy("since")
-    running = daily.withColumn("winner", F.max("w").over(by_key)).withColumn("until", F.date_sub(F.lead("since").over(by_key), 1))
-    return running.drop("w")
+    if dims is not None:
+        daily = for_every_commodity(daily, dims)
+    by_key = Window.partitionBy(*keys).orderBy("since")  # rows of one day see each other
+    return daily.withColumn("winner", F.max("w").over(by_key)).withColumn("until", F.date_sub(F.lead("since").over(by_key), 1)).drop("w")
+
+
+def spans(won: DataFrame, begun: DataFrame, end: str) -> DataFrame:
+    """The intervals of ``won``, cut to each commodity's days from ``first`` (in ``begun``) to ``end``."""
+    last = F.to_date(F.lit(end))
+    own = won.join(begun, "commodity_key").withColumn("a", F.greatest("since", "first")).withColumn("b", F.least(F.coalesce("until", last), last))
+    return own.filter("a <= b").drop("since", "until", "first")
+
+
+_FOUND = ("metric_value", "source_fact_id", "observation_date", "release_date")
+
+
+def on_days(cut: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The winner of each key on each day of its intervals."""
+    days = cut.select(*keys, "winner", F.explode(F.sequence("a", "b")).alias("as_of_date"))
+    return days.select("as_of_date", *keys, *(f"winner.{c}" for c in _FOUND))
+
+
+def as_runs(cut: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, the winner's columns, first_day, last_day: neighbouring intervals of one winner are one run."""
+    own = cut.select(*keys, *(f"winner.{c}" for c in _FOUND), "a", "b")
+    # a winner never comes back once another has taken its place
+    return own.groupBy(*keys, *_FOUND).agg(F.min("a").alias("first_day"), F.max("b").alias("last_day"))
 
 
-def as_of(facts: DataFrame, start: str, end: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def as_of(facts: DataFrame, start: str, end: str, dims: DataFrame) -> DataFrame:
     """The winner of each key on each day from ``start`` to ``end``."""
-    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
-    spans = winners(facts, keys).withColumn("a", F.greatest("since", first)).withColumn("b", F.least(F.coalesce("until", last), last)).filter("a <= b")
-    days = spans.select(*keys, "winner", F.explode(F.sequence("a", "b")).alias("as_of_date"))
-    return days.select("as_of_date", *keys, *(f"winner.{c}" for c in ("metric_value", "source_fact_id", "observation_date", "release_date")))
+    begun = dims.select("commodity_key", F.to_date(F.lit(start)).alias("first")).distinct()
+    return on_days(spans(winners(facts, dims), begun, end))
 
 
 def collapse(events: DataFrame) -> DataFrame:

@@ -9,34 +9,21 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, features, parse
 from tidemark.operators import asof, audit, forecast, intake, kernels, revisions
+from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, rounded
+from tidemark.plans.registry import with_facts as _with
 from tidemark.sources import star
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Days that the panels of order families and of event families cover, and the day that reads take for today.
-ORDER_DAYS, EVENT_DAYS, TODAY = ("2001-01-01", "2001-12-31"), ("2024-01-01", "2024-02-10"), "2001-08-01"
+#: Order families: the last day of the panel, whose days begin with each commodity's first price. Event families: all
+#: days that they have. And the day that reads take for today.
+ORDER_END, EVENT_DAYS, TODAY = "2001-12-31", ("2024-01-01", "2024-02-10"), "2001-08-01"
+ORDER_FAMILIES, EVENT_FAMILIES = ("price", "weather", "logistics", "supply"), ("macro", "event")
+ORDER_METRICS = ["price_close", "urgent", "high", "medium", "not specified", "low", "O", "F", "R", "A", "N"]
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 HORIZON, FOLDS, MIN_TRAIN = 30, 6, 252
 #: Means of whole cents are the same in every engine, whatever the order of the sums.
 CENTS = "CAST(round(y * 100) AS BIGINT)"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def _with(*facts: str, rest: str) -> str:
-    return "WITH " + ", ".join(f"{f} AS ({star.SQL[f]})" for f in facts) + rest
-
-
 # --- point-in-time panel
 
 
@@ -49,7 +36,14 @@ def _fanned(family: str) -> str:
 )"""
 
 
-def _as_of_ctes(family: str, days: tuple[str, str]) -> str:
+_ORDER_GRID = f"""first AS (SELECT commodity_key, min(observation_date) AS d FROM price GROUP BY 1),
+days AS (SELECT commodity_key, CAST(unnest(generate_series(coalesce(d, DATE '2000-01-01'), DATE '{ORDER_END}', INTERVAL 1 DAY)) AS DATE) AS as_of_date
+  FROM dim_commodity LEFT JOIN first USING (commodity_key))"""
+_EVENT_GRID = f"""days AS (SELECT commodity_key, as_of_date FROM dim_commodity,
+  (SELECT CAST(unnest(generate_series(DATE '{EVENT_DAYS[0]}', DATE '{EVENT_DAYS[1]}', INTERVAL 1 DAY)) AS DATE) AS as_of_date))"""
+
+
+def _as_of_ctes(family: str) -> str:
     """CTEs up to ``panel`` by DuckDB's own as-of join."""
     return f""", {_fanned(family)}, daily AS (
   SELECT commodity_key, dim_key, coalesce(dim_key, -1) AS dk, metric_code, greatest(observation_date, release_date) AS since,
@@ -58,8 +52,8 @@ def _as_of_ctes(family: str, days: tuple[str, str]) -> str:
 ), running AS (
   SELECT commodity_key, dim_key, dk, metric_code, since, max(w) OVER (PARTITION BY commodity_key, dk, metric_code ORDER BY since) AS w FROM daily
 ), keys AS (SELECT DISTINCT commodity_key, dim_key, coalesce(dim_key, -1) AS dk, metric_code FROM fanned),
-days AS (SELECT CAST(unnest(generate_series(DATE '{days[0]}', DATE '{days[1]}', INTERVAL 1 DAY)) AS DATE) AS as_of_date),
-grid AS (SELECT * FROM days, keys),
+{_EVENT_GRID if family in EVENT_FAMILIES else _ORDER_GRID},
+grid AS (SELECT * FROM days JOIN keys USING (commodity_key)),
 panel AS (
   SELECT g.as_of_date, g.commodity_key, g.dim_key, g.metric_code, w[5] AS metric_value, w[4] AS source_fact_id, w[1] AS observation_date, w[2] AS release_date
   FROM grid g ASOF JOIN running r ON g.commodity_key = r.commodity_key AND g.dk = r.dk AND g.metric_code = r.metric_code AND g.as_of_date >= r.since
@@ -68,90 +62,116 @@ panel AS (
 
 _SCALAR = """, scalar AS (
   SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY as_of_date, commodity_key, metric_code
-    ORDER BY dim_key NULLS FIRST, observation_date DESC, release_date DESC, source_fact_id DESC) = 1
+    ORDER BY dim_key NULLS FIRST, observation_date DESC, release_date DESC, source_fact_id DESC, metric_value DESC) = 1
 )"""
 
 
+def _spans(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    dims = star.dim_commodity(spark, sf_dir)
+    facts = star.FAMILIES[family](spark, sf_dir)
+    if family in EVENT_FAMILIES:
+        starts = dims.select("commodity_key", F.to_date(F.lit(EVENT_DAYS[0])).alias("first")).distinct()
+        return asof.spans(asof.winners(facts, dims), starts, EVENT_DAYS[1])
+    return asof.spans(asof.winners(facts, dims), asof.starts(star.price(spark, sf_dir), dims), ORDER_END)
+
+
 def _panel(family: str) -> Callable[[SparkSession, str], DataFrame]:
-    days = EVENT_DAYS if family in ("macro", "event") else ORDER_DAYS
+    return lambda spark, sf_dir: asof.on_days(_spans(spark, sf_dir, family))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts = star.FAMILIES[family](spark, sf_dir)
-        return asof.as_of(asof.for_every_commodity(facts, star.dim_commodity(spark, sf_dir)), *days)
 
-    return run
+def _facts_of(*families: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(("dim_commodity", *(() if families[0] in EVENT_FAMILIES else ("price",)), *families)))
 
 
 def _panel_sql(family: str, rest: str) -> str:
-    days = EVENT_DAYS if family in ("macro", "event") else ORDER_DAYS
-    return _with("dim_commodity", family, rest=_as_of_ctes(family, days) + rest)
+    return _with(*_facts_of(family), rest=_as_of_ctes(family) + rest)
+
+
+def _panels_sql(families: tuple[str, ...], rest: str) -> str:
+    """CTEs up to ``panel``, the union of several families' panels."""
+    parts = ", ".join(f"p_{f} AS ({_panel_sql(f, ' SELECT * FROM panel')})" for f in families)
+    return f"WITH {parts}, panel AS ({' UNION ALL '.join(f'SELECT * FROM p_{f}' for f in families)}){rest}"
 
 
 for _family in star.FAMILIES:
     query(f"pit_asof_{_family}", _panel_sql(_family, " SELECT * FROM panel"))(_panel(_family))
 
 
-@query(
-    "pit_time_grid",
-    _with("dim_commodity", "price", rest=f""", first AS (SELECT commodity_key, min(observation_date) AS d FROM price GROUP BY 1)
-SELECT c.commodity_key, CAST(unnest(generate_series(coalesce(d, DATE '2000-01-01'), DATE '{ORDER_DAYS[1]}', INTERVAL 1 DAY)) AS DATE) AS as_of_date
-FROM (SELECT DISTINCT commodity_key FROM dim_commodity) c LEFT JOIN first USING (commodity_key)"""),
-)
+@query("pit_time_grid", _with("dim_commodity", "price", rest=f", {_ORDER_GRID} SELECT commodity_key, as_of_date FROM days"))
 def pit_time_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.time_grid(star.price(spark, sf_dir), ORDER_DAYS[1], star.dim_commodity(spark, sf_dir))
+    return asof.time_grid(star.price(spark, sf_dir), ORDER_END, star.dim_commodity(spark, sf_dir))
+
 
+def _long_sql(family: str) -> str:
+    """One row for each run of days on which a key's winner stays the same, out of the daily panel."""
+    return _panel_sql(family, f""", runs AS (SELECT *, as_of_date - CAST(row_number() OVER (PARTITION BY commodity_key, dim_key, metric_code, source_fact_id, observation_date, release_date, metric_value ORDER BY as_of_date) AS INT) AS run FROM panel)
+SELECT '{family}' AS family, commodity_key, dim_key, metric_code, metric_value, source_fact_id, observation_date, release_date, min(as_of_date) AS first_day, max(as_of_date) AS last_day
+FROM runs GROUP BY ALL""")
 
-@query("pit_events_long", _with("dim_commodity", "macro", "event", rest=f""", m AS (SELECT * FROM ({_panel_sql("macro", " SELECT * FROM panel")})),
-e AS (SELECT * FROM ({_panel_sql("event", " SELECT * FROM panel")}))
-SELECT 'macro' AS family, * FROM m UNION ALL SELECT 'event' AS family, * FROM e"""))
+
+@query("pit_events_long", " UNION ALL ".join(f"SELECT * FROM ({_long_sql(f)})" for f in star.FAMILIES))
 def pit_events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [QUERIES[f"pit_asof_{f}"](spark, sf_dir).withColumn("family", F.lit(f)) for f in ("macro", "event")]
-    return parts[0].unionByName(parts[1])
+    """The union of all families' panels, a row for each run of days; ``pit_asof_*`` have a row for each day."""
+    parts = [asof.as_runs(_spans(spark, sf_dir, f)).withColumn("family", F.lit(f)) for f in star.FAMILIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-@query("pit_scalar", _panel_sql("price", _SCALAR + " SELECT * FROM scalar"))
+def _panels(spark: SparkSession, sf_dir: str, families: tuple[str, ...]) -> DataFrame:
+    parts = [_panel(f)(spark, sf_dir) for f in families]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("pit_scalar", _panels_sql(ORDER_FAMILIES, _SCALAR + " SELECT * FROM scalar"))
 def pit_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.collapse(QUERIES["pit_asof_price"](spark, sf_dir))
+    return asof.collapse(_panels(spark, sf_dir, ORDER_FAMILIES))
 
 
-@query("pit_scalar_event", _panel_sql("event", _SCALAR + " SELECT * FROM scalar"))
+@query("pit_scalar_event", _panels_sql(EVENT_FAMILIES, _SCALAR + " SELECT * FROM scalar"))
 def pit_scalar_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.collapse(QUERIES["pit_asof_event"](spark, sf_dir))
+    return asof.collapse(_panels(spark, sf_dir, EVENT_FAMILIES))
 
 
-@query("pit_features_doc", _panel_sql("event", _SCALAR + """ SELECT as_of_date, commodity_key, count(*) AS n_features,
+@query("pit_features_doc", _panels_sql(ORDER_FAMILIES, _SCALAR + """ SELECT as_of_date, commodity_key, count(*) AS n_features,
   string_agg(metric_code || '@' || CAST(observation_date AS VARCHAR), ',' ORDER BY metric_code) AS features FROM scalar GROUP BY ALL"""))
 def pit_features_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = asof.as_document(pit_scalar_event(spark, sf_dir))
+    docs = asof.as_document(pit_scalar(spark, sf_dir))
     shown = F.transform("features", lambda x: F.concat_ws("@", x["metric_code"], x["observation_date"].cast("string")))
     return docs.select("as_of_date", "commodity_key", F.size("features").cast("long").alias("n_features"), F.array_join(shown, ",").alias("features"))
 
 
 _WIDE = ", ".join(f"max(metric_value) FILTER (WHERE metric_code = '{m}') AS {m}" for m in EVENT_METRICS)
+_WIDE_ORDERS = ", ".join(f"""max(metric_value) FILTER (WHERE metric_code = '{m}') AS "{m.replace(' ', '_')}\"""" for m in ORDER_METRICS)
 
 
-@query("pit_wide", _panel_sql("event", _SCALAR + f" SELECT as_of_date, commodity_key, {_WIDE} FROM scalar GROUP BY ALL"))
+@query("pit_wide", _panels_sql(ORDER_FAMILIES, _SCALAR + f" SELECT as_of_date, commodity_key, {_WIDE_ORDERS} FROM scalar GROUP BY ALL"))
 def pit_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.wide(pit_scalar_event(spark, sf_dir), EVENT_METRICS)
+    panel = asof.wide(pit_scalar(spark, sf_dir), ORDER_METRICS)
+    return panel.withColumnsRenamed({m: m.replace(" ", "_") for m in ORDER_METRICS})
 
 
 _FILLED = ", ".join(f"last_value({m} IGNORE NULLS) OVER w AS {m}" for m in EVENT_METRICS)
 _ZEROED = ", ".join(f"coalesce(last_value({m} IGNORE NULLS) OVER w, 0.0) AS {m}" for m in EVENT_METRICS)
 _SPARSE = f""", sparse AS (
   SELECT observation_date AS as_of_date, commodity_key, {_WIDE} FROM (
-    SELECT commodity_key, metric_code, observation_date, max(metric_value) AS metric_value FROM fanned WHERE dim_key IS NULL GROUP BY ALL
+    SELECT commodity_key, metric_code, observation_date, metric_value FROM fanned QUALIFY row_number() OVER (PARTITION BY commodity_key, metric_code, observation_date
+      ORDER BY dim_key NULLS FIRST, release_date DESC, source_fact_id DESC, metric_value DESC) = 1
   ) GROUP BY ALL
-), span AS (SELECT * FROM days, (SELECT DISTINCT commodity_key FROM dim_commodity))
+), span AS (SELECT * FROM days)
 SELECT as_of_date, commodity_key, %s FROM span LEFT JOIN sparse USING (as_of_date, commodity_key)
 WINDOW w AS (PARTITION BY commodity_key ORDER BY as_of_date ROWS UNBOUNDED PRECEDING)"""
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dims = star.dim_commodity(spark, sf_dir)
-    own = asof.for_every_commodity(star.event(spark, sf_dir), dims).filter("dim_key is null")
-    daily = own.groupBy("commodity_key", "metric_code", F.col("observation_date").alias("as_of_date")).agg(F.max("metric_value").alias("metric_value"))
+    own = asof.for_every_commodity(star.event(spark, sf_dir), dims).withColumn("as_of_date", F.col("observation_date"))
     grid = asof.time_grid(own.limit(0), EVENT_DAYS[1], dims, EVENT_DAYS[0])
-    return grid, asof.wide(daily, EVENT_METRICS)
+    return grid, asof.wide(asof.collapse(own), EVENT_METRICS)
 
 
 @query("pit_wide_ffill_offline", _panel_sql("event", _SPARSE % _FILLED))
@@ -376,10 +396,6 @@ _W = "OVER (PARTITION BY commodity_key ORDER BY price_date"
 _ANGLE = "2 * pi() * dayofyear(price_date) / 365.25"
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})  # no negative zeros
-
-
 @query("feat_tabular", _series_sql(f"""commodity_key, price_date, round(r, 6) AS ret_1, round(ly - lag(ly, 5) {_W}), 6) AS ret_5, round(ly - lag(ly, 20) {_W}), 6) AS ret_20,
   round(ly - avg(ly) {_W} ROWS 19 PRECEDING), 6) AS dev_20, round(ly - avg(ly) {_W} ROWS 59 PRECEDING), 6) AS dev_60,
   round(stddev_pop(r) {_W} ROWS 19 PRECEDING), 6) AS vol_20, round(sin({_ANGLE}), 6) AS sin_doy, round(cos({_ANGLE}), 6) AS cos_doy""",
@@ -425,11 +441,11 @@ def month_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("step_function_densify", _with("series", rest=f""", c AS (SELECT commodity_key, CAST(date_trunc('month', price_date) AS DATE) AS d, arg_max(y, price_date) AS y FROM series GROUP BY 1, 2),
-e AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY commodity_key ORDER BY d) - 1, DATE '{ORDER_DAYS[1]}') AS until FROM c)
+e AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY commodity_key ORDER BY d) - 1, DATE '{ORDER_END}') AS until FROM c)
 SELECT commodity_key, CAST(unnest(generate_series(d, until, INTERVAL 1 DAY)) AS DATE) AS day, y FROM e"""))
 def step_function_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = features.month_end(star.series(spark, sf_dir)).select("commodity_key", "month", F.col("last_y").alias("y"))
-    return features.step_function(monthly, "commodity_key", "month", "y", ORDER_DAYS[1])
+    return features.step_function(monthly, "commodity_key", "month", "y", ORDER_END)
 
 
 @query("daily_median_series", "SELECT CAST(o_orderdate AS DATE) AS day, median(o_totalprice) AS median_value, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 0 GROUP BY 1")
