@@ -6,7 +6,7 @@ import pytest
 
 from tests.compare import same_rows
 from tests.conftest import SF
-from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
+from tidemark.plans.all_queries import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

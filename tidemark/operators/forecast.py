@@ -99,7 +99,7 @@ def select_model(scores: DataFrame, naive: str = "naive", margin: float = MARGIN
 def log_new(rows: DataFrame, log: DataFrame) -> DataFrame:
     """The forecasts that the log lacks; equal keys within ``rows`` count once."""
     keys = ["commodity_key", "as_of_date", "target_date", "horizon", "model"]
-    return rows.dropDuplicates(keys).join(log.select(*keys).distinct(), keys, "left_anti")
+    return rows.dropDuplicates(keys).join(log.select(*keys), keys, "left_anti")
 
 
 def evaluate(log: DataFrame, actuals: DataFrame, today: str, grace: int, expiry: int) -> DataFrame:

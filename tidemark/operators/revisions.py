@@ -31,11 +31,13 @@ def price_window(facts: DataFrame, as_of: str, days: int) -> DataFrame:
     """The last ``days`` (1 to 20000) of the benchmark instrument's series, at its latest revision."""
     if not 1 <= days <= 20000:
         raise ValueError("days must be from 1 to 20000")
-    chosen = benchmark_instrument(facts).select(F.col("commodity_key").alias("__c"), F.col("dim_key").alias("__d"))
-    basis = latest_revision(facts)
-    own = basis.join(chosen, (basis["commodity_key"] == F.col("__c")) & basis["dim_key"].eqNullSafe(F.col("__d"))).drop("__c", "__d")
+    series = facts.groupBy("commodity_key", "dim_key").agg(F.count_distinct("observation_date").alias("n_days"), F.max("revision").alias("top"))
+    rank = F.struct("n_days", F.col("dim_key").isNull(), -F.coalesce("dim_key", F.lit(0)))
+    chosen = series.groupBy("commodity_key").agg(F.max_by(F.struct("dim_key", "top"), rank).alias("x")).select(F.col("commodity_key").alias("__c"), "x.*").toDF("__c", "__d", "__top")
     last = F.to_date(F.lit(as_of))
-    return own.filter((F.col("observation_date") >= F.date_sub(last, days)) & (F.col("observation_date") <= last))
+    recent = facts.filter(F.col("observation_date").between(F.date_sub(last, days), last))
+    same = (recent["commodity_key"] == F.col("__c")) & recent["dim_key"].eqNullSafe(F.col("__d")) & (F.col("revision") == F.col("__top"))
+    return recent.join(chosen, same).drop("__c", "__d", "__top")
 
 
 def fingerprint(facts: DataFrame) -> DataFrame:

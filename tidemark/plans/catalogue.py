@@ -239,22 +239,6 @@ def commodity_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- intake
 
-_CODES = """list_filter([CASE WHEN release_date < observation_date THEN 'LOOKAHEAD' END, CASE WHEN value IS NULL THEN 'MISSING_VALUE' END], lambda x: x IS NOT NULL)"""
-_RECORD = ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"]
-
-
-@query("validate_records", _with("raw_price", rest=f""" SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, array_to_string({_CODES}, ',') AS codes, len({_CODES}) = 0 AS valid FROM raw_price"""))
-def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.validate(star.raw_price(spark, sf_dir)).select(*_RECORD, F.array_join("codes", ",").alias("codes"), "valid")
-
-
-@query("gate_records", _with("raw_price", rest=""" SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate,
-  sha256(concat_ws('|', commodity_key, observation_date, release_date, revision)) AS payload_hash,
-  CASE WHEN source_record_id IS NULL THEN 'NO_RECORD_ID' END AS reason, source_record_id IS NOT NULL AS accepted FROM raw_price"""))
-def gate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.gate(star.raw_price(spark, sf_dir)).select(*_RECORD, "payload_hash", "reason", "accepted")
-
-
 @query("resolve_keys", """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate, p.p_partkey AS part_key, s.s_suppkey AS supplier_key,
   concat_ws(',', CASE WHEN p.p_partkey IS NULL THEN 'UNKNOWN_PART' END, CASE WHEN s.s_suppkey IS NULL THEN 'UNKNOWN_SUPPLIER' END) AS errors
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) p ON l_partkey = p.p_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON l_suppkey = s.s_suppkey""")
@@ -268,12 +252,6 @@ def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "part_key", "supplier_key", F.array_join("errors", ",").alias("errors"))
 
 
-@query("batch_report", _with("raw_price", rest=""" SELECT commodity_key, count(*) AS n_records, count(*) FILTER (WHERE NOT coalesce(release_date < observation_date, false) AND value IS NOT NULL) AS n_valid,
-  count(*) FILTER (WHERE release_date < observation_date) AS n_lookahead, count(*) FILTER (WHERE value IS NULL) AS n_missing_value FROM raw_price GROUP BY 1"""))
-def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.batch_report(intake.validate(star.raw_price(spark, sf_dir)), "commodity_key")
-
-
 _TARGET = "target AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, value FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-15')"
 _BATCH = """batch AS (SELECT CASE WHEN event_id % 10 = 0 THEN event_id - 5 ELSE event_id END AS event_id, user_id, event_type, CAST(ts AS DATE) AS day,
   CASE WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value, event_id AS seq FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10')"""
@@ -355,14 +333,6 @@ def freshness_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.freshness(latest, "2001-08-08", 7, 8).withColumn("gap_days", F.col("gap_days").cast("long"))
 
 
-@query("registry_version", """SELECT p_brand AS profile, sha256(string_agg(p_name, '|' ORDER BY p_name, p_partkey)) AS checksum,
-  1 + CAST(count(*) FILTER (WHERE p_size > 25) > count(*) FILTER (WHERE p_size <= 25) AS INT) AS version FROM part GROUP BY 1""")
-def registry_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_name", "p_partkey"))), lambda x: x["p_name"]), "|")
-    changed = F.count_if(F.col("p_size") > 25) > F.count_if(F.col("p_size") <= 25)
-    return star.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("profile")).agg(F.sha2(text, 256).alias("checksum"), (1 + changed.cast("int")).alias("version"))
-
-
 # --- parsers
 
 
