@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.functions import dates
-from tidemark.operators import kernels
+from tidemark.operators import forecast, kernels
 from tidemark.operators.snapshot import Snapshot
 from tidemark.streaming import ingest
 
@@ -43,22 +43,60 @@ def test_business_days(spark):
 
 def test_kernels():
     days = np.arange(800.0)
-    y = np.exp(0.1 * np.sin(2 * np.pi * days / 50) + days / 4000)
-    found = kernels.cycles(y)
-    assert abs(found[0][0] - 50) < 3
-    assert kernels.ridge_forecast(y[:40], 10) == y[39]
-    seasonal = np.exp(0.2 * np.sin(2 * np.pi * days / 365.25))
-    ahead = kernels.fourier(seasonal, days, days[-1] + np.arange(1, 31))
-    assert np.allclose(ahead, np.exp(0.2 * np.sin(2 * np.pi * (days[-1] + np.arange(1, 31)) / 365.25)), atol=0.01)
+    ly = 0.1 * np.sin(2 * np.pi * days / 50) + days / 4000
+    found = kernels.cycles(ly, 365.25, 10)
+    assert abs(found[0][0] - 50) < 3 and kernels.cycles(ly[:80], 365.25, 10) == []
+    ahead = days[-1] + np.arange(1, 31)
+    assert np.allclose(kernels.ridge_path(ly[:40], days[:40], ahead), np.exp(ly[39]))
+    season = 0.2 * np.sin(2 * np.pi * days / 365.25)
+    assert np.allclose(np.log(kernels.fourier(season, days, ahead)), 0.2 * np.sin(2 * np.pi * ahead / 365.25), atol=0.01)
+    trend = kernels.fourier(days / 100, days, ahead, damping=0.5)
+    assert np.allclose(np.log(trend), days[-1] / 100 + np.cumsum(0.5 ** np.arange(1, 31)) / 100, atol=1e-6)
+    low, high = kernels.band(ly, np.ones(4))
+    assert np.allclose(np.log(high), -np.log(low)) and np.allclose(np.log(high)[3], 2 * np.log(high)[0])
+
+
+def test_cycle_that_has_gone_is_not_stable():
+    t = np.arange(1200)
+    wave = np.sin(2 * np.pi * t / 40) + np.random.default_rng(1).normal(0, 0.1, 1200)
+    assert kernels.stable(wave, 40.0)
+    assert not kernels.stable(np.where(t < 700, wave, np.diff(np.random.default_rng(2).normal(0, 1, 1201))), 40.0)
+
+
+def test_features_and_ridge_by_definition():
+    rng = np.random.default_rng(4)
+    ly, days = rng.normal(0, 0.02, 200).cumsum(), np.arange(200.0)
+    x = kernels.tabular(ly, days)
+    i = 130
+    day = dt.date(1970, 1, 1) + dt.timedelta(i)
+    angle = 2 * np.pi * day.timetuple().tm_yday / 365.25
+    want = [1, ly[i] - ly[i - 1], ly[i] - ly[i - 5], ly[i] - ly[i - 20], ly[i] - ly[i - 19 : i + 1].mean(), ly[i] - ly[i - 59 : i + 1].mean(), np.diff(ly[i - 20 : i + 1]).std(), np.sin(angle), np.cos(angle)]
+    assert np.allclose(x[i - kernels.LOOK_BACK], want)
+    target = rng.normal(size=len(x))
+    beta = kernels.ridge(x, target)
+    gradient = x.T @ (x @ beta - target) + kernels.PENALTY * np.array([0, *beta[1:]])
+    assert np.abs(gradient).max() < 1e-8
+
+
+def test_mean_reversion_in_both_forms(spark):
+    rng = np.random.default_rng(7)
+    y = np.exp(4 + rng.normal(0, 0.02, 400).cumsum())
+    rows = [(c, dt.date(2020, 1, 1) + dt.timedelta(k), float(v)) for c, n in ((1, 400), (2, 100)) for k, v in enumerate(y[:n])]
+    df = spark.createDataFrame(rows, "commodity_key int, price_date date, y double")
+    got = {(r.commodity_key, r.step): r.predicted for r in forecast.ou_forecast(forecast.ou_parameters(df, 30), 30).collect()}
+    for c, n in ((1, 400), (2, 100)):
+        want = kernels.reverting(np.log(y[:n]), np.arange(float(n)), n - 1 + np.arange(1.0, 31))
+        assert np.allclose([got[c, k] for k in range(1, 31)], want)
+    assert np.allclose(want, y[99])
 
 
 def test_future_does_not_reach_backtest(spark):
     rows = [(1, dt.date(2020, 1, 1) + dt.timedelta(k), float(100 + k % 17)) for k in range(300)]
-    cuts = spark.createDataFrame([(1, 200)], "commodity_key int, cut long")
     schema = "commodity_key int, price_date date, y double"
-    a = kernels.backtest(spark.createDataFrame(rows, schema), cuts, 10).select("model", "predicted").collect()
-    b = kernels.backtest(spark.createDataFrame(rows[:200] + [(c, d, y * 3) for c, d, y in rows[200:]], schema), cuts, 10).select("model", "predicted").collect()
-    assert sorted(a) == sorted(b)
+    cut = lambda r: spark.createDataFrame(r, schema)
+    run = lambda df: sorted(r for r in kernels.backtest(df, 200, 10, 3).select("cut", "model", "predicted").collect() if r.cut == 200)
+    assert run(cut(rows)) == run(cut(rows[:200] + [(c, d, y * 3) for c, d, y in rows[200:]]))
+    assert [r.reason for r in kernels.forecasts(cut(rows[:9]), 5).collect()] == ["need >= 252 prices, have 9"]
 
 
 def test_stream_takes_each_record_once(spark, tmp_path):

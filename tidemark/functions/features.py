@@ -76,3 +76,11 @@ def step_function(changes: DataFrame, key: str, day: str, value: str, end: str)
     until = F.coalesce(F.date_sub(F.lead(day).over(w), 1), F.to_date(F.lit(end)))
     spans = changes.withColumn("__until", until).filter(F.col(day) <= F.col("__until"))
     return spans.select(key, F.explode(F.sequence(day, "__until")).alias("day"), value)
+
+
+def fill_both_ways(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:
+    """Gaps take the last value before them; those at the head the first one after."""
+    w = Window.partitionBy(key).orderBy(day)
+    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumn(value, F.coalesce(before, after))

@@ -108,3 +108,8 @@ def forward_fill(grid: DataFrame, panel: DataFrame, metrics: list[str], zeros: b
     full = grid.join(panel, ["commodity_key", "as_of_date"], "left")
     fill = {m: F.last(m, ignorenulls=True).over(by_key) for m in metrics}
     return full.withColumns({m: F.coalesce(c, F.lit(0.0)) if zeros else c for m, c in fill.items()})
+
+
+def column_names(codes: DataFrame) -> DataFrame:
+    """name, metric_code: each metric with a name of small letters, digits and underscores, for ``wide``."""
+    return codes.select(F.regexp_replace(F.lower("metric_code"), "[^a-z0-9_]", "_").alias("name"), "metric_code").distinct()

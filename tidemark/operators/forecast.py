@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import business_day_after
 from tidemark.functions.features import ordered
+from tidemark.operators.kernels import BAND_Z, DAMPING, DRIFT_ROWS, MEAN_ROWS, MOST_PHI
 
-#: Parameters of the mean-reverting model: rows of the drift, largest reversion, damping, rows of the trailing mean.
-DRIFT_ROWS, MOST_PHI, DAMPING, MEAN_ROWS = 60, 0.999, 0.97, 60
 #: A model must beat the naive forecast by this share to be chosen.
 MARGIN = 0.02
-#: Normal quantile of an 80 % band.
-BAND_Z = 1.2816
 
 
 def numbered(series: DataFrame) -> DataFrame:
@@ -27,52 +25,112 @@ def cut_points(sizes: DataFrame, min_train: int, horizon: int, folds: int) -> Da
     return sizes.filter(F.col("n") - horizon >= min_train).select("commodity_key", F.explode(F.array_distinct(spread)).alias("cut"))
 
 
-def naive_errors(series: DataFrame, min_train: int, horizon: int, folds: int) -> DataFrame:
-    """For each fold the naive (last value) forecast and the actual value ``horizon`` rows on."""
-    rows = numbered(series)
+def fold_errors(series: DataFrame, models: dict[str, Column], min_train: int, horizon: int, folds: int) -> DataFrame:
+    """commodity_key, cut, model, predicted, actual for models that are window expressions over the rows so far."""
+    rows = numbered(series).withColumns({f"__{m}": c for m, c in models.items()})
     sizes = rows.groupBy("commodity_key").agg(F.max("n").alias("n"))
     cuts = cut_points(sizes, min_train, horizon, folds)
-    last = rows.select("commodity_key", (F.col("i") + 1).alias("cut"), F.col("y").alias("predicted"))
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"__{m}").alias("predicted")) for m in models))
+    made = rows.select("commodity_key", (F.col("i") + 1).alias("cut"), each.alias("__each"))
     later = rows.select("commodity_key", (F.col("i") + 1 - horizon).alias("cut"), F.col("y").alias("actual"))
-    return cuts.join(last, ["commodity_key", "cut"]).join(later, ["commodity_key", "cut"])
+    both = cuts.join(made, ["commodity_key", "cut"]).join(later, ["commodity_key", "cut"])
+    return both.select("commodity_key", "cut", "actual", F.inline("__each"))
+
 
+def naive_errors(series: DataFrame, min_train: int, horizon: int, folds: int) -> DataFrame:
+    """For each fold the naive (last value) forecast and the actual value ``horizon`` rows on."""
+    return fold_errors(series, {"naive": F.col("y")}, min_train, horizon, folds).drop("model")
 
-def accuracy(errors: DataFrame) -> DataFrame:
-    share = F.when(F.col("actual") != 0, F.abs((F.col("actual") - F.col("predicted")) / F.col("actual")))
-    return errors.groupBy("commodity_key").agg(
+
+def accuracy(errors: DataFrame, *by: str) -> DataFrame:
+    """Folds, MAPE (without actual values of 0), RMSE and MAE by commodity and ``by``."""
+    share = F.when(F.abs("actual") >= 1e-12, F.abs((F.col("actual") - F.col("predicted")) / F.col("actual")))
+    return errors.groupBy("commodity_key", *by).agg(
         F.count("*").alias("n_folds"),
         (100 * F.avg(share)).alias("mape"),
         F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"),
+        F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"),
     )
 
 
-def ou_parameters(series: DataFrame) -> DataFrame:
-    """phi, drift and last deviation of log prices from their causal trailing mean, for each series."""
+def ou_parameters(series: DataFrame, steps: int) -> DataFrame:
+    """phi, drift and last deviation of log prices from their causal trailing mean, for each series; fitted is false, and
+    the forecast the last value, where there is too little history for ``steps``."""
     w = ordered()
     logs = numbered(series).withColumn("ly", F.log("y"))
     logs = logs.withColumn("mean", F.avg("ly").over(w.rowsBetween(1 - MEAN_ROWS, 0))).withColumn("d", F.col("ly") - F.col("mean")).withColumn("d0", F.lag("d").over(w))
-    tail = F.col("i") >= F.col("n") - DRIFT_ROWS
     sums = logs.groupBy("commodity_key").agg(
         F.sum(F.col("d0") * F.col("d")).alias("cross"),
         F.sum(F.when(F.col("d0").isNotNull(), F.col("d0") * F.col("d0"))).alias("square"),
         F.max_by("ly", "i").alias("last_ly"),
         F.max_by("d", "i").alias("last_d"),
-        F.min_by(F.when(tail, F.col("mean")), F.when(tail, F.col("i"))).alias("mean_then"),
+        F.max(F.when(F.col("i") == F.col("n") - 1 - DRIFT_ROWS, F.col("mean"))).alias("mean_then"),
         F.max_by("mean", "i").alias("mean_now"),
         F.max("n").alias("n"),
+        F.count_if(F.col("ly").isNull()).alias("bad"),
     )
-    phi = F.greatest(F.lit(0.0), F.least(F.lit(MOST_PHI), F.col("cross") / F.col("square")))
-    drift = (F.col("mean_now") - F.col("mean_then")) / F.greatest(F.least(F.col("n"), F.lit(DRIFT_ROWS)) - 1, F.lit(1))
-    return sums.select("commodity_key", phi.alias("phi"), drift.alias("drift"), "last_ly", "last_d", "mean_now")
+    fitted = (F.col("n") >= max(MEAN_ROWS + steps + 5, DRIFT_ROWS + 5, 30)) & (F.col("bad") == 0)
+    phi = F.greatest(F.lit(0.0), F.least(F.lit(MOST_PHI), F.try_divide("cross", "square")))
+    drift = (F.col("mean_now") - F.col("mean_then")) / DRIFT_ROWS
+    return sums.select("commodity_key", F.when(fitted, F.coalesce(phi, F.lit(0.0))).alias("phi"), F.when(fitted, drift).alias("drift"), "last_ly", "last_d", fitted.alias("fitted"))
 
 
 def ou_forecast(parameters: DataFrame, steps: int) -> DataFrame:
-    """step, predicted: the mean with damped drift plus the deviation that decays with phi."""
+    """step, predicted: the last value moved by the damped drift and by the deviation's decay with phi."""
     k = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
     rows = parameters.select("*", k)
     damped = F.col("drift") * (1 - F.pow(F.lit(DAMPING), "step")) / (1 - DAMPING)
-    level = F.col("mean_now") + damped + F.col("last_d") * F.pow("phi", "step")
-    return rows.select("commodity_key", "step", F.exp(level).alias("predicted"))
+    move = F.when(F.col("fitted"), damped + F.col("last_d") * (F.pow("phi", "step") - 1)).otherwise(0.0)
+    return rows.select("commodity_key", "step", F.exp(F.col("last_ly") + move).alias("predicted"))
+
+
+def log_rows(steps: DataFrame, last: DataFrame, model: str, horizons: tuple[int, ...]) -> DataFrame:
+    """A pending row for the last step of each horizon that is forecast above 0; ``last`` has as_of_date and baseline."""
+    own = steps.filter(F.col("step").isin(*horizons) & (F.col("predicted") > 0)).join(last, "commodity_key")
+    target = F.coalesce(*(F.when(F.col("step") == h, business_day_after(F.col("as_of_date"), h)) for h in horizons))
+    return own.select("commodity_key", "as_of_date", target.alias("target_date"), F.col("step").alias("horizon"), F.lit(model).alias("model"), "predicted", "baseline", F.lit("pending").alias("status"))
+
+
+def updated(log: DataFrame, judged: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``log`` after an evaluation (keys, status): rows that are still pending take the new status, others keep theirs."""
+    new = judged.select(*keys, F.col("status").alias("__new"))
+    took = F.when(F.col("status") == "pending", F.coalesce("__new", "status")).otherwise(F.col("status"))
+    return log.join(new, list(keys), "left").withColumn("status", took).drop("__new")
+
+
+def pending(log: DataFrame, models: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The pending rows by target date, optionally of some models or the first few."""
+    rows = log.filter("status = 'pending'")
+    if models is not None:
+        rows = rows.filter(F.col("model").isin(models))
+    rows = rows.orderBy("target_date", *(c for c in ("commodity_key", "as_of_date", "horizon", "model") if c in log.columns))
+    return rows if limit is None else rows.limit(limit)
+
+
+def best_registered(entries: DataFrame, by: str) -> DataFrame:
+    """The entry of least error among those that beat the naive forecast."""
+    best = entries.filter("beats_naive").groupBy(by).agg(F.min_by(F.struct("*"), F.struct("mape", "model")).alias("x"))
+    return best.select("x.*")
+
+
+def gram(features: DataFrame, target: str, columns: list[str]) -> DataFrame:
+    """commodity_key, a, b, total: the sums of products of the columns (1: the intercept) and of each with the target,
+    which are the normal equations of a least-squares fit, by partial aggregation."""
+    value = {"1": F.lit(1.0), **{c: F.col(c) for c in columns}, "target": F.col(target)}
+    names = list(value)
+    pairs = [(a, b) for k, a in enumerate(names[:-1]) for b in names[k:]]
+    sums = features.groupBy("commodity_key").agg(*(F.sum(value[a] * value[b]).alias(f"s{k}") for k, (a, b) in enumerate(pairs)))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"s{k}").alias("total")) for k, (a, b) in enumerate(pairs)))
+    return sums.select("commodity_key", F.inline(rows))
+
+
+def supply(monthly: DataFrame, harvest_months: int, import_months: int, yield_: float, loss: float, floor: float) -> DataFrame:
+    """q: stock, the lagged harvest (area by yield, weather, pests, quality) and lagged imports, less the loss, from a floor up."""
+    w = ordered(day="month")
+    lagged = lambda c, n: F.lag(c, n, 0.0).over(w)
+    harvest = lagged("planted_area", harvest_months) * yield_ * F.col("weather_index") * F.col("pest_index") * (1 + F.col("quality_delta"))
+    gross = F.col("inventory") + harvest + lagged("import_volume", import_months) * (1 + F.col("import_shock"))
+    return monthly.withColumn("q", F.greatest(gross - loss * F.greatest(gross, F.lit(0.0)), F.lit(floor)))
 
 
 def naive_interval(series: DataFrame, steps: int) -> DataFrame:

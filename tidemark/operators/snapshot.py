@@ -1,8 +1,10 @@
 """Snapshots of derived tables with two-phase replacement: write beside, check, then switch a pointer.
 
-A table's folder has ``v=<n>`` folders and one pointer file for each version that became current; the largest pointer
-is current. A new version is written in full and checked before its pointer appears by one rename, so readers see the
-old version or the new one. Rolling back makes the version before current again.
+A table's folder has data folders of fresh names and one pointer file for each version that became current, which holds
+the name of its data; the largest pointer is current. A new version is written in full and checked before its pointer
+is created, which fails if another writer has made that version, so readers see the old version or the new one. That
+takes a store whose exclusive create is atomic (HDFS, a local disk); object stores need a conditional put for it.
+Rolling back makes the version before current again. The fingerprint of the source may be taken before and after.
 """
 
 from __future__ import annotations
@@ -29,32 +31,42 @@ class Snapshot:
         versions = self.versions()
         if not versions:
             raise FileNotFoundError(f"{self.root} has no current version")
-        return self.spark.read.parquet(f"{self.root}/v={versions[-1]}")
+        name = self.spark.read.text(self._pointer(versions[-1]).toString()).first()[0]
+        return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def replace(self, df: DataFrame, grain: list[str], check: Callable[[DataFrame], list[str]] = lambda _: []) -> int:
-        """Write and check ``df``, then make it current. Refused if empty, if the grain repeats, or if ``check`` objects."""
-        version = max(self.versions(), default=0) + 1
-        place = f"{self.root}/v={version}"
-        df.write.mode("overwrite").parquet(place)
+    def _pointer(self, version: int):
+        return self._path(f"{self.root}/current/{version}")
+
+    def replace(self, df: DataFrame, grain: list[str], check: Callable[[DataFrame], list[str]] = lambda _: [], source: Callable[[], object] = lambda: None) -> int:
+        """Write and check ``df``, then make it current. Refused if empty, if the grain repeats, if ``check`` objects, or
+        if ``source``, a fingerprint of what ``df`` was made of, has changed meanwhile."""
+        version, before = max(self.versions(), default=0) + 1, source()
+        name = f"data-{uuid.uuid4().hex}"
+        place = f"{self.root}/{name}"
+        df.write.parquet(place)
         written = self.spark.read.parquet(place)
         problems = list(check(written))
         if written.isEmpty():
             problems.append("no rows")
         if not written.groupBy(*grain).count().filter("count > 1").isEmpty():
             problems.append(f"repeated grain {grain}")
+        if source() != before:
+            problems.append("the source has changed")
         if problems:
             self._fs.delete(self._path(place), True)
             raise ValueError(f"{self.root} keeps its version: {'; '.join(problems)}")
-        pointer, beside = self._path(f"{self.root}/current/{version}"), self._path(f"{self.root}/.{uuid.uuid4().hex}")
-        self._fs.mkdirs(self._path(f"{self.root}/current"))
-        self._fs.create(beside, False).close()
-        if self._fs.exists(pointer) or not self._fs.rename(beside, pointer):
-            raise RuntimeError(f"version {version} of {self.root} has been made by another writer")
+        try:
+            out = self._fs.create(self._pointer(version), False)
+        except Exception as e:
+            self._fs.delete(self._path(place), True)
+            raise RuntimeError(f"version {version} of {self.root} has been made by another writer") from e
+        out.write(bytearray(name.encode()))
+        out.close()
         return version
 
     def roll_back(self) -> int:
         versions = self.versions()
         if len(versions) < 2:
             raise ValueError("there is no version to go back to")
-        self._fs.delete(self._path(f"{self.root}/current/{versions[-1]}"), False)
+        self._fs.delete(self._pointer(versions[-1]), False)
         return versions[-2]

@@ -285,24 +285,6 @@ def backfill_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.backfill_new(batch.select("user_id", "event_type", "day", "seq", "event_id", "value"), target, ("user_id", "event_type", "day"), ("seq",))
 
 
-@query("reconcile_status", _with("series", rest=f""", stored AS (SELECT * FROM series WHERE price_date < DATE '2001-01-01' AND commodity_key <> 3),
-fetched AS (SELECT commodity_key, price_date, CASE WHEN commodity_key % 4 = 0 THEN y * 1.5 ELSE y END AS y FROM series WHERE price_date >= DATE '1996-01-01' AND commodity_key <> 5
-  AND (commodity_key <> 7 OR price_date >= DATE '2001-02-01') AND (commodity_key <> 8 OR price_date >= DATE '2000-11-01')),
-joined AS (SELECT coalesce(s.commodity_key, f.commodity_key) AS commodity_key, coalesce(s.price_date, f.price_date) AS d, s.y AS old, f.y AS new
-  FROM stored s FULL JOIN fetched f ON s.commodity_key = f.commodity_key AND s.price_date = f.price_date),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY commodity_key ORDER BY CASE WHEN old IS NOT NULL AND new IS NOT NULL THEN d END DESC NULLS LAST) AS r FROM joined),
-sums AS (SELECT commodity_key, count(old) AS n_stored, count(new) AS n_fetched, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS n_anchors,
-  count(*) FILTER (WHERE old IS NULL) AS n_new, count(*) FILTER (WHERE r <= 5 AND abs(new - old) > 0.001 * abs(old)) AS n_off FROM ranked GROUP BY 1)
-SELECT *, CASE WHEN n_fetched = 0 THEN 'empty' WHEN n_stored = 0 THEN 'fresh' WHEN n_anchors = 0 THEN 'no_anchor' WHEN n_off > 0 AND n_anchors < 0.9 * n_stored THEN 'error'
-  WHEN n_off > 0 THEN 'restated' WHEN n_new > 0 THEN 'appended' ELSE 'unchanged' END AS status FROM sums"""))
-def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.series(spark, sf_dir)
-    stored = rows.filter("price_date < '2001-01-01' and commodity_key <> 3")
-    fetched = rows.filter("price_date >= '1996-01-01' and commodity_key <> 5 and (commodity_key <> 7 or price_date >= '2001-02-01') and (commodity_key <> 8 or price_date >= '2000-11-01')")
-    fetched = fetched.withColumn("y", F.when(F.col("commodity_key") % 4 == 0, F.col("y") * 1.5).otherwise(F.col("y")))
-    return intake.reconcile(stored, fetched, "commodity_key", "price_date", "y")
-
-
 # --- audits
 
 
@@ -449,46 +431,102 @@ def wf_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.cut_points(sizes, MIN_TRAIN, HORIZON, FOLDS)
 
 
-@query("wf_naive_mape", _series_sql("commodity_key, count(*) AS n_folds, round(100 * avg(abs((a.y - p.y) / a.y)), 6) AS mape, round(sqrt(avg(pow(a.y - p.y, 2))), 4) AS rmse",
+@query("wf_naive_mape", _series_sql("commodity_key, count(*) AS n_folds, round(100 * avg(abs((a.y - p.y) / a.y)), 6) AS mape, round(sqrt(avg(pow(a.y - p.y, 2))), 4) AS rmse, round(avg(abs(a.y - p.y)), 4) AS mae",
     f"cuts JOIN s p USING (commodity_key) JOIN s a USING (commodity_key) WHERE p.i = cut - 1 AND a.i = cut + {HORIZON} - 1 GROUP BY 1", _CUTS))
 def wf_naive_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = forecast.naive_errors(star.series(spark, sf_dir), MIN_TRAIN, HORIZON, FOLDS)
-    return rounded(rounded(forecast.accuracy(errors), "mape"), "rmse", places=4)
+    return rounded(rounded(forecast.accuracy(errors), "mape"), "rmse", "mae", places=4)
 
 
-_OU = f""", m AS (SELECT *, avg(ly) {_W} ROWS {forecast.MEAN_ROWS - 1} PRECEDING) AS mean FROM s), d AS (SELECT *, ly - mean AS d FROM m), l AS (SELECT *, lag(d) {_W}) AS d0 FROM d),
-ou AS (SELECT commodity_key, greatest(0.0, least({forecast.MOST_PHI}, sum(d0 * d) / sum(d0 * d0))) AS phi,
-  (arg_max(mean, i) - arg_min(mean, i) FILTER (WHERE i >= n - {forecast.DRIFT_ROWS})) / greatest(least(max(n), {forecast.DRIFT_ROWS}) - 1, 1) AS drift,
-  arg_max(ly, i) AS last_ly, arg_max(d, i) AS last_d, arg_max(mean, i) AS mean_now FROM l GROUP BY 1)"""
+STEPS = 90
+_OU = f""", m AS (SELECT *, avg(ly) {_W} ROWS {kernels.MEAN_ROWS - 1} PRECEDING) AS mean FROM s), d AS (SELECT *, ly - mean AS d FROM m), l AS (SELECT *, lag(d) {_W}) AS d0 FROM d),
+raw AS (SELECT commodity_key, greatest(0.0, least({kernels.MOST_PHI}, sum(d0 * d) / sum(d0 * d0))) AS phi,
+  (arg_max(mean, i) - max(mean) FILTER (WHERE i = n - 1 - {kernels.DRIFT_ROWS})) / {kernels.DRIFT_ROWS} AS drift,
+  arg_max(ly, i) AS last_ly, arg_max(d, i) AS last_d, max(n) >= {kernels.MEAN_ROWS + STEPS + 5} AS fitted FROM l GROUP BY 1),
+ou AS (SELECT commodity_key, CASE WHEN fitted THEN phi END AS phi, CASE WHEN fitted THEN drift END AS drift, last_ly, last_d, fitted FROM raw),
+path AS (SELECT commodity_key, step::INT AS step, exp(last_ly + CASE WHEN fitted THEN drift * (1 - pow({kernels.DAMPING}, step)) / (1 - {kernels.DAMPING}) + last_d * (pow(phi, step) - 1) ELSE 0.0 END) AS predicted
+  FROM ou, range(1, {STEPS} + 1) t(step))"""
 
 
-@query("ou_params", _series_sql("commodity_key, round(phi, 6) AS phi, round(drift, 6) AS drift, round(last_ly, 6) AS last_ly, round(last_d, 6) AS last_d, round(mean_now, 6) AS mean_now", "ou", _OU))
+@query("ou_params", _series_sql("commodity_key, round(phi, 6) AS phi, round(drift, 6) AS drift, round(last_ly, 6) AS last_ly, round(last_d, 6) AS last_d, fitted", "ou", _OU))
 def ou_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(forecast.ou_parameters(star.series(spark, sf_dir)), "phi", "drift", "last_ly", "last_d", "mean_now")
+    return rounded(forecast.ou_parameters(star.series(spark, sf_dir), STEPS), "phi", "drift", "last_ly", "last_d")
 
 
-@query("ou_forecast", _series_sql(f"commodity_key, step::INT AS step, round(exp(mean_now + drift * (1 - pow({forecast.DAMPING}, step)) / (1 - {forecast.DAMPING}) + last_d * pow(phi, step)), 3) AS predicted", f"ou, range(1, {HORIZON} + 1) t(step)", _OU))
+def _ou_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.ou_forecast(forecast.ou_parameters(star.series(spark, sf_dir), STEPS), STEPS)
+
+
+@query("ou_forecast", _series_sql("commodity_key, step, round(predicted, 3) AS predicted", "path", _OU))
 def ou_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(forecast.ou_forecast(forecast.ou_parameters(star.series(spark, sf_dir)), HORIZON), "predicted", places=3)
+    return rounded(_ou_path(spark, sf_dir), "predicted", places=3)
+
+
+_FIFTH = "(SELECT list(d ORDER BY d)[step] FROM (SELECT CAST(unnest(generate_series(as_of_date + 1, as_of_date + 150, INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6)"
+
+
+@query("forecast_log_rows", _series_sql(f"commodity_key, as_of_date, {_FIFTH} AS target_date, step AS horizon, 'ou' AS model, round(predicted, 3) AS predicted, baseline, 'pending' AS status",
+    "path JOIN ends USING (commodity_key) WHERE step IN (30, 90)", _OU + ", ends AS (SELECT commodity_key, max(price_date) AS as_of_date, arg_max(y, price_date) AS baseline FROM series GROUP BY 1)"))
+def forecast_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = star.series(spark, sf_dir).groupBy("commodity_key").agg(F.max("price_date").alias("as_of_date"), F.max_by("y", "price_date").alias("baseline"))
+    return rounded(forecast.log_rows(_ou_path(spark, sf_dir), last, "ou", (30, 90)), "predicted", places=3)
+
+
+_FEATURES = ["ret_1", "ret_5", "ret_20", "dev_20", "dev_60", "vol_20", "sin_doy", "cos_doy"]
+_GRAM = [(a, b) for k, a in enumerate(["1", *_FEATURES]) for b in ["1", *_FEATURES, "target"][k:]]
+
+
+@query("ridge_gram", _series_sql("commodity_key, unnest([" + ", ".join(f"'{a}'" for a, _ in _GRAM) + "]) AS a, unnest([" + ", ".join(f"'{b}'" for _, b in _GRAM) + "]) AS b, unnest(["
+    + ", ".join(f"""round(sum({'1.0' if a == '1' else a} * {'1.0' if b == '1' else b}), 5) + 0.0""" for a, b in _GRAM) + "]) AS total", "f WHERE i >= 60 AND target IS NOT NULL GROUP BY commodity_key",
+    f""", t AS (SELECT *, ly - lag(ly) {_W}) AS r FROM s), f AS (SELECT commodity_key, i, r AS ret_1, ly - lag(ly, 5) {_W}) AS ret_5, ly - lag(ly, 20) {_W}) AS ret_20, ly - avg(ly) {_W} ROWS 19 PRECEDING) AS dev_20,
+  ly - avg(ly) {_W} ROWS 59 PRECEDING) AS dev_60, stddev_pop(r) {_W} ROWS 19 PRECEDING) AS vol_20, sin({_ANGLE}) AS sin_doy, cos({_ANGLE}) AS cos_doy, lead(ly, {HORIZON}) {_W}) - ly AS target FROM t)"""))
+def ridge_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star.series(spark, sf_dir)
+    both = features.tabular(rows).join(features.target(rows, HORIZON), ["commodity_key", "price_date"])
+    return rounded(forecast.gram(both, "target", _FEATURES), "total", places=5)
+
+
+_SUPPLY = """m AS (SELECT CAST(substr(p_brand, 7) AS INT) AS commodity_key, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS month, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS planted_area,
+  CAST(count(*) AS DOUBLE) AS import_volume, CAST(sum(l_linenumber) AS DOUBLE) AS inventory FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+g AS (SELECT *, inventory + lag(planted_area, 5, 0.0) OVER w * 2.5 * (0.5 + month(month) / 8) * 0.75 * 1.25 + lag(import_volume, 1, 0.0) OVER w * 1.5 AS gross FROM m WINDOW w AS (PARTITION BY commodity_key ORDER BY month))"""
+
+
+@query("supply_q", f"WITH {_SUPPLY} SELECT commodity_key, month, greatest(gross - 0.125 * greatest(gross, 0.0), 60.0) AS q FROM g")
+def supply_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = star.table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 9).cast("int").alias("commodity_key"))
+    lines = star.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("month", F.trunc(F.col("l_shipdate").cast("date"), "MM"))
+    monthly = lines.groupBy("commodity_key", "month").agg(
+        F.sum(F.col("l_quantity").cast("long")).cast("double").alias("planted_area"), F.count("*").cast("double").alias("import_volume"), F.sum("l_linenumber").cast("double").alias("inventory")
+    )
+    indices = {"weather_index": 0.5 + F.month("month") / 8, "pest_index": F.lit(0.75), "quality_delta": F.lit(0.25), "import_shock": F.lit(0.5)}
+    return forecast.supply(monthly.withColumns(indices), 5, 1, 2.5, 0.125, 60.0).select("commodity_key", "month", "q")
 
 
-@query("naive_interval", _series_sql(f"""commodity_key, step::INT AS step, point, round(point * exp(-{forecast.BAND_Z} * sigma * sqrt(step)), 3) AS lower, round(point * exp({forecast.BAND_Z} * sigma * sqrt(step)), 3) AS upper""",
+@query("naive_interval", _series_sql(f"""commodity_key, step::INT AS step, point, round(point * exp(-{kernels.BAND_Z} * sigma * sqrt(step)), 3) AS lower, round(point * exp({kernels.BAND_Z} * sigma * sqrt(step)), 3) AS upper""",
     f"own, range(1, {HORIZON} + 1) t(step)", f", r AS (SELECT *, ly - lag(ly) {_W}) AS r FROM s), own AS (SELECT commodity_key, arg_max(y, price_date) AS point, stddev_samp(r) AS sigma FROM r GROUP BY 1)"))
 def naive_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.naive_interval(star.series(spark, sf_dir), HORIZON), "lower", "upper", places=3)
 
 
-_SCORES = "scores AS (SELECT commodity_key, 'naive' AS model, max(y) / min(y) AS mape FROM series GROUP BY 1 UNION ALL SELECT commodity_key, 'ou', median(y) / min(y) FROM series WHERE commodity_key % 2 = 0 GROUP BY 1 UNION ALL SELECT commodity_key, 'ridge', 0.99 * max(y) / min(y) FROM series GROUP BY 1)"
+_BACKTESTED = f"""{_CUTS}, f AS (SELECT commodity_key, i + 1 AS cut, y AS naive, avg(CAST(round(y * 100) AS BIGINT)) {_W} ROWS 19 PRECEDING) / 100 AS mean_20, avg(CAST(round(y * 100) AS BIGINT)) {_W} ROWS 59 PRECEDING) / 100 AS mean_60 FROM s),
+a AS (SELECT commodity_key, i + 1 - {HORIZON} AS cut, y AS actual FROM s),
+e AS (UNPIVOT (SELECT commodity_key, actual, naive, mean_20, mean_60 FROM cuts JOIN f USING (commodity_key, cut) JOIN a USING (commodity_key, cut)) ON naive, mean_20, mean_60 INTO NAME model VALUE predicted),
+scores AS (SELECT commodity_key, model, count(*) AS n_folds, round(100 * avg(abs((actual - predicted) / actual)), 6) AS mape, round(sqrt(avg(pow(actual - predicted, 2))), 4) AS rmse, round(avg(abs(actual - predicted)), 4) AS mae FROM e GROUP BY 1, 2)"""
 
 
-@query("select_model", _with("series", rest=f""", {_SCORES}, b AS (SELECT commodity_key, arg_min(model, ROW(mape, model)) AS best, min(mape) AS best_mape, max(mape) FILTER (WHERE model = 'naive') AS naive_mape FROM scores GROUP BY 1)
-SELECT commodity_key, best, round(best_mape, 6) AS best_mape, round(naive_mape, 6) AS naive_mape, CASE WHEN best_mape < naive_mape * {1 - forecast.MARGIN} THEN best ELSE 'naive' END AS selected FROM b"""))
+@query("wf_scores", _series_sql("*", "scores", _BACKTESTED))
+def wf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backtests of the models that windows can express: the last value and trailing means."""
+    rows = star.series(spark, sf_dir)
+    cents = lambda n: features.causal_trailing_mean(F.expr(CENTS), features.ordered(), n) / 100
+    scores = forecast.accuracy(forecast.fold_errors(rows, {"naive": F.col("y"), "mean_20": cents(20), "mean_60": cents(60)}, MIN_TRAIN, HORIZON, FOLDS), "model")
+    return rounded(rounded(scores, "mape"), "rmse", "mae", places=4)
+
+
+@query("select_model", _series_sql(f"commodity_key, best, best_mape, naive_mape, CASE WHEN best_mape < naive_mape * {1 - forecast.MARGIN} THEN best ELSE 'naive' END AS selected", "b",
+    _BACKTESTED + ", b AS (SELECT commodity_key, arg_min(model, ROW(mape, model)) AS best, min(mape) AS best_mape, max(mape) FILTER (WHERE model = 'naive') AS naive_mape FROM scores GROUP BY 1)"))
 def select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = star.series(spark, sf_dir).groupBy("commodity_key").agg(F.max("y").alias("a"), F.min("y").alias("b"), F.median("y").alias("m"))
-    naive = own.select("commodity_key", F.lit("naive").alias("model"), (F.col("a") / F.col("b")).alias("mape"))
-    ou = own.filter("commodity_key % 2 = 0").select("commodity_key", F.lit("ou").alias("model"), (F.col("m") / F.col("b")).alias("mape"))
-    ridge = own.select("commodity_key", F.lit("ridge").alias("model"), (0.99 * F.col("a") / F.col("b")).alias("mape"))
-    return rounded(forecast.select_model(naive.unionByName(ou).unionByName(ridge)), "best_mape", "naive_mape")
+    return forecast.select_model(wf_scores(spark, sf_dir))
 
 
 _LOG = """log AS (SELECT commodity_key, price_date AS as_of_date, price_date + 30 AS target_date, 30 AS horizon, 'naive' AS model, y AS predicted FROM series WHERE day(price_date) = 1)"""
@@ -512,14 +550,16 @@ def evaluate_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.evaluate(_log(spark, sf_dir), star.series(spark, sf_dir), TODAY, 5, 20)
 
 
-@query("movers_topk", _with("series", rest=""", f AS (SELECT commodity_key, CASE WHEN commodity_key % 2 = 0 THEN 'even' ELSE 'odd' END AS section, arg_max(y, price_date) AS last_value, median(y) AS end_value FROM series GROUP BY 1),
-p AS (SELECT *, (end_value / last_value - 1) * 100 AS pct FROM f), q AS (SELECT *, CASE WHEN pct > 0 THEN 'up' ELSE 'down' END AS direction FROM p WHERE pct <> 0)
-SELECT commodity_key, section, direction, last_value, end_value, round(pct, 6) AS pct, row_number() OVER (PARTITION BY section, direction ORDER BY abs(pct) DESC, commodity_key)::INT AS rank FROM q
-QUALIFY rank <= 5"""))
+@query("movers_topk", _series_sql("commodity_key, section, direction, last_value, round(end_value, 4) AS end_value, round(pct, 6) AS pct, row_number() OVER (PARTITION BY section, direction ORDER BY abs(pct) DESC, commodity_key)::INT AS rank",
+    "q QUALIFY rank <= 5", _OU + f""", f AS (SELECT commodity_key, CASE WHEN commodity_key % 2 = 0 THEN 'even' ELSE 'odd' END AS section, last_value, predicted AS end_value
+  FROM path JOIN (SELECT commodity_key, arg_max(y, price_date) AS last_value FROM series GROUP BY 1) USING (commodity_key) WHERE step = {HORIZON}),
+p AS (SELECT *, (end_value / last_value - 1) * 100 AS pct FROM f), q AS (SELECT *, CASE WHEN pct > 0 THEN 'up' ELSE 'down' END AS direction FROM p WHERE pct <> 0)"""))
 def movers_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest changes that the mean-reverting model forecasts."""
+    ends = _ou_path(spark, sf_dir).filter(F.col("step") == HORIZON).select("commodity_key", F.col("predicted").alias("end_value"))
+    last = star.series(spark, sf_dir).groupBy("commodity_key").agg(F.max_by("y", "price_date").alias("last_value"))
     section = F.when(F.col("commodity_key") % 2 == 0, "even").otherwise("odd")
-    own = star.series(spark, sf_dir).groupBy("commodity_key").agg(F.max_by("y", "price_date").alias("last_value"), F.median("y").alias("end_value"))
-    return rounded(forecast.movers(own.withColumn("section", section), 5), "pct")
+    return rounded(rounded(forecast.movers(last.join(ends, "commodity_key").withColumn("section", section), 5), "pct"), "end_value", places=4)
 
 
 @query("model_forecasts")
@@ -529,10 +569,16 @@ def model_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cycles")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.find_cycles(star.series(spark, sf_dir))
+    return kernels.find_cycles(star.series(spark, sf_dir), HORIZON)
 
 
 @query("wf_models")
 def wf_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.series(spark, sf_dir)
-    return kernels.backtest(rows, wf_cuts(spark, sf_dir), HORIZON)
+    return kernels.backtest(star.series(spark, sf_dir), MIN_TRAIN, HORIZON, FOLDS)
+
+
+@query("model_pool")
+def model_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of all kernels and which one is chosen for each commodity, with its edge over the naive forecast."""
+    chosen = forecast.select_model(forecast.accuracy(wf_models(spark, sf_dir), "model"))
+    return chosen.withColumn("edge", F.col("naive_mape") - F.col("best_mape"))
