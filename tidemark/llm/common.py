@@ -143,10 +143,15 @@ def bit_marks(keys: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
 
 
-def marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is marked, and a few others: a broadcast of fixed size in place of a shuffle of ``df``."""
+def with_mark(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """``df`` with __marked: true where ``key`` is in the bitmap, and in few other rows; a broadcast of fixed size."""
     bit = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
     place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(F.col("__marks"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "__bucket")
-    return joined.filter(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).select(*df.columns)
+    joined = df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "__bucket", "left")
+    return joined.select(*df.columns, F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False)).alias("__marked"))
+
+
+def marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is marked, and a few others: a broadcast of fixed size in place of a shuffle of ``df``."""
+    return with_mark(df, key, marks).filter("__marked").drop("__marked")
