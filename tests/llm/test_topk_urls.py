@@ -6,23 +6,28 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import topk, urls
 
 
-@pytest.mark.parametrize("rows,seed", [(16, 1), (64, 2)])
-def test_topk(spark, rows, seed):
+@pytest.mark.parametrize("rows,seed,summary", [(16, 1, 1 << 25), (64, 2, 1 << 25), (16, 3, 0)])
+def test_topk(spark, rows, seed, summary):
+    """Against all rows, with ranges known by summaries and without; repeated rows, ties, and components that are large."""
     rng = np.random.default_rng(seed)
     vectors = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(400)]
     vectors += [(i, [0.5] * 6) for i in range(400, 600)] + [(1000, None), (1050, [1.0, None]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, []), (None, [1.0] * 6), (700, [0.25, 0.5])]
-    df = spark.createDataFrame(vectors + vectors[:20], "vec_id long, embedding array<double>").repartition(5)
-    fine = {i: [math.floor(256 * x) for x in v] for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in fine if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:5]  # noqa: B905
-        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
-    got = topk.top_k(df, range_rows=rows).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    vectors += [(800, [9e6, -1e6, 1.0]), (801, [1.2e6, 5.5]), *vectors[:20]]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5).withColumns({c: F.lit("x") for c in ("id", "number", "v", "rank", "score")})
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, (q, v) in enumerate(fine):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(fine) if m != n)[:5]  # noqa: B905
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    before = spark.conf.get(topk._BATCH)
+    got = [tuple(r) for r in topk.top_k(df, range_rows=rows, most_summary_bytes=summary).collect()]
+    assert sorted(got) == sorted(want) and spark.conf.get(topk._BATCH) == before
 
 
 def test_topk_small(spark):
@@ -35,12 +40,12 @@ def test_topk_small(spark):
 def test_blocks_are_pruned():
     rng = np.random.default_rng(3)
     rows = np.repeat(np.eye(8) * 200, 64, axis=0) + rng.integers(0, 5, (512, 8))
-    data = topk.Range(np.arange(512).tobytes(), rows.astype(np.int32).tobytes(), 8, block=64)
+    data = topk.Range(np.arange(512).tobytes(), np.arange(512).tobytes(), rows.astype(np.int64).tobytes(), 8, block=64)
     looked = []
     product = data.product
     data.product = lambda q, start: looked.append(start) or product(q, start)
     best = topk.Best(np.array([-1]), 5, np.array([topk.LOWEST]), np.array([np.iinfo(np.int64).max]))
-    data.search(rows[:1], best)
+    data.search(rows[:1].astype(np.int64), best)
     assert looked == [0]
 
 
