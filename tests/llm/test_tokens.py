@@ -54,6 +54,23 @@ def test_counts_equal_library(docs, texts):
         assert len(library.encode(text[: r.n_chars_within], add_special_tokens=False).ids) <= 50
 
 
+def test_longest_prefix_within_a_limit(texts):
+    library, counter = Tokenizer.from_file(WORD), token_counts.counter(WORD)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    some = [t for t in texts if t and len(t) < 700] + ["Cafe\u0301 noe\u0308l " * 9, "İstanbul'DA ǅ", "a<|endoftext|>bc<|endoftext|> d", "漢字かな" * 30 + " tail", "x\u2003y\u3000z"]
+    for text in some:
+        counts = [count(text[:j]) for j in range(len(text) + 1)]
+        for limit in (0, 1, 2, 7, 20, 50):
+            assert counter.within(text, limit) == max(j for j, n in enumerate(counts) if n <= limit), (text, limit)
+
+
+def test_stored_tables_answer_any_limit(docs, texts):
+    counter = token_counts.counter(WORD)
+    rows = token_counts.prefix_tables(docs, WORD).select("doc_id", "prefix_tokens", token_counts.words_within(9).alias("n")).collect()
+    for r in rows:
+        assert (r.prefix_tokens or [0])[-1:] in ([], [counter.count(texts[r.doc_id] or "")]) and r.n == sum(x <= 9 for x in r.prefix_tokens)
+
+
 def test_prefix_tables(texts):
     library, counter = Tokenizer.from_file(WORD), token_counts.counter(WORD)
     words = {w for t in texts[:20] for w in counter.words(t or "")} | {"internationalization", "aaaaaaa", "x1", "!!!???"}

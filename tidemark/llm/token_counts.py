@@ -16,10 +16,11 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -35,6 +36,8 @@ END = "</w>"
 _PLAIN = re.compile("[^\x00-įı-ſ]")
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-ſ"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Runs of what is no white space to the pre-tokenizer.
+_STRETCH = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\t-\r \x85\xa0{_LETTER}{_DIGIT}]+")
 
 
@@ -160,22 +163,34 @@ class PrefixCounter:
         table = self.counts(text)
         return int(table[-1]) if len(table) else 0
 
-    def within(self, text: str, limit: int, table: np.ndarray | None = None) -> int:
-        """Characters of the longest prefix of at most ``limit`` tokens, cut in a word only in a plain text."""
-        table = self.counts(text) if table is None else table
-        whole = int(np.searchsorted(table, limit, "right"))
-        if whole == len(table):
-            return len(text)
-        left = limit - (int(table[whole - 1]) if whole else 0)
-        if _PLAIN.search(text) or self.special and "<|" in text and self.special.search(text):
-            ends = [end for _, end in self.library.encode(text, add_special_tokens=False).offsets]
-            return ends[int(table[whole - 1]) - 1] if whole else 0
-        for k, m in enumerate(_WORDS.finditer(text.lower())):
-            if k == whole:
-                fits = [j + 1 for j, n in enumerate(self.table(m.group())) if n <= left]
-                return m.start() + max(fits, default=0)
+    def within(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens, from the tables of its words.
+
+        Stretches between white space are independent of each other. The first one that does not fit as a whole is cut
+        where its words' tables say; where normal forms or special strings make characters and letters differ, every
+        prefix of that one stretch is looked up.
+        """
+        left = limit
+        for m in _STRETCH.finditer(text):
+            n = self.count(m.group())
+            if n > left:
+                return m.start() + self._cut(m.group(), left)
+            left -= n
         return len(text)
 
+    def _cut(self, stretch: str, limit: int) -> int:
+        special = self.special and self.special.search(stretch)
+        words = [] if special else self.words(stretch)
+        if sum(map(len, words)) == len(stretch) and not special and unicodedata.is_normalized("NFC", stretch):
+            at = 0
+            for w in words:
+                table = self.table(w)
+                if table[-1] > limit:
+                    return at + max((j + 1 for j, n in enumerate(table) if n <= limit), default=0)
+                at, limit = at + len(w), limit - table[-1]
+            return at
+        return next((j for j in range(len(stretch), 0, -1) if self.count(stretch[:j]) <= limit), 0)
+
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
@@ -189,7 +204,7 @@ def _count_all(batches, path: str, limit: int, text_at: int, keep: list[int], na
         for text in batch.column(text_at).to_pylist():
             table = counts.counts(text or "")
             tokens.append(int(table[-1]) if len(table) else 0)
-            fits.append(counts.within(text, limit, table) if tokens[-1] > limit else len(text or ""))
+            fits.append(counts.within(text, limit) if tokens[-1] > limit else len(text or ""))
         arrays = [*(batch.column(i) for i in keep), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -206,3 +221,28 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text_col: str =
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("n_chars_within", T.LongType())])
     counted = docs.select(*keep).mapInArrow(functools.partial(_count_all, path=path, limit=limit, text_at=columns.index(text_col), keep=list(range(len(columns))), names=[f.name for f in schema]), schema)
     return counted.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "over_limit": F.col("n_tokens") > limit})
+
+
+def _all_tables(batches, path: str, text_at: int, keep: list[int], names: list[str]):
+    counts = counter(path)
+    for batch in batches:
+        tables = [counts.counts(t or "").astype(np.int32) for t in batch.column(text_at).to_pylist()]
+        offsets = np.cumsum([0, *map(len, tables)]).astype(np.int32)
+        flat = np.concatenate(tables) if tables else np.empty(0, np.int32)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names)
+
+
+def prefix_tables(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with prefix_tokens: the tokens up to the end of each word, to be stored and asked for any limit.
+
+    ``words_within`` answers from it how many whole words fit a limit, the last entry is the text's count.
+    """
+    small_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c != "prefix_tokens"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))])
+    return docs.select(*keep).mapInArrow(functools.partial(_all_tables, path=path, text_at=keep.index(text_col), keep=list(range(len(keep))), names=[f.name for f in schema]), schema)
+
+
+def words_within(limit: int, table: str = "prefix_tokens") -> Column:
+    """The number of whole words whose tokens fit ``limit``, out of a stored table."""
+    return F.size(F.filter(table, lambda n: n <= limit))
