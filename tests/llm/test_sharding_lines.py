@@ -39,6 +39,14 @@ def test_compaction(spark, odd, tmp_path):
         assert r.tier(2, 1000) == tier(r.bytes, 2, 1000)
 
 
+def test_columns_that_clash_with_the_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x", 7)], "doc_id long, text string, run string, Tier int")
+    table = sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema)
+    assert table.read().columns == ["doc_id", "text", "run", "Tier", "_run", "run_arrivals", "run_rows", "run_bytes", "_tier"]
+    table.append(df, "run")
+    assert tuple(table.read().first()) == (1, "a", "x", 7, "x", 1, 1, 1, 0)
+
+
 def plain_chunks(text: str) -> list[list[str]]:
     lines, out, own = text.split("\n"), [], []
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import topk, urls
+from tidemark.llm.queries import BLOCKED_HOSTS, RULES
 
 
 @pytest.mark.parametrize("rows,seed,summary", [(16, 1, 1 << 25), (64, 2, 1 << 25), (16, 3, 0)])
@@ -62,22 +63,22 @@ def judge(url: str | None):
         rest = rest[cut:]
         path = rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
     fits = lambda h: host == h or host.endswith("." + h)
-    own = [(len(r), r, v) for v, r in urls.RULES if fits(r.split("/", 1)[0]) and path.startswith(r[r.index("/") :])]
+    own = [(len(r), r, v) for v, r in RULES if fits(r.split("/", 1)[0]) and path.startswith(r[r.index("/") :])]
     if own:
         return host, path, max(own)[1], max(own)[2]
-    return host, path, None, "block" if any(fits(h[:-1]) for h in urls.BLOCKED_HOSTS) else "allow"
+    return host, path, None, "block" if any(fits(h[:-1]) for h in BLOCKED_HOSTS) else "allow"
 
 
 @pytest.mark.parametrize("most", [5_000_000, 3])
 def test_urls(spark, monkeypatch, most):
     monkeypatch.setattr(urls, "MOST_ENTRIES", most)
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(URLS)], "page_id long, url string, verdict string, extra string")
-    blocked = spark.createDataFrame([(h,) for h in urls.BLOCKED_HOSTS], "rule string") if most == 3 else urls.BLOCKED_HOSTS
-    got = urls.judge(pages, blocked=blocked).collect()
+    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "rule string") if most == 3 else BLOCKED_HOSTS
+    got = urls.judge(pages, RULES, blocked).collect()
     assert len(got) == len(URLS)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == judge(URLS[r.page_id])
-    assert urls.judge(pages.limit(0)).count() == 0
+    assert urls.judge(pages.limit(0), RULES, BLOCKED_HOSTS).count() == 0
 
 
 def test_colliding_digests_are_told_apart(monkeypatch, tmp_path):
@@ -85,3 +86,11 @@ def test_colliding_digests_are_told_apart(monkeypatch, tmp_path):
     (tmp_path / "f").write_bytes(urls.pack([("block", "a.org/"), ("allow", "b.org/")]))
     found = urls.Digests(str(tmp_path / "f")).longest([[b"a.org/"], [b"b.org/"], [b"c.org/"]])
     assert found == [(b"a.org/", True), (b"b.org/", False), None]
+
+
+def test_a_million_hosts_from_files(spark, tmp_path):
+    (tmp_path / "hosts.txt").write_text("# junk\n\n" + "\n".join(f"Host{k}.example" for k in range(1_000_000)))
+    blocked = urls.hosts_of(spark, f"file://{tmp_path}/hosts.txt")
+    asked = ["http://a.host77.example/x", "http://host999999.example", "http://host1000000.example/", "http://xhost5.example/", "http://host5.example.org/"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    assert {r.page_id for r in urls.judge(pages, (), blocked).filter("verdict = 'block'").collect()} == {0, 1}

@@ -32,8 +32,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards.append(docs, "source")
     shards.compact()
     rows = shards.read()
-    shown = rows.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "run", "run_arrivals", "run_rows", "run_bytes", "tier")
-    return shown
+    digest = F.md5(F.col("text").cast("binary"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return rows.select("doc_id", "source", n_bytes.alias("n_bytes"), digest.alias("text_md5"), "run", "run_arrivals", "run_rows", "run_bytes", "tier")
 
 
 def _merged(k: int) -> str:
@@ -126,8 +127,20 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: (verdict, rule) of the production rules.
+RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+#: Hosts of junk, adverts and adult pages that the query blocks with all their subdomains; a longer list comes from files.
+BLOCKED_HOSTS = tuple(f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, BLOCKED_HOSTS).drop("url")
 
 
 OP8_SQL = f"""
@@ -137,9 +150,9 @@ WITH parsed AS (
          regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
   FROM pages
 ), rules(verdict, rule_host, rule_path) AS (
-  VALUES {", ".join(f"('{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for v, r in urls.RULES)}
+  VALUES {", ".join(f"('{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for v, r in RULES)}
 ), hosts(name) AS (
-  VALUES {", ".join(f"('{h[:-1]}')" for h in urls.BLOCKED_HOSTS)}
+  VALUES {", ".join(f"('{h[:-1]}')" for h in BLOCKED_HOSTS)}
 ), best AS (
   SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
          arg_max(verdict, length(rule_host || rule_path)) AS verdict

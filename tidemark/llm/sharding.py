@@ -5,13 +5,16 @@ is the shards of one arrival or of one merge. Runs whose sizes lie within the sa
 once a tier has ``fanout`` runs, they are merged into files of a target size, again without a shuffle: neighbouring
 small partitions are read by one task. Every change is committed by a new manifest (JSON, one line for each run),
 which is written beside its place and renamed to the next version's name; readers see one version or the next, shards
-of a failed job are in no manifest, and old versions stay readable until ``vacuum``.
+of a failed job are in no manifest, and old versions stay readable until ``vacuum``. The rename fails if the version is
+there; that is atomic on HDFS and its like, but a check and a rename on a local disk, and object stores need a
+conditional put for it, so on these one writer at a time has to be ensured from outside.
 
 A run's size is the bytes of a text column, so what is merged depends on the rows alone. The manifest is metadata of a
 few hundred bytes for each run, and compaction leaves fewer than ``fanout`` runs in each tier.
 
 Defined results: a null arrival is an arrival of its own, as is an empty one; null and empty texts have no size; rows
-of no size are kept; repeated rows are kept as often as they arrive; an empty table leaves a manifest without runs.
+of no size are kept; repeated rows are kept as often as they arrive; an empty table leaves a manifest without runs. Of
+the run's columns that ``read`` adds, those whose names the table has get underscores in front until they are free.
 """
 
 from __future__ import annotations
@@ -75,9 +78,14 @@ class ShardedTable:
             out.write(bytearray("".join(json.dumps(asdict(r)) + "\n" for r in runs).encode()))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(beside, final):
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(beside, final, plain)  # fails if the version is there
+        except Exception as e:
             self._fs.delete(beside, False)
-            raise RuntimeError(f"version {version} of {self.root} has been committed by another writer")
+            raise RuntimeError(f"version {version} of {self.root} has been committed by another writer") from e
         return version
 
     def _sizes(self, df: DataFrame, *by: Column | str) -> DataFrame:
@@ -121,17 +129,23 @@ class ShardedTable:
 
     def read(self, version: int | None = None, fanout: int = FANOUT, base: int = BASE_BYTES) -> DataFrame:
         """The rows of a version, with run, run_arrivals, run_rows, run_bytes and tier of the run that each is in."""
-        empty = self.spark.createDataFrame([], self.schema)
-        parts = []
-        for r in self.runs(version):
-            rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/{r.path}")
-            parts.append((rows, r))
-        new = {"run": "string", "run_arrivals": "long", "run_rows": "long", "run_bytes": "long", "tier": "int"}
-        out = empty.withColumns({k: F.lit(None).cast(t) for k, t in new.items()})
-        for rows, r in parts:
-            values = (r.name, r.arrivals, r.rows, r.bytes, r.tier(fanout, base))
-            out = out.unionByName(rows.withColumns({k: F.lit(v).cast(t) for (k, t), v in zip(new.items(), values, strict=True)}))
-        return out
+        runs = self.runs(version)
+        named = {c: self._free(c) for c in ("run", "run_arrivals", "run_rows", "run_bytes", "tier")}
+        own = "{run} string, {run_arrivals} long, {run_rows} long, {run_bytes} long, {tier} int".format(**{k: f"`{v}`" for k, v in named.items()})
+        known = self.spark.createDataFrame([(r.path, r.name, r.arrivals, r.rows, r.bytes, r.tier(fanout, base)) for r in runs], f"__path string, {own}")
+        if not runs:
+            return self.spark.createDataFrame([], self.schema).join(known.drop("__path"), F.lit(False), "left").select(*self.schema.names, *named.values())
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{r.path}" for r in runs))
+        path = F.regexp_extract(F.replace(F.col("_metadata.file_path"), F.lit("%3D"), F.lit("=")), r"(runs/[0-9a-f]{32}(?:/__place=[0-9a-f]{32})?)/[^/]+$", 1)
+        # the manifest is a few hundred bytes for each run
+        joined = rows.select("*", path.alias("__path")).join(F.broadcast(known), "__path")
+        return joined.select(*self.schema.names, *named.values())
+
+    def _free(self, name: str) -> str:
+        taken = {c.lower() for c in self.schema.names}
+        while name.lower() in taken:
+            name = f"_{name}"
+        return name
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete the shards that only versions before the last ``keep`` have, and those versions."""

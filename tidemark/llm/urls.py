@@ -31,20 +31,6 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import fresh_path
 
-#: Hosts of junk, adverts and adult pages that the production list blocks, with all their subdomains.
-BLOCKED_HOSTS = tuple(
-    f"{name}.example.{top}/"
-    for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-    for top in ("com", "net", "org")
-)
-#: (verdict, rule) of the production rules.
-RULES = (
-    ("allow", "org/"),
-    ("block", "example.org/es/"),
-    ("block", "example.org/en/1"),
-    ("allow", "com/fr/"),
-    ("block", "com/de/"),
-)
 #: Entries of a mapped file at most: with strings of 60 bytes, 350 MB.
 MOST_ENTRIES = 5_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -160,7 +146,13 @@ def _judge_by_join(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     return keyed.join(best, "__row", "left").select(*parsed.columns, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(None).cast("string")).alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str] | DataFrame = BLOCKED_HOSTS, url_col: str = "url") -> DataFrame:
+def hosts_of(spark: SparkSession, path: str) -> DataFrame:
+    """The table of blocked hosts that text files list, one in a line; empty lines and those that start with # are none."""
+    line = F.translate(F.trim("value"), UPPER, LOWER)
+    return spark.read.text(path).select(line.alias("h")).filter("h <> '' and not startswith(h, '#')").select(F.concat("h", F.lit("/")).alias("rule"))
+
+
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], blocked: Iterable[str] | DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (null if none fits) and verdict (allow or block) of each url.
 
     ``blocked`` holds hosts (ending in ``/``): an iterable, or a table with the column ``rule`` where they are many.
