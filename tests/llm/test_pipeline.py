@@ -40,8 +40,12 @@ def test_stages(spark):
 def test_empty_and_odd(spark, empty, odd, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
-    for docs in (empty, odd.select(*empty.columns)):
+    for docs in (empty, odd):
         start = docs.count()
-        for _, stage in corpus_pipeline.STAGES:
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns, types = docs.columns, docs.dtypes
             docs = stage(spark, docs, str(tmp_path)).cache()
+            if k < 4:  # columns whose names operators use are the user's own
+                assert docs.columns == columns and docs.dtypes == types
+                assert docs.select(*set(columns) - set(empty.columns)).distinct().count() <= 1
         assert (docs.count() > 10) == (start > 0)
