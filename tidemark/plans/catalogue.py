@@ -511,7 +511,7 @@ def naive_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BACKTESTED = f"""{_CUTS}, f AS (SELECT commodity_key, i + 1 AS cut, y AS naive, avg(CAST(round(y * 100) AS BIGINT)) {_W} ROWS 19 PRECEDING) / 100 AS mean_20, avg(CAST(round(y * 100) AS BIGINT)) {_W} ROWS 59 PRECEDING) / 100 AS mean_60 FROM s),
 a AS (SELECT commodity_key, i + 1 - {HORIZON} AS cut, y AS actual FROM s),
 e AS (UNPIVOT (SELECT commodity_key, actual, naive, mean_20, mean_60 FROM cuts JOIN f USING (commodity_key, cut) JOIN a USING (commodity_key, cut)) ON naive, mean_20, mean_60 INTO NAME model VALUE predicted),
-scores AS (SELECT commodity_key, model, count(*) AS n_folds, round(100 * avg(abs((actual - predicted) / actual)), 6) AS mape, round(sqrt(avg(pow(actual - predicted, 2))), 4) AS rmse, round(avg(abs(actual - predicted)), 4) AS mae FROM e GROUP BY 1, 2)"""
+scores AS (SELECT commodity_key, model, count(*) AS n_folds, round(100 * avg(abs((actual - predicted) / actual)), 6) AS mape, round(sqrt(avg(pow(actual - predicted, 2))), 6) AS rmse, round(avg(abs(actual - predicted)), 6) AS mae FROM e GROUP BY 1, 2)"""
 
 
 @query("wf_scores", _series_sql("*", "scores", _BACKTESTED))
@@ -520,7 +520,7 @@ def wf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = star.series(spark, sf_dir)
     cents = lambda n: features.causal_trailing_mean(F.expr(CENTS), features.ordered(), n) / 100
     scores = forecast.accuracy(forecast.fold_errors(rows, {"naive": F.col("y"), "mean_20": cents(20), "mean_60": cents(60)}, MIN_TRAIN, HORIZON, FOLDS), "model")
-    return rounded(rounded(scores, "mape"), "rmse", "mae", places=4)
+    return rounded(scores, "mape", "rmse", "mae")  # means of cents over 20 or 60 rows and a few folds lie halfway at four places, never at six
 
 
 @query("select_model", _series_sql(f"commodity_key, best, best_mape, naive_mape, CASE WHEN best_mape < naive_mape * {1 - forecast.MARGIN} THEN best ELSE 'naive' END AS selected", "b",
