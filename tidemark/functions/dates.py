@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def business_day_after(day: Column, n: int) -> Column:
+def business_day_after(day: Column, n: int | Column) -> Column:
     """The ``n``-th weekday after ``day`` (n from 1), in closed form."""
     from_ = F.least(F.weekday(day), F.lit(4))  # a weekend counts from its Friday
     friday = F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))

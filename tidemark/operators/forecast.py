@@ -124,9 +124,9 @@ def gram(features: DataFrame, target: str, columns: list[str]) -> DataFrame:
     return sums.select("commodity_key", F.inline(rows))
 
 
-def supply(monthly: DataFrame, harvest_months: int, import_months: int, yield_: float, loss: float, floor: float) -> DataFrame:
+def supply(monthly: DataFrame, harvest_months: int, import_months: int, yield_: float, loss: float, floor: float, order: str = "month") -> DataFrame:
     """q: stock, the lagged harvest (area by yield, weather, pests, quality) and lagged imports, less the loss, from a floor up."""
-    w = ordered(day="month")
+    w = ordered(day=order)
     lagged = lambda c, n: F.lag(c, n, 0.0).over(w)
     harvest = lagged("planted_area", harvest_months) * yield_ * F.col("weather_index") * F.col("pest_index") * (1 + F.col("quality_delta"))
     gross = F.col("inventory") + harvest + lagged("import_volume", import_months) * (1 + F.col("import_shock"))
