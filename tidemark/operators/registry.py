@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +57,72 @@ def train_start() -> Column:
 def feature_value(document: Column, metric: str) -> Column:
     """The value of a metric out of a document that is an array of (metric_code, metric_value)."""
     return F.get(F.filter(document, lambda x: x["metric_code"] == metric), F.lit(0))["metric_value"]
+
+
+#: Business days of the horizons that a profile may name (fixed values).
+HORIZON_DAYS = {"daily": 1, "weekly": 5, "monthly": 21}
+
+
+def horizon_days(label: Column) -> Column:
+    """Null for a label that stands for no horizon."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in HORIZON_DAYS.items() for x in pair)), label)
+
+
+def models(profiles: DataFrame, key: str, model_code: str | None = None, horizon: str | None = None) -> DataFrame:
+    """key, model_code, family, horizon, days, error: each profile's models, those of the code, or else of the horizon.
+
+    A profile that has none such gives one row that says so.
+    """
+    if horizon is not None and horizon not in HORIZON_DAYS:
+        raise ValueError(f"unsupported horizon {horizon!r}")
+    entries = F.from_json("profile", "models array<struct<model_code:string,family:string,horizon:string>>")["models"]
+    own = F.coalesce(entries, F.array().cast("array<struct<model_code:string,family:string,horizon:string>>"))
+    picked = own
+    if model_code is not None:
+        picked = F.filter(own, lambda m: m["model_code"] == model_code)
+    elif horizon is not None:
+        picked = F.filter(own, lambda m: m["horizon"] == horizon)
+    wanted = f"model {model_code}" if model_code is not None else f"horizon {horizon}"
+    error = F.when(F.size(own) == 0, "no models").when(F.size(picked) == 0, f"no {wanted}")
+    rows = profiles.select(key, error.alias("error"), F.inline_outer(picked))
+    return rows.select(key, "model_code", "family", "horizon", horizon_days(F.col("horizon")).alias("days"), "error")
+
+
+def catalog_issues(config: DataFrame, catalog: DataFrame) -> DataFrame:
+    """place, commodity_code, metric_code, issues of the rows of a source's configuration that are not in order.
+
+    ``config`` has a row for each metric of a series: place (the series' number), commodity_code, external_id, metric_code
+    (null: the series has none), attribute_id, country, unit; ``catalog`` what the source offers: commodity_code,
+    external_id (null: not available), attribute_id, unit. Commodities that the catalog lacks are judged by themselves.
+    """
+    first = lambda *by: F.min(F.struct("place", "metric_code")).over(Window.partitionBy(*by))
+    own = F.struct("place", "metric_code")
+    rows = config.withColumns({
+        "__series": F.min("place").over(Window.partitionBy("commodity_code")),
+        "__grain": first("external_id", "attribute_id", "country"),
+        "__attribute": first("place", "attribute_id"),
+    })
+    offers = catalog.groupBy("commodity_code").agg(F.max("external_id").alias("__id"), F.lit(True).alias("__listed"))
+    units = catalog.select("commodity_code", "attribute_id", F.col("unit").alias("__unit"), F.lit(True).alias("__offered")).dropDuplicates(["commodity_code", "attribute_id"])
+    rows = rows.join(offers, "commodity_code", "left").join(units, ["commodity_code", "attribute_id"], "left")
+    filled, served = F.col("metric_code").isNotNull(), F.col("__listed") & F.col("__id").isNotNull()
+    checks = {
+        "NO_METRICS": ~filled,
+        "DUPLICATE_COMMODITY": F.col("__series") < F.col("place"),
+        "NO_COUNTRY": filled & F.col("country").isNull(),
+        "DUPLICATE_GRAIN": filled & F.col("country").isNotNull() & (F.col("__grain") < own),
+        "ATTRIBUTE_REUSED": filled & (F.col("__attribute") < own),
+        "UNAVAILABLE": F.col("__listed") & F.col("__id").isNull(),
+        "OTHER_ID": served & ~F.col("__id").eqNullSafe(F.col("external_id")),
+        "UNKNOWN_ATTRIBUTE": served & filled & F.col("__offered").isNull(),
+        "OTHER_UNIT": served & filled & F.col("__offered") & ~F.col("__unit").eqNullSafe(F.col("unit")),
+    }
+    issues = F.array_compact(F.array(*(F.when(c, name) for name, c in checks.items())))
+    return rows.select("place", "commodity_code", "metric_code", issues.alias("issues")).filter(F.size("issues") > 0)
+
+
+def identifier(name: str) -> str:
+    """A metric's name as a column name: lower case letters, digits and underscores, no digit first; else ValueError."""
+    if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"not a column name: {name!r}")
+    return name.lower()

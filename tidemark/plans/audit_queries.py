@@ -165,6 +165,20 @@ def profile_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiles(spark, sf_dir).select("profile_code", registry.composition("growing_regions").alias("growing_regions"), registry.composition("instruments").alias("instruments"), registry.train_start().alias("train_start"))
 
 
+_LABEL = "element_at(array('daily', 'weekly', 'monthly', 'yearly'), n_nationkey % 4 + 1)"
+
+
+@query("profile_models", """WITH m AS (SELECT r_name AS profile_code, n_name AS model_code, 'f' || n_nationkey % 3 AS family, ['daily', 'weekly', 'monthly', 'yearly'][n_nationkey % 4 + 1] AS horizon FROM nation JOIN region ON n_regionkey = r_regionkey),
+w AS (SELECT * FROM m WHERE horizon = 'weekly')
+SELECT r_name AS profile_code, model_code, family, horizon, CASE WHEN horizon = 'weekly' THEN 5 END AS days, CASE WHEN model_code IS NULL THEN 'no horizon weekly' END AS error FROM region LEFT JOIN w ON r_name = profile_code""")
+def profile_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly models of each profile."""
+    nations = star.table(spark, sf_dir, "nation").join(star.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entry = F.struct(F.col("n_name").alias("model_code"), F.concat(F.lit("f"), (F.col("n_nationkey") % 3).cast("string")).alias("family"), F.expr(_LABEL).alias("horizon"))
+    profiles = nations.groupBy(F.col("r_name").alias("profile_code")).agg(F.to_json(F.struct(F.collect_list(entry).alias("models"))).alias("profile"))
+    return registry.models(profiles, "profile_code", horizon="weekly")
+
+
 # --- small reads and features
 
 
