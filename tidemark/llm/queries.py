@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, line_dedup, near_dedup, sharding, substring_dedup, token_counts, topk, toxicity, urls
+from tidemark.llm import alignment, bpe, centroids, decontaminate, languages, line_dedup, near_dedup, sharding, substring_dedup, token_counts, topk, toxicity, urls
 
 from tidemark.llm.common import fresh_path
 
@@ -176,6 +176,52 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = languages.fit(docs)
+    return languages.label(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return centroids.with_inertia(assigned, found)
+
+
+OP13_ROUNDS = 10
+
+
+def _distances(of: str) -> str:
+    """Each vector's nearest centroid: the least (distance, number)."""
+    return f"""SELECT v.vec_id, v.v, arg_min(c.c, (list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.c)) AS c,
+    min((list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.c))[1]::BIGINT AS d
+  FROM v, {of} c GROUP BY v.vec_id, v.v"""
+
+
+def _round(k: int) -> str:
+    return f"""a{k} AS MATERIALIZED ({_distances(f"c{k}")}
+), m{k} AS (SELECT c, i, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS x FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i
+), c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.v, o.v) AS v FROM c{k} o LEFT JOIN (SELECT c, list(x::BIGINT ORDER BY i) AS v FROM m{k} GROUP BY c) n ON o.c = n.c)"""
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8
+), {", ".join(_round(k) for k in range(OP13_ROUNDS))}, last AS MATERIALIZED ({_distances(f"c{OP13_ROUNDS}")})
+SELECT l.vec_id, l.c::INT AS cluster, l.d AS distance, sum(l.d) OVER (PARTITION BY l.c)::BIGINT AS cluster_inertia, sum(l.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM last l JOIN c{OP13_ROUNDS} c ON l.c = c.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -187,6 +233,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_language_id": op11_language_id,
+    "op12_alignment": op12_alignment,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -194,4 +243,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_topk": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op13_centroids": OP13_SQL,
 }
