@@ -14,6 +14,8 @@ language switches as in mixed text.
 Forward-backward runs over all texts of a batch at once. Texts are cut into lanes of ``LANE`` words; products of the
 lanes' transfer matrices carry the messages over a lane's ends, so the result is that of one pass over the whole text.
 
+Words are runs of letters, lower-cased, and told apart by 64-bit hashes, which are worked out for a whole batch at once.
+
 Defined results: null texts and texts without letters are ``und`` with a score of 0; ties go to the smaller name; null
 and empty names of languages are not learned; without any language every text is ``und``, with one every text with
 letters has it; a null id is not held out (the remainder of an empty text is 0); repeated rows are each labelled; an empty
@@ -24,7 +26,6 @@ languages is meant to be hundreds at most, as the work grows with its square.
 from __future__ import annotations
 
 import functools
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,51 +45,74 @@ GRAMS, GRAM_BITS, LEXICON_BITS = (2, 3, 4), 16, 16
 STEPS, RATE, PENALTY = 120, 0.08, 2e-4
 #: Words of a lane, lanes that are worked on together.
 LANE, LANES = 96, 4096
-#: Words, and characters of words, that a process remembers at most.
-WORD_TABLE, TABLE_CHARS = 400_000, 16_000_000
+#: Words that a process remembers at most.
+WORD_TABLE = 400_000
 MOST_POTENTIAL = 30.0
-_WORD = re.compile(r"[^\W\d_]+")
-_START, _END = "\x02", "\x03"
+_START, _END = 2, 3
 
 
 def remainder(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased (and other signs that ``isalnum`` takes but for digits)."""
-    if not text:
-        return []
-    lower = text.lower()
-    return _WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in _WORD.findall(text)]
-
-
-def has_letter(word: str) -> bool:
-    return word.isalpha() or any(map(str.isalpha, word))
-
-
-def _points(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(f"{_START}{w}{_END}" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _whole(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    place = np.arange(len(points)) - np.repeat(starts, np.diff(starts, append=len(points)))
-    return np.add.reduceat(mix64(points + (place.astype(np.uint64) << np.uint64(24))), starts)
+@functools.lru_cache(maxsize=1)
+def _factors(size: int) -> np.ndarray:
+    return mix64(np.arange(1, size + 1).astype(np.uint64)) | np.uint64(1)
 
 
-def hashes_of(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word, all at once."""
-    points = _points(words)
-    return _whole(points, np.flatnonzero(points == ord(_START)))
-
+@dataclass
+class Words:
+    """The words (runs of letters) of a batch of texts, lower-cased: code points, where each word lies in them, its text
+    and its 64-bit hash. Words are told apart by their hashes; no word becomes an object of its own."""
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of words, the word that each belongs to (ascending), and a 64-bit hash of each word."""
-    points = _points(words)
-    of = np.cumsum(points == ord(_START)) - 1
-    starts = np.flatnonzero(points == ord(_START))
+    points: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray  # where each text begins
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Words:
+        lowered = [(t or "").lower() for t in texts]
+        points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[points]
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        if letter[0]:
+            edges = np.concatenate([[0], edges])
+        start, end = edges[0::2], edges[1::2]  # the last point is none
+        size = end - start
+        own = points[letter].astype(np.uint64)
+        at = np.cumsum(size) - size
+        place = np.arange(len(own)) - np.repeat(at, size)
+        factors = _factors(max(256, 1 << int(size.max(initial=0)).bit_length()))
+        hashes = mix64(np.add.reduceat(own * factors[place], at)) if len(at) else np.empty(0, np.uint64)
+        lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+        return cls(points, start, end, np.searchsorted(np.cumsum(lengths), start, side="right"), hashes, np.cumsum(lengths) - lengths)
+
+    def marked(self, which: np.ndarray) -> np.ndarray:
+        """The code points of some words one after another, each with marks for its ends."""
+        size = self.end[which] - self.start[which]
+        at = np.cumsum(size + 2) - size - 2
+        out = np.empty(int(size.sum()) + 2 * len(which), np.uint64)
+        out[at], out[at + size + 1] = _START, _END
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(at + 1, size) + within] = self.points[np.repeat(self.start[which], size) + within]
+        return out
+
+    def show(self, k: int) -> str:
+        return self.points[self.start[k] : self.end[k]].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of marked words, and the word that each belongs to (ascending)."""
+    of = np.cumsum(points == _START) - 1
     hashes, owners = [], []
     for n in GRAMS:
         if len(points) < n:
@@ -100,9 +124,11 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = of[: len(h)] == of[n - 1 :]
         hashes.append((h[inside] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - GRAM_BITS))
         owners.append(of[: len(h)][inside])
-    whole = _whole(points, starts)
-    order = np.argsort(np.concatenate(owners), kind="stable") if owners else np.empty(0, np.int64)
-    return (np.concatenate(hashes)[order] if hashes else np.empty(0, np.uint64)).astype(np.int64), np.concatenate(owners)[order] if owners else order, whole
+    if not owners:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(hashes)[order].astype(np.int64), owner[order]
 
 
 def bucket(word_hashes: np.ndarray) -> np.ndarray:
@@ -123,10 +149,10 @@ class Model:
     transitions: np.ndarray
     start: np.ndarray
 
-    def potentials(self, words: list[str]) -> np.ndarray:
-        gram, of, whole = grams(words)
-        out = self.lexicon[bucket(whole)].astype(np.float64)
-        first = np.searchsorted(of, np.arange(len(words)))
+    def potentials(self, words: Words, which: np.ndarray) -> np.ndarray:
+        gram, of = grams(words.marked(which))
+        out = self.lexicon[bucket(words.hash[which])].astype(np.float64)
+        first = np.searchsorted(of, np.arange(len(which)))
         if len(gram):
             out += np.add.reduceat(self.weights[gram], first, axis=0)
         return np.clip(out, -MOST_POTENTIAL, MOST_POTENTIAL)
@@ -250,71 +276,65 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars, self.factors = 0, np.empty((0, len(self.model.langs)))
+        self.known: dict[int, int] = {}
+        self.factors = np.empty((0, len(self.model.langs)))
 
-    def look_up(self, each: list[list[str]]) -> list[np.ndarray]:
-        """For each text its words' places in the table; -1 for words without a letter."""
-        if len(self.known) > WORD_TABLE or self.chars > TABLE_CHARS:
+    def look_up(self, words: Words) -> np.ndarray:
+        """Each word's place in the table of factors."""
+        if len(self.known) > WORD_TABLE:
             self.clear()
-        lacking = {w for words in each for w in words if w not in self.known}
-        if lacking:
-            lettered = [w for w in lacking if has_letter(w)]
-            for w in lacking:
-                self.known[w] = -1
-            self.known.update(zip(lettered, range(len(self.factors), len(self.factors) + len(lettered)), strict=True))
-            self.chars += sum(map(len, lacking))
-            if lettered:
-                found = self.model.potentials(lettered)
-                self.factors = np.concatenate([self.factors, np.exp(found - found.max(axis=1, keepdims=True))])
-        return [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in each]
-
-    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Each text's language, its score, its words with letters, and the states of all its words (-1: no letter)."""
-        each = [words_of(t) for t in texts]
+        kinds, first, kind = np.unique(words.hash, return_index=True, return_inverse=True)
+        place = np.fromiter((self.known.get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
+        lacking = np.flatnonzero(place < 0)
+        if len(lacking):
+            found = self.model.potentials(words, first[lacking])
+            place[lacking] = np.arange(len(self.factors), len(self.factors) + len(lacking))
+            self.known.update(zip(kinds[lacking].tolist(), place[lacking].tolist(), strict=True))
+            self.factors = np.concatenate([self.factors, np.exp(found - found.max(axis=1, keepdims=True))])
+        return place[kind]
+
+    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, Words, np.ndarray]:
+        """Each text's language, score and number of words; all words and their states."""
+        words = Words.of(texts)
+        lengths = np.bincount(words.text, minlength=len(texts))
         if not self.model.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.array([sum(map(has_letter, ws)) for ws in each], np.int64), [np.full(len(ws), -1) for ws in each]
-        places = self.look_up(each)
-        flat = np.concatenate(places) if places else np.empty(0, np.int64)
-        lengths = np.array([int((p >= 0).sum()) for p in places], np.int64)
-        used = flat[flat >= 0]
-        sums, state = self.chain.run(self.factors[used], lengths)
+            return ["und"] * len(texts), np.zeros(len(texts)), lengths, words, np.full(len(words.start), -1)
+        place = self.look_up(words)
+        sums, state = self.chain.run(self.factors[place], lengths)
         best = sums.argmax(axis=1) if len(texts) else np.empty(0, np.int64)
         score = np.where(lengths > 0, sums[np.arange(len(texts)), best] / np.maximum(lengths, 1), 0.0)
         lang = [self.model.langs[b] if n else "und" for b, n in zip(best.tolist(), lengths.tolist(), strict=True)]
-        every = np.full(len(flat), -1)
-        every[flat >= 0] = state
-        return lang, np.clip(score, 0.0, 1.0), lengths, np.split(every, np.cumsum(list(map(len, places)))[:-1]) if places else []
+        return lang, np.clip(score, 0.0, 1.0), lengths, words, state
 
 
 def _learn(batches, n_langs: int):
     """Of a task: counts of the lexicon (kind 0), the passages of least hash (kind 1), and texts (kind 2)."""
-    counts, texts = np.zeros((n_langs, 1 << LEXICON_BITS), np.int64), np.zeros(n_langs, np.int64)
+    counts, texts = np.zeros(n_langs << LEXICON_BITS, np.int64), np.zeros(n_langs, np.int64)
     kept: list[dict[int, str]] = [{} for _ in range(n_langs)]
-    places: dict[str, int] = {}
     for batch in batches:
-        each = [words_of(t) for t in batch.column(0).to_pylist()]
-        if len(places) > WORD_TABLE or sum(map(len, places)) > TABLE_CHARS:
-            places.clear()
-        lacking = list({w for words in each for w in words if w not in places})
-        places.update(zip(lacking, bucket(hashes_of(lacking)).tolist(), strict=True))
-        for words, lang in zip(each, batch.column(1).to_pylist(), strict=True):
-            if not words:
-                continue
-            counts[lang, np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))] += 1
-            texts[lang] += 1
-            h = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) >> 1
-            own = kept[lang]
-            if len(own) < 2 * PASSAGES or h < max(own):
-                at = h % max(1, len(words) - PASSAGE_WORDS + 1)
-                own[h] = " ".join(w for w in words[at : at + PASSAGE_WORDS] if len(w) <= LONGEST_WORD and has_letter(w))
-                if len(own) > 3 * PASSAGES:
-                    kept[lang] = dict(sorted(own.items())[:PASSAGES])
-    for lang in range(n_langs):
-        at = np.flatnonzero(counts[lang])
-        yield _learned(0, lang, at, counts[lang][at], [None] * len(at))
-        best = sorted(kept[lang].items())[:PASSAGES]
-        yield _learned(1, lang, np.array([h for h, _ in best], np.int64), np.zeros(len(best), np.int64), [p for _, p in best])
+        own, lang = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        words = Words.of(own)
+        # a text counts once for each of its words
+        once = np.unique((words.text.astype(np.int64) << LEXICON_BITS) | bucket(words.hash))
+        place = (lang[once >> LEXICON_BITS].astype(np.int64) << LEXICON_BITS) | (once & ((1 << LEXICON_BITS) - 1))
+        counts += np.bincount(place, minlength=len(counts))
+        n_words = np.bincount(words.text, minlength=len(own))
+        texts += np.bincount(lang[n_words > 0], minlength=n_langs)
+        begin = np.cumsum(n_words) - n_words
+        for k in np.flatnonzero(n_words).tolist():
+            h, held = xxhash.xxh64_intdigest(own[k].encode("utf-8", "surrogatepass")) >> 1, kept[lang[k]]
+            if len(held) < 2 * PASSAGES or h < max(held):
+                at = int(begin[k]) + h % max(1, int(n_words[k]) - PASSAGE_WORDS + 1)
+                some = range(at, min(at + PASSAGE_WORDS, int(begin[k] + n_words[k])))
+                held[h] = " ".join(words.show(w) for w in some if words.end[w] - words.start[w] <= LONGEST_WORD)
+                if len(held) > 3 * PASSAGES:
+                    kept[lang[k]] = dict(sorted(held.items())[:PASSAGES])
+    counts = counts.reshape(n_langs, -1)
+    for k in range(n_langs):
+        at = np.flatnonzero(counts[k])
+        yield _learned(0, k, at, counts[k][at], [None] * len(at))
+        best = sorted(kept[k].items())[:PASSAGES]
+        yield _learned(1, k, np.array([h for h, _ in best], np.int64), np.zeros(len(best), np.int64), [p for _, p in best])
     yield _learned(2, 0, np.arange(n_langs), texts, [None] * n_langs)
 
 
@@ -336,12 +356,12 @@ def fit_weights(passages: list[tuple[int, list[str]]], langs: list[str], counts:
         length = min(SEQUENCE, len(words))
         used = len(words) // length * length
         words, gold = words[:used], gold[:used]
-        kinds = sorted(set(words))
-        at = np.array(list(map({w: k for k, w in enumerate(kinds)}.__getitem__, words)))
-        gram, of, whole = grams(kinds)
+        known = Words.of([" ".join(words)])
+        kinds, own, at = np.unique(known.hash, return_index=True, return_inverse=True)
+        gram, of = grams(known.marked(own))
         first = np.searchsorted(of, np.arange(len(kinds)))
         one = np.eye(n)[gold]
-        ratio = log_ratio(np.maximum(counts[bucket(whole)][at] - one, 0), texts[None, :])
+        ratio = log_ratio(np.maximum(counts[bucket(known.hash)] - one, 0), texts[None, :])
         seen = np.zeros((n, n))
         same = np.ones(used, bool)
         same[::length] = False
@@ -400,27 +420,30 @@ def _label_all(batches, model, text_at: int, keep: list[int], names: list[str],
     own = Labeller(model.value)
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
-        lang, score, n_words, states = own.label(texts)
-        lettered = [s[s >= 0] for s in states]
-        switches = [int((s[1:] != s[:-1]).sum()) for s in lettered]
+        lang, score, n_words, words, state = own.label(texts)
+        switched = np.flatnonzero((state[1:] != state[:-1]) & (words.text[1:] == words.text[:-1])) + 1
+        switches = np.bincount(words.text[switched], minlength=len(texts))
         made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n_words, pa.int64()), pa.array(switches, pa.int64())]
         if spans:
-            found = [spans_of(t, s, model.value.langs) for t, s in zip(texts, states, strict=True)]
+            found = spans_of(texts, words, state, model.value.langs)
             made.append(pa.array([[dict(zip(("start", "end", "lang"), x, strict=True)) for x in f] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names)
 
 
-def spans_of(text: str | None, states: np.ndarray, langs: list[str]) -> list[tuple[int, int, str]]:
-    """Runs of words of one language: start and end as characters, and the language."""
-    out: list[list] = []
-    for m, s in zip(_WORD.finditer(text or ""), states.tolist(), strict=True):
-        if s < 0:
-            continue
-        if out and out[-1][2] == langs[s]:
-            out[-1][1] = m.end()
-        else:
-            out.append([m.start(), m.end(), langs[s]])
-    return [tuple(x) for x in out]
+def spans_of(texts: list[str | None], words: Words, state: np.ndarray, langs: list[str]) -> list[list[tuple[int, int, str]]]:
+    """Of each text the runs of words of one language: start and end as characters of the text, and the language."""
+    out: list[list[list]] = [[] for _ in texts]
+    for start, end, k, s in zip((words.start - words.first[words.text]).tolist(), (words.end - words.first[words.text]).tolist(), words.text.tolist(), state.tolist(), strict=True):
+        if s >= 0:
+            if out[k] and out[k][-1][2] == langs[s]:
+                out[k][-1][1] = end
+            else:
+                out[k].append([start, end, langs[s]])
+    for k, t in enumerate(texts):
+        if t and len(t.lower()) != len(t):  # some letters take more room in lower case
+            ends = np.cumsum([len(c.lower()) for c in t])
+            out[k] = [[int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b, side="left")) + 1, x] for a, b, x in out[k]]
+    return [[tuple(x) for x in own] for own in out]
 
 
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
