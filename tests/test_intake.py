@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
-from tidemark.operators import intake
 from tidemark.sources import landed
 
 
@@ -64,33 +63,3 @@ def test_balance_sheet_fails_closed(spark):
     for rows, message in (([row[:5] + ("kg", 5.0)], "unit drift"), ([row, row], "two rows")):
         with pytest.raises(Exception, match=message):
             landed.balance_sheet(spark.createDataFrame(rows, schema), wanted).collect()
-
-
-def test_batch_is_written_whole_or_not_at_all(spark, tmp_path):
-    dims = {
-        "commodity_code": (spark.createDataFrame([("A", 1)], "code string, key int"), "code", "key"),
-        "region_code": (spark.createDataFrame([("R", 9)], "code string, key int"), "code", "key"),
-        "data_source_code": (spark.createDataFrame([("S", 3)], "code string, key int"), "code", "key"),
-    }
-    base = {"data_source_code": "S", "commodity_code": "A", "region_code": "R", "metric_code": "rain", "observation_date": "2024-01-01", "release_date": "2024-01-02", "value": "1.5", "revision": "0"}
-
-    def plan(*changes, held=()):
-        raw = spark.createDataFrame([("weather_daily", {k: v for k, v in {**base, **c}.items() if v is not None}) for c in changes], "family string, fields map<string,string>")
-        return intake.plan_writes(intake.parse_records(raw), dims, spark.createDataFrame([(g,) for g in held], "grain string"))
-
-    written = []
-    write = lambda df: written.append(df.collect())
-    fine = plan({}, {"observation_date": "2024-01-02"})
-    grain = sorted(r.grain for r in fine.collect())[0]
-    assert intake.write_batch(fine, write) == {"INSERT": 2} and not written
-    assert intake.write_batch(plan({}, held=[grain]), write, dry_run=False) == {"CONFLICT": 1}
-    assert intake.write_batch(plan({}, {"release_date": "2023-01-01"}), write, dry_run=False) == {"INSERT": 1, "REJECTED": 1}
-    assert intake.write_batch(plan({}, {"value": "2"}), write, dry_run=False) == {"INSERT": 2, "REPEATED": 1} and not written
-    assert intake.write_batch(fine, write, dry_run=False) == {"INSERT": 2} and len(written[0]) == 2
-    bad = plan({"commodity_code": None}, {"region_code": "X"}, {"metric_code": None}, {"release_date": "soon"}).collect()
-    assert [r.errors for r in bad] == [["MISSING_COMMODITY"], ["UNKNOWN_REGION"], ["MISSING_METRIC"], ["INVALID_DATE", "MISSING_RELEASE_DATE"]]
-
-
-def test_values_as_decimals(spark):
-    df = spark.createDataFrame([("1.50", "1.5"), ("1", "2"), (None, None), ("a", "a"), ("a", "b")], "v string, o_v string")
-    assert [r.x for r in df.select(intake.same_values(("v",), "o_").alias("x")).collect()] == [True, False, True, True, False]

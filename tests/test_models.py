@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import cashflow, forecast, kernels, payload
+from tidemark.operators import asof, cashflow, forecast, kernels, payload
 
 CONFIG = cashflow.Config()
 
@@ -120,7 +120,7 @@ def series(spark):
 
 def test_payload_holds_the_chosen_models_path(spark):
     rows = series(spark)
-    made = payload.payloads(rows, horizons=(10, 30), min_train=252, folds=4).cache()
+    made = payload.payloads(rows, horizons=(10, 30), min_train=252, folds=4, models=("ridge", "ou")).cache()
     got = {r.commodity_key: r for r in made.collect()}
     assert [got[k].available for k in (1, 2, 3)] == [True, False, False]
     assert got[2].reason == "need >= 252 prices, have 251" and got[2].horizons is None and got[3].history_points == 0 and got[3].last_price is None
@@ -158,7 +158,7 @@ def test_requests_and_pools(spark):
     asked = spark.createDataFrame([(1, "statsmodels"), (1, "xgboost"), (1, "vector"), (1, None), (4, "fourier")], "commodity_key int, family string")
     got = {(r.commodity_key, r.family): (r.status, r.model, r.error, r.beats_naive) for r in payload.run(asked, scores).collect()}
     assert got[1, "statsmodels"] == ("ok", "ridge", None, True) and got[4, "fourier"] == ("skipped", "ridge", None, False)
-    assert got[1, "xgboost"] == ("failed", None, "xgboost is not installed", False) and got[1, "vector"][2] == "unsupported family vector" and got[1, None][0] == "failed"
+    assert got[1, "xgboost"] == ("skipped", "gbm", None, False) and got[1, "vector"][2] == "unsupported family vector" and got[1, None][0] == "failed"
     pools = {(r.commodity_key, r.pool): (r.choice, r.mape, r.edge) for r in payload.pools(scores, {"a": ("ridge",), "b": ("ridge", "ou")}).collect()}
     assert pools == {(1, "a"): ("naive", 10.0, 0.0), (1, "b"): ("ou", 8.0, 2.0), (2, "a"): ("naive", 10.0, 0.0), (2, "b"): ("naive", 10.0, 0.0)}
 
@@ -179,3 +179,55 @@ def test_kernels_of_whole_series_are_those_of_one(spark):
     wave = spark.createDataFrame([(1, dt.date(2020, 1, 1) + dt.timedelta(k), float(np.exp(0.1 * np.sin(2 * np.pi * k / 50)))) for k in range(800)], "commodity_key int, price_date date, y double")
     found = kernels.find_cycles(wave, 10).collect()
     assert abs(found[0].period - 50) < 3 and found[0].r2 > 0.9
+
+
+def test_drivers_are_those_known_on_each_day(spark):
+    """A later revision changes no row of the design before its release, and so no earlier fold."""
+    days = [dt.date(2022, 1, 1) + dt.timedelta(k) for k in range(420)]
+    r = np.random.RandomState(2)
+    rain = np.repeat(r.randn(60), 7)
+    y = 50 * np.exp(np.cumsum(0.01 * r.randn(420)) + 0.05 * np.concatenate([np.zeros(10), np.cumsum(rain[:-10]) / 20]))
+    prices = spark.createDataFrame([(1, d, float(v)) for d, v in zip(days, y)], "commodity_key int, price_date date, y double")
+    dims = spark.createDataFrame([(1,)], "commodity_key int")
+    schema = "commodity_key int, dim_key int, metric_code string, observation_date date, release_date date, revision int, source_fact_id long, metric_value double"
+    facts = [(1, None, "rain", days[7 * k], days[7 * k] + dt.timedelta(2), 0, k, float(rain[7 * k])) for k in range(60)]
+    late = [(1, None, "rain", days[7 * k], days[350], 1, 100 + k, 99.0) for k in range(60) if 7 * k < 350]
+
+    def rows(own):
+        panel = asof.wide(asof.collapse(asof.as_of(spark.createDataFrame(own, schema), "2022-01-01", "2023-03-01", dims)), ["rain"])
+        return payload.with_drivers(prices, panel, ["rain"])
+
+    plain, revised = (sorted((r.price_date, r.drivers) for r in rows(f).collect()) for f in (facts, facts + late))
+    assert plain[:350] == revised[:350] and plain[350:] != revised[350:]
+    assert plain[0][1] == [0.0] and plain[2][1] == [float(rain[0])] and len(plain) == 420
+    judged = [{(r.horizon): r for r in kernels.judged(rows(f).filter(F.col("price_date") < F.lit(days[350])), (10,), 200, 4, ("ridge", "gbm"), 200, 0.02).collect()} for f in (facts, facts + late)]
+    assert judged[0][10].candidates == judged[1][10].candidates
+    bare = kernels.judged(prices.filter(F.col("price_date") < F.lit(days[350])), (10,), 200, 4, ("ridge", "gbm"), 200, 0.02).first()
+    assert set(bare.candidates) == {"ridge", "gbm"} and bare.candidates != judged[0][10].candidates
+    # the fit itself: drivers are columns of the design
+    ly, d = np.log(y), np.arange(420.0)
+    x, later = kernels.fitted_rows(ly, d, 10, np.array([v for _, v in plain]))
+    assert x.shape == (360, 10) and len(later) == 350 and np.allclose(x[:, -1], [v[0] for _, v in plain[60:]])
+    path = kernels.ridge_path(ly, d, d[-1] + np.arange(1, 11), np.array([v for _, v in plain]))
+    assert np.log(path[-1] / y[-1]) == pytest.approx(float(x[-1] @ kernels.ridge(x[:350], later)))
+
+
+def test_supply_model_is_a_candidate(spark):
+    """A steady rise is what the supply model's trend forecasts better than the last price; its folds are the daily path's."""
+    days = [dt.date(2019, 1, 1) + dt.timedelta(k) for k in range(1100)]
+    days = [d for d in days if d.weekday() < 5]
+    rows = [(1, d, 30.0 + 0.04 * k + (0.001 if k % 2 else 0.0), 100.0, 60.0, 70.0) for k, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "commodity_key int, price_date date, price double, a double, i double, s double")
+    daily = cashflow.frame(df, {"planted_area": "a", "import_volume": "i", "inventory": "s"})
+    prices = df.select("commodity_key", "price_date", F.col("price").alias("y"))
+    folds = {r.cut: r for r in cashflow.fold_errors(daily, CONFIG, 60, 500, 3).collect()}
+    assert sorted(folds) == kernels.cut_points(len(rows), 500, 60, 3)
+    cut = sorted(folds)[1]
+    alone = cashflow.daily_path(daily.filter(F.col("price_date") < F.lit(days[cut])), CONFIG, 60).filter("step = 60").first()
+    assert folds[cut].predicted == pytest.approx(alone.predicted) and folds[cut].actual == pytest.approx(rows[cut + 59][2])
+    made = payload.payloads(prices, (60,), 500, 3, (), daily=daily, config=CONFIG).first().horizons[60]
+    mape = 100 * np.mean([abs(f.actual - f.predicted) / f.actual for f in folds.values()])
+    assert made.model_used == "supply" and made.backtest.candidates["supply"] == pytest.approx(mape, abs=0.006) and made.backtest.supply_considered
+    assert made.backtest.mape_pct == pytest.approx(mape, abs=0.006) and len(made.points) == 60 and all(p.lower <= p.value <= p.upper for p in made.points)
+    without = payload.payloads(prices, (60,), 500, 3, ("ou",)).first().horizons[60]
+    assert "supply" not in without.backtest.candidates and not without.backtest.supply_considered

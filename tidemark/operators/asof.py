@@ -91,6 +91,52 @@ def collapse(events: DataFrame) -> DataFrame:
     return best.select(*key, "x.*")
 
 
+RANK = ("observation_date", "release_date", "source_fact_id", "metric_value")
+
+
+def merged(cut: DataFrame, families: list[str], end: str) -> DataFrame:
+    """The intervals of several families (column ``family``) as one set: where a key has winners of more than one on a day,
+    the greatest (observation, release, id, value) stays. A winner stands until its family's next one, so each family's is
+    the last so far at every day on which any changes."""
+    w = Window.partitionBy(*KEYS).orderBy("a")  # rows of one day see each other
+    rank = F.struct(*(F.col(f"winner.{c}").alias(c) for c in RANK))
+    now = F.array_max(F.array_compact(F.array(*(F.last(F.when(F.col("family") == f, rank), ignorenulls=True).over(w) for f in families))))
+    points = cut.select(*KEYS, "a", now.alias("winner"))
+    once = points.groupBy(*KEYS, "a").agg(F.max("winner").alias("winner"))
+    return once.withColumn("b", F.coalesce(F.date_sub(F.lead("a").over(w), 1), F.to_date(F.lit(end))))
+
+
+def scalar_spans(cut: DataFrame) -> DataFrame:
+    """commodity_key, metric_code, dim_key, winner, a, b: of the intervals of a commodity's metric those of the dimension
+    that comes first (none at all, then the smallest number). A dimension that has been seen stays, so another one's
+    intervals count until the first day of one that comes before it: days are never spread out for it."""
+    first = cut.groupBy(*KEYS).agg(F.min("a").alias("__first"))
+    before = Window.partitionBy("commodity_key", "metric_code").orderBy(F.col("dim_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    limits = first.withColumn("__until", F.min("__first").over(before)).select(*(F.col(k).alias(f"__{k}") for k in KEYS), "__until")
+    same = F.lit(True)
+    for k in KEYS:
+        same = same & cut[k].eqNullSafe(F.col(f"__{k}"))
+    own = cut.join(limits, same).filter("__until is null or a < __until")
+    return own.select(*KEYS, "winner", "a", F.least("b", F.coalesce(F.date_sub("__until", 1), F.col("b"))).alias("b"))
+
+
+def wide_runs(scalars: DataFrame, metrics: list[str], end: str) -> DataFrame:
+    """commodity_key, first_day, last_day and a winner for each metric: one row for each run of days on which nothing
+    changes. What is shuffled are changes."""
+    changed = scalars.withColumnRenamed("a", "first_day").groupBy("commodity_key", "first_day").pivot("metric_code", metrics).agg(F.first("winner", ignorenulls=True))
+    w = Window.partitionBy("commodity_key").orderBy("first_day")
+    last = F.coalesce(F.date_sub(F.lead("first_day").over(w), 1), F.to_date(F.lit(end)))
+    so_far = {m: F.last(F.col(f"`{m}`"), ignorenulls=True).over(w) for m in metrics}
+    return changed.select("commodity_key", "first_day", last.alias("last_day"), *(c.alias(m) for m, c in so_far.items()))
+
+
+def documents(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """as_of_date, commodity_key, features: for each day an array of structs in the order of the metrics' names."""
+    item = lambda m: F.struct(F.lit(m).alias("metric_code"), *(F.col(f"`{m}`.{c}").alias(c) for c in ("metric_value", "observation_date", "release_date")))
+    held = F.array_compact(F.array(*(F.when(F.col(f"`{m}`").isNotNull(), item(m)) for m in sorted(metrics))))
+    return runs.select("commodity_key", held.alias("features"), F.explode(F.sequence("first_day", "last_day")).alias("as_of_date"))
+
+
 def as_document(scalars: DataFrame) -> DataFrame:
     """as_of_date, commodity_key, features: an array of structs in the order of the metrics."""
     item = F.struct("metric_code", "metric_value", "observation_date", "release_date")

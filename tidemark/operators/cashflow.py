@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import business_day_after
-from tidemark.operators.forecast import supply
+from tidemark.operators.forecast import cut_points, numbered, supply
 
 #: What drives the supply, and the value of those that a frame lacks (None: it must have them).
 DRIVERS = {"planted_area": None, "import_volume": None, "inventory": None, "weather_index": 1.0, "pest_index": 1.0, "quality_delta": 0.0, "import_shock": 0.0, "k": 1.0}
@@ -80,13 +80,13 @@ def mechanical(history: DataFrame, config: Config, future: DataFrame | None = No
     return rows.withColumn("p_mechanical", F.col("m_flow") / F.greatest("q", F.lit(config.floor)) * F.col("k")).withColumn("t", t)
 
 
-PARTS = "commodity_key int, month date, known boolean, price double, q double, m_flow double, p_mechanical double, p_rest double, p_total double"
+PARTS = "month date, known boolean, price double, q double, m_flow double, p_mechanical double, p_rest double, p_total double"
 
 
 def decomposed(rows: DataFrame, config: Config) -> DataFrame:
     """What mechanical() gives with p_rest, the trend and seasons fitted to what known prices leave, and the sum of both;
     nulls for a series of too few known rows. A series' months are one group: some hundred rows."""
-    names = [c.split()[0] for c in PARTS.split(", ")]
+    names = ["commodity_key", *(c.split()[0] for c in PARTS.split(", "))]
 
     def kernel(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i").reset_index(drop=True)
@@ -102,7 +102,7 @@ def decomposed(rows: DataFrame, config: Config) -> DataFrame:
         return pdf[names]
 
     needed = rows.select("commodity_key", "month", "i", "t", "known", "price", "q", "m_flow", "p_mechanical")
-    out = needed.groupBy("commodity_key").applyInPandas(kernel, PARTS)
+    out = needed.groupBy("commodity_key").applyInPandas(kernel, f"commodity_key {rows.schema['commodity_key'].dataType.simpleString()}, {PARTS}")
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("price", "p_rest", "p_total")})
 
 
@@ -148,3 +148,17 @@ def daily_path(daily: DataFrame, config: Config, steps: int) -> DataFrame:
     good = (F.count("p_total").over(w) == F.count("*").over(w)) & (F.max("p_total").over(w) > 0)
     scale = F.when(F.col("first") != 0, F.try_divide("anchor", "first")).otherwise(1.0)
     return rows.select("commodity_key", "step", "target_date", F.when(good, F.col("p_total") * scale).otherwise(F.col("anchor")).alias("predicted"))
+
+
+def fold_errors(daily: DataFrame, config: Config, steps: int, min_train: int, folds: int) -> DataFrame:
+    """commodity_key, cut, predicted, actual: the daily path's last step from every cut, all folds of all series at once.
+
+    A fold is a series of its own, of the rows before its cut; a row travels once for each fold that sees it.
+    """
+    rows = numbered(daily.filter("price > 0"))
+    cuts = cut_points(rows.groupBy("commodity_key").agg(F.max("n").alias("n")), min_train, steps, folds)
+    own = rows.join(cuts, "commodity_key")
+    seen = own.filter("i < cut").withColumn("commodity_key", F.concat_ws("#", F.col("commodity_key").cast("string"), F.col("cut").cast("string")))
+    ends = daily_path(seen.drop("i", "n", "cut"), config, steps).filter(F.col("step") == steps).select(F.col("commodity_key").alias("__fold"), "predicted")
+    true = own.filter(F.col("i") == F.col("cut") + steps - 1).select("commodity_key", "cut", F.col("price").alias("actual"))
+    return true.join(ends, F.concat_ws("#", F.col("commodity_key").cast("string"), F.col("cut").cast("string")) == F.col("__fold")).drop("__fold")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, features, parse
-from tidemark.operators import asof, audit, forecast, intake, kernels, revisions
+from tidemark.operators import asof, audit, forecast, intake, kernels, revisions, writer
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tidemark.plans.registry import with_facts as _with
 from tidemark.sources import star
@@ -119,7 +119,50 @@ def pit_events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _panels(spark: SparkSession, sf_dir: str, families: tuple[str, ...]) -> DataFrame:
+#: All six families in one grid: each commodity's days from its first price to the last day that any family has.
+ALL_FAMILIES, ALL_METRICS = tuple(star.FAMILIES), [*ORDER_METRICS, *EVENT_METRICS]
+
+
+def _lane_sql(family: str) -> str:
+    """Each key's winner from each day on at which it may change, not before the commodity's first price."""
+    return f"""SELECT commodity_key, dim_key, metric_code, '{family}' AS family, greatest(since, first_day) AS since, max(w) AS w FROM (
+  SELECT commodity_key, dim_key, metric_code, since, max(w) OVER (PARTITION BY commodity_key, dim_key, metric_code ORDER BY since) AS w FROM (
+    SELECT d.commodity_key, f.dim_key, f.metric_code, greatest(f.observation_date, f.release_date) AS since, max(ROW(f.observation_date, f.release_date, f.revision, f.source_fact_id, f.metric_value)) AS w
+    FROM {family} f JOIN dim_commodity d ON f.commodity_key = d.commodity_key OR f.commodity_key IS NULL GROUP BY ALL)) JOIN begun USING (commodity_key) WHERE since <= DATE '{EVENT_DAYS[1]}' GROUP BY ALL"""
+
+
+_POINTS = _with("dim_commodity", *ALL_FAMILIES, rest=f""", begun AS (SELECT commodity_key, coalesce(min(observation_date), DATE '2000-01-01') AS first_day FROM dim_commodity LEFT JOIN price USING (commodity_key) GROUP BY 1),
+lanes AS MATERIALIZED ({" UNION ALL ".join(_lane_sql(f) for f in ALL_FAMILIES)}),
+days_of AS (SELECT DISTINCT commodity_key, metric_code, since AS day FROM lanes), each AS (SELECT DISTINCT commodity_key, dim_key, metric_code, family FROM lanes),
+met AS (SELECT q.commodity_key, q.metric_code, q.dim_key, day, w FROM (SELECT * FROM days_of JOIN each USING (commodity_key, metric_code)) q
+  ASOF JOIN lanes l ON q.commodity_key = l.commodity_key AND q.metric_code = l.metric_code AND q.family = l.family AND coalesce(q.dim_key, -1) = coalesce(l.dim_key, -1) AND q.day >= l.since),
+points AS (SELECT commodity_key, metric_code, day, dim_key, w FROM met QUALIFY row_number() OVER (PARTITION BY commodity_key, metric_code, day ORDER BY dim_key NULLS FIRST, w[1] DESC, w[2] DESC, w[4] DESC, w[5] DESC) = 1),
+scalar AS (SELECT as_of_date, g.commodity_key, g.metric_code, dim_key, w[5] AS metric_value, w[4] AS source_fact_id, w[1] AS observation_date, w[2] AS release_date
+  FROM (SELECT commodity_key, metric_code, CAST(unnest(generate_series(first_day, DATE '{EVENT_DAYS[1]}', INTERVAL 1 DAY)) AS DATE) AS as_of_date FROM begun JOIN (SELECT DISTINCT commodity_key, metric_code FROM lanes) USING (commodity_key)) g
+  ASOF JOIN points p ON g.commodity_key = p.commodity_key AND g.metric_code = p.metric_code AND g.as_of_date >= p.day)""")
+
+
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six families' intervals, one winner for each commodity and metric at a time."""
+    dims, end = star.dim_commodity(spark, sf_dir), EVENT_DAYS[1]
+    begun = asof.starts(star.price(spark, sf_dir), dims)
+    parts = [asof.spans(asof.winners(f(spark, sf_dir), dims), begun, end).withColumn("family", F.lit(name)) for name, f in star.FAMILIES.items()]
+    cut = parts[0]
+    for p in parts[1:]:
+        cut = cut.unionByName(p)
+    return asof.scalar_spans(asof.merged(cut, list(ALL_FAMILIES), end))
+
+
+def _wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.wide_runs(_scalars(spark, sf_dir), ALL_METRICS, EVENT_DAYS[1])
+
+
+@query("pit_scalar", _POINTS + " SELECT * FROM scalar")
+def pit_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.on_days(_scalars(spark, sf_dir))
+
+
+def _union_panel(spark: SparkSession, sf_dir: str, families: tuple[str, ...]) -> DataFrame:
     parts = [_panel(f)(spark, sf_dir) for f in families]
     out = parts[0]
     for p in parts[1:]:
@@ -127,32 +170,28 @@ def _panels(spark: SparkSession, sf_dir: str, families: tuple[str, ...]) -> Data
     return out
 
 
-@query("pit_scalar", _panels_sql(ORDER_FAMILIES, _SCALAR + " SELECT * FROM scalar"))
-def pit_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.collapse(_panels(spark, sf_dir, ORDER_FAMILIES))
-
-
 @query("pit_scalar_event", _panels_sql(EVENT_FAMILIES, _SCALAR + " SELECT * FROM scalar"))
 def pit_scalar_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.collapse(_panels(spark, sf_dir, EVENT_FAMILIES))
+    """The two event families over their own days alone, collapsed day by day."""
+    return asof.collapse(_union_panel(spark, sf_dir, EVENT_FAMILIES))
 
 
-@query("pit_features_doc", _panels_sql(ORDER_FAMILIES, _SCALAR + """ SELECT as_of_date, commodity_key, count(*) AS n_features,
-  string_agg(metric_code || '@' || CAST(observation_date AS VARCHAR), ',' ORDER BY metric_code) AS features FROM scalar GROUP BY ALL"""))
+@query("pit_features_doc", _POINTS + """ SELECT as_of_date, commodity_key, count(*) AS n_features,
+  string_agg(metric_code || '@' || CAST(observation_date AS VARCHAR), ',' ORDER BY metric_code) AS features FROM scalar GROUP BY ALL""")
 def pit_features_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = asof.as_document(pit_scalar(spark, sf_dir))
+    docs = asof.documents(_wide_runs(spark, sf_dir), ALL_METRICS)
     shown = F.transform("features", lambda x: F.concat_ws("@", x["metric_code"], x["observation_date"].cast("string")))
     return docs.select("as_of_date", "commodity_key", F.size("features").cast("long").alias("n_features"), F.array_join(shown, ",").alias("features"))
 
 
 _WIDE = ", ".join(f"max(metric_value) FILTER (WHERE metric_code = '{m}') AS {m}" for m in EVENT_METRICS)
-_WIDE_ORDERS = ", ".join(f"""max(metric_value) FILTER (WHERE metric_code = '{m}') AS "{m.replace(' ', '_')}\"""" for m in ORDER_METRICS)
+_WIDE_ALL = ", ".join(f"""max(metric_value) FILTER (WHERE metric_code = '{m}') AS "{m.replace(' ', '_')}\"""" for m in ALL_METRICS)
 
 
-@query("pit_wide", _panels_sql(ORDER_FAMILIES, _SCALAR + f" SELECT as_of_date, commodity_key, {_WIDE_ORDERS} FROM scalar GROUP BY ALL"))
+@query("pit_wide", _POINTS + f" SELECT as_of_date, commodity_key, {_WIDE_ALL} FROM scalar GROUP BY ALL")
 def pit_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = asof.wide(pit_scalar(spark, sf_dir), ORDER_METRICS)
-    return panel.withColumnsRenamed({m: m.replace(" ", "_") for m in ORDER_METRICS})
+    values = [F.col(f"`{m}`.metric_value").alias(m.replace(" ", "_")) for m in ALL_METRICS]
+    return _wide_runs(spark, sf_dir).select(F.explode(F.sequence("first_day", "last_day")).alias("as_of_date"), "commodity_key", *values)
 
 
 _FILLED = ", ".join(f"last_value({m} IGNORE NULLS) OVER w AS {m}" for m in EVENT_METRICS)
@@ -266,15 +305,40 @@ def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return batch, target
 
 
-@query("classify_writes", f"""WITH {_TARGET}, {_BATCH}, held AS (SELECT *, -1 AS seq FROM target UNION ALL SELECT * FROM batch),
-seen AS (SELECT *, first_value(value) OVER i AS v, count(*) OVER i AS n, first_value(value) OVER g AS gv, count(*) OVER g AS gn FROM held
-  WINDOW i AS (PARTITION BY event_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         g AS (PARTITION BY event_id, event_type, day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_id, event_type, day, seq, value, CASE WHEN n > 0 THEN CASE WHEN value IS NOT DISTINCT FROM v THEN 'IDEMPOTENT' ELSE 'CONFLICT' END
-  WHEN gn > 0 THEN CASE WHEN value IS NOT DISTINCT FROM gv THEN 'IDEMPOTENT' ELSE 'CONFLICT' END ELSE 'NEW' END AS outcome FROM seen WHERE seq >= 0""")
+def greedy(name: str, candidates: str) -> str:
+    """CTE ``name`` (recursive) of rounds over candidates (seq, identity, grain): won is true for the records that count."""
+    first = "seq = min(seq) OVER (PARTITION BY grain) AND (identity IS NULL OR seq = min(seq) OVER (PARTITION BY identity)) AS won"
+    return f"""{name} AS (SELECT seq, identity, grain, {first} FROM {candidates} UNION ALL
+  SELECT seq, identity, grain, {first} FROM (SELECT *, bool_or(won) OVER (PARTITION BY grain) AS g, identity IS NOT NULL AND bool_or(won) OVER (PARTITION BY identity) AS i FROM {name}) WHERE NOT won AND NOT g AND NOT i)"""
+
+
+def outcome(batch: str, held: str, name: str) -> str:
+    """CTEs that end in ``name``: ``batch`` (seq, identity, grain, v, h, rejected) with outcome and kind against ``held``."""
+    return f"""{name}_ti AS (SELECT identity, min(ROW(v, h)) AS ti FROM {held} WHERE identity IS NOT NULL GROUP BY 1), {name}_tg AS (SELECT grain, min(ROW(v, h)) AS tg FROM {held} GROUP BY 1),
+{name}_seen AS (SELECT b.*, ti, tg FROM {batch} b LEFT JOIN {name}_ti USING (identity) LEFT JOIN {name}_tg USING (grain)),
+{name}_free AS (SELECT seq, identity, grain FROM {name}_seen WHERE NOT rejected AND ti IS NULL AND tg IS NULL), {greedy(name + "_r", name + "_free")},
+{name}_new AS (SELECT s.seq AS nseq, s.identity AS nidentity, s.grain AS ngrain, ROW(s.v, s.h) AS nx FROM {name}_r r JOIN {name}_seen s USING (seq) WHERE won),
+{name}_met AS (SELECT s.*, coalesce(ti, CASE WHEN i.nseq < s.seq THEN i.nx END) AS pi, coalesce(tg, CASE WHEN g.nseq < s.seq THEN g.nx END) AS pg
+  FROM {name}_seen s LEFT JOIN {name}_new i ON s.identity = i.nidentity LEFT JOIN {name}_new g ON s.grain = g.ngrain),
+{name} AS (SELECT *, CASE WHEN rejected THEN 'REJECTED' WHEN pi IS NOT NULL THEN CASE WHEN pi IS NOT DISTINCT FROM ROW(v, h) THEN 'IDEMPOTENT' ELSE 'CONFLICT' END
+  WHEN pg IS NOT NULL THEN CASE WHEN pg[1] IS NOT DISTINCT FROM v THEN 'IDEMPOTENT' ELSE 'CONFLICT' END ELSE 'NEW' END AS outcome, CASE WHEN pi IS NOT NULL THEN 'provenance' ELSE 'grain' END AS kind FROM {name}_met)"""
+
+
+def _keyed_sql(of: str, seq: str) -> str:
+    return f"""SELECT {seq} AS seq, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id AS VARCHAR) END AS identity, concat_ws('|', user_id, event_type, day) AS grain,
+  CAST(CAST(value AS DECIMAL(38, 10)) AS VARCHAR) AS v, event_type AS h, value > 400 AS rejected, event_id, user_id, event_type, day, value FROM {of}"""
+
+
+@query("classify_writes", f"""WITH RECURSIVE {_TARGET}, {_BATCH}, held AS ({_keyed_sql("target", "0")}), asked AS ({_keyed_sql("batch", "seq")}), {outcome("asked", "held", "judged")}
+SELECT seq, event_id, user_id, event_type, day, value, outcome, CASE WHEN outcome = 'CONFLICT' THEN kind END AS conflict_kind FROM judged""")
 def classify_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, target = _events(spark, sf_dir)
-    return intake.classify(batch, target, ("event_id",), ("event_id", "event_type", "day"), "seq")
+    """Events of days that are partly there already, with an event's id as identity and user, type and day as grain."""
+    errors = F.when(F.col("value") > 400, F.array(F.lit("TOO_LARGE"))).otherwise(F.array().cast("array<string>"))
+    keys = {"identity": F.when(F.col("event_id") % 11 != 0, F.col("event_id").cast("string")), "grain": F.concat_ws("|", "user_id", "event_type", "day")}
+    made = {**keys, "values": writer.comparable("value"), "source_payload_hash": F.col("event_type"), "errors": errors}
+    batch, target = (x.withColumns(made) for x in _events(spark, sf_dir))
+    out = writer.classify(batch, target, "seq")
+    return out.select("seq", "event_id", "user_id", "event_type", "day", "value", "outcome", "conflict_kind")
 
 
 @query("backfill_new_rows", f"""WITH {_TARGET}, {_BATCH} SELECT b.user_id, b.event_type, b.day, b.seq, b.event_id, b.value FROM batch b

@@ -66,13 +66,33 @@ def supply_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cashflow.daily_path(_daily(spark, sf_dir), CONFIG, catalogue.HORIZON)
 
 
+#: What drives prices: all metrics of the wide panel but the price itself.
+DRIVERS = [m.replace(" ", "_") for m in catalogue.ALL_METRICS if m != "price_close"]
+_DRIVER_LIST = ", ".join(f'coalesce(last_value("{m}" IGNORE NULLS) OVER w, 0.0)' for m in DRIVERS)
+
+
+def _driven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.with_drivers(star.series(spark, sf_dir), catalogue.pit_wide(spark, sf_dir), DRIVERS)
+
+
+@query("driver_matrix", f"""WITH wide AS ({catalogue.ORACLE_SQL["pit_wide"]}), series AS ({star.SQL["series"]}),
+filled AS (SELECT commodity_key, as_of_date, [{_DRIVER_LIST}] AS d FROM (SELECT commodity_key, as_of_date FROM wide UNION SELECT commodity_key, price_date FROM series) LEFT JOIN wide USING (commodity_key, as_of_date)
+  WINDOW w AS (PARTITION BY commodity_key ORDER BY as_of_date ROWS UNBOUNDED PRECEDING))
+SELECT commodity_key, price_date, y, {", ".join(f'd[{k + 1}] AS "{m}"' for k, m in enumerate(DRIVERS))} FROM series JOIN filled ON series.commodity_key = filled.commodity_key AND price_date = as_of_date""".replace("SELECT commodity_key, price_date, y,", "SELECT series.commodity_key, price_date, y,"))
+def driver_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drivers of each price, as known on its day."""
+    return _driven(spark, sf_dir).select("commodity_key", "price_date", "y", *(F.col("drivers")[k].alias(m) for k, m in enumerate(DRIVERS)))
+
+
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload.payloads(star.series(spark, sf_dir))
+    return payload.payloads(star.series(spark, sf_dir), models=("ridge", "ou"))
 
 
 @query("forecast_payload")
 def forecast_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _payloads(spark, sf_dir).withColumn("horizons", F.to_json("horizons"))
+    """All candidates: ridge and boosted trees with drivers, cycles, mean reversion, and the supply model."""
+    made = payload.payloads(_driven(spark, sf_dir), daily=_daily(spark, sf_dir), config=CONFIG)
+    return made.withColumn("horizons", F.to_json("horizons"))
 
 
 @query("forecast_explain")
@@ -84,7 +104,7 @@ def forecast_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_realized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts made at the start of 2001 against what came."""
     rows = star.series(spark, sf_dir)
-    return payload.realized(payload.payloads(rows.filter("price_date < '2001-01-01'")), rows, catalogue.HORIZON)
+    return payload.realized(payload.payloads(rows.filter("price_date < '2001-01-01'"), models=("ridge", "ou")), rows, catalogue.HORIZON)
 
 
 @query("forecast_recheck")
