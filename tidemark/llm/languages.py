@@ -409,8 +409,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     kind, lang, key, n = (counted[c].to_numpy() for c in ("kind", "lang", "key", "n"))
     counts[key[kind == 0], lang[kind == 0]] = n[kind == 0]
     texts[key[kind == 2]] = n[kind == 2]
-    order = Window.partitionBy("lang").orderBy("key", "passage")
-    best = learned.filter("kind = 1").dropDuplicates(["lang", "key"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PASSAGES)
+    best = learned.filter("kind = 1").dropDuplicates(["lang", "key"]).withColumn("part", F.pmod("key", F.lit(64)))
+    for by in (("lang", "part"), ("lang",)):  # first in parts, so that a language's last step has 64 * PASSAGES rows whatever the tasks are
+        order = Window.partitionBy(*by).orderBy("key")
+        best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PASSAGES)
     rows = sorted((r.key, r.lang, r.passage) for r in best.select("key", "lang", "passage").collect())  # PASSAGES for each language
     discard(learned)
     return fit_weights([(lang, p.split(" ")) for _, lang, p in rows if p], langs, counts, texts)
