@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -65,3 +66,15 @@ def test_lines_leaks_and_scores(spark, long_docs, long_texts):
     model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
     scores = toxicity.score(long_docs.select("doc_id", "text"), model)
     assert scores.count() == 6 and scores.filter("score is null or score not between 0 and 1").count() == 0
+
+
+@pytest.mark.parametrize("unit", ["か\u3099き\u3099", "e\u0301", "漢字かな", "ab<|endoftext|>", "w", "ж\u0301日x", "x\u0323\u0301"])
+def test_long_stretches_are_cut_in_one_pass(unit):
+    """100 kB without white space, whatever its script and form: the cut takes seconds at most and is the library's."""
+    counter, library = token_counts.counter(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    text = unit * (100_000 // len(unit.encode()))
+    began = time.process_time()
+    cut = counter.within(text, token_counts.LIMIT)
+    assert time.process_time() - began < 6
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert count(text[:cut]) <= token_counts.LIMIT and all(count(text[: cut + k]) > token_counts.LIMIT for k in range(1, 40))

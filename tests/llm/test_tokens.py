@@ -54,10 +54,17 @@ def test_counts_equal_library(docs, texts):
         assert len(library.encode(text[: r.n_chars_within], add_special_tokens=False).ids) <= 50
 
 
+#: Decomposed and mixed scripts, special strings within words, contractions, marks that change places, Hangul jamo.
+MIXED = [
+    "か\u3099き\u3099くか\u3099x\u0301" * 6, "abc<|endoftext|>de\u0301f<|startoftext|><|endof" * 3, "e\u0301" * 40 + "'ll'll'r'", "x\u0323\u0301\u0328y" * 8,
+    "\u1112\u1161\u11ab\u1100\u1173\u11af" * 7, "don't'll we're'v'" * 5, "\u0301\u0301a\u0308", "word" * 20 + "e\u0301word" * 9, "12e\u03013½\u0301" * 6, "日本e\u0301語<|endoftext|>" * 5,
+]
+
+
 def test_longest_prefix_within_a_limit(texts):
     library, counter = Tokenizer.from_file(WORD), token_counts.counter(WORD)
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    some = [t for t in texts if t and len(t) < 700] + ["Cafe\u0301 noe\u0308l " * 9, "İstanbul'DA ǅ", "a<|endoftext|>bc<|endoftext|> d", "漢字かな" * 30 + " tail", "x\u2003y\u3000z"]
+    some = [t for t in texts if t and len(t) < 700] + MIXED + ["Cafe\u0301 noe\u0308l " * 9, "İstanbul'DA ǅ", "a<|endoftext|>bc<|endoftext|> d", "漢字かな" * 30 + " tail", "x\u2003y\u3000z"]
     for text in some:
         counts = [count(text[:j]) for j in range(len(text) + 1)]
         for limit in (0, 1, 2, 7, 20, 50):

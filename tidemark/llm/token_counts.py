@@ -14,8 +14,10 @@ an empty table gives an empty one. Columns of the input are kept, but for those
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -48,6 +50,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: Sequences of marks after one character that a prefix is not cut within.
+MOST_MARKS = 256
+
+
+@functools.lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """The characters that a normal form may join to the one before, or put in another place: all but these are where a
+    text may be taken apart and normalised in parts."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    marks = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+    return frozenset(seconds | marks | set(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)))))
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -102,26 +118,40 @@ class PrefixCounter:
             self.pairs[a, b] = known
         return known
 
+    def extend(self, data: bytes, done: int, last: list[int], count: list[int], whole: list[int]) -> None:
+        """Go on with the DP from byte ``done`` of ``data`` to its end; the lists hold what is known up to there."""
+        longest, known_bytes, stay_two = self.longest, self.ids.get, self.stay_two
+        for i in range(done + 1, len(data) + 1):
+            last_i, count_i, whole_i = -1, 0, 0
+            # there is one such token; most are short
+            for start in range(i - 1, (i - longest if i > longest else 0) - 1, -1):
+                found = known_bytes(data[start:i])
+                if found is None:
+                    continue
+                plain, final = found
+                if last_i < 0 and plain >= 0 and (not start or stay_two(last[start], plain)):
+                    last_i, count_i = plain, count[start] + 1
+                if not whole_i and final >= 0 and (not start or stay_two(last[start], final)):
+                    whole_i = count[start] + 1
+                if whole_i and last_i >= 0:
+                    break
+            last.append(last_i)
+            count.append(count_i)
+            whole.append(whole_i)
+
+    def states(self, word: str) -> tuple[bytes, list[int], list[int], list[int]]:
+        """The word's bytes and, for each of their prefixes, its last token, its tokens, and those with the end mark."""
+        data, last, count, whole = word.encode("utf-8"), [-1], [0], [0]
+        self.extend(data, 0, last, count, whole)
+        return data, last, count, whole
+
     def table(self, word: str) -> bytes | list[int]:
         """Tokens of each prefix of ``word`` (a pre-token) by its number of characters less one."""
         known = self.tables.get(word)
         if known is not None:
             return known
-        data, longest, known_bytes, stay_two = word.encode("utf-8"), self.longest, self.ids.get, self.stay_two
+        data, _, _, whole = self.states(word)
         n = len(data)
-        last, count, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for start in range(i - longest if i > longest else 0, i):
-                found = known_bytes(data[start:i])
-                if found is None:
-                    continue
-                plain, final = found
-                if last[i] < 0 and plain >= 0 and (not start or stay_two(last[start], plain)):
-                    last[i], count[i] = plain, count[start] + 1
-                if not whole[i] and final >= 0 and (not start or stay_two(last[start], final)):
-                    whole[i] = count[start] + 1
-                if whole[i] and last[i] >= 0:
-                    break
         ends = range(1, n + 1) if n == len(word) else [i for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
         found = [whole[i] for i in ends]
         out = bytes(found) if found[-1] < 200 and max(found) < 256 else found
@@ -131,13 +161,17 @@ class PrefixCounter:
             self.tables[word] = out
         return out
 
+    def prefixes(self, word: str) -> bytes | list[int]:
+        """table(), but for a contraction, which is no pre-token until it is whole."""
+        known = self.table(word)
+        return [known[0], known[0] + self.table(word[1])[-1], known[-1]] if len(word) == 3 and word[0] == "'" and word.isascii() else known
+
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
         if not _PLAIN.search(text):
             return _WORDS.findall(text.lower())
         text = self.library.normalizer.normalize_str(text)
-        letters = self.letters
-        return [bytes(letters[c] for c in x).decode("utf-8") for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return [self._raw(x) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def counts(self, text: str) -> np.ndarray:
         """The text's table: tokens up to the end of each of its words and special strings."""
@@ -163,13 +197,25 @@ class PrefixCounter:
         table = self.counts(text)
         return int(table[-1]) if len(table) else 0
 
-    def within(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix of at most ``limit`` tokens, from the tables of its words.
+    def within(self, text: str, limit: int, table: np.ndarray | None = None) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens, from the text's table and those of its words.
 
-        Stretches between white space are independent of each other. The first one that does not fit as a whole is cut
-        where its words' tables say; where normal forms or special strings make characters and letters differ, every
-        prefix of that one stretch is looked up.
+        A prefix is not cut within more than ``MOST_MARKS`` marks that belong to one character.
         """
+        table = self.counts(text) if table is None else table
+        if not len(table) or table[-1] <= limit:
+            return len(text)
+        if _PLAIN.search(text) or self.special and "<|" in text and self.special.search(text):
+            return self._within_any(text, limit)
+        k = int(np.searchsorted(table, limit, side="right"))  # whole words that fit
+        lower = text.lower()
+        m = next(itertools.islice(_WORDS.finditer(lower), k, None))
+        left = limit - (int(table[k - 1]) if k else 0)
+        return m.start() + max((j + 1 for j, n in enumerate(self.prefixes(m.group())) if n <= left), default=0)
+
+    def _within_any(self, text: str, limit: int) -> int:
+        """The same where normal forms or special strings make characters and letters differ. Stretches between white
+        space are independent of each other; the first one that does not fit as a whole is cut."""
         left = limit
         for m in _STRETCH.finditer(text):
             n = self.count(m.group())
@@ -179,17 +225,72 @@ class PrefixCounter:
         return len(text)
 
     def _cut(self, stretch: str, limit: int) -> int:
-        special = self.special and self.special.search(stretch)
-        words = [] if special else self.words(stretch)
-        if sum(map(len, words)) == len(stretch) and not special and unicodedata.is_normalized("NFC", stretch):
-            at = 0
-            for w in words:
-                table = self.table(w)
-                if table[-1] > limit:
-                    return at + max((j + 1 for j, n in enumerate(table) if n <= limit), default=0)
-                at, limit = at + len(w), limit - table[-1]
-            return at
-        return next((j for j in range(len(stretch), 0, -1) if self.count(stretch[:j]) <= limit), 0)
+        """Characters of the longest prefix of a stretch: between special strings it is plain text, and so is a special
+        string that is not whole yet."""
+        best = before = at = 0
+        found = list(self.special.finditer(stretch)) if self.special else []
+        for m in [*found, None]:
+            plain = stretch[at : m.end() - 1 if m else len(stretch)]
+            best = max(best, at + self._cut_plain(plain, limit - before)) if before <= limit else best
+            if m:
+                before += self.count(stretch[at : m.start()]) + 1
+                at = m.end()
+                best = at if before <= limit else best
+        return best
+
+    def _cut_plain(self, text: str, limit: int) -> int:
+        """The same without special strings: one pass over the normalised text, with the source's offset of each part that
+        is normalised by itself. A prefix that ends within such a part goes on from the part's beginning."""
+        joining, normalize = _joining(), functools.cache(self.library.normalizer.normalize_str)
+        pieces = functools.cache(lambda t: [self._raw(x) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(t)])
+        starts = [0, *(k for k in range(1, len(text)) if text[k] not in joining)] if text else []
+        edges = [*starts, len(text)]
+        parts = [normalize(text[a:b]) for a, b in itertools.pairwise(edges)]
+        whole = "".join(parts)
+        words = [(a, self._raw(x)) for x, (a, _) in self.library.pre_tokenizer.pre_tokenize_str(whole)]
+        counts, owner, base = [0], [], 0  # tokens of each prefix of the normalised text; each character's word
+        for k, (_, w) in enumerate(words):
+            own = self.prefixes(w)
+            counts += [base + n for n in own]
+            owner += [k] * len(w)
+            base += own[-1]
+        ends = list(itertools.accumulate(map(len, parts), initial=0))
+        best = max((edges[k] for k, e in enumerate(ends[: len(edges)]) if counts[e] <= limit), default=0)
+        states: tuple[bytes, list[int], list[int], list[int]] | None = None
+        of, size = -1, 0  # the word that they are of, the bytes of it that still count
+        for k in range(len(parts) - 1, -1, -1):
+            a, b = edges[k], edges[k + 1]
+            if b <= best:
+                break
+            if not 2 <= b - a <= MOST_MARKS:
+                continue
+            w = owner[ends[k] - 1] if ends[k] else -1
+            begin, word = words[w] if ends[k] else (0, "")
+            for i in range(b - 1, max(a, best), -1):
+                tail = normalize(text[a:i])
+                if ends[k] - begin <= 64:
+                    n = counts[begin] + self.count(whole[begin : ends[k]] + tail)
+                else:  # a long word: go on from its states, which later parts don't need any more
+                    if of != w:
+                        states, of, size = self.states(word), w, len(word.encode("utf-8"))
+                        at = len(word)
+                    if at != ends[k] - begin:
+                        size -= len(word[ends[k] - begin : at].encode("utf-8"))
+                        at = ends[k] - begin
+                    data, *lists = states
+                    for x in lists:
+                        del x[size + 1 :]
+                    first, *rest = pieces(whole[ends[k] - 1] + tail)
+                    self.extend(data[:size] + first[1:].encode("utf-8"), size, *lists)
+                    n = counts[begin] + lists[2][-1] + sum(self.table(x)[-1] for x in rest)
+                if n <= limit:
+                    best = i
+                    break
+        return best
+
+    def _raw(self, piece: str) -> str:
+        """A pre-token as text, out of its byte letters."""
+        return bytes(self.letters[c] for c in piece).decode("utf-8")
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,7 +305,7 @@ def _count_all(batches, path: str, limit: int, text_at: int, keep: list[int], na
         for text in batch.column(text_at).to_pylist():
             table = counts.counts(text or "")
             tokens.append(int(table[-1]) if len(table) else 0)
-            fits.append(counts.within(text, limit) if tokens[-1] > limit else len(text or ""))
+            fits.append(counts.within(text, limit, table) if tokens[-1] > limit else len(text or ""))
         arrays = [*(batch.column(i) for i in keep), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
