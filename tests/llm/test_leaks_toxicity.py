@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.llm import decontaminate, toxicity
+from tidemark.llm.common import materialize
 
 
 def edits(a: list, b: list) -> int:
@@ -116,3 +117,38 @@ def test_toxicity_odd_and_empty(spark, odd, empty):
     assert out.count() == odd.count() and out.filter("score is null or held_out is null").count() == 0
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
     assert toxicity.score(odd, toxicity.fit(odd, labels.limit(0))).filter("score > 0.01").count() == 0
+
+
+def test_label_model_finds_the_rates_of_simulated_voters():
+    """Voters of known accuracy, one of them three times over: rates come out, repeats are not believed three times, and
+    no label is looked at."""
+    rng = np.random.default_rng(11)
+    n, prior = 6000, 0.15
+    y = rng.random(n) < prior
+    rates = [(0.7, 0.01), (0.5, 0.02), (0.4, 0.005), (0.6, 0.03), (0.3, 0.01), (0.5, 0.05)]
+    votes = np.column_stack([np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in rates])
+    q, rate1, rate0 = toxicity.label_model(votes, prior)
+    assert np.abs(rate1 - [a for a, _ in rates]).max() < 0.06 and np.abs(rate0 - [b for _, b in rates]).max() < 0.015
+    assert np.mean((q > 0.5) == y) > 0.97
+    # a poor voter that is repeated (with little noise) and clean rows that it alone speaks for
+    poor = np.where(y, rng.random(n) < 0.5, rng.random(n) < 0.12)
+    copies = np.column_stack([poor ^ (rng.random(n) < 0.01) for _ in range(3)])
+    q, _, _ = toxicity.label_model(np.column_stack([votes, copies]), prior)
+    alone = copies.all(axis=1) & ~votes.any(axis=1) & ~y
+    assert alone.sum() > 100 and np.mean(q[alone] > 0.5) < 0.05 and np.mean((q > 0.5) == y) > 0.96
+
+
+def test_repeated_rows_count_once(spark, monkeypatch):
+    """The sample is bounded by rows; a row that is there many times has no more weight than one."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    once = toxicity.fit(docs, labels)
+    assert len(once.voters) > 20
+    many = toxicity.fit(docs.unionByName(docs.join(labels.filter("toxic = 1").limit(20), "doc_id", "left_semi")).unionByName(docs), labels)
+    assert many.voters == once.voters and np.allclose(many.weights, once.weights)
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 20)
+    both = docs.limit(3).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(30)))).withColumn("text", F.concat("text", F.lit(" "), F.col("n").cast("string")))
+    seen = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, label: seen.append(df.count()) or materialize(df, label))
+    toxicity.fit(both, both.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2).cast("int")))
+    assert seen and seen[0] <= 20

@@ -2,13 +2,15 @@
 
 Voters are words of a lexicon and patterns (a word start that a given number of the text's words has). The lexicon's candidates are found in labelled rows: a
 Spark job counts, for each word and word start, the labelled rows of either label that have it. A voter votes "toxic"
-where it occurs and abstains elsewhere; the rows' own labels are one more, noisy, voter. A generative label model
-(two classes, one rate per voter and class, fitted by expectation maximisation) estimates the voters' accuracies, and
-the correlations left between voters within a class; correlated voters are discounted, so that one word and its start
-count once. Its posterior labels train a linear (logistic) classifier on the votes and the share of words that voted.
+where it occurs and abstains elsewhere. A generative label model (two classes, one rate per voter and class, fitted by
+expectation maximisation on the votes alone) estimates the voters' accuracies, and the correlations left between voters
+within a class; correlated voters are discounted, so that one word and its start count once. The rows' own labels are no
+voters: they serve to find the lexicon and to set the share of toxic rows. The model's posterior labels train a linear
+(logistic) classifier on the votes and the share of words that voted.
 
-What is fitted comes from at most ``MOST_LABELLED`` labelled rows (those of least hash of their id) whose
-crc32(doc_id) mod 5 is not 0; every row of the input is scored, over its whole text. Only votes go into a score.
+What is fitted comes from at most ``MOST_LABELLED`` labelled rows (those of least hash of their id and text; repeats of a
+row count once) whose crc32(doc_id) mod 5 is not 0; every row of the input is scored, over its whole text. Only votes go
+into a score. More than ``MOST_VOTERS`` voters are cut to those of most evidence, with a warning.
 
 Defined results: null and empty texts get the score of a text without votes; a null id is held out like any id whose
 remainder is 0 (crc32 of an empty string); labels that are null, or whose rows contradict each other, count by their
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import re
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, small_batches
+from tidemark.llm.common import discard, materialize, small_batches
 
 #: Labelled rows that are read for the fit at most, voters at most, and labelled toxic rows that a voter must occur in.
-MOST_LABELLED, MOST_VOTERS, LEAST_ROWS = 12_000, 600, 4
+MOST_LABELLED, MOST_VOTERS, LEAST_ROWS = 12_000, 2_000, 4
 #: A voter's share of toxic rows, with one row of either kind added, and the lengths of word starts.
 LEAST_PRECISION, STARTS = 0.72, (4, 5, 6, 7)
 #: Words with one start that a pattern may ask for.
@@ -112,30 +115,53 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """Posterior of class 1 for each row, from votes (rows x voters, 0 or 1) and the rows' noisy labels."""
-    x = np.column_stack([votes, gold]).astype(float)
+#: Correlations within a class from which voters count as repeating each other, and rounds after which they are looked at.
+CORRELATED, LOOKS = 0.6, (5, 15)
+
+
+def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row, from votes (rows x voters, 0 or 1) alone, and the voters' rates in class 1 and 0.
+
+    ``prior`` is the share of class 1. Rows with several votes start out likely, rows with none unlikely: a voter abstains
+    far more often than it votes, so class 1 is where votes meet. An abstaining voter says nothing; what that leaves out is
+    made up for by the share of class 1, which each round keeps.
+    """
+    x = votes.astype(float)
     n, v = x.shape
-    q = np.where(gold == 1, 0.9, np.where(votes.any(axis=1), 0.3, 0.02))  # where to start
     weight = np.ones(v)
-    prior = (gold.sum() + 1) / (n + 2)  # as labelled: silent voters can't settle it
+    if v > 1:  # before the first round, voters that nearly always vote together count as one
+        common = x.T @ x
+        own = np.maximum(np.diag(common), 1)
+        overlap = common / np.sqrt(np.outer(own, own))
+        weight = 1 / np.where(overlap > 0.8, overlap, 0).sum(axis=1).clip(1)
+    seen = x @ weight
+    q = np.where(seen >= 1.5, 0.9, np.where(seen > 0, 0.3, 0.02))
     for step in range(ROUNDS):
         rate1 = (q @ x + 0.5) / (q.sum() + 1)
         rate0 = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
-        if step in (5, 15):  # correlations within the classes; abstaining voters have little variance to share
+        if step in LOOKS:  # correlations within the classes; abstaining voters have little variance to share
             left = x - np.outer(q, rate1) - np.outer(1 - q, rate0)
             cov = left.T @ left / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.abs(cov / np.outer(sd, sd))
             np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.3, corr, 0).sum(axis=1))
-        yes, no = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        # an abstaining voter says nothing; a label of 0 is a vote
-        z = np.log(prior / (1 - prior)) + x @ (weight * yes) + (1 - x[:, -1]) * (weight[-1] * no[-1])
-        q = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
+        q = balanced(x @ (weight * np.log(rate1 / rate0)), prior)
+    return q, rate1, rate0
+
+
+def balanced(z: np.ndarray, share: float) -> np.ndarray:
+    """Probabilities in the order of the log odds ``z``, shifted so that their mean is ``share``."""
+    low, high = -80.0, 80.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        q = 1 / (1 + np.exp(-np.clip(z + middle, -40, 40)))
+        low, high = (middle, high) if q.mean() < share else (low, middle)
     return q
 
 
+
+
 def logistic(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Weights of a penalised logistic regression on soft labels, the intercept last; votes never count against.
 
@@ -168,14 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic")).filter("__id is not null and __toxic in (0, 1)")
     known = known.filter(remainder("__id") != 0).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    # ids of few enough rows, picked before the texts are looked at
-    picked = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(MOST_LABELLED)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), digest.alias("__digest"))
+    # few enough rows, picked by narrow columns before their texts are looked at
+    picked = texts.select("__id", "__digest").join(known, "__id").distinct().orderBy(F.xxhash64(F.col("__id").cast("string"), "__digest"), "__id", "__digest").limit(MOST_LABELLED)
+    rows = texts.join(F.broadcast(picked), ["__id", "__digest"]).groupBy("__id", "__digest").agg(F.first("__text").alias("__text"), F.first("__toxic").alias("__toxic"))
     rows = materialize(rows.select("__text", "__toxic"), "toxicity-rows")
     counts = rows.mapInArrow(_explode_traits, "trait string, toxic int").groupBy("trait").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     found = counts.withColumn("precision", (F.col("bad") + 1) / (F.col("bad") + F.col("good") + 2)).filter((F.col("bad") >= LEAST_ROWS) & (F.col("precision") >= LEAST_PRECISION))
-    best = found.orderBy(F.desc(F.col("bad") * F.col("precision") * F.col("precision")), "trait").limit(MOST_VOTERS)
+    best = found.orderBy(F.desc(F.col("bad") * F.col("precision") * F.col("precision")), "trait").limit(MOST_VOTERS + 1)
     voters = [r.trait for r in best.select("trait").collect()]  # bounded by MOST_VOTERS
+    if len(voters) > MOST_VOTERS:
+        warnings.warn(f"more than {MOST_VOTERS} voters were found; those of most evidence are kept", stacklevel=2)
+        voters.pop()
     model = Model(voters, np.zeros(len(voters) + 2))
 
     def vote(batches):
@@ -184,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([sorted(f) for f, _ in each], pa.list_(pa.int32())), pa.array([s for _, s in each], pa.float64()), batch.column(1)], ["votes", "share", "toxic"])
 
     sample = rows.mapInArrow(vote, "votes array<int>, share double, toxic int").toArrow().to_pylist()  # bounded by MOST_LABELLED
+    discard(rows)
     gold = np.array([r["toxic"] for r in sample], int)
     if len(set(gold.tolist())) < 2 or not voters:
         rate = float(gold.mean()) if len(gold) else 0.0
@@ -195,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for row, k in enumerate(order):  # the same order whatever the tasks' order was
         votes[row, sample[k]["votes"]] = 1
         share[row] = min(1.0, 10 * sample[k]["share"])
-    posterior = label_model(votes, gold[order])
+    posterior, _, _ = label_model(votes, (gold.sum() + 1) / (len(gold) + 2))
     model.weights = logistic(np.column_stack([votes, share]), posterior)
     return model
 
