@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
+from tidemark.operators import restate
 from tidemark.sources import landed
 
 
@@ -58,8 +60,47 @@ def test_balance_sheet_fails_closed(spark):
     schema = "commodity_id string, attribute_id int, country string, year int, month int, unit string, value double"
     wanted = spark.createDataFrame([("c", 1, "US", "C", "stocks", "us", "t")], "commodity_id string, attribute_id int, country string, commodity_code string, metric_code string, region_code string, unit string")
     row = ("c", 1, "US", 2020, 0, " t", 5.0)
-    fine = landed.balance_sheet(spark.createDataFrame([row], schema), wanted).first()
-    assert (fine.period_start, fine.value) == (dt.date(2020, 1, 1), 5.0)
-    for rows, message in (([row[:5] + ("kg", 5.0)], "unit drift"), ([row, row], "two rows")):
+    fine = landed.balance_sheet(spark.createDataFrame([row, row[:3] + (0, 1, " t", 1.0), row[:3] + (2020, 13, " t", 1.0)], schema), wanted, "2024-05-06").first()
+    assert (fine.period_start, fine.value, fine.release_date) == (dt.date(2020, 1, 1), 5.0, dt.date(2024, 5, 6))
+    more = wanted.unionByName(wanted.withColumn("country", F.lit("BR")))
+    for rows, asked, message in (([row[:5] + ("kg", 5.0)], wanted, "unit drift"), ([row, row], wanted, "two rows"), ([row], more, "no rows of c/1/BR"), ([], wanted, "no rows of c/1/US")):
+        found = landed.balance_sheet(spark.createDataFrame(rows, schema), asked, "2024-05-06")
         with pytest.raises(Exception, match=message):
-            landed.balance_sheet(spark.createDataFrame(rows, schema), wanted).collect()
+            found.collect()
+        if "no rows" in message:  # whatever the result is reduced to
+            with pytest.raises(Exception, match=message):
+                found.select("region_code").count()
+
+
+def test_zipped_files_and_wide_exports(spark, tmp_path):
+    for name, text in (("a", 'Code,"Value",Note,Unit\r\nx,1.5,"one, two",t\r\ny,bad,"say ""hi""",\r\n\r\n'), ("b", "Unit,Code,Value\nkg,z,7\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("read.me", "no table")
+            z.writestr(f"{name}.CSV", text)
+    got = sorted(landed.zipped_csv(spark, f"file://{tmp_path}", "Code string, Value double, Unit string").collect())
+    assert [tuple(r) for r in got] == [("x", 1.5, "t"), ("y", None, None), ("z", 7.0, "kg")]
+    assert [r.Note for r in landed.zipped_csv(spark, f"file://{tmp_path}/a.zip", "Note string").collect()] == ["one, two", 'say "hi"']
+    lines = landed.zipped_lines(spark, f"file://{tmp_path}/a.zip", rows=1)
+    assert lines.count() == 4 and lines.orderBy("number").first().line.startswith("Code")
+    with pytest.raises(Exception, match="has no column Note"):
+        landed.zipped_csv(spark, f"file://{tmp_path}/b.zip", "Note string").collect()
+    with pytest.raises(Exception, match="no member"):
+        landed.zipped_lines(spark, f"file://{tmp_path}/b.zip", ".txt").collect()
+    rows = spark.createDataFrame([("d2", "p", 1.0), ("d1", "p", 2.0), ("d1", "q", 3.0), ("d1", "q", 5.0)], "day string, name string, v double")
+    landed.export_wide(rows, "day", "name", "v", ["p", "q"], f"file://{tmp_path}/out")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/out").orderBy("day").collect()] == [("d1", "2.0", "4.0"), ("d2", "1.0", None)]
+
+
+def test_appended_rows_keep_their_release(spark):
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    stored = spark.createDataFrame([("a", day(k), 10.0, 0) for k in range(8)] + [("b", day(k), 10.0, 1) for k in range(8)], "key string, day date, value double, revision int")
+    fetched = spark.createDataFrame([("a", day(k), 10.0 if k < 8 else 20.0, day(k + 3)) for k in range(10)] + [("b", day(k), 5.0, day(k + 3)) for k in range(10)], "key string, day date, value double, release_date date")
+    judged = restate.statuses(stored, fetched, "2024-01-20")
+    rows = restate.new_rows(stored, fetched, judged, "2024-01-20")
+    got = {(r.key, r.day): (r.release_date, r.revision) for r in rows.collect()}
+    assert got["a", day(8)] == (day(11), 0) and got["a", day(9)] == (day(12), 0) and len(got) == 12
+    assert {v for (k, _), v in got.items() if k == "b"} == {(day(19), 2)}
+    jump = {r.key: (r.worst_pct, r.jump) for r in restate.warnings(stored, rows).collect()}
+    assert jump == {"a": (100.0, True), "b": (0.0, False)}  # the step from the last stored value counts, a restatement's doesn't
+    plain = restate.new_rows(stored, fetched.drop("release_date"), judged, "2024-01-20")
+    assert plain.filter("key = 'a' and release_date <> day").count() == 0

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, cashflow, forecast, kernels, payload
+from tidemark.operators import asof, cashflow, forecast, kernels, model_store, payload
 
 CONFIG = cashflow.Config()
 
@@ -213,21 +213,54 @@ def test_drivers_are_those_known_on_each_day(spark):
 
 
 def test_supply_model_is_a_candidate(spark):
-    """A steady rise is what the supply model's trend forecasts better than the last price; its folds are the daily path's."""
-    days = [dt.date(2019, 1, 1) + dt.timedelta(k) for k in range(1100)]
+    """Seasons are what the supply model forecasts better than the last price; its folds are the daily path's."""
+    days = [dt.date(2015, 1, 1) + dt.timedelta(k) for k in range(2600)]
     days = [d for d in days if d.weekday() < 5]
-    rows = [(1, d, 30.0 + 0.04 * k + (0.001 if k % 2 else 0.0), 100.0, 60.0, 70.0) for k, d in enumerate(days)]
+    rows = [(1, d, 30.0 + 8 * float(np.cos(2 * np.pi * (d.month - 1) / 12)) + (0.001 if k % 2 else 0.0), 100.0, 60.0, 70.0) for k, d in enumerate(days)]
     df = spark.createDataFrame(rows, "commodity_key int, price_date date, price double, a double, i double, s double")
     daily = cashflow.frame(df, {"planted_area": "a", "import_volume": "i", "inventory": "s"})
     prices = df.select("commodity_key", "price_date", F.col("price").alias("y"))
-    folds = {r.cut: r for r in cashflow.fold_errors(daily, CONFIG, 60, 500, 3).collect()}
-    assert sorted(folds) == kernels.cut_points(len(rows), 500, 60, 3)
+    folds = {r.cut: r for r in cashflow.fold_errors(daily, CONFIG, 60, 1300, 3).collect()}
+    assert sorted(folds) == kernels.cut_points(len(rows), 1300, 60, 3)
     cut = sorted(folds)[1]
     alone = cashflow.daily_path(daily.filter(F.col("price_date") < F.lit(days[cut])), CONFIG, 60).filter("step = 60").first()
     assert folds[cut].predicted == pytest.approx(alone.predicted) and folds[cut].actual == pytest.approx(rows[cut + 59][2])
-    made = payload.payloads(prices, (60,), 500, 3, (), daily=daily, config=CONFIG).first().horizons[60]
+    made = payload.payloads(prices, (60,), 1300, 3, (), daily=daily, config=CONFIG).first().horizons[60]
     mape = 100 * np.mean([abs(f.actual - f.predicted) / f.actual for f in folds.values()])
     assert made.model_used == "supply" and made.backtest.candidates["supply"] == pytest.approx(mape, abs=0.006) and made.backtest.supply_considered
     assert made.backtest.mape_pct == pytest.approx(mape, abs=0.006) and len(made.points) == 60 and all(p.lower <= p.value <= p.upper for p in made.points)
-    without = payload.payloads(prices, (60,), 500, 3, ("ou",)).first().horizons[60]
+    without = payload.payloads(prices, (60,), 1300, 3, ("ou",)).first().horizons[60]
     assert "supply" not in without.backtest.candidates and not without.backtest.supply_considered
+
+
+def test_models_that_are_kept(spark, tmp_path):
+    """Coefficients come back as they were fitted, score as the kernel does, and get a version each time."""
+    rows = series(spark).filter("commodity_key < 3")
+    coefficients = model_store.fitted(rows, 10)
+    scores = spark.createDataFrame([(1, 4.0, 5.0), (2, 6.0, 5.0)], "commodity_key int, mape double, naive_mape double")
+    new = model_store.entries(coefficients, scores, "ridge", 10, "t1")
+    folder = f"file://{tmp_path}/models"
+    assert [r.version for r in model_store.register(spark, folder, new).collect()] == [1, 1] and model_store.read(spark, folder).count() == 0
+    model_store.register(spark, folder, new, allow_write=True)
+    better = model_store.entries(coefficients, scores.withColumn("mape", F.lit(1.0)), "ridge2", 10, "t2").filter("commodity_key = 1")
+    model_store.register(spark, folder, better, allow_write=True)
+    model_store.register(spark, folder, new.filter("commodity_key = 1"), allow_write=True)
+    store = model_store.read(spark, folder)
+    assert sorted((r.commodity_key, r.model_code, r.version) for r in store.collect()) == [(1, "ridge", 1), (1, "ridge", 2), (1, "ridge2", 1), (2, "ridge", 1)]
+    assert sorted((r.commodity_key, r.model_code, r.version) for r in model_store.latest(store).collect()) == [(1, "ridge", 2), (1, "ridge2", 1), (2, "ridge", 1)]
+    assert [(r.commodity_key, r.model_code) for r in model_store.best(store).collect()] == [(1, "ridge2")]
+    got = {r.price_date: r.predicted for r in model_store.scored(rows, model_store.latest(store).filter("commodity_key = 1 and model_code = 'ridge'")).collect()}
+    ly, days = kernels.positive(rows.filter("commodity_key = 1").toPandas())
+    last = max(got)
+    assert len(got) == 500 and got[last] == pytest.approx(kernels.ridge_path(ly, days, days[-1] + np.arange(1, 11))[-1])
+    store.withColumn("format", F.lit(7)).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(Exception, match="format 7"):
+        model_store.latest(model_store.read(spark, f"file://{tmp_path}/other")).collect()
+
+
+def test_stale_series_are_no_movers(spark):
+    rows = spark.createDataFrame([(1, dt.date(2024, 5, 10)), (2, dt.date(2024, 5, 3)), (3, dt.date(2024, 5, 7)), (4, None)], "commodity_key int, last_date date")
+    got = {r.commodity_key: (r.lag, r.skew, r.fresh, r.refused) for r in forecast.fresh(rows, "2024-05-13", 2, 3).collect()}
+    assert got == {1: (1, 0, True, False), 2: (1, 5, False, False), 3: (1, 3, True, False), 4: (1, 999, False, False)}
+    assert {r.refused for r in forecast.fresh(rows, "2024-06-13", 2, 3).collect()} == {True}
+    assert {(r.lag, r.skew, r.fresh) for r in forecast.fresh(rows.filter("last_date is null"), "2024-05-13", 2, 3).collect()} == {(999, 999, False)}

@@ -90,6 +90,34 @@ def visible_at(facts: DataFrame, cuts: list[str], by: str, role: str, roles: lis
     return least.withColumn("visible", F.col("least_rows") > 0)
 
 
+def rolled_up(facts: DataFrame, levels: list[str], value: str, year: Column, unit: str) -> DataFrame:
+    """Coverage by ``levels``, the outer ones first, and by each shorter list of them, down to all facts: rows, rows above 0
+    and at 0, first and last year, years between that are missing, and counts by year and by unit as maps.
+
+    The facts are aggregated once, to the levels with year and unit; all sums and maps are made of that.
+    """
+    base = facts.groupBy(*levels, year.alias("__year"), F.col(unit).alias("__unit")).agg(
+        F.count("*").alias("__n"), F.count_if(F.col(value) > 0).alias("__pos"), F.count_if(F.col(value) == 0).alias("__zero")
+    )
+    sets = [levels[:k] for k in range(len(levels), -1, -1)]
+    each = base.groupingSets([[*s, "__year", "__unit"] for s in sets], *levels, "__year", "__unit").agg(F.grouping_id().alias("__id"), *(F.sum(c).alias(c) for c in ("__n", "__pos", "__zero")))
+    depth = F.lit(len(levels)) - sum((F.bit_get(F.col("__id"), F.lit(k + 2)).cast("int") for k in range(len(levels))), F.lit(0))
+    group = [*levels, depth.alias("depth")]
+    years = each.groupBy(*group, "__year").agg(*(F.sum(c).alias(c) for c in ("__n", "__pos", "__zero")))
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "__n"))))  # noqa: E731  a few years, a few units
+    known = [*levels, "depth"]
+    span = F.max("__year") - F.min("__year") + 1
+    by_year = years.groupBy(*known).agg(
+        F.sum("__n").alias("n_rows"), F.sum("__pos").alias("n_positive"), F.sum("__zero").alias("n_zero"), F.min("__year").alias("first_year"),
+        F.max("__year").alias("last_year"), (span - F.count("__year")).alias("missing_years"), entries("__year").alias("years"),
+    )
+    by_unit = each.groupBy(*group, "__unit").agg(F.sum("__n").alias("__n")).groupBy(*known).agg(entries("__unit").alias("units")).withColumnsRenamed({c: f"__{c}" for c in known})
+    same = F.lit(True)
+    for c in known:
+        same = same & by_year[c].eqNullSafe(F.col(f"__{c}"))
+    return by_year.join(by_unit, same).select(*by_year.columns, "units")
+
+
 def usable_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns that have any number in them, by one pass; the others say nothing."""
     counts = df.agg(*(F.count(F.col(c).try_cast("double")).alias(c) for c in columns)).first()

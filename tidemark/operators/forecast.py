@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import business_day_after
+from tidemark.functions.dates import business_day_after, trading_days_between
 from tidemark.functions.features import ordered
 from tidemark.operators.kernels import BAND_Z, DAMPING, DRIFT_ROWS, MEAN_ROWS, MOST_PHI
 
@@ -180,6 +180,17 @@ def evaluate(log: DataFrame, actuals: DataFrame, today: str, grace: int, expiry:
     return found.withColumn("status", status)
 
 
+def fresh(forecasts: DataFrame, today: str, most_lag: int, most_skew: int) -> DataFrame:
+    """``forecasts`` (with last_date) with lag and skew in trading days (of the latest date behind ``today``, of each row
+    behind the latest), fresh (its skew is no larger than ``most_skew``) and refused (all of them lag more than
+    ``most_lag``). Rows without a date are 999 days behind."""
+    latest = forecasts.agg(F.max("last_date")).first()[0]
+    newest = F.lit(latest).cast("date")
+    lag = F.lit(999) if latest is None else trading_days_between(newest, F.to_date(F.lit(today)))
+    skew = F.when(F.col("last_date").isNull(), 999).otherwise(trading_days_between(F.col("last_date"), newest))
+    return forecasts.withColumns({"lag": lag, "skew": skew}).withColumns({"fresh": F.col("skew") <= most_skew, "refused": F.col("lag") > most_lag})
+
+
 def movers(forecasts: DataFrame, k: int) -> DataFrame:
     """The ``k`` largest rises and falls of each section; rises only above 0, falls only below."""
     pct = (F.col("end_value") / F.col("last_value") - 1) * 100

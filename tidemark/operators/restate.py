@@ -59,9 +59,12 @@ def statuses(stored: DataFrame, fetched: DataFrame, today: str, limits: Limits =
 def new_rows(stored: DataFrame, fetched: DataFrame, judged: DataFrame, today: str) -> DataFrame:
     """key, day, value, revision, release_date, record_id of what is to be written, all of it or nothing for each key.
 
-    Appended: the dates that the store lacks, at its revision. Restated: every date of the reload at the next one,
-    released today, so that what was known before today stays what it was. Revised rows have ids of their own.
+    Appended: the dates that the store lacks, at its revision, released when their record says (``fetched`` may have a
+    release_date), else on their own day. Restated: every date of the reload at the next one, released today, so that what
+    was known before today stays what it was. Revised rows have ids of their own.
     """
+    if "release_date" not in fetched.columns:
+        fetched = fetched.withColumn("release_date", F.col("day"))
     now = F.to_date(F.lit(today))
     own = fetched.filter("value > 0").join(judged.filter("status in ('appended', 'restated')").select("key", "status", F.col("revision").alias("held")), "key")
     known = stored.select("key", "day").withColumn("__known", F.lit(True))
@@ -70,7 +73,7 @@ def new_rows(stored: DataFrame, fetched: DataFrame, judged: DataFrame, today: st
     revision = F.when(restated, F.col("held") + 1).otherwise(F.col("held"))
     mark = F.when(revision > 0, F.concat(F.lit("@r"), revision.cast("string"))).otherwise("")
     return fresh.select(
-        "key", "day", "value", revision.cast("int").alias("revision"), F.when(restated, F.greatest(now, "day")).otherwise(F.col("day")).alias("release_date"),
+        "key", "day", "value", revision.cast("int").alias("revision"), F.when(restated, F.greatest(now, "day")).otherwise(F.greatest("release_date", "day")).alias("release_date"),
         F.concat(F.concat_ws(":", F.col("key").cast("string"), F.col("day").cast("string")), mark).alias("record_id"),
     )
 
@@ -82,6 +85,15 @@ def jumps(series: DataFrame) -> DataFrame:
     return series.withColumn("__c", change).groupBy("key").agg(F.coalesce(F.max("__c"), F.lit(0.0)).alias("worst_pct"))
 
 
+def warnings(stored: DataFrame, rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """key, worst_pct, jump: the largest change within what is to be written (new_rows), for appended rows from the last
+    stored value on, and whether it is abnormal."""
+    last = stored.groupBy("key").agg(F.max("day").alias("day"), F.max_by("value", "day").alias("value"))
+    appended = rows.join(stored.select("key", "day"), ["key", "day"], "left_semi").select("key").distinct()
+    edge = last.join(rows.select("key").distinct(), "key", "left_semi").join(appended, "key", "left_anti")
+    return jumps(rows.select("key", "day", "value").unionByName(edge.select("key", "day", "value"))).withColumn("jump", F.col("worst_pct") > limits.jump_pct)
+
+
 def histogram(judged: DataFrame) -> DataFrame:
     """status, n, and ok: whether no key at all is in error or without an anchor."""
     counts = judged.groupBy("status").agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from tidemark.sources import star
 
 TODAY = "2001-08-01"
 _SIDES = f""", stored AS (SELECT commodity_key AS key, price_date AS day, y AS value, CAST(commodity_key % 3 AS INT) AS revision FROM series WHERE price_date < DATE '2001-01-01' AND commodity_key <> 3),
-fetched AS (SELECT commodity_key AS key, price_date AS day, CASE WHEN commodity_key % 4 = 0 THEN y * 1.5 ELSE y END AS value FROM series WHERE price_date <= DATE '{TODAY}' AND commodity_key <> 5
+fetched AS (SELECT commodity_key AS key, price_date AS day, CASE WHEN commodity_key % 4 = 0 THEN y * 1.5 ELSE y END AS value, price_date + 2 AS release_date FROM series WHERE price_date <= DATE '{TODAY}' AND commodity_key <> 5
   AND (commodity_key <> 7 OR price_date >= DATE '2001-02-01') AND (commodity_key <> 8 OR price_date >= DATE '2000-11-01') AND (commodity_key <> 9 OR price_date < DATE '2001-01-01')),
 joined AS (SELECT key, day, s.value AS old, revision, f.value AS new FROM stored s FULL JOIN fetched f USING (key, day)),
 ranked AS (SELECT *, old IS NOT NULL AND new IS NOT NULL AND day <> DATE '{TODAY}' AS anchor, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN old IS NOT NULL AND new IS NOT NULL AND day <> DATE '{TODAY}' THEN day END DESC NULLS LAST) AS r FROM joined),
@@ -27,7 +27,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = star.series(spark, sf_dir).select(F.col("commodity_key").alias("key"), F.col("price_date").alias("day"), F.col("y").alias("value"))
     stored = rows.filter("day < '2001-01-01' and key <> 3").withColumn("revision", (F.col("key") % 3).cast("int"))
     fetched = rows.filter(f"day <= '{TODAY}' and key <> 5 and (key <> 7 or day >= '2001-02-01') and (key <> 8 or day >= '2000-11-01') and (key <> 9 or day < '2001-01-01')")
-    return stored, fetched.withColumn("value", F.when(F.col("key") % 4 == 0, F.col("value") * 1.5).otherwise(F.col("value")))
+    return stored, fetched.withColumn("release_date", F.date_add("day", 2)).withColumn("value", F.when(F.col("key") % 4 == 0, F.col("value") * 1.5).otherwise(F.col("value")))
 
 
 @query("reconcile_status", _with("series", rest=_SIDES + " SELECT * FROM judged"))
@@ -35,7 +35,7 @@ def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restate.statuses(*_sides(spark, sf_dir), TODAY)
 
 
-@query("reconcile_append", _with("series", rest=_SIDES + f""" SELECT f.key, f.day, f.value, (j.revision + (status = 'restated')::INT)::INT AS revision, CASE WHEN status = 'restated' THEN greatest(DATE '{TODAY}', f.day) ELSE f.day END AS release_date,
+@query("reconcile_append", _with("series", rest=_SIDES + f""" SELECT f.key, f.day, f.value, (j.revision + (status = 'restated')::INT)::INT AS revision, CASE WHEN status = 'restated' THEN greatest(DATE '{TODAY}', f.day) ELSE f.release_date END AS release_date,
   concat(f.key, ':', f.day, CASE WHEN j.revision + (status = 'restated')::INT > 0 THEN concat('@r', j.revision + (status = 'restated')::INT) ELSE '' END) AS record_id
 FROM fetched f JOIN judged j USING (key) LEFT JOIN stored s USING (key, day) WHERE status = 'restated' OR (status = 'appended' AND s.value IS NULL)"""))
 def reconcile_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,17 @@ def restated_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(restate.jumps(_sides(spark, sf_dir)[1]), "worst_pct")
 
 
+@query("append_jumps", _with("series", rest=_SIDES + """, rows AS (SELECT f.key, f.day, f.value, status FROM fetched f JOIN judged j USING (key) LEFT JOIN stored s USING (key, day) WHERE status = 'restated' OR (status = 'appended' AND s.value IS NULL)),
+edge AS (SELECT key, max(day) AS day, arg_max(value, day) AS value FROM stored WHERE key IN (SELECT key FROM rows WHERE status = 'appended') GROUP BY 1),
+c AS (SELECT key, abs(value / lag(value) OVER (PARTITION BY key ORDER BY day) - 1) * 100 AS c FROM (SELECT key, day, value FROM rows UNION ALL SELECT key, day, value FROM edge))
+SELECT key, round(coalesce(max(c), 0.0), 6) AS worst_pct, coalesce(max(c), 0.0) > 30 AS jump FROM c GROUP BY 1"""))
+def append_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abnormal changes in what is to be written, the step from what is stored among them."""
+    stored, fetched = _sides(spark, sf_dir)
+    rows = restate.new_rows(stored, fetched, restate.statuses(stored, fetched, TODAY), TODAY)
+    return rounded(restate.warnings(stored, rows), "worst_pct")
+
+
 @query("reconcile_summary", _with("series", rest=_SIDES + " SELECT status, count(*) AS n, (SELECT count(*) = 0 FROM judged WHERE status IN ('error', 'no_anchor')) AS ok FROM judged GROUP BY 1"))
 def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restate.histogram(reconcile_status(spark, sf_dir))
@@ -80,11 +91,23 @@ def parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.parity(a, b, key, ("v",))
 
 
-@query("vintage_coverage", _with("supply", rest=""", d AS (SELECT metric_code, release_date, CAST(floor(year(release_date) / 10) * 10 AS INT) AS decade FROM supply),
+_EVERY = ", every AS (" + " UNION ALL ".join(f"SELECT '{f}/' || metric_code AS metric_code, observation_date, release_date FROM {f}" for f in star.FAMILIES) + ")"
+
+
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of all six families, a metric's code with its family before it."""
+    parts = [read(spark, sf_dir).select(F.concat(F.lit(f"{f}/"), "metric_code").alias("metric_code"), "observation_date", "release_date") for f, read in star.FAMILIES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("vintage_coverage", _with(*star.FAMILIES, rest=_EVERY + """, d AS (SELECT metric_code, release_date, CAST(floor(year(release_date) / 10) * 10 AS INT) AS decade FROM every),
 h AS (SELECT metric_code, decade, count(*) AS n FROM d GROUP BY 1, 2), t AS (SELECT metric_code, string_agg(decade || '=' || n, ',' ORDER BY decade) AS decades FROM h GROUP BY 1)
 SELECT metric_code, min(release_date) AS first_release, max(release_date) AS last_release, count(*) FILTER (WHERE release_date IS NULL) AS n_missing, any_value(decades) AS decades FROM d JOIN t USING (metric_code) GROUP BY 1"""))
 def vintage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.vintages(star.supply(spark, sf_dir), "metric_code")
+    return audit.vintages(_every(spark, sf_dir), "metric_code")
 
 
 _CUTS = ["1994-12-31", "1995-06-30", "1998-01-01", "2001-01-01"]
@@ -97,9 +120,27 @@ def fold_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.visible_at(star.supply(spark, sf_dir), _CUTS, "commodity_key", "metric_code", ["R", "A", "N"])
 
 
-@query("year_histogram", _with("supply", rest=""", h AS (SELECT metric_code, year(observation_date) AS y, count(*) AS n FROM supply GROUP BY 1, 2) SELECT metric_code, string_agg(y || '=' || n, ',' ORDER BY y) AS years FROM h GROUP BY 1"""))
+@query("year_histogram", _with(*star.FAMILIES, rest=_EVERY + """, h AS (SELECT metric_code, year(observation_date) AS y, count(*) AS n FROM every GROUP BY 1, 2) SELECT metric_code, string_agg(y || '=' || n, ',' ORDER BY y) AS years FROM h GROUP BY 1"""))
 def year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.histogram(star.supply(spark, sf_dir), "metric_code", F.year("observation_date"), "years")
+    return audit.histogram(_every(spark, sf_dir), "metric_code", F.year("observation_date"), "years")
+
+
+_LEVELS = ["metric_code", "commodity_key", "dim_key"]
+_ROLLED = "CASE WHEN source_fact_id % 11 = 0 THEN 0.0 ELSE metric_value END AS v, year(observation_date) AS y, CASE WHEN revision = 0 THEN 't' ELSE 'kt' END AS unit"
+
+
+@query("coverage_rollup", _with("supply", rest=f""", b AS (SELECT metric_code, commodity_key, dim_key, {_ROLLED} FROM supply),
+s AS (SELECT metric_code, commodity_key, dim_key, (3 - GROUPING(metric_code) - GROUPING(commodity_key) - GROUPING(dim_key))::INT AS depth, count(*) AS n_rows, count(*) FILTER (WHERE v > 0) AS n_positive, count(*) FILTER (WHERE v = 0) AS n_zero,
+  min(y)::INT AS first_year, max(y)::INT AS last_year, max(y) - min(y) + 1 - count(DISTINCT y) AS missing_years, list_sort(list(y)) AS ys, list_sort(list(unit)) AS us
+  FROM b GROUP BY GROUPING SETS ((metric_code, commodity_key, dim_key), (metric_code, commodity_key), (metric_code), ()))
+SELECT metric_code, commodity_key, dim_key, depth, n_rows, n_positive, n_zero, first_year, last_year, missing_years,
+  array_to_string(list_transform(list_sort(list_distinct(ys)), lambda q: q || '=' || len(list_filter(ys, lambda z: z = q))), ',') AS years,
+  array_to_string(list_transform(list_sort(list_distinct(us)), lambda q: q || '=' || len(list_filter(us, lambda z: z = q))), ',') AS units FROM s"""))
+def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage by metric, commodity and region, and rolled up to commodities, metrics and all, in one pass over the facts."""
+    facts = star.supply(spark, sf_dir).withColumns({"v": F.when(F.col("source_fact_id") % 11 == 0, 0.0).otherwise(F.col("metric_value")), "unit": F.when(F.col("revision") == 0, "t").otherwise("kt")})
+    out = audit.rolled_up(facts, _LEVELS, "v", F.year("observation_date"), "unit").withColumn("missing_years", F.col("missing_years").cast("long"))
+    return out.withColumns({c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string"))), ",") for c in ("years", "units")})
 
 
 @query("source_coverage", """SELECT l_shipmode_name AS source, count(l_orderkey) AS n_rows, count(DISTINCT l_partkey) AS n_parts FROM (SELECT unnest(['R', 'A', 'N', 'X']) AS l_shipmode_name) LEFT JOIN lineitem ON l_returnflag = l_shipmode_name GROUP BY 1""")
@@ -196,12 +237,12 @@ def rows_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own.select("commodity_key", (F.col("n") / (F.col("d") / 365.25)).alias("rows_per_year")), "rows_per_year")
 
 
-@query("future_fill", """WITH g AS (SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 4 = 1 THEN n_nationkey * 1.5 END AS v FROM nation)
-SELECT n_regionkey, n_nationkey, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), first_value(v IGNORE NULLS) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS v FROM g""")
+@query("future_fill", """WITH g AS (SELECT o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice END AS v FROM orders)
+SELECT o_custkey, o_orderkey, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), first_value(v IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS v FROM g""")
 def future_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers of days to come: the last known value, and before the first one that one."""
-    rows = star.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.when(F.col("n_nationkey") % 4 == 1, F.col("n_nationkey") * 1.5).alias("v"))
-    return features.fill_both_ways(rows, "n_regionkey", "n_nationkey", "v")
+    rows = star.table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), "o_orderkey", F.when(F.col("o_orderkey") % 4 == 1, F.col("o_totalprice")).alias("v"))
+    return features.fill_both_ways(rows, "o_custkey", "at", "v").drop("at")
 
 
 @query("search_parts", "SELECT p_partkey, p_brand FROM part WHERE contains(lower(p_name), 'bl') OR contains(lower(p_brand), 'bl') ORDER BY p_brand, p_partkey")
@@ -211,8 +252,7 @@ def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "part").filter(hit).select("p_partkey", "p_brand").orderBy("p_brand", "p_partkey")
 
 
-@query("metric_catalogue", _with("supply", "weather", rest=" SELECT DISTINCT regexp_replace(lower(metric_code), '[^a-z0-9_]', '_', 'g') AS name, metric_code FROM (SELECT metric_code FROM supply UNION ALL SELECT metric_code FROM weather)"))
+@query("metric_catalogue", _with(*star.FAMILIES, rest=" SELECT DISTINCT regexp_replace(lower(metric_code), '[^a-z0-9_]', '_', 'g') AS name, metric_code FROM (" + " UNION ALL ".join(f"SELECT metric_code FROM {f}" for f in star.FAMILIES) + ")"))
 def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics that there are, with names that are fit for columns."""
-    codes = star.supply(spark, sf_dir).select("metric_code").unionByName(star.weather(spark, sf_dir).select("metric_code"))
-    return asof.column_names(codes)
+    return asof.column_names(_every(spark, sf_dir).select(F.substring_index("metric_code", "/", -1).alias("metric_code")))

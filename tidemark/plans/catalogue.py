@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, features, parse
-from tidemark.operators import asof, audit, forecast, intake, kernels, revisions, writer
+from tidemark.operators import asof, audit, forecast, intake, kernels, revisions, shared, writer
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tidemark.plans.registry import with_facts as _with
 from tidemark.sources import star
+from tidemark.streaming import panel
 
 #: Order families: the last day of the panel, whose days begin with each commodity's first price. Event families: all
 #: days that they have. And the day that reads take for today.
@@ -223,6 +225,25 @@ def exog_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.forward_fill(*_sparse(spark, sf_dir), EVENT_METRICS, zeros=True)
 
 
+_LATE = ("supply", "weather")
+
+
+@query("pit_late_rows", " UNION ALL ".join(f"SELECT * FROM ({_panel_sql(f, f""", moves AS (SELECT commodity_key, dim_key, metric_code, since, w, w IS DISTINCT FROM lag(w) OVER (PARTITION BY commodity_key, dk, metric_code ORDER BY since) AS moved FROM running)
+SELECT '{f}' AS family, commodity_key, dim_key, metric_code, since, w[5] AS metric_value, w[4] AS source_fact_id, w[1] AS observation_date, w[2] AS release_date,
+  lead(since) OVER (PARTITION BY commodity_key, coalesce(dim_key, -1), metric_code ORDER BY since) - 1 AS until FROM moves WHERE moved""")})" for f in _LATE))
+def pit_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that arrive in three batches, late ones among them: what is kept after the last is what all facts give."""
+    out = None
+    for family in _LATE:
+        folder, facts, dims = f"{shared.folder(spark)}/panel-{uuid.uuid4().hex}", star.FAMILIES[family](spark, sf_dir), star.dim_commodity(spark, sf_dir)
+        for number in range(3):
+            panel.apply(spark, folder, facts.filter(F.pmod(F.xxhash64("source_fact_id"), F.lit(3)) == number), number, dims)
+        kept = panel.intervals(panel.points(spark, folder))
+        part = kept.select(F.lit(family).alias("family"), *asof.KEYS, "since", *(f"winner.{c}" for c in ("metric_value", "source_fact_id", "observation_date", "release_date")), "until")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- revisions and reads
 
 _BENCHMARK = """, counted AS (SELECT commodity_key, dim_key, count(DISTINCT observation_date) AS n_days FROM price GROUP BY 1, 2),

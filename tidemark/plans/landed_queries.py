@@ -58,10 +58,11 @@ def parse_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.oceanic_index(star.table(spark, sf_dir, "events").select(line.alias("value")), lag=2)
 
 
-@query("parse_spot_prices", """SELECT o_orderkey, DATE '2001-08-01' AS observation_date, CAST(1000000 + o_orderkey % 900000 AS DOUBLE) AS value, DATE '2001-08-01' AS release_date FROM orders
-WHERE NOT (o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 = 0)""")
+@query("parse_spot_prices", """SELECT o_orderkey, DATE '2001-08-01' AS observation_date, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 1000.0 ELSE CAST(1000000 + o_orderkey % 900000 AS DOUBLE) END AS value, DATE '2001-08-01' AS release_date FROM orders
+WHERE NOT (o_orderkey % 4 = 0 AND o_orderkey % 3 = 0)""")
 def parse_spot_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of all four formats; a third of those of two formats lack the product or its price."""
+    """Bodies of all four formats; a third of those of two formats lack the product or its price. A row of the table whose
+    price is missing has 1.000 as its last positive number."""
     n, key = (1000000 + F.col("o_orderkey") % 900000).cast("string"), F.concat(F.lit("Item & Son "), F.col("o_orderkey").cast("string"))
     grouped = F.concat_ws(".", F.substring(n, 1, 1), F.substring(n, 2, 3), F.substring(n, 5, 3))
     lacks = F.col("o_orderkey") % 3 == 0
@@ -78,9 +79,7 @@ def parse_spot_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, F.upper(F.trim(masp))).otherwise(key).alias("product"),
         F.when(kind == 0, items).when(kind == 1, F.when(lacks, cells(key, F.lit("_"))).otherwise(table_)).when(kind == 2, page).otherwise(board).alias("body"),
     )
-    # a row of the table whose price is missing still has 1.000 as its last positive number
-    found = landed.spot_prices(bodies, ("o_orderkey", "format"), "2001-08-01")
-    return found.filter("not (format = 'table' and o_orderkey % 3 = 0)").drop("format")
+    return landed.spot_prices(bodies, ("o_orderkey",), "2001-08-01")
 
 
 @query("parse_page_html", """SELECT page_id, coalesce(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '') AS title, len(regexp_extract_all(html, '(?is)<li\\b.*?</li>')) AS n_items, len(regexp_extract_all(html, '(?is)<p\\b.*?</p>')) AS n_paragraphs FROM pages""")
@@ -117,9 +116,11 @@ def _bulk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("balance_sheet", f"""WITH {_BULK} SELECT upper(commodity_id) AS commodity_code, 'attr_' || attribute_id AS metric_code, country AS region_code, make_date(year, greatest(month, 1), 1) AS period_start,
-  make_date(year, greatest(month, 1), 1) + 365 AS period_end, value FROM bulk WHERE attribute_id < 2""")
+  make_date(year, greatest(month, 1), 1) + 365 AS period_end, DATE '2002-02-02' AS release_date, value FROM bulk WHERE attribute_id < 2""")
 def balance_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.balance_sheet(*_bulk(spark, sf_dir)).select("commodity_code", "metric_code", "region_code", "period_start", "period_end", "value")
+    rows, wanted = _bulk(spark, sf_dir)
+    found = landed.balance_sheet(rows, wanted.filter("country <> 'NOWHERE'"), "2002-02-02")
+    return found.select("commodity_code", "metric_code", "region_code", "period_start", "period_end", "release_date", "value")
 
 
 @query("balance_sheet_missing", "SELECT 'BRAND#11' AS commodity_code, 'attr_7' AS metric_code, 'NOWHERE' AS region_code")

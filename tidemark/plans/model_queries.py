@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import cashflow, forecast, kernels, payload
+from tidemark.operators import cashflow, forecast, kernels, model_store, payload, shared
 from tidemark.plans import catalogue
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.registry import with_facts as _with
@@ -141,3 +143,34 @@ def research_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = kernels.backtest(star.series(spark, sf_dir), catalogue.MIN_TRAIN, catalogue.HORIZON, catalogue.FOLDS, tuple(kernels.RESEARCH))
     named = {"ridge": ("ridge",), "with_ou": ("ridge", "ou"), "with_vdp": ("ridge", "ou", "vdp"), "ou_alone": ("ou",), "vdp_alone": ("vdp",)}
     return payload.pools(forecast.accuracy(errors, "model"), named)
+
+
+@query("model_store_scores")
+def model_store_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge models fitted on the prices before 2001, registered, read back, and scored on all rows without another fit."""
+    rows = star.series(spark, sf_dir)
+    early = rows.filter("price_date < '2001-01-01'")
+    errors = forecast.accuracy(kernels.backtest(early, catalogue.MIN_TRAIN, catalogue.HORIZON, catalogue.FOLDS, ("naive", "ridge")), "model")
+    scores = errors.groupBy("commodity_key").agg(*(F.max(F.when(F.col("model") == m, F.col("mape"))).alias(c) for m, c in (("ridge", "mape"), ("naive", "naive_mape"))))
+    new = model_store.entries(model_store.fitted(early, catalogue.HORIZON), scores, "ridge", catalogue.HORIZON, "2001-01-01T00:00:00Z")
+    kept = model_store.register(spark, f"{shared.folder(spark)}/models-{uuid.uuid4().hex}", new, allow_write=True)
+    return model_store.scored(rows, model_store.latest(kept))
+
+
+@query("fresh_movers", catalogue._series_sql("commodity_key, is_equity, last_date, lag, skew, fresh, refused, direction, round(pct, 6) AS pct, rank", "done", catalogue._OU + f""",
+days AS (SELECT commodity_key, CASE WHEN commodity_key % 6 = 0 THEN max(price_date) - 40 WHEN commodity_key % 6 = 1 THEN NULL ELSE max(price_date) END AS last_date, arg_max(y, price_date) AS last_value FROM series GROUP BY 1),
+top AS (SELECT max(last_date) AS latest FROM days), week AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-08', INTERVAL 1 DAY)) AS DATE) AS d),
+aged AS (SELECT d.*, (SELECT count(*) FROM week WHERE d > latest AND d <= DATE '2001-08-08' AND isodow(d) < 6) AS lag, CASE WHEN last_date IS NULL THEN 999 ELSE (SELECT count(*) FROM week w WHERE w.d > last_date AND w.d <= latest AND isodow(w.d) < 6) END AS skew FROM days d, top),
+p AS (SELECT a.*, commodity_key % 2 = 0 AS is_equity, (predicted / last_value - 1) * 100 AS pct FROM aged a JOIN path USING (commodity_key) WHERE step = {catalogue.HORIZON}),
+q AS (SELECT *, CASE WHEN pct > 0 THEN 'up' ELSE 'down' END AS direction FROM p WHERE pct <> 0 AND skew <= 3 AND lag <= 10),
+done AS (SELECT commodity_key, is_equity, last_date, lag::INT AS lag, skew::INT AS skew, true AS fresh, false AS refused, direction, pct, row_number() OVER (PARTITION BY is_equity, direction ORDER BY abs(pct) DESC, commodity_key)::INT AS rank FROM q QUALIFY rank <= 5)"""))
+def fresh_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest changes among equities and among the others, of series that don't lag behind the latest one."""
+    rows = star.series(spark, sf_dir)
+    ends = catalogue._ou_path(spark, sf_dir).filter(F.col("step") == catalogue.HORIZON).select("commodity_key", F.col("predicted").alias("end_value"))
+    key, newest = F.col("commodity_key"), F.max("price_date")
+    last = rows.groupBy("commodity_key").agg(newest.alias("d"), F.max_by("y", "price_date").alias("last_value"))
+    last = last.withColumn("last_date", F.when(key % 6 == 0, F.date_sub("d", 40)).when(key % 6 != 1, F.col("d"))).drop("d")
+    own = forecast.fresh(last.join(ends, "commodity_key").withColumn("is_equity", key % 2 == 0), "2001-08-08", 10, 3)
+    found = forecast.movers(own.filter("fresh and not refused").withColumn("section", F.col("is_equity")), 5)
+    return rounded(found.select("commodity_key", "is_equity", "last_date", "lag", "skew", "fresh", "refused", "direction", "pct", "rank"), "pct")

@@ -6,6 +6,11 @@ them, and gives one row for each observation; the release lags the observation b
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,21 +67,29 @@ def oceanic_index(lines: DataFrame, line: str = "value", lag: int = 0) -> DataFr
     return released(rows.select(F.lit("el_nino_la_nina").alias("metric_code"), F.col("x.date").alias("observation_date"), F.col("x.value").alias("value")), 31 + lag)
 
 
-def balance_sheet(rows: DataFrame, wanted: DataFrame, days: int = 365) -> DataFrame:
+def balance_sheet(rows: DataFrame, wanted: DataFrame, release_date: str, days: int = 365) -> DataFrame:
     """Rows of a bulk table (commodity_id, attribute_id, country, year, month, unit, value) that ``wanted`` asks for.
 
     ``wanted`` has commodity_id, attribute_id, country and the codes and unit of each series. Fails if a series has
-    another unit than it should, if two rows have one grain, or if a series has no row at all. Month 0 is January.
+    another unit than it should, if two rows have one grain, or if a series has no row at all. Month 0 is January; rows
+    without a year, a month that is one or a number are left out. All of a bulk file is known from the day it was taken.
     """
     key = ["commodity_id", "attribute_id", "country"]
+    fine = (F.col("year") > 0) & F.col("month").between(0, 12) & F.col("value").isNotNull()
     start = F.make_date("year", F.greatest(F.col("month"), F.lit(1)), F.lit(1))
-    own = rows.join(wanted.withColumnRenamed("unit", "__unit"), key).withColumns({"period_start": start, "period_end": F.date_add(start, days)})
+    own = rows.filter(fine).join(wanted.withColumnRenamed("unit", "__unit"), key).withColumns({"period_start": start, "period_end": F.date_add(start, days), "release_date": F.to_date(F.lit(release_date))})
     right = F.when(F.col("__unit").isNull() | (F.trim("unit") == F.col("__unit")), F.col("value"))
     own = own.withColumn("value", F.coalesce(right, F.raise_error(F.concat(F.lit("unit drift in "), F.concat_ws("/", *key), F.lit(": "), F.coalesce("unit", F.lit("none")))).cast("double")))
     grain = ["commodity_code", "metric_code", "region_code", "period_start"]
     once = Window.partitionBy(*grain)
     own = own.withColumn("value", F.when(F.count("*").over(once) == 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("two rows of "), F.concat_ws("/", *grain))).cast("double")))
-    return own.drop("__unit")
+    own = own.drop("__unit")
+    # a series without rows raises as soon as its row meets the filter, which no projection of the result takes away and
+    # which needs what the join has found
+    met = rows.filter(fine).select(*key, F.lit(True).alias("__met")).distinct()
+    silent = F.raise_error(F.concat(F.lit("no rows of "), F.concat_ws("/", *(F.col(c).cast("string") for c in key)))).cast("boolean")
+    none = wanted.join(met, key, "left").filter(F.when(F.col("__met").isNull(), silent).otherwise(False))
+    return own.unionByName(none.select(*(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns)))
 
 
 def unmatched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,6 +111,51 @@ def csv_prices(spark: SparkSession, path: str, day: str, value: str, where: dict
     return released(typed.groupBy("observation_date").agg(F.round(methods[method]("v"), 4).alias("value")), 1)
 
 
+def zipped_lines(spark: SparkSession, path: str, member: str = ".csv", rows: int = 10_000) -> DataFrame:
+    """file, number, line of the first member of each archive whose name ends so, in UTF-8 (other bytes replaced).
+
+    An archive is one row of Spark's; its member is unpacked as a stream, ``rows`` lines of an Arrow batch at a time, so
+    what a task holds are the packed bytes and one batch. An archive without such a member fails.
+    """
+    schema = "file string, number long, line string"
+
+    def unpack(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    found = [n for n in archive.namelist() if n.lower().endswith(member)]
+                    if not found:
+                        raise ValueError(f"{name} has no member that ends in {member}")
+                    with io.TextIOWrapper(archive.open(found[0]), "utf-8", "replace", newline="") as lines:
+                        number = 0
+                        while part := [x.rstrip("\r\n") for x in itertools.islice(lines, rows)]:
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(number, number + len(part)), pa.int64()), pa.array(part)], ["file", "number", "line"])
+                            number += len(part)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return files.select("path", "content").mapInArrow(unpack, schema)
+
+
+def zipped_csv(spark: SparkSession, path: str, schema: str, member: str = ".csv") -> DataFrame:
+    """The rows of zipped CSV files, whose first line names the columns: those of ``schema``, by name. A column that a file
+    lacks fails; quoted fields may hold commas, but no line ends."""
+    lines = zipped_lines(spark, path, member)
+    header = lines.filter("number = 0").select("file", F.col("line").alias("__header"))
+    cells = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"')))
+    both = lines.filter("number > 0 and line <> ''").join(header, "file").withColumns({"__names": cells(F.col("__header")), "__cells": cells(F.col("line"))})
+    fields = T.StructType.fromDDL(schema).fields
+    at = lambda n: F.array_position("__names", n).cast("int")
+    one = lambda n: F.when(at(n) > 0, F.try_element_at("__cells", at(n))).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(f" has no column {n}"))))
+    return both.select(*(F.nullif(F.trim(one(f.name)), F.lit("")).try_cast(f.dataType).alias(f.name) for f in fields))
+
+
+def export_wide(rows: DataFrame, key: str, name: str, value: str, names: list[str], path: str) -> None:
+    """``rows`` pivoted to a column for each of ``names`` (their mean, where several have one key), as CSV with a header,
+    in the key's order."""
+    wide = rows.groupBy(key).pivot(name, names).agg(F.avg(value)).orderBy(key)
+    wide.write.mode("overwrite").option("header", True).csv(path)
+
+
 FIXTURE = T.MapType(T.StringType(), T.StringType())
 
 

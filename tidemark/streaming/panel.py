@@ -80,7 +80,7 @@ def apply(spark: SparkSession, folder: str, facts: DataFrame, number: int, dims:
     keyed = facts if dims is None else asof.for_every_commodity(facts.select(*asof.KEYS).distinct(), dims)
     asked = [r.bucket for r in keyed.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
     found = changes(points(spark, folder, number, asked), facts, dims).withColumn("bucket", _bucket())
-    found.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={number}")
+    found.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={number}")
 
 
 def follow(stream: DataFrame, folder: str, checkpoint: str, dims: DataFrame | None = None):
