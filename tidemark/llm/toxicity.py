@@ -41,7 +41,7 @@ MOST_LABELLED, MOST_VOTERS, LEAST_ROWS = 12_000, 2_000, 4
 LEAST_PRECISION, STARTS = 0.72, (4, 5, 6, 7)
 #: Words with one start that a pattern may ask for.
 TIMES = (1, 2, 3, 5)
-ROUNDS, NEWTON_STEPS, PENALTY = 30, 25, 0.02
+ROUNDS, NEWTON_STEPS, PENALTY, BLOCK = 30, 25, 0.02, 1024
 #: Words whose votes a process remembers at most.
 WORD_TABLE = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -126,27 +126,29 @@ def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray
     far more often than it votes, so class 1 is where votes meet. An abstaining voter says nothing; what that leaves out is
     made up for by the share of class 1, which each round keeps.
     """
-    x = votes.astype(float)
+    x = votes.astype(np.float32, copy=False)  # rows x voters: what is made of it below is no larger than voters x voters
     n, v = x.shape
-    weight = np.ones(v)
+    weight, common = np.ones(v), (x.T @ x).astype(float)
     if v > 1:  # before the first round, voters that nearly always vote together count as one
-        common = x.T @ x
         own = np.maximum(np.diag(common), 1)
         overlap = common / np.sqrt(np.outer(own, own))
         weight = 1 / np.where(overlap > 0.8, overlap, 0).sum(axis=1).clip(1)
     seen = x @ weight
     q = np.where(seen >= 1.5, 0.9, np.where(seen > 0, 0.3, 0.02))
     for step in range(ROUNDS):
-        rate1 = (q @ x + 0.5) / (q.sum() + 1)
-        rate0 = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
+        in1, in0 = (((p.astype(np.float32) @ x).astype(float)) for p in (q, 1 - q))
+        rate1, rate0 = (in1 + 0.5) / (q.sum() + 1), (in0 + 0.5) / ((1 - q).sum() + 1)
         if step in LOOKS:  # correlations within the classes; abstaining voters have little variance to share
-            left = x - np.outer(q, rate1) - np.outer(1 - q, rate0)
-            cov = left.T @ left / n
+            # the products of what is left of the votes when each class's rates are taken off, by their sums
+            r = np.stack([rate1, rate0])
+            mixed = np.array([[q @ q, q @ (1 - q)], [q @ (1 - q), (1 - q) @ (1 - q)]])
+            crossed = np.stack([in1, in0]).T @ r
+            cov = (common - crossed - crossed.T + r.T @ mixed @ r) / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.abs(cov / np.outer(sd, sd))
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
-        q = balanced(x @ (weight * np.log(rate1 / rate0)), prior)
+        q = balanced((x @ (weight * np.log(rate1 / rate0)).astype(np.float32)).astype(float), prior)
     return q, rate1, rate0
 
 
@@ -167,15 +169,19 @@ def logistic(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
     Voters whose weight comes out negative, as collinear ones' may, are left out and the rest is fitted again.
     """
-    x = np.column_stack([x, np.ones(len(x))])
-    used = np.ones(x.shape[1], bool)
+    used = np.ones(x.shape[1] + 1, bool)
     while True:
-        part, w = x[:, used], np.zeros(int(used.sum()))
+        own, w = np.flatnonzero(used[:-1]), np.zeros(int(used.sum()))
         ridge = np.full(len(w), PENALTY)
         ridge[-1] = 1e-6
         for _ in range(NEWTON_STEPS):
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.diag(ridge + 1e-9), part.T @ (q - p) - ridge * w)
+            curve, slope = np.diag(ridge + 1e-9), -ridge * w
+            for at in range(0, len(x), BLOCK):  # a block of rows at a time, so no second matrix of all rows is made
+                part = np.column_stack([x[at : at + BLOCK, own], np.ones(len(x[at : at + BLOCK]))]).astype(float)
+                p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+                curve += (part * (p * (1 - p))[:, None]).T @ part
+                slope += part.T @ (q[at : at + BLOCK] - p)
+            step = np.linalg.solve(curve, slope)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -184,7 +190,7 @@ def logistic(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         if not wrong.any():
             break
         used[np.flatnonzero(used)[wrong]] = False
-    out = np.zeros(x.shape[1])
+    out = np.zeros(x.shape[1] + 1)
     out[used] = w
     return out
 
@@ -222,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.weights[-1] = np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))
         return model
     order = sorted(range(len(sample)), key=lambda k: (sample[k]["votes"], sample[k]["share"], sample[k]["toxic"]))
-    votes = np.zeros((len(sample), len(voters)))
-    share = np.zeros(len(sample))
+    votes = np.zeros((len(sample), len(voters)), np.float32)
+    share = np.zeros(len(sample), np.float32)
     for row, k in enumerate(order):  # the same order whatever the tasks' order was
         votes[row, sample[k]["votes"]] = 1
         share[row] = min(1.0, 10 * sample[k]["share"])
