@@ -74,7 +74,10 @@ _DRIVER_LIST = ", ".join(f'coalesce(last_value("{m}" IGNORE NULLS) OVER w, 0.0)'
 
 
 def _driven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload.with_drivers(star.series(spark, sf_dir), catalogue.pit_wide(spark, sf_dir), DRIVERS)
+    """The panel's changes alone: what lies between two of them is filled from the first."""
+    values = [F.col(f"`{m}`.metric_value").alias(m.replace(" ", "_")) for m in catalogue.ALL_METRICS]
+    changes = catalogue._wide_runs(spark, sf_dir).select("commodity_key", F.col("first_day").alias("as_of_date"), *values)
+    return payload.with_drivers(star.series(spark, sf_dir), changes, DRIVERS)
 
 
 @query("driver_matrix", f"""WITH wide AS ({catalogue.ORACLE_SQL["pit_wide"]}), series AS ({star.SQL["series"]}),
