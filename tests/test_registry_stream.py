@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 
@@ -71,3 +72,32 @@ def test_stream_is_reconciled(spark, tmp_path):
     status = {(r.batch, r.key): r.status for r in spark.read.parquet(where[2]).collect()}
     assert status[0, "a"] == "empty" and status[1, "a"] == "appended" and status[1, "b"] == "restated" and status[2, "b"] == "error"
     assert land([("a", day(11), 21.0, 4)]) == got  # nothing new
+
+
+def test_profiles_are_loaded_as_one_version(spark):
+    schemas = {
+        "dim_commodity": "commodity_code string, " + ", ".join(f"{c} string" for c in registry.COMMODITY), "dim_market_instrument": "code string, " + ", ".join(f"{c} string" for c in registry.INSTRUMENT),
+        "dim_region": "region_code string, region_name string, country string", "dim_data_source": "source_code string, name string, url string, access string, license string",
+        "commodity_region_map": "link string, label string", "registry": "commodity_code string, checksum string, version int",
+    }
+    empty = {k: spark.createDataFrame([], s) for k, s in schemas.items()}
+    docs = [
+        ("a.json", {"commodity_code": " CORN ", "commodity_name": "Corn", "commodity_group": "grain", "market_instruments": [{"instrument_code": "ZC", "currency": "USD"}, {"instrument_code": ""}],
+                    "production_regions": [{"region_code": "US", "name": "Plains"}], "consumption_regions": [{"region_code": "CN"}], "data_sources": [{"source_code": "usda", "url": "u1"}]}),
+        ("b.json", {"commodity_code": "RICE", "commodity_group": "grain", "production_regions": [{"region_code": "US", "name": "Delta", "country": "USA"}], "data_sources": [{"source_code": "usda", "name": "USDA", "url": "u2"}]}),
+        ("c.json", {"name": "no code"}),
+    ]
+    roles = {"production_regions": "production", "consumption_regions": "consumption"}
+    load = lambda rows, held: registry.load_profiles(spark.createDataFrame([(p, json.dumps(d)) for p, d in rows], "source_path string, profile string"), held, roles)
+    told = lambda summary: {(r.entity, r.change): r.n for r in summary.collect()}
+    tables, summary = load(docs, empty)
+    assert told(summary) == {("dim_commodity", "created"): 2, ("dim_market_instrument", "created"): 1, ("dim_region", "created"): 2, ("dim_data_source", "created"): 1, ("commodity_region_map", "created"): 3, ("registry", "created"): 2}
+    region = {r.region_code: (r.region_name, r.country) for r in tables["dim_region"].collect()}
+    assert region == {"US": ("Plains", "USA"), "CN": ("CN", None)}  # the first name, gaps filled
+    assert tables["dim_data_source"].first()[:3] == ("usda", "USDA", "u1") and {r.label for r in tables["commodity_region_map"].collect()} == {"Plains", "Delta", "CN"}
+    held = {k: spark.createDataFrame(t.collect(), schemas[k]) for k, t in tables.items()}
+    assert {c for _, c in told(load(docs, held)[1])} == {"unchanged"}
+    docs[1][1]["commodity_name"] = "Rice"
+    tables, summary = load(docs[1:2], held)
+    assert told(summary)["dim_commodity", "updated"] == 1 and told(summary)["registry", "updated"] == 1 and ("dim_region", "updated") not in told(summary)
+    assert {r.commodity_code: r.version for r in tables["registry"].collect()} == {"CORN": 1, "RICE": 2} and tables["dim_commodity"].count() == 2

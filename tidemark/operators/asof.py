@@ -12,20 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.registry import train_start
+
 KEYS = ("commodity_key", "dim_key", "metric_code")
 
 
-def starts(facts: DataFrame, dims: DataFrame, default: str = "2000-01-01") -> DataFrame:
-    """commodity_key, first: each commodity's first observation, else ``default``."""
+def starts(facts: DataFrame, dims: DataFrame, default: str = "2000-01-01", profiles: DataFrame | None = None) -> DataFrame:
+    """commodity_key, first: the day that a commodity's profile names (``profiles``: commodity_key, profile, a JSON text),
+    else its first observation, else ``default``."""
     first = facts.groupBy("commodity_key").agg(F.min("observation_date").alias("first"))
     begun = dims.select("commodity_key").distinct().join(first, "commodity_key", "left")
-    return begun.withColumn("first", F.coalesce("first", F.to_date(F.lit(default))))
+    named = F.lit(None).cast("date")
+    if profiles is not None:
+        own = profiles.groupBy(F.col("commodity_key").alias("__key")).agg(F.max(train_start()).alias("__named"))
+        begun, named = begun.join(own, F.col("commodity_key") == F.col("__key"), "left"), F.col("__named")
+    return begun.select("commodity_key", F.coalesce(named, "first", F.to_date(F.lit(default))).alias("first"))
 
 
-def time_grid(facts: DataFrame, end: str, dims: DataFrame, start: str = "2000-01-01") -> DataFrame:
-    """commodity_key, as_of_date: each commodity's days from its first observation (else ``start``) to ``end``."""
+def time_grid(facts: DataFrame, end: str, dims: DataFrame, start: str = "2000-01-01", profiles: DataFrame | None = None) -> DataFrame:
+    """commodity_key, as_of_date: each commodity's days from the first one of starts() to ``end``."""
     last = F.to_date(F.lit(end))
-    begun = starts(facts, dims, start).filter(F.col("first") <= last)
+    begun = starts(facts, dims, start, profiles).filter(F.col("first") <= last)
     return begun.select("commodity_key", F.explode(F.sequence("first", last)).alias("as_of_date"))
 
 

@@ -126,3 +126,61 @@ def identifier(name: str) -> str:
     if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name):
         raise ValueError(f"not a column name: {name!r}")
     return name.lower()
+
+
+def _text(name: str) -> Column:
+    value = F.trim(F.get_json_object("profile", f"$.{name}"))
+    return F.when(value != "", value)
+
+
+def _one(rows: DataFrame, key: str, first: tuple[str, ...], last: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each key of several profiles' entries: the first value that there is in the order of the files, or the
+    last one."""
+    path = F.col("source_path")
+    picked = [F.min_by(c, F.when(F.col(c).isNotNull(), path)).alias(c) for c in first] + [F.max_by(c, F.when(F.col(c).isNotNull(), path)).alias(c) for c in last]
+    return rows.filter(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(*picked)
+
+
+COMMODITY = ("commodity_name", "commodity_group", "base_unit", "default_currency", "notes")
+INSTRUMENT = ("exchange", "symbol", "description", "contract_unit", "currency")
+
+
+def load_profiles(profiles: DataFrame, held: dict[str, DataFrame], regions: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables after loading ``profiles`` (source_path, profile, a JSON text with a commodity_code), to be written as one
+    version, and a summary (entity, change, n).
+
+    ``held`` has the tables as they are: dim_commodity, dim_market_instrument (its key is commodity and instrument code),
+    dim_region, dim_data_source, commodity_region_map, registry. ``regions`` names the profile's sections of regions and
+    the role that each stands for. Names and countries of regions and links of sources only fill gaps; a profile's version
+    goes up if and only if its text has changed. Nothing is ever taken away.
+    """
+    own = profiles.withColumn("commodity_code", _text("commodity_code")).filter("commodity_code is not null")
+    entries = lambda section, columns: bridge(own.select(F.struct("commodity_code", "source_path").alias("__of"), "profile"), "__of", section, columns).select("__of.*", *(c.split(" ")[0] for c in columns.split(", ")))
+    text = lambda *names: ", ".join(f"{n} string" for n in names)
+    commodities = own.select("commodity_code", *(_text(c).alias(c) for c in COMMODITY))
+    instruments = entries("market_instruments", text("instrument_code", *INSTRUMENT)).filter("coalesce(instrument_code, '') <> ''")
+    instruments = _one(instruments.withColumn("code", F.concat_ws("/", "commodity_code", "instrument_code")), "code", (), INSTRUMENT)
+    placed = None
+    for section, role in regions.items():
+        part = entries(section, text("region_code", "name", "region_name", "country")).withColumn("role", F.lit(role))
+        placed = part if placed is None else placed.unionByName(part)
+    placed = placed.filter("coalesce(region_code, '') <> ''").withColumn("label", F.coalesce("name", "region_name", "region_code"))
+    dim_region = _one(placed.withColumn("region_name", F.col("label")), "region_code", ("region_name", "country"))
+    links = _one(placed.withColumn("link", F.concat_ws("/", "commodity_code", "region_code", "role")), "link", (), ("label",))
+    sources = entries("data_sources", text("source_code", "name", "url", "access", "license")).withColumn("name", F.coalesce("name", "source_code"))
+    changed = {
+        "dim_commodity": upsert(held["dim_commodity"], commodities, "commodity_code"),
+        "dim_market_instrument": upsert(held["dim_market_instrument"], instruments, "code"),
+        "dim_region": upsert(held["dim_region"], dim_region, "region_code", ("region_name", "country")),
+        "dim_data_source": upsert(held["dim_data_source"], _one(sources, "source_code", ("url", "access", "license"), ("name",)), "source_code", ("url", "access", "license")),
+        "commodity_region_map": upsert(held["commodity_region_map"], links, "link"),
+        "registry": versions(held["registry"], own.withColumn("checksum", F.sha2("profile", 256)), "commodity_code"),
+    }
+    summary = None
+    for entity, rows in changed.items():
+        part = rows.filter("change <> 'kept'").groupBy(F.lit(entity).alias("entity"), "change").agg(F.count("*").alias("n"))
+        summary = part if summary is None else summary.unionByName(part)
+    tables = {entity: rows.drop("change") for entity, rows in changed.items()}
+    stays = held["registry"].join(own.select("commodity_code"), "commodity_code", "left_anti").select("commodity_code", "checksum", "version")
+    tables["registry"] = tables["registry"].unionByName(stays)
+    return tables, summary

@@ -104,6 +104,17 @@ def pit_time_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.time_grid(star.price(spark, sf_dir), ORDER_END, star.dim_commodity(spark, sf_dir))
 
 
+@query("pit_time_grid_profiles", _with("dim_commodity", "price", rest=f""", named AS (SELECT commodity_key, CASE WHEN commodity_key % 3 = 0 THEN make_date(1993 + commodity_key % 5, 7, 1) END AS d FROM dim_commodity),
+first AS (SELECT commodity_key, min(observation_date) AS f FROM price GROUP BY 1)
+SELECT commodity_key, CAST(unnest(generate_series(coalesce(d, f, DATE '2000-01-01'), DATE '{ORDER_END}', INTERVAL 1 DAY)) AS DATE) AS as_of_date FROM named LEFT JOIN first USING (commodity_key)"""))
+def pit_time_grid_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid where a third of the commodities has a profile that names the first day."""
+    dims = star.dim_commodity(spark, sf_dir)
+    day = F.concat_ws("-", (1993 + F.col("commodity_key") % 5).cast("string"), F.lit("07-01"))
+    profile = F.when(F.col("commodity_key") % 3 == 0, F.to_json(F.struct(F.struct(day.alias("min_train_start_date")).alias("features")))).otherwise("{}")
+    return asof.time_grid(star.price(spark, sf_dir), ORDER_END, dims, profiles=dims.select("commodity_key", profile.alias("profile")))
+
+
 def _long_sql(family: str) -> str:
     """One row for each run of days on which a key's winner stays the same, out of the daily panel."""
     return _panel_sql(family, f""", runs AS (SELECT *, as_of_date - CAST(row_number() OVER (PARTITION BY commodity_key, dim_key, metric_code, source_fact_id, observation_date, release_date, metric_value ORDER BY as_of_date) AS INT) AS run FROM panel)
