@@ -31,6 +31,21 @@ def test_topk(spark, rows, seed, summary):
     assert sorted(got) == sorted(want) and spark.conf.get(topk._BATCH) == before
 
 
+def test_topk_sends_no_queries_through_the_driver(spark, monkeypatch):
+    """Queries times ranges grow with the square of the rows; the join that they meet in broadcasts neither side."""
+    plans, write = {}, topk.materialize
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(topk, "materialize", noted)
+    df = spark.createDataFrame([(i, [i % 7 - 3.0, i % 5 - 2.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    for summary in (1 << 25, 0):
+        assert topk.top_k(df, range_rows=32, most_summary_bytes=summary).count() == 30
+        assert "SortMergeJoin [range" in plans["topk-found"]
+
+
 def test_topk_small(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
