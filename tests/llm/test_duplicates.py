@@ -142,6 +142,40 @@ def test_passage_whose_keys_are_first_in_other_documents(spark):
     assert {a for a, _ in got} == {k + n for k in range(0, 400, 20) for n in (11, 12)}
 
 
+def test_copies_between_many_documents_that_hold_their_keys(spark):
+    """A passage's keys come first, and again last before its copy, in documents that share 45 words of it, no passage."""
+    rng = random.Random(44)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for k in range(0, 1200, 40):
+        passage = fill(52)
+        for n in range(32):
+            part = passage if n in (14, 30) else passage[n % 8 : n % 8 + 45]
+            texts[k + n] = fill(30) + part + fill(30)
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id) for r in substring_dedup.find_passages(df).collect()}
+    assert got == {(k + 30, k + 14) for k in range(0, 1200, 40)}
+
+
+def test_holders_are_numbered_across_tasks(spark):
+    rows = [(k, d, d % 9) for k in (1, 2, 3) for d in range(0, 900 if k == 2 else 30, k)]
+    got = substring_dedup._holders(spark.createDataFrame(rows + rows, "key long, doc long, c int").repartition(6)).collect()
+    assert sorted((r.key, r.doc, r.c, r["rank"]) for r in got) == [(k, d, c, d // k) for k, d, c in rows]
+
+
+def test_dense_stretches():
+    rng = np.random.default_rng(1)
+    for n in (1, 9, 10, 60):
+        for _ in range(40):
+            known = rng.random(n) < rng.choice([0.6, 0.8, 0.9])
+            want = np.zeros(n, bool)
+            for x in range(n):
+                for y in range(x + 10, n + 1):
+                    if 100 * known[x:y].sum() >= substring_dedup.PERCENT * (y - x):
+                        want[x:y] = True
+            assert (substring_dedup.dense(known, 10) == want).all()
+
+
 def windows_of(s: np.ndarray) -> dict[int, tuple[int, int, int]]:
     starts = np.array([0, len(s)])
     parts = [substring_dedup.compact_windows(s, starts, substring_dedup.LEAST_WORDS - substring_dedup.SHINGLE + 1, k) for k in range(substring_dedup.BANDS)]

@@ -15,10 +15,14 @@ a passage if it has at least ``LEAST_WORDS`` words and its two sides' sets of sh
 ``PERCENT``; else its longest part whose stretches make up for the gaps between them is tried, and what lies on either
 side of that.
 
+The rest loses no document either: what is still open then goes on to all earlier documents that have its key, each round
+eight times as far back, until it is covered or none is left. Only windows that reach into a stretch whose shingles
+other documents have, too, take part; no other can lie in a passage.
+
 Equal texts are a class, which its smallest id stands for; each copy has one passage, the whole text, of that document.
 Passages are those that two documents have; one that a document repeats within itself alone is not looked for. A
-window goes to two documents at most, so a passage that n documents share gives a few rows for each but the first,
-never n * n. No key's windows are gathered in one task.
+covered window goes no further, so a passage that n documents share gives a few rows for each but the first; what
+nothing covers is compared with all that have its key. No key's windows are gathered in one task.
 
 Defined results: null texts and texts of fewer than ``LEAST_WORDS`` words have no passages; rows that share an id count
 as one document, each text by itself; null ids take no part; an empty table gives an empty one. Only the id and text
@@ -27,12 +31,15 @@ columns are used, so clashing names of others don't matter.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_marks, discard, marked, materialize, mix64, shingle_hashes, small_batches, with_mark, word_hashes, words_of
+from tidemark.llm.common import bit_marks, discard, marked, marks_of, materialize, mix64, shingle_hashes, small_batches, with_mark, word_hashes, words_of
 
 #: Words of a shingle and of a passage at least, percent of the union that a passage's sides share.
 SHINGLE, LEAST_WORDS, PERCENT = 5, 50, 80
@@ -40,6 +47,8 @@ SHINGLE, LEAST_WORDS, PERCENT = 5, 50, 80
 #: in is missed with a probability of (1 - 0.8**2)**4 = 0.017.
 BANDS, IN_BAND = 4, 2
 FUNCTIONS = BANDS * IN_BAND
+#: Each round of the rest reaches this many times as far back.
+GROWTH = 8
 _PART = 1 << 19
 _RANDOM = np.random.RandomState(23)
 _FACTORS = (_RANDOM.randint(0, 2**31, FUNCTIONS, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -245,30 +254,80 @@ def passages(a: np.ndarray, b: np.ndarray, rows: list[dict]) -> list[tuple[int,
     return sorted(out)
 
 
+def _shingled(batches):
+    for batch in batches:
+        flat, starts = shingles_of_all(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[x:y].tobytes() for x, y in itertools.pairwise(starts.tolist())], pa.binary())], ["doc", "s"])
+
+
 def _verify(batches):
     names = ["doc_id", "first_doc_id", "start_word", "n_words", "first_start_word", "first_n_words", "similarity"]
     types = [*[pa.int64()] * 6, pa.float64()]
     length = LEAST_WORDS - SHINGLE + 1
     for batch in batches:
-        number: dict[str, int] = {}
-        pairs = [(r, number.setdefault(r["text"], len(number)), number.setdefault(r["first_text"], len(number))) for r in batch.to_pylist()]
-        flat, starts = shingles_of_all(list(number))
         rows, in_order = [], {}
-        for r, x, y in pairs:
-            a, b = flat[starts[x] : starts[x + 1]], flat[starts[y] : starts[y + 1]]
+        for r in batch.to_pylist():
+            a, b = np.frombuffer(r["s"], np.uint64), np.frombuffer(r["first_s"], np.uint64)
             if min(len(a), len(b)) < length:
                 continue
-            if y not in in_order:
-                in_order[y] = np.sort(b)
+            if r["first_s"] not in in_order:
+                in_order[r["first_s"]] = np.sort(b)
             # of different shingles a passage shares four fifths; where some come again it is looked at in any case
             part = np.concatenate([a[low:high] for low, high in regions(r["rows"])])
-            known = in_order[y][np.minimum(np.searchsorted(in_order[y], part), len(b) - 1)] == part
+            sorted_ = in_order[r["first_s"]]
+            known = sorted_[np.minimum(np.searchsorted(sorted_, part), len(b) - 1)] == part
             if 100 * int(known.sum()) >= PERCENT * length or len(np.unique(part)) < len(part):
                 rows += [(r["doc"], r["first"], *p) for p in passages(a, b, r["rows"])]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _marked_shingles(batches, marks=None):
+    """The different shingles of each text, those that are marked if ``marks`` are given."""
+    for batch in batches:
+        flat, starts = shingles_of_all(batch.column(1).to_pylist())
+        own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(starts))
+        if marks is not None:
+            some = marks.value.has_each(flat)
+            flat, own = flat[some], own[some]
+        order = np.lexsort((flat, own))
+        flat, own = flat[order], own[order]
+        new = np.concatenate([np.ones(min(1, len(own)), bool), (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[new].view(np.int64)), pa.array(own[new], pa.int64())], ["key", "doc"])
+
+
+def dense(known: np.ndarray, length: int) -> np.ndarray:
+    """The places that lie in some stretch of at least ``length`` of which ``PERCENT`` are known."""
+    level = np.concatenate([[0], np.cumsum(np.where(known, 100 - PERCENT, -PERCENT))])
+    most = np.maximum.accumulate(level[::-1])[::-1]
+    ends = np.searchsorted(-most, -level, "right") - 1  # the last place that is no lower than the start
+    starts = np.flatnonzero(ends - np.arange(len(level)) >= length)
+    change = np.zeros(len(level), np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends[starts], -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _reaching(batches, repeated):
+    names = ["key", "doc", "l", "c", "r", "rank"]
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+    for batch in batches:
+        out = []
+        flat, starts = shingles_of_all(batch.column("text").to_pylist())
+        known = repeated.value.has_each(flat)
+        for k, (doc, rows) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("rows").to_pylist(), strict=True)):
+            own = flat[starts[k] : starts[k + 1]]
+            # a passage is measured in different shingles: those that come again in their own text count as known
+            _, at, n = np.unique(own, return_inverse=True, return_counts=True)
+            inside = np.concatenate([[0], np.cumsum(dense(known[starts[k] : starts[k + 1]] | (n[at] > 1), LEAST_WORDS - SHINGLE + 1))])
+            for r in rows:
+                low, high = min(r["l"], len(own)), min(r["r"] + 1, len(own))
+                if inside[high] > inside[low]:
+                    out.append((r["key"], doc, r["l"], r["c"], r["r"], r["rank"]))
+        columns = list(zip(*out, strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first_doc_id (smaller), start_word, n_words, first_start_word, first_n_words, similarity of passages."""
     spark = docs.sparkSession
@@ -290,18 +349,61 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialize(_verified(linked.join(strong, ["doc", "first"], "left_semi"), texts), "passage-found")
     # places of ids with several texts don't tell of which text they are
     several = texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
-    covers = found.select("doc_id", "start_word", (F.col("start_word") + F.col("n_words") - SHINGLE).alias("last_place"))
-    covers = covers.join(several, covers["doc_id"] == several["doc"], "left_anti")
-    open_ = linked.join(covers, (linked["doc"] == covers["doc_id"]) & linked["c"].between(F.col("start_word"), F.col("last_place")), "left_anti")
-    open_ = materialize(open_, "passage-open")
+    open_ = materialize(_uncovered(linked, found, several), "passage-open")
     # the second way leads to the last document before; a pair's evidence are all its open windows, whichever way
-    previous = _previous(windows.join(open_.select("key").distinct(), "key", "left_semi"))
-    again = open_.drop("first", "first_c").join(previous, ["key", "doc"])
+    holders = _holders(windows.join(open_.select("key").distinct(), "key", "left_semi"))
+    ranked = open_.join(holders.drop("c"), ["key", "doc"])
+    again = _earlier(ranked, holders, 1, 1)
     both = open_.select(*linked.columns).unionByName(again.select(*linked.columns)).distinct().join(strong, ["doc", "first"], "left_anti")
     more = materialize(_verified(both, texts), "passage-more")
+    out = found.unionByName(more.join(found, found.columns, "left_anti"))
+    # the rest: windows still open go on to the documents before, each time to more of them, until covered or none is left
+    kept = materialize(_uncovered(ranked, more, several).filter("rank > 2"), "passage-left")
+    if not kept.isEmpty():
+        kept = materialize(_promising(kept, holders, texts), "passage-rest")
+    nearest, most = 2, kept.agg(F.max("rank")).first()[0] or 0
+    while nearest < most:
+        tried = _earlier(kept, holders, nearest, nearest * GROWTH - 1).select(*linked.columns).join(strong, ["doc", "first"], "left_anti")
+        more = materialize(_verified(tried, texts), "passage-more")
+        out = out.unionByName(more.join(out, out.columns, "left_anti"))
+        nearest *= GROWTH
+        kept = materialize(_uncovered(kept, more, several).filter(F.col("rank") > nearest), "passage-rest")
+        most = kept.agg(F.max("rank")).first()[0] or 0
     for done in (windows, open_, strong):
         discard(done)
-    return found.unionByName(more.join(found, found.columns, "left_anti")).unionByName(copies)
+    return out.unionByName(copies)
+
+
+def _uncovered(windows: DataFrame, found: DataFrame, several: DataFrame) -> DataFrame:
+    """The windows whose place lies in no passage that was found."""
+    covers = found.select("doc_id", "start_word", (F.col("start_word") + F.col("n_words") - SHINGLE).alias("last_place"))
+    covers = covers.join(several, covers["doc_id"] == several["doc"], "left_anti")
+    return windows.join(covers, (windows["doc"] == covers["doc_id"]) & windows["c"].between(F.col("start_word"), F.col("last_place")), "left_anti")
+
+
+def _promising(left: DataFrame, holders: DataFrame, texts: DataFrame) -> DataFrame:
+    """The windows that reach into a stretch in which enough shingles are such that other documents have, too.
+
+    No other window can lie in a passage, so a short line that many documents have makes no pairs of all of them. Two
+    bitmaps of fixed size tell which shingles these windows' texts have and which of them several documents have.
+    """
+    spark = texts.sparkSession
+    rows = left.groupBy("doc").agg(F.collect_list(F.struct("key", "l", "c", "r", "rank")).alias("rows"))
+    own = materialize(marked(texts, "doc", bit_marks(rows, "doc")).join(rows.hint("merge"), "doc"), "passage-own")
+    theirs = spark.sparkContext.broadcast(marks_of(own.select("doc", "text").mapInArrow(_marked_shingles, "key long, doc long")))
+    held = holders.join(left.select("key").distinct(), "key", "left_semi").select("doc")
+    others = marked(texts, "doc", bit_marks(held, "doc")).mapInArrow(functools.partial(_marked_shingles, marks=theirs), "key long, doc long")
+    several = others.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("key")
+    repeated = spark.sparkContext.broadcast(marks_of(several))
+    return own.mapInArrow(functools.partial(_reaching, repeated=repeated), left.select("key", "doc", "l", "c", "r", "rank").schema).distinct()
+
+
+def _earlier(ranked: DataFrame, holders: DataFrame, nearest: int, farthest: int) -> DataFrame:
+    """``ranked`` windows with the documents before theirs that have the key, from the ``nearest`` to the ``farthest``;
+    the first of all has been tried."""
+    ranks = F.sequence(F.greatest(F.lit(1), F.col("rank") - farthest), F.col("rank") - nearest)
+    each = ranked.filter(F.col("rank") > nearest).select("key", "doc", "l", "c", "r", F.explode(ranks).alias("rank"))
+    return each.join(holders.select("key", "rank", F.col("doc").alias("first"), F.col("c").alias("first_c")), ["key", "rank"])
 
 
 def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -324,21 +426,20 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.filter("not __marked").select("doc", "text").unionByName(rest), materialize(passages_, "passage-same")
 
 
-def _previous(windows: DataFrame) -> DataFrame:
-    """key, doc, first, first_c: the last document before each that has the key.
+def _holders(windows: DataFrame) -> DataFrame:
+    """key, doc, c, rank: the documents that have each key, numbered from 0 by their ids.
 
-    Rows are in order across tasks, cut by key and document, so that a frequent key's are not in one task; what a task
-    starts with goes on from the last rows of the tasks before, of which there is one each.
+    Rows are in order across tasks, cut by key and document, so that a frequent key's are not in one task; a task goes
+    on from how many rows of the key it begins with the tasks before have, of which there is a count each.
     """
     holders = windows.groupBy("key", "doc").agg(F.min("c").alias("c")).repartitionByRange("key", "doc").withColumn("task", F.spark_partition_id())
     holders = materialize(holders, "passage-holders")
-    own = F.struct("doc", "c")
-    near = holders.withColumn("before", F.lag(own).over(Window.partitionBy("task", "key").orderBy("doc")))
-    lasts = holders.groupBy("task").agg(F.max(F.struct("key", "doc", "c")).alias("x")).select(F.col("x.key").alias("key"), F.col("x.doc").alias("last_doc"), F.col("x.c").alias("last_c"))
-    heads = near.filter("before is null").select("key", "doc").join(F.broadcast(lasts), "key").filter("last_doc < doc")
-    heads = heads.groupBy("key", "doc").agg(F.max(F.struct(F.col("last_doc").alias("doc"), F.col("last_c").alias("c"))).alias("before"))
-    rows = near.filter("before is not null").select("key", "doc", "before").unionByName(heads)
-    return rows.select("key", "doc", F.col("before.doc").alias("first"), F.col("before.c").alias("first_c"))
+    tasks = holders.groupBy("task").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    lasts = holders.join(F.broadcast(tasks.select("task", F.col("high").alias("key"))), ["task", "key"], "left_semi").groupBy("task", "key").agg(F.count("*").alias("n"))
+    before = tasks.select("task", F.col("low").alias("key")).join(lasts.withColumnRenamed("task", "other"), "key").filter("other < task").groupBy("task", "key").agg(F.sum("n").alias("before"))
+    own = F.row_number().over(Window.partitionBy("task", "key").orderBy("doc")) - 1
+    ranked = holders.withColumn("own", own).join(F.broadcast(before), ["task", "key"], "left")
+    return materialize(ranked.select("key", "doc", "c", (F.col("own") + F.coalesce("before", F.lit(0))).cast("int").alias("rank")), "passage-ranked")
 
 
 def _verified(linked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -346,6 +447,7 @@ def _verified(linked: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = linked.groupBy("doc", "first").agg(F.collect_list(F.struct("l", "c", "r", "first_c")).alias("rows"))
     pairs = materialize(pairs, "passage-pairs")
     involved = marked(texts, "doc", bit_marks(pairs.select(F.explode(F.array("doc", "first")).alias("doc")), "doc"))
-    # the same joins at every size
-    full = pairs.hint("merge").join(involved, "doc").join(involved.select(F.col("doc").alias("first"), F.col("text").alias("first_text")), "first")
+    # texts are split and hashed once each, not once a pair; the same joins at every size
+    involved = involved.mapInArrow(_shingled, "doc long, s binary")
+    full = pairs.hint("merge").join(involved, "doc").join(involved.select(F.col("doc").alias("first"), F.col("s").alias("first_s")), "first")
     return full.mapInArrow(_verify, "doc_id long, first_doc_id long, start_word long, n_words long, first_start_word long, first_n_words long, similarity double")
