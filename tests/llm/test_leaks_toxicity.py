@@ -152,3 +152,15 @@ def test_repeated_rows_count_once(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "materialize", lambda df, label: seen.append(df.count()) or materialize(df, label))
     toxicity.fit(both, both.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2).cast("int")))
     assert seen and seen[0] <= 20
+
+
+def test_passages_that_lack_too_many_words_are_not_aligned(monkeypatch):
+    """An item whose first words come again in a text that lacks the others is told by its words alone."""
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(10**9)}" for _ in range(40)]
+    texts = [" ".join(item[: 6 + k] + [f"x{rng.randrange(10**9)}" for _ in range(60)]) for k in range(25)] + [" ".join(["a", *item[:-1], "b"])]
+    aligned, align = [], decontaminate.edit_match
+    monkeypatch.setattr(decontaminate, "edit_match", lambda item, passage: aligned.append(1) or align(item, passage))
+    found = decontaminate.Matcher(decontaminate.Items([7], [item])).matches(texts)
+    assert [(t, k, e) for t, k, _, _, e in found] == [(25, 0, 1)]
+    assert 1 <= len(aligned) <= 6

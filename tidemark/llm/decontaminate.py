@@ -39,6 +39,8 @@ EDITS, WALKS, REPEATS, SAMPLES = 0.2, 1, 12, 4
 FIRST_STEPS, MOST_WORDS = 4, 2_000_000
 #: Words of a text whose numbers a process remembers at most.
 WORD_TABLE = 300_000
+#: Slots of a repetition's table of pairs: 64 kB.
+SLOT_BITS = 16
 _WORD = re.compile(r"[^\W_]+")
 PAD = -1
 
@@ -70,6 +72,10 @@ def fold(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
+def slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
 class Buckets:
     """The items by the words that they have at the sampled steps, and those words' keys."""
 
@@ -155,40 +161,52 @@ class Matcher:
         self.table: dict[str, int] = {}
         self.hashes = np.zeros(1024, np.uint64)
         self.numbers = np.zeros(1024, np.int32)
+        self.filters: dict[int, np.ndarray] = {}
+        self.seen = np.zeros(len(items.number) + 1, bool)
+
+    def filter(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether some of the pairs has a slot."""
+        if id(pairs) not in self.filters:  # the plans' own arrays, which live as long as this
+            table = self.filters[id(pairs)] = np.zeros(1 << SLOT_BITS, bool)
+            table[slots(pairs)] = True
+        return self.filters[id(pairs)]
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Places of the words in ``hashes`` and ``numbers``."""
         table = self.table
-        try:
-            return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(table) > WORD_TABLE:
-                table.clear()
-            for w in words:
-                if w not in table:
-                    k = table[w] = len(table) + 1
-                    if k >= len(self.hashes):
-                        self.hashes, self.numbers = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.numbers))
-                    self.hashes[k], self.numbers[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), self.items.number.get(w, 0)
-            return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        distinct = set(words)
+        new = distinct.difference(table)
+        if len(new) + len(table) > WORD_TABLE:
+            table.clear()
+            new = distinct
+        for w in new:
+            k = table[w] = len(table) + 1
+            if k >= len(self.hashes):
+                self.hashes, self.numbers = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.numbers))
+            self.hashes[k], self.numbers[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), self.items.number.get(w, 0)
+        return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
 
     def candidates(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray, walk: int, plan) -> list[tuple[np.ndarray, list[int]]]:
         """Windows (their starts) and items that fall together in some repetition. ``ends``: a word past each text."""
         n, out = len(ids), []
         size = len(self.items.number) + 1
         random = {0: bits(hashes, walk, 0)}
-        at = np.arange(n, dtype=np.int32)
+        at = np.arange(n)
         states = [at]
-        soon = random[0].astype(np.uint8)  # the bits of the steps that all windows take
+        soon = random[0].astype(np.uint8)  # the bits of the first eight steps
         for j in range(FIRST_STEPS - 1):
             at = np.minimum(at + (soon.take(at) >> j & 1), ends)
             states.append(at)
 
         def go(at: np.ndarray, last: np.ndarray, j: int, to: int) -> np.ndarray:
             while j < to:
+                if j < 8:
+                    at = np.minimum(at + (soon.take(at) >> j & 1), last)
+                    j += 1
+                    continue
                 if j // 64 not in random:
                     random[j // 64] = bits(hashes, walk, j // 64)
-                at = np.minimum(at + (random[j // 64].take(at) >> np.uint64(j % 64) & np.uint64(1)).astype(np.int32), last)
+                at = np.minimum(at + (random[j // 64].take(at) >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64), last)
                 j += 1
             return at
 
@@ -200,20 +218,34 @@ class Matcher:
                 if p[0] == j:
                     marks[p[2]] |= np.uint16(1 << k)
             early_at[j] = marks.take(ids.take(states[j]))
+        shared = {}
+
+        def at_first(first: int):
+            """The windows that some repetition reads on at this first step: which, and places and words of four steps."""
+            if first not in shared:
+                live = np.flatnonzero(early_at[first])
+                place, last = states[first].take(live), ends.take(live)
+                steps = [(place, ids.take(place))]
+                for j in range(first, max(p[1] for p in plan if p[0] == first)):
+                    place = go(place, last, j, j + 1)
+                    steps.append((place, ids.take(place)))
+                shared[first] = live, early_at[first].take(live), steps
+            return shared[first]
+
         for k, (first, second, _, pairs, classes) in enumerate(plan):
             for got, keys_ in classes.get(("short",), {}).items():
                 out.append((np.flatnonzero(ids == got[0]), keys_))
             if not len(pairs):
                 continue
-            live = np.flatnonzero(early_at[first] & np.uint16(1 << k))
-            place = states[first].take(live)
-            read = [ids.take(place)]
-            place = go(place, ends.take(live), first, second)
-            read.append(ids.take(place))
-            key = read[0].astype(np.int64) * size + read[1]
-            found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            same = pairs[found] == key
-            live, place, read = live[same], place[same], [r[same] for r in read]
+            live, marks, steps = at_first(first)
+            own = np.flatnonzero(marks & np.uint16(1 << k))
+            places, words = steps[second - first]
+            key = steps[0][1].take(own).astype(np.int64) * size + words.take(own)
+            # few pairs of words are some item's: most are told by a table of fixed size
+            maybe = self.filter(pairs).take(slots(key))
+            own, key = own[maybe], key[maybe]
+            own = own[pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key]
+            live, place, read = live[own], places[own], [steps[0][1][own], words[own]]
             for later, buckets in classes.items():
                 if later == ("short",) or not len(live):
                     continue
@@ -245,7 +277,7 @@ class Matcher:
         places[mask] = flat
         owner = np.repeat(np.arange(len(each)), sizes + 1)
         hashes, ids = self.hashes.take(places), self.numbers.take(places)
-        ends = (starts[1:] - 1).astype(np.int32).take(owner)
+        ends = (starts[1:] - 1).take(owner)
         total = len(ids)
         # for the walks from the end: the same texts the other way round
         turn = (starts[:-1] + starts[1:] - 2).take(owner) - np.arange(total)
@@ -268,7 +300,13 @@ class Matcher:
                         tried.add((text, k, begin // (allowed + 1)))
                         low = max(int(starts[text]), begin - 2 * allowed - 1)
                         high = min(int(ends[w]), begin + n + 2 * allowed + 1)
-                        edits, a, b = edit_match(item, ids[low:high])
+                        passage = ids[low:high]
+                        self.seen[passage] = True
+                        lacking = n - int(self.seen[item].sum())  # words that must be edited in any case
+                        self.seen[passage] = False
+                        if lacking > allowed:
+                            continue
+                        edits, a, b = edit_match(item, passage)
                         if edits <= allowed:
                             match = (edits, low + a - int(starts[text]), b - a)
                             if match < best.get((text, k), (1 << 30, 0, 0)):
