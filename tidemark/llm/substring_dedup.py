@@ -354,7 +354,9 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     holders = _holders(windows.join(open_.select("key").distinct(), "key", "left_semi"))
     ranked = open_.join(holders.drop("c"), ["key", "doc"])
     again = _earlier(ranked, holders, 1, 1)
-    both = open_.select(*linked.columns).unionByName(again.select(*linked.columns)).distinct().join(strong, ["doc", "first"], "left_anti")
+    # of strong pairs only the windows that lead to the first document have been looked at
+    rest = open_.select(*linked.columns).join(strong, ["doc", "first"], "left_anti")
+    both = rest.unionByName(again.select(*rest.columns)).distinct()
     more = materialize(_verified(both, texts), "passage-more")
     out = found.unionByName(more.join(found, found.columns, "left_anti"))
     # the rest: windows still open go on to the documents before, each time to more of them, until covered or none is left
@@ -363,7 +365,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kept = materialize(_promising(kept, holders, texts), "passage-rest")
     nearest, most = 2, kept.agg(F.max("rank")).first()[0] or 0
     while nearest < most:
-        tried = _earlier(kept, holders, nearest, nearest * GROWTH - 1).select(*linked.columns).join(strong, ["doc", "first"], "left_anti")
+        tried = _earlier(kept, holders, nearest, nearest * GROWTH - 1).select(*linked.columns)
         more = materialize(_verified(tried, texts), "passage-more")
         out = out.unionByName(more.join(out, out.columns, "left_anti"))
         nearest *= GROWTH
