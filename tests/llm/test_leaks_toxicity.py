@@ -164,3 +164,26 @@ def test_passages_that_lack_too_many_words_are_not_aligned(monkeypatch):
     found = decontaminate.Matcher(decontaminate.Items([7], [item])).matches(texts)
     assert [(t, k, e) for t, k, _, _, e in found] == [(25, 0, 1)]
     assert 1 <= len(aligned) <= 6
+
+
+def test_texts_without_an_items_neighbours_go_no_further(monkeypatch):
+    """Texts of the items' own words, in another order, are told by their pairs of words, which loses no match."""
+    rng = random.Random(19)
+    words = [f"w{k}" for k in range(600)]
+    items = [[rng.choice(words) for _ in range(rng.randint(12, 60))] for _ in range(60)]
+    fill = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [" ".join(fill(400)) for _ in range(100)]
+    texts += [" ".join(fill(30 * (k % 2)) + plant(rng, w, int(rate * len(w))) + fill(30 * (k // 2 % 2))) for rate in (0, 0.1, 0.2) for k, w in enumerate(items)]
+    matcher = decontaminate.Matcher(decontaminate.Items(list(range(60)), items))
+    looked, look_up = [], matcher.look_up
+    monkeypatch.setattr(matcher, "look_up", lambda own: looked.append(len(own)) or look_up(own))
+    found = matcher.matches(texts)
+    assert len(found) > 160 and sum(looked) < sum(len(t.split()) for t in texts[100:]) + 4000
+    monkeypatch.setattr(matcher, "possible", lambda ids: (np.ones(len(ids), bool), np.ones(len(ids), bool)))
+    assert {m[:2] for m in matcher.matches(texts)} <= {m[:2] for m in found}
+
+
+def test_words_of_ascii_texts_are_those_of_the_pattern():
+    every = "".join(map(chr, range(128)))
+    for text in (every, every[::-1] + "aZ_9 b", "A_b\x1cc\x0bd", ""):
+        assert decontaminate.words_of(text) == decontaminate._WORD.findall(text.lower())

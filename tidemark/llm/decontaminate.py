@@ -8,6 +8,9 @@ are equal. Every word of a text starts a window and, in the walks from the end,
 is embedded only as far as its samples still agree with some item, which gives the same matches as embedding it whole.
 Walks and repetitions are as many as a recall of 0.9 needs where all the edits allowed are made (``tests/llm`` asserts it).
 
+Before that, one look goes over the pairs of neighbouring words: a passage keeps all of an item's pairs but two for each
+edit. Windows around which too few pairs are some item's can't match, and texts without other windows go no further.
+
 Matches are verified exactly: the least number of word edits that turn the item into a passage of the text at that
 place; at most ``EDITS`` of the item's words may be edited.
 
@@ -22,6 +25,7 @@ tables give an empty one. Only the named columns are used, so clashing names of
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -42,10 +46,14 @@ WORD_TABLE = 300_000
 #: Slots of a repetition's table of pairs: 64 kB.
 SLOT_BITS = 16
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII letters and digits, lower-cased; other bytes are spaces.
+_LOWER = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 PAD = -1
 
 
 def words_of(text: str | None) -> list[str]:
+    if text and text.isascii():
+        return text.encode().translate(_LOWER).decode().split()
     return _WORD.findall((text or "").lower())
 
 
@@ -96,6 +104,8 @@ class Items:
         self.rows = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
         hashes = np.array([0, *(xxhash.xxh64_intdigest(w.encode()) for w in self.number)], np.uint64)
         size = len(self.number) + 1
+        self.lengths = sorted({len(row) for row in self.rows})
+        self.neighbours = np.unique(np.concatenate([np.empty(0, np.int64), *(row[:-1] * size + row[1:] for row in self.rows)]))
         self.plans = []  # backwards, walk, repetitions: (first, second, words at first, pairs, classes)
         for walk in range(2 * WALKS):
             back, plan = walk >= WALKS, []
@@ -160,7 +170,6 @@ class Matcher:
         self.items = items
         self.table: dict[str, int] = {}
         self.hashes = np.zeros(1024, np.uint64)
-        self.numbers = np.zeros(1024, np.int32)
         self.filters: dict[int, np.ndarray] = {}
         self.seen = np.zeros(len(items.number) + 1, bool)
 
@@ -172,7 +181,7 @@ class Matcher:
         return self.filters[id(pairs)]
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        """Places of the words in ``hashes`` and ``numbers``."""
+        """Places of the words in ``hashes``."""
         table = self.table
         distinct = set(words)
         new = distinct.difference(table)
@@ -182,20 +191,54 @@ class Matcher:
         for w in new:
             k = table[w] = len(table) + 1
             if k >= len(self.hashes):
-                self.hashes, self.numbers = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.numbers))
-            self.hashes[k], self.numbers[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), self.items.number.get(w, 0)
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
 
-    def candidates(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray, walk: int, plan) -> list[tuple[np.ndarray, list[int]]]:
-        """Windows (their starts) and items that fall together in some repetition. ``ends``: a word past each text."""
-        n, out = len(ids), []
+    def known(self, pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Which keys are among the pairs: few are, and most others are told by a table of fixed size."""
+        maybe = np.flatnonzero(self.filter(pairs).take(slots(key)))
+        some = key[maybe]
+        return maybe[pairs[np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)] == some]
+
+    def possible(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a passage that matches() would accept may start, and where one may end, as matches() looks for it.
+
+        Of an item's n - 1 pairs of neighbours an edit undoes two at most, so the part of the text that is verified holds
+        n - 1 - 2 * edits places of such pairs.
+        """
+        total, size = len(ids), len(self.items.number) + 1
+        allowed = [int(EDITS * n) for n in self.items.lengths]
+        if any(n - 1 - 2 * a < 1 for n, a in zip(self.items.lengths, allowed, strict=True)):
+            return np.ones(total, bool), np.ones(total, bool)
+        at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+        places = at[self.known(self.items.neighbours, ids.take(at).astype(np.int64) * size + ids.take(at + 1))]
+        changes = np.zeros((2, total + 1), np.int64)
+        for n, a in zip(self.items.lengths, allowed, strict=True):
+            least = n - 1 - 2 * a
+            if len(places) < least:
+                continue
+            first, last = places[: len(places) - least + 1], places[least - 1 :]
+            near = np.flatnonzero(last - first <= n + 4 * a)
+            low, high = last[near] - n - 2 * a + 1, first[near] + 2 * a + 2
+            for change, shift in zip(changes, (0, n - 1), strict=True):
+                np.add.at(change, np.clip(low + shift, 0, total), 1)
+                np.add.at(change, np.clip(high + shift, 0, total), -1)
+        starts, ends = np.cumsum(changes, 1)[:, :-1] > 0
+        return starts, ends
+
+    def candidates(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray, may: np.ndarray, walk: int, plan) -> list[tuple[np.ndarray, list[int]]]:
+        """Windows (their starts) and items that fall together in some repetition. ``ends``: a word past each text;
+        ``may``: which windows are to be looked at."""
+        out = []
         size = len(self.items.number) + 1
         random = {0: bits(hashes, walk, 0)}
-        at = np.arange(n)
+        at = windows = np.flatnonzero(may)
+        limits = ends.take(windows)
         states = [at]
         soon = random[0].astype(np.uint8)  # the bits of the first eight steps
         for j in range(FIRST_STEPS - 1):
-            at = np.minimum(at + (soon.take(at) >> j & 1), ends)
+            at = np.minimum(at + (soon.take(at) >> j & 1), limits)
             states.append(at)
 
         def go(at: np.ndarray, last: np.ndarray, j: int, to: int) -> np.ndarray:
@@ -224,27 +267,24 @@ class Matcher:
             """The windows that some repetition reads on at this first step: which, and places and words of four steps."""
             if first not in shared:
                 live = np.flatnonzero(early_at[first])
-                place, last = states[first].take(live), ends.take(live)
+                place, last = states[first].take(live), limits.take(live)
                 steps = [(place, ids.take(place))]
                 for j in range(first, max(p[1] for p in plan if p[0] == first)):
                     place = go(place, last, j, j + 1)
                     steps.append((place, ids.take(place)))
-                shared[first] = live, early_at[first].take(live), steps
+                shared[first] = windows.take(live), early_at[first].take(live), steps
             return shared[first]
 
         for k, (first, second, _, pairs, classes) in enumerate(plan):
             for got, keys_ in classes.get(("short",), {}).items():
-                out.append((np.flatnonzero(ids == got[0]), keys_))
+                out.append((np.flatnonzero(may & (ids == got[0])), keys_))
             if not len(pairs):
                 continue
             live, marks, steps = at_first(first)
             own = np.flatnonzero(marks & np.uint16(1 << k))
             places, words = steps[second - first]
             key = steps[0][1].take(own).astype(np.int64) * size + words.take(own)
-            # few pairs of words are some item's: most are told by a table of fixed size
-            maybe = self.filter(pairs).take(slots(key))
-            own, key = own[maybe], key[maybe]
-            own = own[pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key]
+            own = own[self.known(pairs, key)]
             live, place, read = live[own], places[own], [steps[0][1][own], words[own]]
             for later, buckets in classes.items():
                 if later == ("short",) or not len(live):
@@ -267,16 +307,27 @@ class Matcher:
         """(text, item, first word, words, edits), the best match of each text and item."""
         each = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in each], np.int64)
-        if not sizes.sum():
+        number = self.items.number.get
+        # a word of no kind past each text
+        ids = np.fromiter((k for ws in each for k in (*map(number, ws, itertools.repeat(0)), 0)), np.int32, int(sizes.sum()) + len(each))
+        may_start, may_end = self.possible(ids)
+        owner = np.repeat(np.arange(len(each)), sizes + 1)
+        kept = np.unique(owner[may_start | may_end])
+        if not len(kept) or not sizes[kept].sum():
             return []
-        places = np.zeros(int(sizes.sum()) + len(each), np.int64)  # a word of no kind past each text
+        # the other texts go no further
+        some = np.zeros(len(each), bool)
+        some[kept] = True
+        some = some.take(owner)
+        ids, may_start, may_end = ids[some], may_start[some], may_end[some]
+        each, sizes = [each[k] for k in kept.tolist()], sizes[kept]
+        places = np.zeros(len(ids), np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-        flat = self.look_up([w for ws in each for w in ws])
         mask = np.ones(len(places), bool)
         mask[starts[1:] - 1] = False
-        places[mask] = flat
+        places[mask] = self.look_up([w for ws in each for w in ws])
         owner = np.repeat(np.arange(len(each)), sizes + 1)
-        hashes, ids = self.hashes.take(places), self.numbers.take(places)
+        hashes = self.hashes.take(places)
         ends = (starts[1:] - 1).take(owner)
         total = len(ids)
         # for the walks from the end: the same texts the other way round
@@ -285,7 +336,7 @@ class Matcher:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
         for back, walk, plan in self.items.plans:
-            found = self.candidates(hashes[turn] if back else hashes, ids[turn] if back else ids, ends, walk, plan)
+            found = self.candidates(*((hashes[turn], ids[turn], ends, may_end[turn]) if back else (hashes, ids, ends, may_start)), walk, plan)
             for windows, keys in found:
                 for w in windows.tolist():
                     w = int(turn[w]) if back else w
@@ -311,7 +362,7 @@ class Matcher:
                             match = (edits, low + a - int(starts[text]), b - a)
                             if match < best.get((text, k), (1 << 30, 0, 0)):
                                 best[text, k] = match
-        return sorted((t, k, a, n, e) for (t, k), (e, a, n) in best.items())
+        return sorted((int(kept[t]), k, a, n, e) for (t, k), (e, a, n) in best.items())
 
 
 _matchers: dict[str, Matcher] = {}
