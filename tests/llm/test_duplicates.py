@@ -310,3 +310,40 @@ def test_near_dedup_large_group_around_a_missing_text(spark):
         texts[i] = " ".join(own)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.dedup(df).collect()} == brute(texts, 5)
+
+
+def test_what_is_broadcast_for_passages_has_a_bound(spark, monkeypatch):
+    """Only bitmaps and lists of tasks are broadcast, however small the other sides of joins are."""
+    rng = random.Random(41)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        passage = fill(60)
+        half = list(passage)
+        for at in (7, 22, 37, 52):
+            half[at] = fill(1)[0]
+        rows += [(6 * k + j, " ".join(fill(40) + p + fill(40))) for j, p in enumerate((half, passage, passage, half, passage))] + [(6 * k + 5, rows[-1][1] if rows else "")]
+    plans, write = {}, substring_dedup.materialize
+
+    def written(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(substring_dedup, "materialize", written)
+    out = substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans["result"] = [out._jdf.queryExecution().executedPlan().toString()]
+    assert out.count() and {"passage-found", "passage-more", "passage-new", "passage-open"} <= set(plans)
+    for label, own in plans.items():
+        for line in "\n".join(own).splitlines():
+            if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line:
+                assert "__bucket" in line or "task#" in line, (label, line)
+
+
+def test_texts_of_one_id_are_verified_each_by_itself(spark):
+    rng = random.Random(43)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    one, other = fill(70), fill(70)
+    rows = [(1, fill(20) + one), (1, fill(30) + other), (2, one + fill(20)), (3, other + fill(20)), (4, fill(9) + one + fill(9) + other)]
+    got = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    firsts = {(r.doc_id, r.start_word, r.n_words, r.first_start_word) for r in got if r.first_doc_id == 1}
+    assert firsts == {(2, 0, 70, 20), (3, 0, 70, 30), (4, 9, 70, 20), (4, 88, 70, 30)}

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -151,10 +152,11 @@ def _windows(batches):
         yield pa.RecordBatch.from_arrays(arrays, ["key", "doc", "l", "c", "r"])
 
 
-def regions(rows: list[dict]) -> list[tuple[int, int]]:
-    """The stretches that the doc's windows cover."""
+def regions(ends: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that the doc's windows, given by their lefts and rights, cover."""
     out: list[tuple[int, int]] = []
-    for low, high in sorted((r["l"], r["r"] + 1) for r in rows):
+    for low, right in sorted(ends):
+        high = right + 1
         if out and low <= out[-1][1]:
             out[-1] = out[-1][0], max(high, out[-1][1])
         else:
@@ -162,8 +164,11 @@ def regions(rows: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def stretches(a: np.ndarray, b: np.ndarray, diagonals: set[int], parts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, shingles) of equal stretches within ``parts`` of a: on given diagonals, and others."""
+def stretches(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndarray, diagonals: set[int], parts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, shingles) of equal stretches within ``parts`` of a: on given diagonals, and others.
+
+    ``order`` sorts ``b``, stably, to ``in_order``.
+    """
     found = []
 
     def runs(i: np.ndarray, j: np.ndarray) -> None:
@@ -172,8 +177,6 @@ def stretches(a: np.ndarray, b: np.ndarray, diagonals: set[int], parts: list[tup
             heads = np.concatenate([[0], cut])
             found.extend(zip(i[heads].tolist(), j[heads].tolist(), np.diff(np.concatenate([heads, [len(i)]])).tolist(), strict=True))
 
-    order = np.argsort(b, kind="stable")
-    in_order = b[order]
     for low, high in parts:
         i = np.arange(low, min(high, len(a)))
         at = np.minimum(np.searchsorted(in_order, a[i]), len(b) - 1)
@@ -213,8 +216,14 @@ def longest(chain: list[tuple[int, int, int]]) -> tuple[int, int]:
 
 def passages(a: np.ndarray, b: np.ndarray, rows: list[dict]) -> list[tuple[int, int, int, int, float]]:
     """(start, words, start in b, words in b, similarity) of the passages that the sequences share."""
+    order = np.argsort(b, kind="stable")
+    return passages_within(a, b, order, b[order], {r["c"] - r["first_c"] for r in rows}, regions((r["l"], r["r"]) for r in rows))
+
+
+def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndarray, diagonals: set[int], parts: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """passages() of windows on ``diagonals`` that cover ``parts`` of a; ``order`` sorts ``b``, stably, to ``in_order``."""
     taken, picked = np.zeros(len(a), bool), []
-    for i, j, n in sorted(set(stretches(a, b, {r["c"] - r["first_c"] for r in rows}, regions(rows))), key=lambda x: (-x[2], x)):
+    for i, j, n in sorted(set(stretches(a, b, order, in_order, diagonals, parts)), key=lambda x: (-x[2], x)):
         free = ~taken[i : i + n]
         if free.all():
             taken[i : i + n] = True
@@ -260,24 +269,41 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[x:y].tobytes() for x, y in itertools.pairwise(starts.tolist())], pa.binary())], ["doc", "s"])
 
 
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    """The shingles of each row of _shingled(), read where Arrow holds them."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8) if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return [flat[x:y].view(np.uint64) for x, y in itertools.pairwise(ends.tolist())]
+
+
 def _verify(batches):
     names = ["doc_id", "first_doc_id", "start_word", "n_words", "first_start_word", "first_n_words", "similarity"]
     types = [*[pa.int64()] * 6, pa.float64()]
     length = LEAST_WORDS - SHINGLE + 1
     for batch in batches:
-        rows, in_order = [], {}
-        for r in batch.to_pylist():
-            a, b = np.frombuffer(r["s"], np.uint64), np.frombuffer(r["first_s"], np.uint64)
+        rows, sorted_of = [], {}
+        docs, firsts = (batch.column(c).to_pylist() for c in ("doc", "first"))
+        windows = batch.column("rows")
+        ends = windows.offsets.to_pylist()
+        lefts, places, rights, first_places = (windows.values.field(c).to_numpy().tolist() for c in ("l", "c", "r", "first_c"))
+        for k, (a, b) in enumerate(zip(_sequences(batch.column("s")), _sequences(batch.column("first_s")), strict=True)):
             if min(len(a), len(b)) < length:
                 continue
-            if r["first_s"] not in in_order:
-                in_order[r["first_s"]] = np.sort(b)
+            # an id may have several texts: each is sorted by itself
+            known_texts = sorted_of.setdefault(firsts[k], [])
+            own = next((x for x in known_texts if np.array_equal(x[0], b)), None)
+            if own is None:
+                order = np.argsort(b, kind="stable")
+                own = b, order, b[order]
+                known_texts.append(own)
+            at = slice(ends[k], ends[k + 1])
+            parts = regions(zip(lefts[at], rights[at], strict=True))
             # of different shingles a passage shares four fifths; where some come again it is looked at in any case
-            part = np.concatenate([a[low:high] for low, high in regions(r["rows"])])
-            sorted_ = in_order[r["first_s"]]
-            known = sorted_[np.minimum(np.searchsorted(sorted_, part), len(b) - 1)] == part
+            part = np.concatenate([a[low:high] for low, high in parts])
+            known = own[2][np.minimum(np.searchsorted(own[2], part), len(b) - 1)] == part
             if 100 * int(known.sum()) >= PERCENT * length or len(np.unique(part)) < len(part):
-                rows += [(r["doc"], r["first"], *p) for p in passages(a, b, r["rows"])]
+                diagonals = {x - y for x, y in zip(places[at], first_places[at], strict=True)}
+                rows += [(docs[k], firsts[k], *p) for p in passages_within(a, *own, diagonals, parts)]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -342,23 +368,23 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(every)
     discard(repeated)
     firsts = windows.filter("doc = first").groupBy("key").agg(F.min("c").alias("first_c"))
-    linked = windows.filter("doc > first").join(firsts, "key")
+    linked = windows.filter("doc > first").join(firsts.hint("merge"), "key")
     # pairs with two windows or more first; what they cover needs no other pair
     strong = linked.groupBy("doc", "first").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "first")
     strong = materialize(strong, "passage-strong")
-    found = materialize(_verified(linked.join(strong, ["doc", "first"], "left_semi"), texts), "passage-found")
+    found = materialize(_verified(linked.join(strong.hint("merge"), ["doc", "first"], "left_semi"), texts), "passage-found")
     # places of ids with several texts don't tell of which text they are
     several = texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
     open_ = materialize(_uncovered(linked, found, several), "passage-open")
     # the second way leads to the last document before; a pair's evidence are all its open windows, whichever way
-    holders = _holders(windows.join(open_.select("key").distinct(), "key", "left_semi"))
-    ranked = open_.join(holders.drop("c"), ["key", "doc"])
+    holders = _holders(windows.join(open_.select("key").distinct().hint("merge"), "key", "left_semi"))
+    ranked = open_.join(holders.drop("c").hint("merge"), ["key", "doc"])
     again = _earlier(ranked, holders, 1, 1)
     # of strong pairs only the windows that lead to the first document have been looked at
-    rest = open_.select(*linked.columns).join(strong, ["doc", "first"], "left_anti")
+    rest = open_.select(*linked.columns).join(strong.hint("merge"), ["doc", "first"], "left_anti")
     both = rest.unionByName(again.select(*rest.columns)).distinct()
     more = materialize(_verified(both, texts), "passage-more")
-    out = found.unionByName(more.join(found, found.columns, "left_anti"))
+    out = found.unionByName(_new(more, found))
     # the rest: windows still open go on to the documents before, each time to more of them, until covered or none is left
     kept = materialize(_uncovered(ranked, more, several).filter("rank > 2"), "passage-left")
     if not kept.isEmpty():
@@ -367,7 +393,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     while nearest < most:
         tried = _earlier(kept, holders, nearest, nearest * GROWTH - 1).select(*linked.columns)
         more = materialize(_verified(tried, texts), "passage-more")
-        out = out.unionByName(more.join(out, out.columns, "left_anti"))
+        out = out.unionByName(_new(more, out))
         nearest *= GROWTH
         kept = materialize(_uncovered(kept, more, several).filter(F.col("rank") > nearest), "passage-rest")
         most = kept.agg(F.max("rank")).first()[0] or 0
@@ -376,11 +402,16 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.unionByName(copies)
 
 
+def _new(more: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages that have not been found before, written down: the next rounds compare with them, too."""
+    return materialize(more.join(found.hint("merge"), found.columns, "left_anti"), "passage-new")
+
+
 def _uncovered(windows: DataFrame, found: DataFrame, several: DataFrame) -> DataFrame:
     """The windows whose place lies in no passage that was found."""
     covers = found.select("doc_id", "start_word", (F.col("start_word") + F.col("n_words") - SHINGLE).alias("last_place"))
-    covers = covers.join(several, covers["doc_id"] == several["doc"], "left_anti")
-    return windows.join(covers, (windows["doc"] == covers["doc_id"]) & windows["c"].between(F.col("start_word"), F.col("last_place")), "left_anti")
+    covers = covers.join(several.hint("merge"), covers["doc_id"] == several["doc"], "left_anti")
+    return windows.join(covers.hint("merge"), (windows["doc"] == covers["doc_id"]) & windows["c"].between(F.col("start_word"), F.col("last_place")), "left_anti")
 
 
 def _promising(left: DataFrame, holders: DataFrame, texts: DataFrame) -> DataFrame:
@@ -393,7 +424,7 @@ def _promising(left: DataFrame, holders: DataFrame, texts: DataFrame) -> DataFra
     rows = left.groupBy("doc").agg(F.collect_list(F.struct("key", "l", "c", "r", "rank")).alias("rows"))
     own = materialize(marked(texts, "doc", bit_marks(rows, "doc")).join(rows.hint("merge"), "doc"), "passage-own")
     theirs = spark.sparkContext.broadcast(marks_of(own.select("doc", "text").mapInArrow(_marked_shingles, "key long, doc long")))
-    held = holders.join(left.select("key").distinct(), "key", "left_semi").select("doc")
+    held = holders.join(left.select("key").distinct().hint("merge"), "key", "left_semi").select("doc")
     others = marked(texts, "doc", bit_marks(held, "doc")).mapInArrow(functools.partial(_marked_shingles, marks=theirs), "key long, doc long")
     several = others.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("key")
     repeated = spark.sparkContext.broadcast(marks_of(several))
@@ -405,7 +436,7 @@ def _earlier(ranked: DataFrame, holders: DataFrame, nearest: int, farthest: int)
     the first of all has been tried."""
     ranks = F.sequence(F.greatest(F.lit(1), F.col("rank") - farthest), F.col("rank") - nearest)
     each = ranked.filter(F.col("rank") > nearest).select("key", "doc", "l", "c", "r", F.explode(ranks).alias("rank"))
-    return each.join(holders.select("key", "rank", F.col("doc").alias("first"), F.col("c").alias("first_c")), ["key", "rank"])
+    return each.join(holders.select("key", "rank", F.col("doc").alias("first"), F.col("c").alias("first_c")).hint("merge"), ["key", "rank"])
 
 
 def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -418,7 +449,7 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first")
     firsts = materialize(firsts, "passage-copies")
     flagged = with_mark(texts.withColumn("digest", digest), "digest", bit_marks(firsts, "digest"))
-    joined = flagged.filter("__marked").join(firsts, "digest", "left")
+    joined = flagged.filter("__marked").join(firsts.hint("merge"), "digest", "left")
     copied = F.col("first") < F.col("doc")
     rest = joined.filter(~F.coalesce(copied, F.lit(False))).select("doc", "text")
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0d]+")).cast("long")
@@ -449,7 +480,9 @@ def _verified(linked: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = linked.groupBy("doc", "first").agg(F.collect_list(F.struct("l", "c", "r", "first_c")).alias("rows"))
     pairs = materialize(pairs, "passage-pairs")
     involved = marked(texts, "doc", bit_marks(pairs.select(F.explode(F.array("doc", "first")).alias("doc")), "doc"))
-    # texts are split and hashed once each, not once a pair; the same joins at every size
+    # texts are split and hashed once each, not once a pair, and moved once for both sides of the pairs
     involved = involved.mapInArrow(_shingled, "doc long, s binary")
-    full = pairs.hint("merge").join(involved, "doc").join(involved.select(F.col("doc").alias("first"), F.col("s").alias("first_s")), "first")
+    one, other = involved.alias("one"), involved.alias("other")
+    full = pairs.hint("merge").join(one, F.col("one.doc") == pairs["doc"]).select(pairs["doc"], "first", "rows", "s")
+    full = full.hint("merge").join(other, F.col("other.doc") == F.col("first")).select(full["doc"], "first", "rows", full["s"], F.col("other.s").alias("first_s"))
     return full.mapInArrow(_verify, "doc_id long, first_doc_id long, start_word long, n_words long, first_start_word long, first_n_words long, similarity double")
