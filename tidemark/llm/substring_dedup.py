@@ -173,9 +173,8 @@ def stretches(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndar
 
     def runs(i: np.ndarray, j: np.ndarray) -> None:
         if len(i):
-            cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
-            heads = np.concatenate([[0], cut])
-            found.extend(zip(i[heads].tolist(), j[heads].tolist(), np.diff(np.concatenate([heads, [len(i)]])).tolist(), strict=True))
+            heads = [0, *(np.flatnonzero((i[1:] - i[:-1] != 1) | (j[1:] - j[:-1] != 1)) + 1).tolist()]
+            found.extend((int(i[x]), int(j[x]), y - x) for x, y in itertools.pairwise([*heads, len(i)]))
 
     for low, high in parts:
         i = np.arange(low, min(high, len(a)))
@@ -283,27 +282,27 @@ def _verify(batches):
     for batch in batches:
         rows, sorted_of = [], {}
         docs, firsts = (batch.column(c).to_pylist() for c in ("doc", "first"))
+        lows = batch.column("low").to_pylist()  # where the part of the text begins that its windows lie in
         windows = batch.column("rows")
         ends = windows.offsets.to_pylist()
         lefts, places, rights, first_places = (windows.values.field(c).to_numpy().tolist() for c in ("l", "c", "r", "first_c"))
         for k, (a, b) in enumerate(zip(_sequences(batch.column("s")), _sequences(batch.column("first_s")), strict=True)):
             if min(len(a), len(b)) < length:
                 continue
-            # an id may have several texts: each is sorted by itself
-            known_texts = sorted_of.setdefault(firsts[k], [])
-            own = next((x for x in known_texts if np.array_equal(x[0], b)), None)
-            if own is None:
+            # an id may have several texts: each is sorted once
+            text = b.tobytes()
+            if text not in sorted_of:
                 order = np.argsort(b, kind="stable")
-                own = b, order, b[order]
-                known_texts.append(own)
-            at = slice(ends[k], ends[k + 1])
-            parts = regions(zip(lefts[at], rights[at], strict=True))
+                sorted_of[text] = b, order, b[order]
+            own = sorted_of[text]
+            at, low = slice(ends[k], ends[k + 1]), lows[k]
+            parts = [(x - low, y - low) for x, y in regions(zip(lefts[at], rights[at], strict=True))]
             # of different shingles a passage shares four fifths; where some come again it is looked at in any case
-            part = np.concatenate([a[low:high] for low, high in parts])
+            part = np.concatenate([a[x:y] for x, y in parts])
             known = own[2][np.minimum(np.searchsorted(own[2], part), len(b) - 1)] == part
             if 100 * int(known.sum()) >= PERCENT * length or len(np.unique(part)) < len(part):
-                diagonals = {x - y for x, y in zip(places[at], first_places[at], strict=True)}
-                rows += [(docs[k], firsts[k], *p) for p in passages_within(a, *own, diagonals, parts)]
+                diagonals = {x - low - y for x, y in zip(places[at], first_places[at], strict=True)}
+                rows += [(docs[k], firsts[k], x + low, *p) for x, *p in passages_within(a, *own, diagonals, parts)]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -477,12 +476,14 @@ def _holders(windows: DataFrame) -> DataFrame:
 
 def _verified(linked: DataFrame, texts: DataFrame) -> DataFrame:
     """The passages of the pairs of documents (doc, first) whose windows are ``linked``."""
-    pairs = linked.groupBy("doc", "first").agg(F.collect_list(F.struct("l", "c", "r", "first_c")).alias("rows"))
+    pairs = linked.groupBy("doc", "first").agg(F.collect_list(F.struct("l", "c", "r", "first_c")).alias("rows"), F.min("l").alias("low"), F.max("r").alias("high"))
     pairs = materialize(pairs, "passage-pairs")
     involved = marked(texts, "doc", bit_marks(pairs.select(F.explode(F.array("doc", "first")).alias("doc")), "doc"))
     # texts are split and hashed once each, not once a pair, and moved once for both sides of the pairs
     involved = involved.mapInArrow(_shingled, "doc long, s binary")
     one, other = involved.alias("one"), involved.alias("other")
-    full = pairs.hint("merge").join(one, F.col("one.doc") == pairs["doc"]).select(pairs["doc"], "first", "rows", "s")
-    full = full.hint("merge").join(other, F.col("other.doc") == F.col("first")).select(full["doc"], "first", "rows", full["s"], F.col("other.s").alias("first_s"))
+    # passages lie between the first and the last place of a pair's windows: no more of the text goes on with the pair
+    part = F.expr("substring(s, 8 * low + 1, 8 * (high - low + 1))").alias("s")
+    full = pairs.hint("merge").join(one, F.col("one.doc") == pairs["doc"]).select(pairs["doc"], "first", "rows", "low", part)
+    full = full.hint("merge").join(other, F.col("other.doc") == F.col("first")).select(full["doc"], "first", "rows", "low", full["s"], F.col("other.s").alias("first_s"))
     return full.mapInArrow(_verify, "doc_id long, first_doc_id long, start_word long, n_words long, first_start_word long, first_n_words long, similarity double")
