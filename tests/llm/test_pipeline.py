@@ -9,6 +9,7 @@ import corpus_pipeline
 from tests.compare import same_rows
 from tests.conftest import SF
 from tests.llm.test_duplicates import brute
+from tidemark.llm import graph, near_dedup
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -49,3 +50,29 @@ def test_empty_and_odd(spark, empty, odd, tmp_path):
                 assert docs.columns == columns and docs.dtypes == types
                 assert docs.select(*set(columns) - set(empty.columns)).distinct().count() <= 1
         assert (docs.count() > 10) == (start > 0)
+
+
+def test_few_rows_are_written_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions each round of the components wrote a file for each of them, of a row or two."""
+    files, write = {}, graph.materialize
+
+    def written(df, label):
+        out = write(df, label)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    for module in (graph, near_dedup):
+        monkeypatch.setattr(module, "materialize", written)
+    known = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    most = 2 * spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 3 * most)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(60)) + f" {i}") for i in range(400)]
+        got = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(400)}
+    assert {"edges", "near-classes", "near-heads", "near-buckets", "near-members", "near-stars"} <= set(files)
+    assert max(max(files[k]) for k in files if k not in ("near-features", "near-left")) <= most

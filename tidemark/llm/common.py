@@ -45,6 +45,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Narrow rows, rows with texts or signatures, and texts that each make many rows, that one task writes at least.
+NARROW, WIDE, MANY = 10_000, 1_000, 100
+
+
+def in_few(df: DataFrame, rows: int, each: int = NARROW) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in no more partitions than these need, but two for each core.
+
+    Where there are many shuffle partitions and few rows, each would else write a file of a few rows, and each file on a
+    local disk starts two processes from the executor's. Larger tables stay as they are.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote for ``df``, once nothing that is still to run reads it."""
     spark = df.sparkSession

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, mix64, shingle_hashes, small_batches, word_hashes, words_of
+from tidemark.llm.common import MANY, WIDE, in_few, materialize, mix64, shingle_hashes, small_batches, word_hashes, words_of
 from tidemark.llm.graph import components
 
 #: Bands and rows of a band; words of a shingle; percent of the union that two sets must share.
@@ -165,6 +165,7 @@ class NearDedup:
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         features = self.texts.mapInArrow(functools.partial(_features, size=size, id_at=0, text_at=1), "id long, class binary, n long, bands array<long>, sig binary")
         self.features = materialize(features, "near-features")
+        self.rows = self.features.count()
 
     def classes(self) -> DataFrame:
         """class, rep (the smallest id of the class)."""
@@ -184,19 +185,20 @@ class NearDedup:
 
     def links(self) -> DataFrame:
         """Links between representatives whose components are those of all links."""
-        reps = materialize(self.classes(), "near-classes")
-        self.heads = materialize(self.features.filter("class is not null").join(reps, "class").filter("id = rep").select("id", "n", "bands", "sig"), "near-heads")
+        reps = materialize(in_few(self.classes(), self.rows), "near-classes")
+        heads = self.features.filter("class is not null").join(reps, "class").filter("id = rep").select("id", "n", "bands", "sig")
+        self.heads = materialize(in_few(heads, self.rows, WIDE), "near-heads")
         rows = self.heads.select("id", F.explode("bands").alias("band"))
         sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = materialize(rows.join(sizes, "band").select("band", "id", "size"), "near-buckets")
+        rows = materialize(in_few(rows.join(sizes, "band").select("band", "id", "size"), self.rows, WIDE), "near-buckets")
         # the center of a bucket is its member with the fullest buckets, which is the least edited one of a group
         weights = rows.groupBy("id").agg(F.sum("size").alias("weight"))
         centers = rows.join(weights, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("x")).select("band", (-F.col("x.id")).alias("center"))
-        members = materialize(rows.join(centers, "band").select("band", "id", "center", "size"), "near-members")
+        members = materialize(in_few(rows.join(centers, "band").select("band", "id", "center", "size"), self.rows, WIDE), "near-members")
         stars = members.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-        stars = materialize(self.tested(stars), "near-stars")
+        stars = materialize(in_few(self.tested(stars), self.rows, WIDE), "near-stars")
         best = stars.filter("may").groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-        first = materialize(self.verified(best), "near-links")
+        first = materialize(in_few(self.verified(best), self.rows, WIDE), "near-links")
         parts = components(first)
         other = materialize(self.verified(self.apart(stars.filter("may").join(best, ["a", "b"], "left_anti"), parts)), "near-links")
         parts = components(first.union(other))
@@ -226,7 +228,9 @@ class NearDedup:
         shorter one of its own class of lengths, and the longer one of each class that a linked set can have.
         """
         texts = self.texts.join(ids.select("id"), "id", "left_semi").select("id", "text")
-        rows = materialize(texts.mapInArrow(functools.partial(_shingles, size=self.size), "id long, shingle long").distinct(), "near-shingles")
+        rows = texts.mapInArrow(functools.partial(_shingles, size=self.size), "id long, shingle long").distinct()
+        count = ids.count()
+        rows = materialize(in_few(rows, count, MANY), "near-shingles")
         frequent = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
         # shingles of one document alone come first in every order; only their number counts
         counted = rows.join(frequent, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
@@ -241,7 +245,8 @@ class NearDedup:
         take = F.col("n") - F.ceil((F.col("n") + F.col("other")) * self.percent / (100.0 + self.percent) - 1e-6) + 1 - F.col("alone")
         both = both.withColumn("take", take.cast("int")).filter("take > 0")
         spread = both.select("id", "n", "alone", "length", "short", F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "x"))
-        return materialize(spread.select(F.col("x.shingle").alias("token"), "length", "id", "n", (F.col("alone") + F.col("at")).alias("at"), "short"), "near-tokens")
+        spread = spread.select(F.col("x.shingle").alias("token"), "length", "id", "n", (F.col("alone") + F.col("at")).alias("at"), "short")
+        return materialize(in_few(spread, count, MANY), "near-tokens")
 
     def fits(self) -> Column:
         """Whether the sets x and y may be linked if a shingle at these places is the first that they share."""
@@ -255,29 +260,30 @@ class NearDedup:
         of its rare shingles belong to, so a group that has no good center still grows together by as many comparisons
         as it has members. When a round finds nothing, the pairs of different components that are left are compared.
         """
-        who = materialize(self.open_members(members, stars, parts), "near-open")
+        who = materialize(in_few(self.open_members(members, stars, parts), self.rows), "near-open")
         tokens = self.tokens(who)
         found, parts, tried = None, who, None
         for _ in range(ROUNDS):
             pairs = self.leads(tokens, parts)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "near-leads")
+            pairs = materialize(in_few(pairs, self.rows), "near-leads")
             tried = pairs if tried is None else tried.union(pairs)
-            new = materialize(self.verified(self.tested(pairs).filter("may")), "near-links")
+            new = materialize(in_few(self.verified(self.tested(pairs).filter("may")), self.rows, WIDE), "near-links")
             if new.isEmpty():
                 break
             found = new if found is None else found.union(new)
-            parts = materialize(self.merged(parts, new), "near-open")
+            parts = materialize(in_few(self.merged(parts, new), self.rows), "near-open")
         last = materialize(self.verified(self.tested(self.left(tokens, parts)).filter("may")), "near-links")
         return last if found is None else last.union(found)
 
     @staticmethod
     def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
         """``parts`` (id, component) after ``links`` (a, b)."""
+        rows = links.count()
         for c in ("a", "b"):
             links = links.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")), c)
-        whole = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).toDF("component", "whole")
+        whole = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), rows).toDF("component", "whole")
         return parts.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
 
     @staticmethod

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, materialize, small_batches
+from tidemark.llm.common import WIDE, discard, in_few, materialize, small_batches
 
 #: Labelled rows that are read for the fit at most, voters at most, and labelled toxic rows that a voter must occur in.
 MOST_LABELLED, MOST_VOTERS, LEAST_ROWS = 12_000, 2_000, 4
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # few enough rows, picked by narrow columns before their texts are looked at
     picked = texts.select("__id", "__digest").join(known, "__id").distinct().orderBy(F.xxhash64(F.col("__id").cast("string"), "__digest"), "__id", "__digest").limit(MOST_LABELLED)
     rows = texts.join(F.broadcast(picked), ["__id", "__digest"]).groupBy("__id", "__digest").agg(F.first("__text").alias("__text"), F.first("__toxic").alias("__toxic"))
-    rows = materialize(rows.select("__text", "__toxic"), "toxicity-rows")
+    rows = materialize(in_few(rows.select("__text", "__toxic"), MOST_LABELLED, WIDE), "toxicity-rows")
     counts = rows.mapInArrow(_explode_traits, "trait string, toxic int").groupBy("trait").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     found = counts.withColumn("precision", (F.col("bad") + 1) / (F.col("bad") + F.col("good") + 2)).filter((F.col("bad") >= LEAST_ROWS) & (F.col("precision") >= LEAST_PRECISION))
     best = found.orderBy(F.desc(F.col("bad") * F.col("precision") * F.col("precision")), "trait").limit(MOST_VOTERS + 1)
