@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import near_dedup, substring_dedup
@@ -347,3 +348,21 @@ def test_texts_of_one_id_are_verified_each_by_itself(spark):
     got = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
     firsts = {(r.doc_id, r.start_word, r.n_words, r.first_start_word) for r in got if r.first_doc_id == 1}
     assert firsts == {(2, 0, 70, 20), (3, 0, 70, 30), (4, 9, 70, 20), (4, 88, 70, 30)}
+
+
+def test_shingles_are_those_of_the_words(texts, monkeypatch):
+    """Taken from the bytes of an Arrow column, in pieces, without a Python object for each word."""
+    every = [*texts, None, *(" ".join(t.split(" ")[:60]).upper() for t in texts if t), "w " * 48 + "w", "\x00 \x00\x00 " * 40, "\x1c\x85\xa0 B\x0bc " * 30, "y" * 5000 + " z" * 60]
+    for size in (1 << 18, 64):
+        monkeypatch.setattr(substring_dedup, "_BYTES", size)
+        flat, starts = substring_dedup.shingles_of_all(pa.array(["cut off " * 70, *every]).slice(1))
+        names, seen = {}, set()
+        assert len(starts) == len(every) + 1 and starts[-1] == len(flat)
+        for k, t in enumerate(every):
+            w = words_of(t)
+            want = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 50 else []
+            got = flat[starts[k] : starts[k + 1]].tolist()
+            assert len(got) == len(want) and all(names.setdefault(x, y) == y for x, y in zip(got, want, strict=True))
+            seen |= set(want)
+        assert len(names) == len(seen)
+    assert substring_dedup.shingles_of_all(pa.array([], pa.string()))[1].tolist() == [0]

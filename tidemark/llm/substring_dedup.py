@@ -37,10 +37,11 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_marks, discard, marked, marks_of, materialize, mix64, shingle_hashes, small_batches, with_mark, word_hashes, words_of
+from tidemark.llm.common import bit_marks, discard, marked, marks_of, materialize, mix64, shingle_hashes, small_batches, with_mark
 
 #: Words of a shingle and of a passage at least, percent of the union that a passage's sides share.
 SHINGLE, LEAST_WORDS, PERCENT = 5, 50, 80
@@ -51,6 +52,10 @@ FUNCTIONS = BANDS * IN_BAND
 #: Each round of the rest reaches this many times as far back.
 GROWTH = 8
 _PART = 1 << 19
+#: Bytes of text whose words are hashed at a time; what words are made of.
+_BYTES = 1 << 18
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 _RANDOM = np.random.RandomState(23)
 _FACTORS = (_RANDOM.randint(0, 2**31, FUNCTIONS, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _TERMS = _RANDOM.randint(0, 2**32, FUNCTIONS, dtype=np.uint64).astype(np.uint32)
@@ -131,21 +136,58 @@ def compact_windows(shingles: np.ndarray, starts: np.ndarray, length: int, band:
     return [own[head], keys[head], np.minimum.reduceat(lefts, head), places[head], np.maximum.reduceat(rights, head)]
 
 
-def shingles_of_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased) of texts whose bytes stand in a row, and where each begins.
+
+    ``starts`` tells where each text begins. A word's hash is made of the sum of a hash of each byte and its place in
+    the word, so all words are hashed at once and none becomes a Python object.
+    """
+    inside = ~_SPACE[flat]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begin[starts[starts < len(flat)]] = inside[starts[starts < len(flat)]]
+    at = np.flatnonzero(begin)
+    out, k = [], 0
+    while k < len(at):
+        # some words at a time, so that what is held for each byte stays small
+        end = max(k + 1, int(np.searchsorted(at, at[k] + _BYTES)))
+        low, high = at[k], at[end] if end < len(at) else len(flat)
+        own = np.flatnonzero(inside[low:high]) + low
+        heads = np.searchsorted(own, at[k:end])
+        sizes = np.diff(heads, append=len(own))
+        if end == k + 1 and sizes[0] > _BYTES:  # a word of this size by itself
+            out.append(np.array([xxhash.xxh64_intdigest(_LOWER[flat[own]].tobytes())], np.uint64))
+        else:
+            places = np.arange(len(own), dtype=np.uint64) - np.repeat(heads.astype(np.uint64), sizes)
+            sums = np.add.reduceat(mix64((places << np.uint64(8)) + _LOWER[flat[own]] + np.uint64(1)), heads)
+            out.append(mix64(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        k = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64), at
+
+
+def shingles_of_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of several texts in a row, none of a text that is too short, and where each begins and the last ends."""
-    each = [w if len(w) >= LEAST_WORDS else [] for w in map(words_of, texts)]
-    ends = np.cumsum([len(w) for w in each], dtype=np.int64)
-    whole = np.ones(int(ends[-1]) if len(ends) else 0, bool)  # shingles that lie in one text
+    texts = texts.fill_null("").cast(pa.binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    flat = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    words, at = hashed_words(flat, bounds[:-1])
+    own = np.searchsorted(bounds, at, "right") - 1
+    each = np.bincount(own, minlength=len(texts))
+    words = words[each[own] >= LEAST_WORDS]
+    each = np.where(each >= LEAST_WORDS, each, 0)
+    ends = np.cumsum(each)
+    whole = np.ones(len(words), bool)  # shingles that lie in one text
     for back in range(1, SHINGLE):
         whole[ends[ends >= back] - back] = False
-    flat = shingle_hashes(word_hashes([x for w in each for x in w]), SHINGLE)[whole[: max(0, len(whole) - SHINGLE + 1)]]
-    return flat, np.concatenate([[0], np.cumsum([max(0, len(w) - SHINGLE + 1) for w in each], dtype=np.int64)])
+    flat = shingle_hashes(words, SHINGLE)[whole[: max(0, len(whole) - SHINGLE + 1)]]
+    return flat, np.concatenate([[0], np.cumsum(np.maximum(each - SHINGLE + 1, 0), dtype=np.int64)])
 
 
 def _windows(batches):
     length = LEAST_WORDS - SHINGLE + 1
     for batch in batches:
-        flat, starts = shingles_of_all(batch.column(1).to_pylist())
+        flat, starts = shingles_of_all(batch.column(1))
         parts = [compact_windows(flat, starts, length, band) for band in range(BANDS)]
         own, keys, *places = (np.concatenate(x) for x in zip(*parts, strict=True))
         arrays = [pa.array(keys, pa.int64()), batch.column(0).take(pa.array(own, pa.int64())), *(pa.array(x.astype(np.int32)) for x in places)]
@@ -264,7 +306,7 @@ def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: n
 
 def _shingled(batches):
     for batch in batches:
-        flat, starts = shingles_of_all(batch.column(1).to_pylist())
+        flat, starts = shingles_of_all(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[x:y].tobytes() for x, y in itertools.pairwise(starts.tolist())], pa.binary())], ["doc", "s"])
 
 
@@ -310,7 +352,7 @@ def _verify(batches):
 def _marked_shingles(batches, marks=None):
     """The different shingles of each text, those that are marked if ``marks`` are given."""
     for batch in batches:
-        flat, starts = shingles_of_all(batch.column(1).to_pylist())
+        flat, starts = shingles_of_all(batch.column(1))
         own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(starts))
         if marks is not None:
             some = marks.value.has_each(flat)
@@ -338,7 +380,7 @@ def _reaching(batches, repeated):
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
     for batch in batches:
         out = []
-        flat, starts = shingles_of_all(batch.column("text").to_pylist())
+        flat, starts = shingles_of_all(batch.column("text"))
         known = repeated.value.has_each(flat)
         for k, (doc, rows) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("rows").to_pylist(), strict=True)):
             own = flat[starts[k] : starts[k + 1]]
