@@ -366,3 +366,45 @@ def test_shingles_are_those_of_the_words(texts, monkeypatch):
             seen |= set(want)
         assert len(names) == len(seen)
     assert substring_dedup.shingles_of_all(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_lines_that_many_documents_have_make_no_pairs(spark, monkeypatch):
+    """Only stretches whose shingles other documents have take part: not a common line, nor a text that repeats itself."""
+    rng = random.Random(5)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, shared = fill(20), fill(60)
+    texts = [fill(40) + line + fill(40) for _ in range(80)] + [fill(60) * 4 + line for _ in range(4)]
+    texts += [fill(30) + shared + fill(30) for _ in range(2)]
+    pairs, write = [], substring_dedup.materialize
+
+    def written(df, label):
+        out = write(df, label)
+        pairs.extend((r.doc, r.first) for r in (out.collect() if label == "passage-pairs" else ()))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", written)
+    got = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_doc_id, r.start_word, r.n_words, r.first_start_word) for r in got] == [(85, 84, 30, 60, 30)]
+    assert len(set(pairs)) == 1
+
+
+def test_dense_stretches_of_shingles_that_come_again():
+    """Of shingles that are not known, each place counts as its part of the one that any stretch of the set holds."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        own = rng.integers(0, rng.choice([4, 12, 30]), 40)
+        known = np.isin(own, rng.integers(0, 30, 20))
+        _, at, n = np.unique(own, return_inverse=True, return_counts=True)
+        inside = substring_dedup.dense(known, 10, n[at])
+        for x in range(40):
+            for y in range(x + 10, 41):
+                if 100 * len(set(own[x:y][known[x:y]])) >= substring_dedup.PERCENT * len(set(own[x:y])):
+                    assert inside[x:y].all()
+    assert not substring_dedup.dense(np.zeros(240, bool), 46, np.full(240, 4)).any()
+
+
+def test_passages_within_wider_ones_are_left_out(spark):
+    rows = [(9, 3, 10, 90, 0, 90, 0.9), (9, 1, 20, 60, 5, 60, 0.8), (9, 2, 10, 90, 0, 90, 0.9), (9, 4, 70, 60, 0, 60, 0.9), (8, 1, 20, 60, 5, 60, 1.0)]
+    names = ["doc_id", "first_doc_id", "start_word", "n_words", "first_start_word", "first_n_words", "similarity"]
+    got = {tuple(r)[:4] for r in substring_dedup._widest(spark.createDataFrame(rows, names)).collect()}
+    assert got == {(9, 2, 10, 90), (9, 4, 70, 60), (8, 1, 20, 60)}

@@ -7,22 +7,27 @@ that those of two functions share around a stretch of the least length, with bot
 Two passages of similarity J have the same two smallest shingles, and so lie in two windows with one key, with a
 probability of J * J for each band.
 
-The windows of a key are joined to that of its first document (the smallest id). Windows that no passage found so
-covers are then joined to the last document before theirs that has the key too: keys of a passage may have first
-documents that lack the rest of it. For each pair of documents the windows' intervals are put together and verified:
+Only regions take part: stretches in which enough shingles are such that several documents have. A passage lies in a
+region on either side, so this loses none; regions are numbered in the order of their documents' ids and are what
+``doc`` and ``first`` mean below. Which shingles several documents have is told from 42 bits of their hashes, packed
+and sorted by their first ten.
+
+The windows of a key are joined to that of its first region. Windows that no passage found so covers are then joined to
+the last region before theirs that has the key too: keys of a passage may have first documents that lack the rest of
+it. For each pair of documents the windows' intervals are put together and verified:
 stretches of equal shingles on one diagonal are chained across gaps that what matches could make up for, and a chain is
 a passage if it has at least ``LEAST_WORDS`` words and its two sides' sets of shingles a similarity of at least
 ``PERCENT``; else its longest part whose stretches make up for the gaps between them is tried, and what lies on either
 side of that.
 
 The rest loses no document either: what is still open then goes on to all earlier documents that have its key, each round
-eight times as far back, until it is covered or none is left. Only windows that reach into a stretch whose shingles
-other documents have, too, take part; no other can lie in a passage.
+eight times as far back, until it is covered or none is left. Only windows whose place lies in a stretch whose shingles
+other windows of the key have, too, take part; no other can hold a passage with one of these.
 
 Equal texts are a class, which its smallest id stands for; each copy has one passage, the whole text, of that document.
 Passages are those that two documents have; one that a document repeats within itself alone is not looked for. A
-covered window goes no further, so a passage that n documents share gives a few rows for each but the first; what
-nothing covers is compared with all that have its key. No key's windows are gathered in one task.
+covered window goes no further, and a passage within a wider one of its region is no row of its own, so a passage that
+n documents share gives a few rows for each but the first; what nothing covers is compared with all that have its key. No key's windows are gathered in one task.
 
 Defined results: null texts and texts of fewer than ``LEAST_WORDS`` words have no passages; rows that share an id count
 as one document, each text by itself; null ids take no part; an empty table gives an empty one. Only the id and text
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_marks, discard, marked, marks_of, materialize, mix64, shingle_hashes, small_batches, with_mark
+from tidemark.llm.common import MARK_BITS, Marks, bit_marks, discard, materialize, mix64, shingle_hashes, small_batches, with_mark
 
 #: Words of a shingle and of a passage at least, percent of the union that a passage's sides share.
 SHINGLE, LEAST_WORDS, PERCENT = 5, 50, 80
@@ -52,6 +57,9 @@ FUNCTIONS = BANDS * IN_BAND
 #: Each round of the rest reaches this many times as far back.
 GROWTH = 8
 _PART = 1 << 19
+#: Bits of a shingle's hash by which shingles of several texts are told, of which 32 are written and the others make a
+#: bucket; bits of a bucket's part of the bitmap; shingles that a task packs at a time.
+_KEPT, _SLICE, _PACKED = 42, MARK_BITS - 10, 1 << 22
 #: Bytes of text whose words are hashed at a time; what words are made of.
 _BYTES = 1 << 18
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -187,7 +195,8 @@ def shingles_of_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _windows(batches):
     length = LEAST_WORDS - SHINGLE + 1
     for batch in batches:
-        flat, starts = shingles_of_all(batch.column(1))
+        own = _sequences(batch.column(1))
+        flat, starts = np.concatenate([*own, np.empty(0, np.uint64)]), np.cumsum([0, *map(len, own)])
         parts = [compact_windows(flat, starts, length, band) for band in range(BANDS)]
         own, keys, *places = (np.concatenate(x) for x in zip(*parts, strict=True))
         arrays = [pa.array(keys, pa.int64()), batch.column(0).take(pa.array(own, pa.int64())), *(pa.array(x.astype(np.int32)) for x in places)]
@@ -304,14 +313,8 @@ def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: n
     return sorted(out)
 
 
-def _shingled(batches):
-    for batch in batches:
-        flat, starts = shingles_of_all(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[x:y].tobytes() for x, y in itertools.pairwise(starts.tolist())], pa.binary())], ["doc", "s"])
-
-
 def _sequences(column: pa.Array) -> list[np.ndarray]:
-    """The shingles of each row of _shingled(), read where Arrow holds them."""
+    """The shingles of each row, read where Arrow holds them."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     flat = np.frombuffer(column.buffers()[2], np.uint8) if ends[-1] > ends[0] else np.empty(0, np.uint8)
     return [flat[x:y].view(np.uint64) for x, y in itertools.pairwise(ends.tolist())]
@@ -349,23 +352,88 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _marked_shingles(batches, marks=None):
-    """The different shingles of each text, those that are marked if ``marks`` are given."""
-    for batch in batches:
-        flat, starts = shingles_of_all(batch.column(1))
-        own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(starts))
-        if marks is not None:
-            some = marks.value.has_each(flat)
-            flat, own = flat[some], own[some]
-        order = np.lexsort((flat, own))
-        flat, own = flat[order], own[order]
-        new = np.concatenate([np.ones(min(1, len(own)), bool), (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])])
-        yield pa.RecordBatch.from_arrays([pa.array(flat[new].view(np.int64)), pa.array(own[new], pa.int64())], ["key", "doc"])
-
-
-def dense(known: np.ndarray, length: int) -> np.ndarray:
-    """The places that lie in some stretch of at least ``length`` of which ``PERCENT`` are known."""
-    level = np.concatenate([[0], np.cumsum(np.where(known, 100 - PERCENT, -PERCENT))])
+def _packed(sets: Iterable[np.ndarray]):
+    """The different hashes of each of some arrays by their first bits, 32 bits each; those of several arrays twice."""
+    held, n = [], 0
+
+    def packed():
+        all_ = np.sort(np.concatenate(held))
+        keep = np.ones(len(all_), bool)
+        keep[2:] = all_[2:] != all_[:-2]
+        all_ = all_[keep]
+        buckets = np.unique(all_ >> np.uint64(32))
+        ends = np.searchsorted(all_, [*(buckets << np.uint64(32)), np.uint64(1 << _KEPT)])
+        flat = all_.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([flat[x:y].tobytes() for x, y in itertools.pairwise(ends.tolist())], pa.binary())], ["bucket", "packed"])
+
+    for hashes in sets:
+        held.append(np.unique(hashes >> np.uint64(64 - _KEPT)))
+        n += len(held[-1])
+        if n > _PACKED:
+            yield packed()
+            held, n = [], 0
+    if n:
+        yield packed()
+
+
+def _packed_texts(batches):
+    def sets():
+        for batch in batches:
+            flat, starts = shingles_of_all(batch.column(1))
+            yield from (flat[x:y] for x, y in itertools.pairwise(starts.tolist()) if x < y)
+
+    yield from _packed(sets())
+
+
+def _with_key(shingles: np.ndarray, key: int) -> np.ndarray:
+    return mix64(shingles ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+
+
+def _packed_windows(batches):
+    """Of regions and some of their windows, the pairs of a window's key and each of its shingles."""
+
+    def sets():
+        for batch in batches:
+            for own, rows in zip(_sequences(batch.column("s")), batch.column("rows").to_pylist(), strict=True):
+                yield from (_with_key(own[r["l"] : r["r"] + 1], r["key"]) for r in rows)
+
+    yield from _packed(sets())
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """The bits of those hashes of a bucket that come twice."""
+    all_ = np.sort(np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint32))
+    twice = all_[1:][all_[1:] == all_[:-1]].astype(np.uint64)
+    bucket = table.column("bucket")[0].as_py()
+    bits = np.zeros(1 << _SLICE, bool)
+    bits[mix64(np.uint64(bucket << 32) | twice) & np.uint64((1 << _SLICE) - 1)] = True
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def marks_of_repeated(packed: DataFrame) -> Marks:
+    """Marks of the hashes that several arrays of ``packed`` have, by _places(). What the driver gets is 16 MB at most."""
+    slices = packed.groupBy("bucket").applyInArrow(_repeated, "bucket int, bits binary").toArrow()
+    out = np.zeros((1 << (_KEPT - 32), 1 << (_SLICE - 6)), np.uint64)
+    for bucket, bits in zip(slices.column("bucket").to_pylist(), slices.column("bits").to_pylist(), strict=True):
+        out[bucket] = np.frombuffer(bits, np.uint64)
+    return Marks(out.ravel())
+
+
+def _places(flat: np.ndarray) -> np.ndarray:
+    """Where the marks of hashes stand."""
+    kept = flat >> np.uint64(64 - _KEPT)
+    return (kept >> np.uint64(32)) << np.uint64(_SLICE) | mix64(kept) & np.uint64((1 << _SLICE) - 1)
+
+
+def dense(known: np.ndarray, length: int, times: np.ndarray | None = None) -> np.ndarray:
+    """The places that lie in some stretch of at least ``length`` of which ``PERCENT`` are known.
+
+    ``times`` tells how often each shingle comes in its text: of those that are not known, which a stretch's set holds
+    once, each place then counts as the part of one that is certain.
+    """
+    missing = PERCENT if times is None else PERCENT / times
+    level = np.concatenate([[0], np.cumsum(np.where(known, 100 - PERCENT, -missing))])
+    level = np.round(level, 6)
     most = np.maximum.accumulate(level[::-1])[::-1]
     ends = np.searchsorted(-most, -level, "right") - 1  # the last place that is no lower than the start
     starts = np.flatnonzero(ends - np.arange(len(level)) >= length)
@@ -375,21 +443,38 @@ def dense(known: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
+def _regions(batches, repeated):
+    """id, start, s: the stretches of texts that a passage can lie in, with their shingles."""
+    length = LEAST_WORDS - SHINGLE + 1
+    for batch in batches:
+        ids, own_of, begin, parts = batch.column(0), [], [], []
+        flat, starts = shingles_of_all(batch.column(1))
+        known = repeated.value.has_each(_places(flat))
+        some = np.concatenate([[0], np.cumsum(known)])[starts]
+        for k in np.flatnonzero(np.diff(some)):
+            own, has = flat[starts[k] : starts[k + 1]], known[starts[k] : starts[k + 1]]
+            if not dense(has, length, np.float64(len(own))).any():  # no shingle comes more often
+                continue
+            _, at, n = np.unique(own, return_inverse=True, return_counts=True)
+            inside = np.diff(dense(has, length, n[at]).astype(np.int8), prepend=0, append=0)
+            for x, y in zip(np.flatnonzero(inside > 0).tolist(), np.flatnonzero(inside < 0).tolist(), strict=True):
+                own_of.append(k)
+                begin.append(x)
+                parts.append(own[x:y].tobytes())
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(own_of, pa.int64())), pa.array(begin, pa.int32()), pa.array(parts, pa.binary())], ["id", "start", "s"])
+
+
 def _reaching(batches, repeated):
     names = ["key", "doc", "l", "c", "r", "rank"]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
     for batch in batches:
         out = []
-        flat, starts = shingles_of_all(batch.column("text"))
-        known = repeated.value.has_each(flat)
-        for k, (doc, rows) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("rows").to_pylist(), strict=True)):
-            own = flat[starts[k] : starts[k + 1]]
-            # a passage is measured in different shingles: those that come again in their own text count as known
-            _, at, n = np.unique(own, return_inverse=True, return_counts=True)
-            inside = np.concatenate([[0], np.cumsum(dense(known[starts[k] : starts[k + 1]] | (n[at] > 1), LEAST_WORDS - SHINGLE + 1))])
+        for doc, whole, rows in zip(batch.column("doc").to_pylist(), _sequences(batch.column("s")), batch.column("rows").to_pylist(), strict=True):
             for r in rows:
-                low, high = min(r["l"], len(own)), min(r["r"] + 1, len(own))
-                if inside[high] > inside[low]:
+                own = whole[r["l"] : r["r"] + 1]
+                known = repeated.value.has_each(_places(_with_key(own, r["key"])))
+                _, at, n = np.unique(own, return_inverse=True, return_counts=True)
+                if dense(known, LEAST_WORDS - SHINGLE + 1, n[at])[r["c"] - r["l"]]:
                     out.append((r["key"], doc, r["l"], r["c"], r["r"], r["rank"]))
         columns = list(zip(*out, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -401,46 +486,71 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and text is not null")
     own, copies = _classes(texts)
-    windows = materialize(own.mapInArrow(_windows, "key long, doc long, l int, c int, r int"), "passage-windows")
+    parts = _parts(own)
+    windows = materialize(parts.select("doc", "s").mapInArrow(_windows, "key long, doc long, l int, c int, r int"), "passage-windows")
     repeated = windows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("key", "first")
-    repeated = materialize(repeated, "passage-keys")
-    # most windows have a key of their own and go no further than a bitmap of fixed size
-    every, windows = windows, materialize(marked(windows, "key", bit_marks(repeated, "key")).join(repeated.hint("merge"), "key"), "passage-shared")
-    discard(every)
-    discard(repeated)
+    windows = materialize(windows.hint("merge").join(repeated.hint("merge"), "key"), "passage-shared")
     firsts = windows.filter("doc = first").groupBy("key").agg(F.min("c").alias("first_c"))
     linked = windows.filter("doc > first").join(firsts.hint("merge"), "key")
     # pairs with two windows or more first; what they cover needs no other pair
     strong = linked.groupBy("doc", "first").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "first")
     strong = materialize(strong, "passage-strong")
-    found = materialize(_verified(linked.join(strong.hint("merge"), ["doc", "first"], "left_semi"), texts), "passage-found")
-    # places of ids with several texts don't tell of which text they are
-    several = texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
-    open_ = materialize(_uncovered(linked, found, several), "passage-open")
-    # the second way leads to the last document before; a pair's evidence are all its open windows, whichever way
+    found = materialize(_verified(linked.join(strong.hint("merge"), ["doc", "first"], "left_semi"), parts), "passage-found")
+    open_ = materialize(_uncovered(linked, found), "passage-open")
+    # the second way leads to the last region before; a pair's evidence are all its open windows, whichever way
     holders = _holders(windows.join(open_.select("key").distinct().hint("merge"), "key", "left_semi"))
     ranked = open_.join(holders.drop("c").hint("merge"), ["key", "doc"])
     again = _earlier(ranked, holders, 1, 1)
     # of strong pairs only the windows that lead to the first document have been looked at
     rest = open_.select(*linked.columns).join(strong.hint("merge"), ["doc", "first"], "left_anti")
     both = rest.unionByName(again.select(*rest.columns)).distinct()
-    more = materialize(_verified(both, texts), "passage-more")
+    more = materialize(_verified(both, parts), "passage-more")
     out = found.unionByName(_new(more, found))
-    # the rest: windows still open go on to the documents before, each time to more of them, until covered or none is left
-    kept = materialize(_uncovered(ranked, more, several).filter("rank > 2"), "passage-left")
+    # the rest: windows still open go on to the regions before, each time to more of them, until covered or none is left
+    kept = materialize(_uncovered(ranked, more).filter("rank > 2"), "passage-left")
     if not kept.isEmpty():
-        kept = materialize(_promising(kept, holders, texts), "passage-rest")
+        kept = materialize(_promising(kept, windows, parts), "passage-rest")
     nearest, most = 2, kept.agg(F.max("rank")).first()[0] or 0
     while nearest < most:
         tried = _earlier(kept, holders, nearest, nearest * GROWTH - 1).select(*linked.columns)
-        more = materialize(_verified(tried, texts), "passage-more")
+        more = materialize(_verified(tried, parts), "passage-more")
         out = out.unionByName(_new(more, out))
         nearest *= GROWTH
-        kept = materialize(_uncovered(kept, more, several).filter(F.col("rank") > nearest), "passage-rest")
+        kept = materialize(_uncovered(kept, more).filter(F.col("rank") > nearest), "passage-rest")
         most = kept.agg(F.max("rank")).first()[0] or 0
     for done in (windows, open_, strong):
         discard(done)
-    return out.unionByName(copies)
+    return _placed(_widest(out), parts).unionByName(copies)
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    """doc, id, start, s: the regions of ``texts`` that can hold passages, numbered (doc) in the order of their ids.
+
+    A passage's shingles are those of the other document but for a fifth of all, so it lies in a stretch in which
+    enough shingles are such that several texts have. On both sides, so no other part of a text takes part.
+    """
+    packed = texts.select("doc", "text").mapInArrow(_packed_texts, "bucket int, packed binary")
+    repeated = texts.sparkSession.sparkContext.broadcast(marks_of_repeated(packed))
+    parts = materialize(texts.mapInArrow(functools.partial(_regions, repeated=repeated), "id long, start int, s binary"), "passage-regions")
+    ordered = parts.repartitionByRange("id").sortWithinPartitions("id")
+    numbered = materialize(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "start", "s"), "passage-parts")
+    discard(parts)
+    return numbered
+
+
+def _widest(found: DataFrame) -> DataFrame:
+    """The passages less those that lie within a wider one of their region, or in one as wide with an earlier region."""
+    before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("n_words"), "first_doc_id", "first_start_word").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start_word") + F.col("n_words")
+    return found.withColumn("reached", F.max(end).over(before)).filter(F.coalesce("reached", F.lit(0)) < end).drop("reached")
+
+
+def _placed(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """``found`` with the ids and places of the documents that its regions are of."""
+    one, other = (parts.select(F.col("doc").alias(c), F.col("id").alias(f"{c}_of"), F.col("start").alias(f"{c}_at")) for c in ("doc_id", "first_doc_id"))
+    full = found.hint("merge").join(one, "doc_id").hint("merge").join(other, "first_doc_id")
+    moved = {"doc_id": F.col("doc_id_of"), "first_doc_id": F.col("first_doc_id_of"), "start_word": F.col("start_word") + F.col("doc_id_at"), "first_start_word": F.col("first_start_word") + F.col("first_doc_id_at")}
+    return full.select(*(moved.get(c, F.col(c)).alias(c) for c in found.columns))
 
 
 def _new(more: DataFrame, found: DataFrame) -> DataFrame:
@@ -448,32 +558,30 @@ def _new(more: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(more.join(found.hint("merge"), found.columns, "left_anti"), "passage-new")
 
 
-def _uncovered(windows: DataFrame, found: DataFrame, several: DataFrame) -> DataFrame:
+def _uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
     """The windows whose place lies in no passage that was found."""
     covers = found.select("doc_id", "start_word", (F.col("start_word") + F.col("n_words") - SHINGLE).alias("last_place"))
-    covers = covers.join(several.hint("merge"), covers["doc_id"] == several["doc"], "left_anti")
     return windows.join(covers.hint("merge"), (windows["doc"] == covers["doc_id"]) & windows["c"].between(F.col("start_word"), F.col("last_place")), "left_anti")
 
 
-def _promising(left: DataFrame, holders: DataFrame, texts: DataFrame) -> DataFrame:
-    """The windows that reach into a stretch in which enough shingles are such that other documents have, too.
+def _promising(left: DataFrame, windows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The windows whose place lies in a stretch in which enough shingles are such that others of their key have, too.
 
-    No other window can lie in a passage, so a short line that many documents have makes no pairs of all of them. Two
-    bitmaps of fixed size tell which shingles these windows' texts have and which of them several documents have.
+    A passage that gives two windows one key lies in both, with the places that made the key. No other window can hold
+    one, so a short line that many documents have makes no pairs of all of them, and each window is looked at once for
+    all that have its key. A bitmap of fixed size tells which shingles several windows of a key have.
     """
-    spark = texts.sparkSession
-    rows = left.groupBy("doc").agg(F.collect_list(F.struct("key", "l", "c", "r", "rank")).alias("rows"))
-    own = materialize(marked(texts, "doc", bit_marks(rows, "doc")).join(rows.hint("merge"), "doc"), "passage-own")
-    theirs = spark.sparkContext.broadcast(marks_of(own.select("doc", "text").mapInArrow(_marked_shingles, "key long, doc long")))
-    held = holders.join(left.select("key").distinct().hint("merge"), "key", "left_semi").select("doc")
-    others = marked(texts, "doc", bit_marks(held, "doc")).mapInArrow(functools.partial(_marked_shingles, marks=theirs), "key long, doc long")
-    several = others.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("key")
-    repeated = spark.sparkContext.broadcast(marks_of(several))
-    return own.mapInArrow(functools.partial(_reaching, repeated=repeated), left.select("key", "doc", "l", "c", "r", "rank").schema).distinct()
+    keys = left.select("key").distinct().hint("merge")
+    rows = windows.join(keys, "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("key", "l", "r")).alias("rows"))
+    packed = rows.hint("merge").join(parts.select("doc", "s"), "doc").mapInArrow(_packed_windows, "bucket int, packed binary")
+    repeated = left.sparkSession.sparkContext.broadcast(marks_of_repeated(packed))
+    own = left.groupBy("doc").agg(F.collect_list(F.struct("key", "l", "c", "r", "rank")).alias("rows"))
+    own = own.hint("merge").join(parts.select("doc", "s"), "doc")
+    return own.mapInArrow(functools.partial(_reaching, repeated=repeated), left.select("key", "doc", "l", "c", "r", "rank").schema)
 
 
 def _earlier(ranked: DataFrame, holders: DataFrame, nearest: int, farthest: int) -> DataFrame:
-    """``ranked`` windows with the documents before theirs that have the key, from the ``nearest`` to the ``farthest``;
+    """``ranked`` windows with the regions before theirs that have the key, from the ``nearest`` to the ``farthest``;
     the first of all has been tried."""
     ranks = F.sequence(F.greatest(F.lit(1), F.col("rank") - farthest), F.col("rank") - nearest)
     each = ranked.filter(F.col("rank") > nearest).select("key", "doc", "l", "c", "r", F.explode(ranks).alias("rank"))
@@ -516,16 +624,13 @@ def _holders(windows: DataFrame) -> DataFrame:
     return materialize(ranked.select("key", "doc", "c", (F.col("own") + F.coalesce("before", F.lit(0))).cast("int").alias("rank")), "passage-ranked")
 
 
-def _verified(linked: DataFrame, texts: DataFrame) -> DataFrame:
-    """The passages of the pairs of documents (doc, first) whose windows are ``linked``."""
+def _verified(linked: DataFrame, parts: DataFrame) -> DataFrame:
+    """The passages of the pairs of regions (doc, first) whose windows are ``linked``."""
     pairs = linked.groupBy("doc", "first").agg(F.collect_list(F.struct("l", "c", "r", "first_c")).alias("rows"), F.min("l").alias("low"), F.max("r").alias("high"))
     pairs = materialize(pairs, "passage-pairs")
-    involved = marked(texts, "doc", bit_marks(pairs.select(F.explode(F.array("doc", "first")).alias("doc")), "doc"))
-    # texts are split and hashed once each, not once a pair, and moved once for both sides of the pairs
-    involved = involved.mapInArrow(_shingled, "doc long, s binary")
-    one, other = involved.alias("one"), involved.alias("other")
+    one, other = parts.alias("one"), parts.alias("other")
     # passages lie between the first and the last place of a pair's windows: no more of the text goes on with the pair
     part = F.expr("substring(s, 8 * low + 1, 8 * (high - low + 1))").alias("s")
-    full = pairs.hint("merge").join(one, F.col("one.doc") == pairs["doc"]).select(pairs["doc"], "first", "rows", "low", part)
-    full = full.hint("merge").join(other, F.col("other.doc") == F.col("first")).select(full["doc"], "first", "rows", "low", full["s"], F.col("other.s").alias("first_s"))
+    full = pairs.hint("merge").join(one, F.col("one.doc") == pairs["doc"]).select(pairs["doc"], F.col("one.id").alias("id"), "first", "rows", "low", part)
+    full = full.hint("merge").join(other, (F.col("other.doc") == F.col("first")) & (F.col("other.id") < full["id"])).select(full["doc"], "first", "rows", "low", full["s"], F.col("other.s").alias("first_s"))
     return full.mapInArrow(_verify, "doc_id long, first_doc_id long, start_word long, n_words long, first_start_word long, first_n_words long, similarity double")
