@@ -408,3 +408,32 @@ def test_passages_within_wider_ones_are_left_out(spark):
     names = ["doc_id", "first_doc_id", "start_word", "n_words", "first_start_word", "first_n_words", "similarity"]
     got = {tuple(r)[:4] for r in substring_dedup._widest(spark.createDataFrame(rows, names)).collect()}
     assert got == {(9, 2, 10, 90), (9, 4, 70, 60), (8, 1, 20, 60)}
+
+
+def test_places_of_many_pairs_at_once():
+    rng = np.random.RandomState(11)
+    texts = [rng.randint(0, k, n).astype(np.uint64) for k, n in ((10**6, 200), (30, 150), (60, 46), (10**6, 45), (5, 300), (10**6, 90))]
+    others = [np.sort(np.concatenate([x[: len(x) * 7 // 8], rng.randint(0, 10**6, 50).astype(np.uint64)])) for x in texts]
+    others[0] = np.sort(texts[1])  # nothing in common
+    got = substring_dedup.shared_places(texts, others)
+    assert [len(x) for x in got] == [len(x) for x in texts] and not got[0].any() and not got[3].any() and got[5].any()
+    for x, y, inside in zip(texts, others, got, strict=True):
+        _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+        want = substring_dedup.dense(np.isin(x, y), 46, n[at])
+        assert inside[want].all() and (n.max() > 1 or (inside == want).all())
+
+
+def test_pairs_without_a_dense_stretch_are_not_aligned(monkeypatch):
+    rng = np.random.RandomState(12)
+    a, line = rng.randint(0, 2**62, 300).astype(np.uint64), rng.randint(0, 2**62, 60).astype(np.uint64)
+    b, c = a.copy(), rng.randint(0, 2**62, 300).astype(np.uint64)
+    a[50:80], a[200:230], c[50:80], c[200:230] = line[:30], line[30:], line[:30], line[30:]  # two lines are all that a and c share
+    asked = []
+    monkeypatch.setattr(substring_dedup, "stretches", lambda *x, f=substring_dedup.stretches: asked.append(1) or f(*x))
+    rows = [{"l": 0, "c": 60, "r": 299, "first_c": 60}]
+    columns = {"doc": [2, 2], "first": [1, 0], "rows": [rows, rows], "low": [0, 0], "s": [a.tobytes()] * 2, "first_s": [c.tobytes(), b.tobytes()]}
+    row = pa.struct([(x, pa.int32()) for x in ("l", "c", "r", "first_c")])
+    types = [pa.int64(), pa.int64(), pa.list_(row), pa.int32(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types, strict=True)], list(columns))
+    (out,) = substring_dedup._verify([batch])
+    assert out.column("first_doc_id").to_pylist() == [0] * out.num_rows and out.num_rows and len(asked) == 1

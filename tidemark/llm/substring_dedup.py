@@ -232,6 +232,8 @@ def stretches(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndar
         at = np.minimum(np.searchsorted(in_order, a[i]), len(b) - 1)
         same = in_order[at] == a[i]
         runs(i[same], order[at[same]])
+        if not _again(in_order, at[same]).any():  # each has one place in b, so these are all
+            continue
         for d in diagonals:
             k = i[(i - d >= 0) & (i - d < len(b))]
             k = k[a[k] == b[k - d]]
@@ -239,6 +241,23 @@ def stretches(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndar
     return found
 
 
+def _again(in_order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the values that stand at ``first`` for the first time come again in ``in_order``."""
+    after = np.minimum(first + 1, len(in_order) - 1)
+    return (after > first) & (in_order[after] == in_order[first])
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, in order; not np.unique(), which is slower for as few as these."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def _known(values: np.ndarray, in_order: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``in_order``."""
+    return in_order[np.minimum(np.searchsorted(in_order, values), len(in_order) - 1)] == values
+
+
 def gaps(x: tuple[int, int, int], y: tuple[int, int, int]) -> tuple[int, int]:
     """Shingles between two stretches on either side."""
     return y[0] - x[0] - x[2], y[1] - x[1] - x[2]
@@ -267,13 +286,20 @@ def longest(chain: list[tuple[int, int, int]]) -> tuple[int, int]:
 def passages(a: np.ndarray, b: np.ndarray, rows: list[dict]) -> list[tuple[int, int, int, int, float]]:
     """(start, words, start in b, words in b, similarity) of the passages that the sequences share."""
     order = np.argsort(b, kind="stable")
-    return passages_within(a, b, order, b[order], {r["c"] - r["first_c"] for r in rows}, regions((r["l"], r["r"]) for r in rows))
+    in_order = b[order]
+    return passages_within(a, b, order, in_order, {r["c"] - r["first_c"] for r in rows}, regions((r["l"], r["r"]) for r in rows), *shared_places([a], [in_order]))
+
 
+def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndarray, diagonals: set[int], parts: list[tuple[int, int]], inside: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """passages() of windows on ``diagonals`` that cover ``parts`` of a; ``order`` sorts ``b``, stably, to ``in_order``.
 
-def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: np.ndarray, diagonals: set[int], parts: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """passages() of windows on ``diagonals`` that cover ``parts`` of a; ``order`` sorts ``b``, stably, to ``in_order``."""
+    ``inside`` are the shared_places() of both.
+    """
+    found = sorted(set(stretches(a, b, order, in_order, diagonals, parts)))
     taken, picked = np.zeros(len(a), bool), []
-    for i, j, n in sorted(set(stretches(a, b, order, in_order, diagonals, parts)), key=lambda x: (-x[2], x)):
+    if all(x[0] + x[2] <= y[0] for x, y in itertools.pairwise(found)):
+        found, picked = [], found  # none overlaps another
+    for i, j, n in sorted(found, key=lambda x: (-x[2], x)):
         free = ~taken[i : i + n]
         if free.all():
             taken[i : i + n] = True
@@ -283,6 +309,10 @@ def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: n
             k = k[: int(np.argmax(np.diff(np.concatenate([k, [n + 2]])) != 1)) + 1]
             taken[i + k] = True
             picked.append((i + int(k[0]), j + int(k[0]), len(k)))
+    # no more than the places of a that are known can be in both; where no shingle comes again, sides are as large as long
+    upto = np.concatenate([[0], np.cumsum(_known(a, in_order))]).tolist()
+    likely = np.concatenate([[0], np.cumsum(inside)]).tolist()
+    a_once, b_once = len(_distinct(a)) == len(a), not (in_order[1:] == in_order[:-1]).any()
     out, chain = [], []
 
     def close() -> None:
@@ -291,12 +321,17 @@ def passages_within(a: np.ndarray, b: np.ndarray, order: np.ndarray, in_order: n
             c = parts.pop()
             x, y = c[0][0], c[0][1]
             n, m = c[-1][0] + c[-1][2] - x, c[-1][1] + c[-1][2] - y
-            if min(n, m) + SHINGLE - 1 < LEAST_WORDS:
+            if min(n, m, likely[x + n] - likely[x]) + SHINGLE - 1 < LEAST_WORDS:
                 continue
-            s, t = np.unique(a[x : x + n]), np.unique(b[y : y + m])
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                out.append((x, n + SHINGLE - 1, y, m + SHINGLE - 1, both / (len(s) + len(t) - both)))
+            most = upto[x + n] - upto[x]
+            if a_once and 100 * most < PERCENT * (n + m - most if b_once else n):
+                both, all_ = 0, 1
+            else:
+                s, t = _distinct(a[x : x + n]), _distinct(b[y : y + m])
+                both = int(_known(s, t).sum())
+                all_ = len(s) + len(t) - both
+            if 100 * both >= PERCENT * all_:
+                out.append((x, n + SHINGLE - 1, y, m + SHINGLE - 1, both / all_))
             elif len(c) > 1:
                 low, high = longest(c)
                 if high - low == len(c):  # shingles that come again: at the widest gap
@@ -325,7 +360,7 @@ def _verify(batches):
     types = [*[pa.int64()] * 6, pa.float64()]
     length = LEAST_WORDS - SHINGLE + 1
     for batch in batches:
-        rows, sorted_of = [], {}
+        rows, sorted_of, pairs = [], {}, []
         docs, firsts = (batch.column(c).to_pylist() for c in ("doc", "first"))
         lows = batch.column("low").to_pylist()  # where the part of the text begins that its windows lie in
         windows = batch.column("rows")
@@ -339,15 +374,14 @@ def _verify(batches):
             if text not in sorted_of:
                 order = np.argsort(b, kind="stable")
                 sorted_of[text] = b, order, b[order]
-            own = sorted_of[text]
-            at, low = slice(ends[k], ends[k + 1]), lows[k]
-            parts = [(x - low, y - low) for x, y in regions(zip(lefts[at], rights[at], strict=True))]
-            # of different shingles a passage shares four fifths; where some come again it is looked at in any case
-            part = np.concatenate([a[x:y] for x, y in parts])
-            known = own[2][np.minimum(np.searchsorted(own[2], part), len(b) - 1)] == part
-            if 100 * int(known.sum()) >= PERCENT * length or len(np.unique(part)) < len(part):
+            pairs.append((k, a, sorted_of[text]))
+        # a passage lies in a stretch that is dense in the other's shingles; many pairs have none
+        for (k, a, own), inside in zip(pairs, shared_places([p[1] for p in pairs], [p[2][2] for p in pairs]), strict=False):
+            if inside.any():
+                at, low = slice(ends[k], ends[k + 1]), lows[k]
+                parts = [(x - low, y - low) for x, y in regions(zip(lefts[at], rights[at], strict=True))]
                 diagonals = {x - low - y for x, y in zip(places[at], first_places[at], strict=True)}
-                rows += [(docs[k], firsts[k], x + low, *p) for x, *p in passages_within(a, *own, diagonals, parts)]
+                rows += [(docs[k], firsts[k], x + low, *p) for x, *p in passages_within(a, *own, diagonals, parts, inside)]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -433,7 +467,11 @@ def dense(known: np.ndarray, length: int, times: np.ndarray | None = None) -> np
     """
     missing = PERCENT if times is None else PERCENT / times
     level = np.concatenate([[0], np.cumsum(np.where(known, 100 - PERCENT, -missing))])
-    level = np.round(level, 6)
+    return _inside(np.round(level, 6), length)
+
+
+def _inside(level: np.ndarray, length: int) -> np.ndarray:
+    """The steps between two places, at least ``length`` apart, of which the second is no lower than the first."""
     most = np.maximum.accumulate(level[::-1])[::-1]
     ends = np.searchsorted(-most, -level, "right") - 1  # the last place that is no lower than the start
     starts = np.flatnonzero(ends - np.arange(len(level)) >= length)
@@ -443,6 +481,23 @@ def dense(known: np.ndarray, length: int, times: np.ndarray | None = None) -> np
     return np.cumsum(change)[:-1] > 0
 
 
+def shared_places(sequences: list[np.ndarray], others: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of some sequences the places that a passage with a text of the ``others``' shingles, in order, can have.
+
+    This is dense() for all at once: between two sequences the level falls by more than it can rise. Shares of what comes
+    again are rounded down, so no place is left out.
+    """
+    sizes = np.array([len(x) for x in sequences], np.int64)
+    own, flat = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([*sequences, np.empty(0, np.uint64)])
+    known = np.concatenate([*(_known(x, y) for x, y in zip(sequences, others, strict=True)), np.empty(0, bool)])
+    _, at, n = np.unique(mix64(flat ^ mix64(own.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+    steps = np.full(len(flat) + len(sizes), -(100 - PERCENT) * 1000 * (len(flat) + 1), np.int64)
+    places = np.arange(len(flat)) + own
+    steps[places] = np.where(known, (100 - PERCENT) * 1000, -(PERCENT * 1000 // n[at]))
+    level = np.concatenate([[0], np.cumsum(steps)])
+    return np.split(_inside(level, LEAST_WORDS - SHINGLE + 1)[places], np.cumsum(sizes)[:-1])
+
+
 def _regions(batches, repeated):
     """id, start, s: the stretches of texts that a passage can lie in, with their shingles."""
     length = LEAST_WORDS - SHINGLE + 1
